@@ -70,6 +70,10 @@ def _newest(role: str, value: Column, extra: Column | None = None) -> Column:
     return F.max_by(F.when(wanted, value), F.when(wanted, F.col("seq")))
 
 
+def _instant(seconds: Column) -> Column:
+    return F.timestamp_micros(F.round(seconds * 1e6).cast("bigint"))
+
+
 def assemble(raw: DataFrame, span: int = SEGMENT_SPAN) -> DataFrame:
     """All episodes of all requests, with their outcome.
 
@@ -125,7 +129,7 @@ def assemble(raw: DataFrame, span: int = SEGMENT_SPAN) -> DataFrame:
             F.when(has_post, F.encode(req["postData"], "UTF-8")).alias("body"),
             st["initiator"].alias("initiator"),
             has_post.alias("has_post_data"),
-            F.timestamp_seconds(st["wall"]).alias("ts"),
+            _instant(st["wall"]).alias("ts"),
         ).alias("request"),
         F.when(
             responded,
@@ -138,7 +142,7 @@ def assemble(raw: DataFrame, span: int = SEGMENT_SPAN) -> DataFrame:
                 F.lit(None).cast("boolean").alias("body_is_text"),
                 F.when(F.col("outcome") == "finished", en["bytes"].cast("bigint"))
                 .otherwise(F.lit(0).cast("bigint")).alias("bytes_received"),
-                F.timestamp_seconds(clock).alias("ts"),
+                _instant(clock).alias("ts"),
             ),
         ).alias("response"),
         "outcome",
