@@ -91,7 +91,8 @@ def stop_times(frames: DataFrame, idle_timeout: float, timeout: float,
     )
 
 
-def activity_sessions(events: DataFrame, key: str, ts: str, gap: str, bucket: str = "1 day") -> DataFrame:
+def activity_sessions(events: DataFrame, key: str, ts: str, gap: str,
+                      bucket_seconds: int = 86_400) -> DataFrame:
     """Request-gap view of idleness: bursts of events at most ``gap`` apart.
 
     Sessions are merged inside time buckets first, so a hot key spreads over
@@ -100,7 +101,7 @@ def activity_sessions(events: DataFrame, key: str, ts: str, gap: str, bucket: st
     chained across bucket borders.
     """
     pieces = (
-        events.groupBy(key, F.window(ts, bucket)["start"].alias("bucket"), F.session_window(ts, gap).alias("w"))
+        events.groupBy(key, F.floor(F.unix_seconds(ts) / bucket_seconds).alias("bucket"), F.session_window(ts, gap).alias("w"))
         .agg(F.count(F.lit(1)).alias("n"))
         .select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
     )
