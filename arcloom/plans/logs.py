@@ -154,7 +154,9 @@ SQL_LATEST = f"""{SQL_LOG}, state AS (SELECT {SQL_LIFE},
   coalesce(arg_max(k * 1000, seq) FILTER (is_stats), 0) AS bytesRcv,
   coalesce(arg_max(CASE WHEN k % 4 = 0 THEN k % 5 ELSE 0 END, seq) FILTER (is_stats), 0) AS crashed,
   {SQL_RECURSION} FROM m GROUP BY job)"""
-SQL_MERGE = f"""{SQL_LOG}, state AS (SELECT {SQL_LIFE},
+SQL_NEWEST_LIFE = SQL_LIFE.replace("""CASE WHEN count(*) FILTER (status = 'aborted') > 0 THEN 'aborted'
+       ELSE coalesce(""", "coalesce(").replace("'undefined') END AS status", "'undefined') AS status")
+SQL_MERGE = f"""{SQL_LOG}, state AS (SELECT {SQL_NEWEST_LIFE},
   coalesce(arg_max(k, seq) FILTER (is_stats), 0) AS requests, coalesce(arg_max(k % 9, seq) FILTER (is_stats), 0) AS failed,
   coalesce(arg_max(k * 1000, seq) FILTER (is_stats), 0) AS bytesRcv,
   coalesce(arg_max(k % 5, seq) FILTER (is_stats AND k % 4 = 0), 0) AS crashed,
@@ -172,7 +174,7 @@ def job_state_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("job_state_merge", f"WITH {SQL_MERGE} SELECT * FROM state")
 def job_state_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown_state(jobs.state_merge(job_events(spark, sf_dir)))
+    return shown_state(jobs.state_merge(job_events(spark, sf_dir), abort_is_final=False))
 
 
 @query("job_report", f"""
@@ -190,7 +192,7 @@ WITH {SQL_MERGE}
 SELECT CASE WHEN status IN ('finished', 'aborted') THEN 'finished' ELSE status END AS shown_status,
        count(*) AS n_jobs, CAST(sum(bytesRcv) AS BIGINT) AS bytes_rcv FROM state GROUP BY 1""")
 def fleet_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.fleet(jobs.state_merge(job_events(spark, sf_dir)))
+    return jobs.fleet(jobs.state_merge(job_events(spark, sf_dir), abort_is_final=False))
 
 
 @query("job_messages", f"""
