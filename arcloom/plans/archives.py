@@ -234,7 +234,8 @@ def static_snapshot_native(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("static_snapshot", r"""
 SELECT page_id, split_part(url, '#', 1) AS url,
-  md5(regexp_replace(regexp_replace(html, '(?is)<(script|noscript)\b[^>]*>.*?</(script|noscript)\s*>', '', 'g'), '<[^>]*>', '', 'g')) AS text_md5,
+  md5(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(script|noscript)\b[^>]*>.*?</(script|noscript)\s*>', '', 'g'),
+    '&(amp;?)?', '&amp;', 'g'), '&amp;copy;', '©'), '&amp;middot;', '·'), '&amp;quot;', '"'), '<[^>]*>', '', 'g')) AS text_md5,
   len(regexp_extract_all(html, '(?i)<a\s')) AS n_links
 FROM pages""")
 def static_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
