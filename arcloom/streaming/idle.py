@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -78,6 +80,8 @@ def stop_stream(frames: DataFrame, idle_timeout: float, timeout: float, delay: s
     idle for ``idle_timeout``, at the latest ``timeout`` after its first event;
     a timer tells when no event does.  Needs the RocksDB state store.
     """
+    # the planning worker of stateful operators sees no shipped files, only what is pickled
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     return (
         frames.withWatermark("ts", delay)
         .groupBy("page_id")
