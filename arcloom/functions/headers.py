@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from http.server import BaseHTTPRequestHandler
 
 from pyspark.sql import Column
@@ -71,10 +72,10 @@ def content_type(mime: Column, charset: Column) -> Column:
 
 def status_text(status: Column, text: Column) -> Column:
     """Sent phrase, else the standard phrase of the code, else a fixed note."""
-    phrases = []
-    for code, (phrase, _) in sorted(BaseHTTPRequestHandler.responses.items()):
-        phrases += [F.lit(int(code)), F.lit(phrase)]
-    standard = F.try_element_at(F.create_map(*phrases), status.cast("int"))
+    phrases = json.dumps({str(int(code)): names[0] for code, names in BaseHTTPRequestHandler.responses.items()})
+    # one literal, folded into a constant map by the optimizer
+    known = F.from_json(F.lit(phrases), "MAP<STRING, STRING>")
+    standard = F.try_element_at(known, status.cast("string"))
     return F.coalesce(F.nullif(text, F.lit("")), standard, F.lit(NO_STATUS_TEXT))
 
 

@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 from arcloom.fixed_values import CONSOLE_LEVELS, LEVEL_INFO
 
 
+def once(expr: Column) -> Column:
+    """Compute an expensive column once, as the only generator of a ``select``.
+
+    Filters on a parsed column are pushed below its projection, which makes
+    every one of them parse again; they are not pushed below a generator.
+    """
+    return F.explode(F.array(expr))
+
+
 def pretty_bytes(size: Column) -> Column:
     """1536 -> ``1.5 KiB``; TiB is the largest unit."""
     units = ["B", "KiB", "MiB", "GiB", "TiB"]

@@ -10,28 +10,29 @@ from arcloom.functions import headers as H
 from arcloom.functions import text as X
 from arcloom.functions.urls import is_web
 from arcloom.operators.skew import SEGMENT_SPAN, lookup_join, ordered_scan
-from arcloom.sources.events import params
+from arcloom.sources.events import keys_of, params
 
 EMITTED = ("finished", "redirect", "failed")
 AUDIT_ONLY = ("no_response", "superseded", "open")
 
 
 def network_events(raw: DataFrame) -> DataFrame:
-    """Typed network events that can matter: off-scheme requests and responses are gone.
+    """Network events that can matter: off-scheme requests and responses are gone.
 
     Dropping them before any shuffle is also what the rules ask for: such a
-    request opens nothing and leaves an open item open.
+    request opens nothing and leaves an open item open.  Parameters stay as
+    they came; only what decides is read here.
     """
-    p = F.col("p")
+    q = F.col("q")
     return (
         raw.filter(F.col("method").isin(EV_REQUEST, EV_RESPONSE, EV_FINISHED, EV_FAILED))
-        .select("page_id", "seq", "method", params().alias("p"))
+        .select("page_id", "seq", "method", "params", X.once(keys_of()).alias("q"))
         .filter(
-            F.when(F.col("method") == EV_REQUEST, is_web(p["request"]["url"]))
-            .when(F.col("method") == EV_RESPONSE, is_web(p["response"]["url"]))
+            F.when(F.col("method") == EV_REQUEST, is_web(q["request"]["url"]))
+            .when(F.col("method") == EV_RESPONSE, is_web(q["response"]["url"]))
             .otherwise(True)
         )
-        .select("page_id", p["requestId"].alias("request_id"), "seq", "method", "p")
+        .select("page_id", q["requestId"].alias("request_id"), "seq", "method", "params")
     )
 
 
@@ -47,10 +48,10 @@ def _roles(events: DataFrame, span: int) -> DataFrame:
     scanned = ordered_scan(
         events, ["page_id", "request_id"], "seq",
         sums={"episode": start.cast("bigint")},
-        previous={"boundary": F.when(start, "start").when(end, "end")},
+        previous={"opened": F.when(start, F.lit(True)).when(end, F.lit(False))},
         span=span,
     )
-    is_open = F.coalesce(F.col("boundary") == "start", F.lit(False))
+    is_open = F.coalesce("opened", F.lit(False))
     role = (
         F.when(start & is_open, F.array(F.lit("start"), F.lit("next")))
         .when(start, F.array(F.lit("start")))
@@ -59,7 +60,9 @@ def _roles(events: DataFrame, span: int) -> DataFrame:
     )
     return (
         scanned.filter(start | is_open)
-        .withColumn("role", F.explode(role))
+        .select("page_id", "request_id", "seq", "method", "episode", role.alias("roles"),
+                X.once(params()).alias("p"))
+        .select("page_id", "request_id", "seq", "method", "episode", "p", F.explode("roles").alias("role"))
         .withColumn("episode", F.col("episode") - (F.col("role") == "next").cast("bigint"))
     )
 

@@ -21,6 +21,7 @@ from arcloom.fixed_values import (
     MSG_STATS,
     URLS_PER_JOB,
 )
+from arcloom.functions.text import once
 from arcloom.operators.skew import SEGMENT_SPAN, ordered_scan
 
 # --- fixed values: context names of the two levels of stats messages ----------
@@ -38,7 +39,8 @@ def parse(lines: DataFrame, line: str = "line") -> DataFrame:
 
     An entry is a JSON object; anything else counts as broken.
     """
-    parsed = lines.withColumn("v", F.try_parse_json(F.when(F.ltrim(line).startswith("{"), F.col(line))))
+    variant = F.try_parse_json(F.when(F.ltrim(line).startswith("{"), F.col(line)))
+    parsed = lines.select("*", once(variant).alias("v"))
     return parsed.select(
         "*",
         field("date", "timestamp").alias("date"),

@@ -14,10 +14,10 @@ def _effective(frames: DataFrame, span: int) -> DataFrame:
     Frames are a set: starting twice counts once, and a stop of a frame that is
     not loading is ignored.
     """
-    known = ordered_scan(frames, ["page_id", "frame_id"], "seq", previous={"was": F.col("kind")}, span=span)
-    loading = F.coalesce(F.col("was") == "started", F.lit(False))
-    starts = F.col("kind") == "started"
-    delta = F.when(starts & ~loading, 1).when(~starts & loading, -1).otherwise(0)
+    started = F.col("kind") == "started"
+    known = ordered_scan(frames, ["page_id", "frame_id"], "seq", previous={"was_loading": started}, span=span)
+    loading = F.coalesce("was_loading", F.lit(False))
+    delta = F.when(started & ~loading, 1).when(~started & loading, -1).otherwise(0)
     return known.select("page_id", "seq", "ts", delta.cast("bigint").alias("delta"), "kind")
 
 

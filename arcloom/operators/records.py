@@ -78,47 +78,33 @@ def _capture_id(kind: str) -> Column:
                       F.col("episode").cast("string"))
 
 
-def request_records(captures: DataFrame, names: HeaderNames = NAMES) -> DataFrame:
-    """One ``request`` record per emitted capture."""
+def _request_columns() -> dict[str, Column]:
     rq = F.col("request")
     lost = rq["has_post_data"] & rq["body"].isNull()
-    return as_records(
-        emitted(captures), names,
-        file_path=F.col("page_id").cast("string"),
-        file_seq=F.col("page_id"),
+    return dict(
         record_seq=F.col("emit_seq") * 2,
         record_id=_capture_id("request"),
         rec_type=F.lit("request"),
-        target_uri=F.col("url"),
         warc_date=rq["ts"],
         content_type=F.lit("application/http; msgtype=request"),
-        payload_digest=X.base32_sha1(F.coalesce(rq["body"], F.lit(b""))),
         truncated=F.when(lost, F.lit("unspecified")),
-        request_id=F.col("request_id"),
         http_start_line=F.concat(rq["method"], F.lit(" "), request_target("url"), F.lit(" HTTP/1.1")),
         http_headers=rq["headers"],
         payload=F.coalesce(rq["body"], F.lit(b"")),
     )
 
 
-def response_records(captures: DataFrame, names: HeaderNames = NAMES) -> DataFrame:
-    """One ``response`` record per capture that has a response, tied to its request record."""
+def _response_columns() -> dict[str, Column]:
     rs = F.col("response")
-    return as_records(
-        emitted(captures).filter(rs.isNotNull()), names,
-        file_path=F.col("page_id").cast("string"),
-        file_seq=F.col("page_id"),
+    return dict(
         record_seq=F.col("emit_seq") * 2 + 1,
         record_id=_capture_id("response"),
         rec_type=F.lit("response"),
-        target_uri=F.col("url"),
         warc_date=rs["ts"],
         content_type=F.lit("application/http; msgtype=response"),
-        payload_digest=X.base32_sha1(F.coalesce(rs["body"], F.lit(b""))),
         concurrent_to=_capture_id("request"),
         ip=F.nullif("remote_ip", F.lit("")),
         truncated=F.when(rs["body"].isNull(), F.lit("unspecified")),
-        request_id=F.col("request_id"),
         http_start_line=F.concat_ws(" ", F.lit("HTTP/1.1"), rs["status"].cast("string"),
                                     H.status_text(rs["status"], rs["status_text"])),
         http_headers=H.response_headers(rs["headers"], rs["mime_type"], rs["body"], rs["body_is_text"]),
@@ -126,6 +112,36 @@ def response_records(captures: DataFrame, names: HeaderNames = NAMES) -> DataFra
     )
 
 
+def _of_capture(columns: dict[str, Column]) -> dict[str, Column]:
+    return dict(
+        columns, file_path=F.col("page_id").cast("string"), file_seq=F.col("page_id"), target_uri=F.col("url"),
+        request_id=F.col("request_id"), payload_digest=X.base32_sha1(columns["payload"]),
+    )
+
+
+def request_records(captures: DataFrame, names: HeaderNames = NAMES) -> DataFrame:
+    """One ``request`` record per emitted capture."""
+    return as_records(emitted(captures), names, **_of_capture(_request_columns()))
+
+
+def response_records(captures: DataFrame, names: HeaderNames = NAMES) -> DataFrame:
+    """One ``response`` record per capture that has a response, tied to its request record."""
+    answered = emitted(captures).filter(F.col("response").isNotNull())
+    return as_records(answered, names, **_of_capture(_response_columns()))
+
+
+def capture_records(captures: DataFrame, names: HeaderNames = NAMES) -> DataFrame:
+    """Both records of every emitted capture, from one pass over the captures."""
+    kinds = F.when(F.col("response").isNull(), F.array(F.lit("request"))).otherwise(
+        F.array(F.lit("request"), F.lit("response")))
+    rows = emitted(captures).withColumn("__kind", F.explode(kinds))
+    rq, rs = _request_columns(), _response_columns()
+    either = {
+        n: F.when(F.col("__kind") == "request", rq.get(n, F.lit(None))).otherwise(rs[n]) for n in rs
+    }
+    return as_records(rows, names, **_of_capture(either))
+
+
 def _item(**more: Column) -> dict[str, Column]:
     base = {c: F.col(c) for c in ("file_path", "file_seq", "record_seq", "warc_date")}
     return {**base, **more}
@@ -188,8 +204,7 @@ def log_records(batches: DataFrame, names: HeaderNames = NAMES) -> DataFrame:
 
 # item type -> builder; extend a copy to route your own items
 BUILDERS: Mapping[str, Callable[[DataFrame], DataFrame]] = {
-    "request": request_records,
-    "response": response_records,
+    "capture": capture_records,
     "script": script_records,
     "dom-snapshot": snapshot_records,
     "screenshot": screenshot_records,

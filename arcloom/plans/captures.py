@@ -228,8 +228,7 @@ SELECT page_id AS file_seq, emit_seq * 2 + 1 AS record_seq, remote_ip AS ip,
 FROM r""")
 def response_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Response records, each with the line of the request record it is tied to."""
-    items = archived(spark, sf_dir)
-    built = records.request_records(items).unionByName(records.response_records(items))
+    built = records.capture_records(archived(spark, sf_dir))
     return records.pair_responses(built).select(
         F.col("file_seq").cast("bigint").alias("file_seq"), "record_seq", F.coalesce("ip", F.lit("")).alias("ip"),
         F.col("http_start_line").alias("start_line"), joined_headers(F.col("http_headers")).alias("http_headers"),
@@ -245,8 +244,7 @@ SELECT e.seq, coalesce(n_requests, 0) AS n_requests, coalesce(n_responses, 0) AS
 FROM ev e LEFT JOIN per USING (page_id, request_id)""")
 def records_log_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event, taken as a log entry, with the records of its request."""
-    c = episodes(spark, sf_dir)
-    built = records.request_records(c).unionByName(records.response_records(c))
+    built = records.capture_records(episodes(spark, sf_dir))
     # the record's place stands for its id, which the oracle cannot know
     placed = built.withColumn("record_id", F.col("record_seq").cast("string"))
     log = table(spark, sf_dir, "events").select(

@@ -17,6 +17,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # call sites are looked up for every column otherwise, which doubles planning time
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -23,6 +23,9 @@ PARAMS_SCHEMA = (
     " frameId: STRING, frame: STRUCT<id: STRING, parentId: STRING, url: STRING, mimeType: STRING>>"
 )
 
+# what must be known of an event before it is known to matter
+KEY_SCHEMA = "STRUCT<requestId: STRING, request: STRUCT<url: STRING>, response: STRUCT<url: STRING>>"
+
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RAW_SCHEMA).json(path)
@@ -38,6 +41,10 @@ def params(raw: Column | str = "params") -> Column:
     return F.from_json(raw, PARAMS_SCHEMA)
 
 
+def keys_of(raw: Column | str = "params") -> Column:
+    return F.from_json(raw, KEY_SCHEMA)
+
+
 def frame_events(raw: DataFrame) -> DataFrame:
     """Loading starts and stops of frames: ``(page_id, seq, ts, frame_id, kind)``."""
     kind = F.when(F.col("method") == EV_FRAME_STARTED, "started").otherwise("stopped")
