@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from urllib.parse import quote, urljoin
+from urllib.parse import quote, urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcloom.fixed_values import LINKS_PER_MESSAGE, VOID_TAGS
+from arcloom.fixed_values import LINKS_PER_MESSAGE, VOID_TAGS, WEB_SCHEMES
 from arcloom.functions.urls import resolve
 
 
@@ -72,6 +73,16 @@ class _LinkCollector(HTMLParser):
             self.text_list.append(data)
 
 
+def _absolute(base: str, link: str) -> str:
+    """Absolute link as a browser shows it: escaped, escapes in upper case, never an empty path."""
+    url = quote(urljoin(base, link.strip()), safe="%/:?#[]@!$&'()*+,;=~-._")
+    url = re.sub(r"%[0-9a-fA-F]{2}", lambda m: m.group().upper(), url)
+    parts = urlsplit(url)
+    if parts.scheme in WEB_SCHEMES and not parts.path:
+        parts = parts._replace(path="/")
+    return parts.geturl()
+
+
 def _links_of(url: str, html: str) -> list[str]:
     collector = _LinkCollector()
     collector.feed(html or "")
@@ -80,7 +91,7 @@ def _links_of(url: str, html: str) -> list[str]:
     found: dict[str, None] = {}
     for link in collector.links:
         try:
-            found[quote(urljoin(base, link.strip()), safe="%/:?#[]@!$&'()*+,;=~-._")] = None
+            found[_absolute(base, link)] = None
         except ValueError:
             continue  # not a URL: dropped, as any row that fails to map
     for line in "".join(collector.text_list).split("\n"):

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from arcloom.fixed_values import PNG_MIME
 from arcloom.functions.headers import value_of
+from arcloom.operators.skew import SEGMENT_SPAN, numbered
 from arcloom.schema import NAMES, HeaderNames
+from arcloom.session import cut_lineage
 from arcloom.sources.files import exists, open_output
-from arcloom.operators.skew import SEGMENT_SPAN, numbered
 
 
 def screenshots(records: DataFrame, names: HeaderNames = NAMES) -> DataFrame:
@@ -39,29 +40,35 @@ def manifest(records: DataFrame, prefix: str, one: bool = False, names: HeaderNa
     return nth.select("file_seq", "record_seq", name.alias("file"), "url", "yoff")
 
 
+MANIFEST_DDL = "file_seq INT, record_seq BIGINT, file STRING, url STRING, yoff INT, written BOOLEAN"
+
+
 def export(records: DataFrame, prefix: str, one: bool = False, force: bool = False,
            names: HeaderNames = NAMES) -> DataFrame:
-    """Write the images task-side to a shared folder; returns the manifest with ``written``.
+    """Write the images to a shared folder, each by the task that holds it; returns the manifest.
 
     With several archives the archive's number goes into the name.  Existing
-    files are kept unless ``force``.  An action on the result does the writing.
+    files are kept unless ``force``; ``written`` tells which were not there.
+    That is settled and stored before anything is written, so a task that runs
+    again writes the same files again.
     """
-    rows = manifest(records, prefix, one, names).withColumn(
-        "file", F.concat(F.lit(prefix), F.lit("-"), F.col("file_seq"), F.expr(f"substring(file, {len(prefix) + 1})"))
-    )
-    images = screenshots(records, names).select("file_seq", "record_seq", "payload")
+    numbered_name = F.concat(F.lit(f"{prefix}-"), F.col("file_seq"), F.expr(f"substring(file, {len(prefix) + 1})"))
+    rows = manifest(records, prefix, one, names).withColumn("file", numbered_name)
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(written=[force or not exists(path) for path in pdf["file"]])
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            written = []
             for path, data in zip(pdf["file"], pdf["payload"]):
-                fresh = force or not exists(path)
-                if fresh:
-                    with open_output(path) as out:
-                        out.write(data)
-                written.append(fresh)
-            yield pdf.drop(columns="payload").assign(written=written)
-
-    return rows.join(images, ["file_seq", "record_seq"]).mapInPandas(
-        write, "file_seq INT, record_seq BIGINT, file STRING, url STRING, yoff INT, written BOOLEAN"
-    )
+                with open_output(path) as out:
+                    out.write(data)
+            yield pdf[["file"]]
+
+    planned = cut_lineage(rows.mapInPandas(look, MANIFEST_DDL), "manifest")
+    images = screenshots(records, names).select("file_seq", "record_seq", "payload")
+    wanted = planned.filter("written").select("file_seq", "record_seq", "file")
+    wanted.join(images, ["file_seq", "record_seq"]).select("file", "payload").mapInPandas(
+        write, "file STRING").write.format("noop").mode("overwrite").save()
+    return planned
