@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from arcloom.fixed_values import ERRATA_CONTENT_TYPE, ERRATA_PRE_RELEASE
 from arcloom.functions.text import parse_requirement, requirement_holds
 from arcloom.operators.records import render_headers
+from arcloom.operators.skew import lookup_join
 from arcloom.schema import NAMES, HeaderNames
 
 PAYLOAD_SCHEMA = (
@@ -112,7 +113,7 @@ def check(records: DataFrame, errata: Sequence[Erratum], fix_tool: str) -> DataF
     )
     earlier = fixed_before(payloads, fix_tool)
     return (
-        hits.join(earlier, ["file_seq", "uuid"], "left")
+        lookup_join(hits, earlier, ["file_seq", "uuid"], ["record_seq"])
         .filter(F.col("fixed_at").isNull() | (F.col("fixed_at") > F.col("record_seq")))
         .drop("fixed_at")
     )

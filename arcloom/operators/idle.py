@@ -91,27 +91,34 @@ def stop_times(frames: DataFrame, idle_timeout: float, timeout: float,
     )
 
 
-def activity_sessions(events: DataFrame, key: str, ts: str, gap: str,
-                      bucket_seconds: int = 86_400) -> DataFrame:
-    """Request-gap view of idleness: bursts of events at most ``gap`` apart.
-
-    Sessions are merged inside time buckets first, so a hot key spreads over
-    its buckets.  What is left per key is at most one row per gap of elapsed
-    time plus one per bucket, whatever the number of events; those rows are
-    chained across bucket borders.
+def activity_sessions(events: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
+    """Request-gap view of idleness: bursts of events at most a gap apart.
+
+    Events in one time slot as wide as the gap belong together, so slots are
+    folded first, map-side.  What is left per key is one row per slot, however
+    many events there were; those are chained across slot borders.
     """
-    pieces = (
-        events.groupBy(key, F.floor(F.unix_seconds(ts) / bucket_seconds).alias("bucket"), F.session_window(ts, gap).alias("w"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
-    )
-    by_key = Window.partitionBy(key).orderBy("start")
-    starts_new = F.coalesce(F.col("start") > F.lag("end").over(by_key), F.lit(True))
+    us, width = F.unix_micros(ts), F.lit(gap_seconds * 1_000_000)
+    slots = events.groupBy(key, (us - F.pmod(us, width)).alias("slot")).agg(
+        F.min(us).alias("first"), F.max(us).alias("last"), F.count(F.lit(1)).alias("n"))
+    by_key = Window.partitionBy(key).orderBy("slot")
+    starts_new = F.coalesce(F.col("first") - F.lag("last").over(by_key) > gap_seconds * 1_000_000, F.lit(True))
     return (
-        pieces.withColumn("new", starts_new.cast("int"))
+        slots.withColumn("new", starts_new.cast("int"))
         .withColumn("session", F.sum("new").over(by_key))
         .groupBy(key, "session")
-        .agg(F.min("start").alias("session_start"), F.max("end").alias("session_end"),
+        .agg(F.timestamp_micros(F.min("first")).alias("session_start"),
+             F.timestamp_micros(F.max("last") + gap_seconds * 1_000_000).alias("session_end"),
              F.sum("n").alias("n_events"))
         .drop("session")
     )
+
+
+def activity_session_stream(events: DataFrame, key: str, ts: str, gap: str, delay: str) -> DataFrame:
+    """The same on a stream: a session is given out once the watermark has passed its end."""
+    return (
+        events.withWatermark(ts, delay)
+        .groupBy(key, F.session_window(ts, gap).alias("w"))
+        .agg(F.count(F.lit(1)).alias("n_events"))
+        .select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n_events")
+    )

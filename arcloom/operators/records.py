@@ -12,7 +12,7 @@ from arcloom.functions import headers as H
 from arcloom.functions import text as X
 from arcloom.functions.urls import request_target
 from arcloom.operators.capture import emitted
-from arcloom.operators.skew import SEGMENT_SPAN, ordered_scan
+from arcloom.operators.skew import SEGMENT_SPAN, lookup_join, ordered_scan
 from arcloom.schema import NAMES, ORDER, RECORD_COLUMNS, HeaderNames
 
 
@@ -270,14 +270,14 @@ def with_links(records: DataFrame, links: DataFrame, column: str, names: HeaderN
 
 
 def pair_responses(records: DataFrame) -> DataFrame:
-    """Each response with the request it was concurrent to; both sides are unique by id."""
+    """Each response with the request it was concurrent to; request ids are unique."""
     requests = records.filter("rec_type = 'request'").select(
         F.col("record_id").alias("concurrent_to"),
         F.col("http_start_line").alias("request_line"),
         F.col("warc_date").alias("request_date"),
     )
     responses = records.filter("rec_type = 'response'")
-    return responses.join(requests, "concurrent_to", "left")
+    return lookup_join(responses, requests, ["concurrent_to"], ["record_id"])
 
 
 LINK_COLUMNS = ("warcinfo_id", "concurrent_to", "refers_to")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from arcloom import fixed_values as V
 from arcloom.functions import headers as H
 from arcloom.functions import text as X
-from arcloom.operators import crawl_log, dedup, errata, records, screenshots, snapshot
+from arcloom.operators import crawl_log, dedup, errata, log_batches, records, screenshots, snapshot
 from arcloom.plans.base import fill_records, query, table
 from arcloom.session import scratch_path
 from arcloom.sources.warc import read_warc, write_warc
@@ -199,8 +199,8 @@ cut(file_seq, n, seq, batch, held) AS (
   SELECT l.file_seq, l.n, l.seq, CASE WHEN held > 3000 THEN batch + 1 ELSE batch END, CASE WHEN held > 3000 THEN 0 ELSE held END + l.size
   FROM cut JOIN l ON l.file_seq = cut.file_seq AND l.n = cut.n + 1)
 SELECT file_seq, batch, max(seq) AS last_seq, count(*) AS n_lines, CAST(max(held) AS BIGINT) AS n_bytes FROM cut GROUP BY file_seq, batch""")
-def log_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = crawl_log.log_batches(page_log(spark, sf_dir), limit=3000)
+def log_batches_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = log_batches.log_batches(page_log(spark, sf_dir), limit=3000)
     return b.select("file_seq", "batch", F.col("record_seq").alias("last_seq"),
                     (F.size(F.split("body", "\n")) - 1).alias("n_lines"), F.octet_length("body").alias("n_bytes"))
 
@@ -209,7 +209,7 @@ def log_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {SQL_LINES}, r AS (SELECT *, sum(size) OVER (PARTITION BY file_seq ORDER BY seq) - size AS before FROM l)
 SELECT file_seq, CAST(before // 3000 AS BIGINT) AS batch, count(*) AS n_lines FROM r GROUP BY ALL""")
 def log_batches_native(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = crawl_log.log_batches(page_log(spark, sf_dir), limit=3000, exact=False)
+    b = log_batches.log_batches(page_log(spark, sf_dir), limit=3000, exact=False)
     return b.select("file_seq", "batch", (F.size(F.split("body", "\n")) - 1).alias("n_lines"))
 
 
@@ -217,7 +217,7 @@ def log_batches_native(spark: SparkSession, sf_dir: str) -> DataFrame:
 def archived_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log lines batched into records, archived, and read out of the archives again."""
     path = scratch_path(spark, "log-archives")
-    batches = crawl_log.log_batches(page_log(spark, sf_dir), limit=20_000)
+    batches = log_batches.log_batches(page_log(spark, sf_dir), limit=20_000)
     write_warc(records.log_records(batches.withColumn("warc_date", F.timestamp_seconds(F.lit(1704067200)))), path)
     lines = crawl_log.log_lines_of_records(read_warc(spark, path, rec_types=["metadata"]))
     return crawl_log.parse(lines).select(crawl_log.field("seq", "bigint").alias("seq"), "msg")

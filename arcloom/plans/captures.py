@@ -393,5 +393,5 @@ s AS (SELECT *, sum(CASE WHEN prev IS NULL OR us - prev > 21600000000 THEN 1 ELS
 SELECT user_id, min(us) AS start_us, max(us) + 21600000000 AS end_us, count(*) AS n_events FROM s GROUP BY user_id, n""")
 def activity_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    return idle.activity_sessions(e, "user_id", "ts", "6 hours").select(
+    return idle.activity_sessions(e, "user_id", "ts", 6 * 3600).select(
         "user_id", F.unix_micros("session_start").alias("start_us"), F.unix_micros("session_end").alias("end_us"), "n_events")

@@ -50,3 +50,22 @@ def test_frame_events_from_raw(spark):
             (1, 2, "Network.loadingFailed", None, "{}")]
     out = frame_events(spark.createDataFrame(rows, RAW_SCHEMA)).orderBy("seq").collect()
     assert [(r.frame_id, r.kind) for r in out] == [("F", "started"), ("F", "stopped")]
+
+
+def test_session_stream_equals_batch(spark):
+    from arcloom.session import scratch_path
+    from arcloom.streaming import sinks
+
+    path = scratch_path(spark, "t-sessions")
+    times = [0, 5, 14, 30, 31, 60, 1000]
+    df = spark.createDataFrame([(k, t) for k in (1, 2) for t in times], "k INT, t INT").select("k", F.timestamp_seconds("t").alias("ts"))
+    df.write.parquet(path)
+    batch = idle.activity_sessions(df, "k", "ts", 10)
+    assert sorted((r.session_start.timestamp(), r.n_events) for r in batch.filter("k = 1").collect()) == [
+        (0, 3), (30, 2), (60, 1), (1000, 1)]
+    s = idle.activity_session_stream(spark.readStream.schema("k INT, ts TIMESTAMP").parquet(path), "k", "ts", "10 seconds", "1 second")
+    sinks.run_available(s, lambda d, i: sinks.write_batch(d, path + "-out", i), path + "-cp")
+    got = sinks.read_batches(
+        spark, path + "-out", "k INT, session_start TIMESTAMP, session_end TIMESTAMP, n_events BIGINT").drop("batch_id")
+    closed = batch.filter(F.unix_seconds("session_end") < 999)  # the watermark has not passed the last one
+    assert got.exceptAll(closed).count() == 0 and got.count() == closed.count() == 6

@@ -1,10 +1,13 @@
 import json
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from arcloom import fixed_values as V
 from arcloom.operators import crawl_log as L
 from arcloom.operators import jobs as J
+from arcloom.operators.log_batches import log_batches
 
 
 def parsed(spark, *entries):
@@ -75,17 +78,32 @@ def lines(spark, sizes, file_seq=0):
 
 
 def cuts(df, **kw):
-    return [len(r.body) for r in L.log_batches(df, **kw).orderBy("file_seq", "batch").collect()]
+    return [len(r.body) for r in log_batches(df, **kw).orderBy("file_seq", "batch").collect()]
+
+
+def sequential_cuts(sizes, limit):
+    out, held = [], 0
+    for n in sizes:
+        held += n
+        if held > limit:
+            out, held = out + [held], 0
+    return out + [held] if held else out
 
 
 def test_a_batch_ends_with_the_line_that_exceeds_the_limit(spark):
     df = lines(spark, [4, 4, 3, 9, 10, 1, 1])
-    assert cuts(df, limit=10) == [11, 19, 2]
+    assert cuts(df, limit=10) == [11, 19, 2] == sequential_cuts([4, 4, 3, 9, 10, 1, 1], 10)
     assert cuts(df, limit=0) == [4, 4, 3, 9, 10, 1, 1]
     assert cuts(df.unionByName(lines(spark, [5, 6], 1)), limit=10) == [11, 19, 2, 11]
     assert sum(cuts(df, limit=10, exact=False)) == 32
 
 
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=40), st.integers(0, 30), st.sampled_from([1, 2, 3, 7, 100]))
+def test_cuts_do_not_depend_on_segments(spark, sizes, limit, span):
+    assert cuts(lines(spark, sizes), limit=limit, span=span) == sequential_cuts(sizes, limit)
+
+
 def forwarded(job, message, **data):
     return {"uuid": V.MSG_FORWARDED, "job": job, "data": {"uuid": message, **data}}
 
