@@ -12,7 +12,7 @@ from arcloom.functions import headers as H
 from arcloom.functions import text as X
 from arcloom.operators.records import as_records
 from arcloom.schema import NAMES, PAYLOAD_TYPES, HeaderNames
-from arcloom.operators.skew import HOT_LIMIT, HOT_MIN_ROWS, lookup_join
+from arcloom.operators.skew import lookup_join
 
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
@@ -47,9 +47,8 @@ def mark_duplicates(records: DataFrame, on_missing_digest: str = "unique") -> Da
     """Add ``is_revisit`` and ``first`` (struct of the canonical record)."""
     # a digest seen once has no duplicate: only shared ones are looked up
     shared = first_by_digest(records, on_missing_digest).filter("copies > 1")
-    hot = shared.filter(F.col("copies") > HOT_MIN_ROWS).orderBy(F.desc("copies")).limit(HOT_LIMIT)
     keyed = records.withColumn("digest_key", _digest_key(on_missing_digest))
-    found = lookup_join(keyed, shared.drop("copies"), ["digest_key"], ["file_seq", "record_seq"], hot=hot)
+    found = lookup_join(keyed, shared.drop("copies"), ["digest_key"], ["file_seq", "record_seq"])
     itself = (F.col("first.file_seq") == F.col("file_seq")) & (F.col("first.record_seq") == F.col("record_seq"))
     return found.withColumn("is_revisit", F.coalesce(~itself, F.lit(False)))
 
@@ -59,31 +58,24 @@ def dedup_report(records: DataFrame, on_missing_digest: str = "unique") -> DataF
 
     Records count whatever their type, bytes only for payload records.  No join
     is needed for totals: of ``n`` copies, ``n - 1`` are revisits and the bytes
-    of the first are the unique ones.
+    of the first are the unique ones.  All buffers have fixed width, so both
+    sides of the one shuffle aggregate by hash; records that are not compared
+    share the NULL group, which is one row per task.
     """
-    digest = _digest_key(on_missing_digest)
-    comparable = F.col("rec_type").isin(*PAYLOAD_TYPES)
-    rows = records.select(digest.alias("digest_key"), comparable.alias("comparable"),
-                          "file_seq", "record_seq", "content_length")
-    per_payload = (
-        rows.filter("digest_key is not null")
-        .groupBy("digest_key")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("content_length").alias("bytes"),
-             F.min(F.struct("file_seq", "record_seq", "content_length"))["content_length"].alias("first_bytes"))
-        .agg(F.count(F.lit(1)).alias("unique_records"), F.sum("first_bytes").alias("unique_bytes"),
-             F.sum(F.col("n") - 1).alias("revisit_records"),
-             F.sum(F.col("bytes") - F.col("first_bytes")).alias("revisit_bytes"))
-    )
-    rest = rows.filter("digest_key is null").agg(
-        F.count(F.lit(1)).alias("unique_records"),
-        F.sum(F.when(F.col("comparable"), F.col("content_length"))).alias("unique_bytes"),
-        F.lit(0).cast("bigint").alias("revisit_records"),
-        F.lit(0).cast("bigint").alias("revisit_bytes"),
-    )
-    total = per_payload.unionByName(rest).agg(
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(c)
-          for c in ("unique_records", "unique_bytes", "revisit_records", "revisit_bytes")]
+    place = F.expr("CAST(file_seq AS DECIMAL(12, 0)) * 10000000000000000000BD + record_seq")
+    per_payload = records.groupBy(_digest_key(on_missing_digest).alias("digest_key")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum(F.when(F.col("rec_type").isin(*PAYLOAD_TYPES), F.col("content_length"))), F.lit(0)).alias("bytes"),
+        F.min_by("content_length", place).alias("first_bytes"),
     )
+    compared = F.col("digest_key").isNotNull()
+    sums = {
+        "unique_records": F.when(compared, F.lit(1)).otherwise(F.col("n")),
+        "unique_bytes": F.when(compared, F.col("first_bytes")).otherwise(F.col("bytes")),
+        "revisit_records": F.when(compared, F.col("n") - 1),
+        "revisit_bytes": F.when(compared, F.col("bytes") - F.col("first_bytes")),
+    }
+    total = per_payload.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in sums.items()])
     ratio = lambda part: F.expr(f"try_divide(unique_{part}, unique_{part} + revisit_{part})")
     return total.select(
         "*", ratio("records").alias("ratio_records"), ratio("bytes").alias("ratio_bytes"),

@@ -21,10 +21,6 @@ FANOUT = 64  # tasks a hot key is spread over
 NULL_FANOUT = 1 << 16  # rows without a key match nothing, so they spread freely
 
 
-def _all(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
-
-
 def ordered_scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -46,21 +42,24 @@ def ordered_scan(
     sums, previous = dict(sums or {}), dict(previous or {})
     inputs = [c.alias(f"__s_{n}") for n, c in sums.items()]
     inputs += [c.alias(f"__p_{n}") for n, c in previous.items()]
-    rows = df.select("*", F.expr(f"`{order}` div {span}").alias("__seg"), *inputs)
+    # a struct of the keys is never NULL itself and its NULL fields compare equal,
+    # so windows and the join share one partitioning, NULL keys included
+    key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    rows = df.select("*", key.alias("__key"), F.expr(f"`{order}` div {span}").alias("__seg"), *inputs)
 
-    totals = rows.groupBy(*keys, "__seg").agg(
+    totals = rows.groupBy("__key", "__seg").agg(
         *[F.sum(f"__s_{n}").alias(f"__s_{n}") for n in sums],
         *[
             F.max_by(f"__p_{n}", F.when(F.col(f"__p_{n}").isNotNull(), F.col(order))).alias(f"__p_{n}")
             for n in previous
         ],
     )
-    across = Window.partitionBy(*keys).orderBy("__seg")
+    across = Window.partitionBy("__key").orderBy("__seg")
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     carry = (
         totals.select(
-            *[F.col(k).alias(f"__k_{k}") for k in keys],
-            F.col("__seg").alias("__cseg"),
+            "__key",
+            "__seg",
             F.row_number().over(across).alias("__nth"),
             *[F.sum(f"__s_{n}").over(before).alias(f"__cs_{n}") for n in sums],
             *[F.last(f"__p_{n}", ignorenulls=True).over(before).alias(f"__cp_{n}") for n in previous],
@@ -71,7 +70,7 @@ def ordered_scan(
         .drop("__nth")
     )
 
-    inside = Window.partitionBy(*keys, "__seg").orderBy(order)
+    inside = Window.partitionBy("__key", "__seg").orderBy(order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
     local = rows.select(
@@ -79,8 +78,7 @@ def ordered_scan(
         *[F.sum(f"__s_{n}").over(upto).alias(f"__ls_{n}") for n in sums],
         *[F.last(f"__p_{n}", ignorenulls=True).over(earlier).alias(f"__lp_{n}") for n in previous],
     )
-    on = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys] + [F.col("__seg") == F.col("__cseg")]
-    return local.join(carry, _all(on), "left").select(
+    return local.join(carry, ["__key", "__seg"], "left").select(
         *[F.col(f"`{c}`") for c in df.columns],
         *[
             (F.coalesce(f"__ls_{n}", F.lit(0)) + F.coalesce(f"__cs_{n}", F.lit(0))).alias(n)
@@ -104,7 +102,7 @@ def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_MIN_ROWS,
     Only steers salting, never results: a key that is missed here takes the
     ordinary way, so a sample is enough.
     """
-    seen = df.select(*keys)
+    seen = df.select(*keys).dropna()
     if sample < 1.0:
         seen = seen.sample(fraction=sample, seed=7)
     return (

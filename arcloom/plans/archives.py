@@ -156,7 +156,7 @@ def warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All records written as archives and read back in slices; the documents among them."""
     path = scratch_path(spark, "archives")
     write_warc(full_records(spark, sf_dir), path)
-    back = read_warc(spark, path, rec_types=["response"], slice_bytes=1 << 18)
+    back = read_warc(spark, path, rec_types=["response"], slice_bytes=1 << 22)
     return back.select(
         H.value_of(F.col("http_headers"), "x-doc").cast("bigint").alias("doc_id"), F.md5("payload").alias("text_md5"),
         F.octet_length("payload").cast("bigint").alias("n_bytes"),

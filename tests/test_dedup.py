@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from arcloom.functions import text as X
-from arcloom.operators import dedup, records
+from arcloom.operators import dedup, records, skew
+from arcloom.operators.skew import hot_keys
 from arcloom.plans.base import fill_records
 
 SCHEMA = "file_seq INT, record_seq BIGINT, rec_type STRING, target_uri STRING, body STRING, no_digest BOOLEAN"
@@ -95,7 +96,7 @@ def test_report_of_nothing_has_no_ratio(spark):
 
 
 def test_hot_payload(spark, monkeypatch):
-    monkeypatch.setattr(dedup, "HOT_MIN_ROWS", 10)
+    monkeypatch.setattr(skew, "hot_keys", lambda df, keys: hot_keys(df, keys, min_rows=10, sample=1.0))
     rows = [(i % 3, i, "response", f"/{i}", "" if i % 2 else f"b{i}") for i in range(200)]
     out = dedup.merge_archives(archive(spark, rows))
     assert out.count() == 200
