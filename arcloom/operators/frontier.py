@@ -42,6 +42,7 @@ def crawl(edges: DataFrame, seeds: DataFrame, policy: Column | None = None,
         "edges",
     )
     hot = cut_lineage(hot_keys(links, ["src_url"]), "hot-sources")
+    any_hot = not hot.isEmpty()
     base = scratch_path(spark, "frontier")
     status = F.when(is_web("url"), "visited").otherwise("ignored")
 
@@ -56,7 +57,11 @@ def crawl(edges: DataFrame, seeds: DataFrame, policy: Column | None = None,
     while (max_levels is None or depth < max_levels) and not frontier.isEmpty():
         depth += 1
         sources = frontier.filter("status = 'visited'").select(F.col("url").alias("src_url"))
-        found = lookup_join(links, sources, ["src_url"], ["dst_url"], how="inner", hot=hot).select(
+        if any_hot:
+            found = lookup_join(links, sources, ["src_url"], ["dst_url"], how="inner", hot=hot)
+        else:
+            found = links.join(sources, "src_url")
+        found = found.select(
             F.col("dst_url").alias("url"), F.col("src_url").alias("parent_url"),
             F.lit(depth).alias("depth"),
         )
