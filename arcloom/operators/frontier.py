@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,12 +24,13 @@ def new_links(candidates: DataFrame, visited: DataFrame) -> DataFrame:
     return once.join(visited.select("url"), "url", "left_anti")
 
 
-def crawl(edges: DataFrame, seeds: DataFrame, policy: Column | None = None,
+def crawl(edges: DataFrame, seeds: DataFrame, policy: Column | Callable[[DataFrame], DataFrame] | None = None,
           max_levels: int | None = None) -> DataFrame:
     """Breadth-first reach: ``(url, depth, parent_url, status)`` with least depths.
 
     ``edges``: ``(src_url, dst_url)``; ``seeds``: ``(url)``.  The policy, a
-    predicate over ``url`` and ``depth``, is not applied to seeds.  URLs of
+    predicate over ``url`` and ``depth`` or a function of the candidate rows,
+    is not applied to seeds.  URLs of
     other schemes are listed as ``ignored`` and not followed.
 
     One job per level.  Each level is a written table: it bounds the plan,
@@ -66,7 +69,7 @@ def crawl(edges: DataFrame, seeds: DataFrame, policy: Column | None = None,
             F.lit(depth).alias("depth"),
         )
         if policy is not None:
-            found = found.filter(policy)
+            found = policy(found) if callable(policy) else found.filter(policy)
         visited = spark.read.schema(LEVEL_DDL).parquet(*[f"{base}/depth={d}" for d in range(depth)])
         frontier = write(new_links(found, visited), depth)
     return spark.read.schema(LEVEL_DDL + ", depth INT").parquet(base).select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Mapping, Sequence
 
@@ -29,6 +30,12 @@ def parse_policy(text: str | None, seed: str) -> Column:
     raise ValueError(f"unsupported recursion mode: {text!r}")
 
 
+def load_blocklist(path: str) -> list[tuple[str, str]]:
+    """Rules of a JSON object pattern -> message, in the order of the file."""
+    with open(path, encoding="utf-8") as fd:
+        return list(json.load(fd).items())
+
+
 def _anchored(pattern: str) -> str:
     re.compile(pattern)  # fail on the driver, not in a task
     return f"(?i)^(?:{pattern})"

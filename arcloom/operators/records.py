@@ -14,6 +14,7 @@ from arcloom.functions.urls import request_target
 from arcloom.operators.capture import emitted
 from arcloom.operators.skew import SEGMENT_SPAN, lookup_join, ordered_scan
 from arcloom.schema import NAMES, ORDER, RECORD_COLUMNS, HeaderNames
+from arcloom.session import cut_lineage
 
 
 def as_records(df: DataFrame, names: HeaderNames = NAMES, extra: Column | None = None,
@@ -298,3 +299,25 @@ def dangling_links(records: DataFrame, columns: tuple[str, ...] = LINK_COLUMNS)
         .agg(F.count(F.lit(1)).alias("n_records"))
     )
     return wanted.join(records.select(F.col("record_id").alias("target")), "target", "left_anti")
+
+
+def resolve_revisits(records: DataFrame) -> DataFrame:
+    """The record each revisit finally stands for: ``(record_id, resolved_id)``.
+
+    Merging merged archives makes revisits of revisits.  Every round replaces
+    a target that is itself a revisit by that one's target, so chains halve
+    and ever fewer rows move; when their number stays, only circles are left,
+    which come out with a NULL ``resolved_id``.
+    """
+    moving = None
+    links = cut_lineage(
+        records.filter("rec_type = 'revisit'").select("record_id", F.col("refers_to").alias("resolved_id")), "revisits")
+    while True:
+        step = links.select(F.col("record_id").alias("resolved_id"), F.col("resolved_id").alias("__next"))
+        jumped = lookup_join(links, step, ["resolved_id"], ["record_id"]).select(
+            "record_id", F.coalesce("__next", "resolved_id").alias("resolved_id"), F.col("__next").isNotNull().alias("moved"))
+        links = cut_lineage(jumped, "revisits")
+        before, moving = moving, links.filter("moved").count()
+        if moving in (0, before):
+            break
+    return links.select("record_id", F.when(~F.col("moved"), F.col("resolved_id")).alias("resolved_id"))

@@ -24,6 +24,22 @@ def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> N
     df.select(json_line(df).alias("value")).write.mode(mode).text(path)
 
 
+def stream_json_lines(df: DataFrame, path: str, checkpoint: str):
+    """Writer of a stream as JSON lines; the file sink's log makes each batch appear once."""
+    return (
+        df.select(json_line(df).alias("value")).writeStream.format("text").outputMode("append")
+        .option("path", path).option("checkpointLocation", checkpoint)
+    )
+
+
+def output_name(template: str, host_: Column, date: Column, seqnum: Column) -> Column:
+    """``{host}-{date}-{seqnum}.warc.gz`` filled per row."""
+    name = F.lit(template)
+    for part, value in (("{host}", host_), ("{date}", date), ("{seqnum}", seqnum.cast("string"))):
+        name = F.replace(name, F.lit(part), value)
+    return name
+
+
 def with_output_parts(df: DataFrame, url: str, date: Column, order: str, start: int = 1,
                       span: int = SEGMENT_SPAN) -> DataFrame:
     """Add ``host``, ``date`` and ``seqnum`` (1, 2, … per host in order), the parts of an output name."""

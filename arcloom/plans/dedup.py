@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from arcloom.functions.text import iso_date
 from arcloom.operators import dedup, records
+from arcloom.operators.skew import ordered_scan
 from arcloom.plans.base import SQL_DOCS, document_records, query
 
 
@@ -52,3 +53,18 @@ WHERE target NOT IN (SELECT record_id FROM firsts WHERE nth = 1) GROUP BY target
 def dangling_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = dedup.merge_archives(document_records(spark, sf_dir))
     return records.dangling_links(merged).select("link", "target", "n_records")
+
+
+@query("revisit_chains", f"""
+WITH {SQL_DOCS}
+SELECT doc_id, first_doc FROM firsts WHERE nth > 1""")
+def revisit_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each copy refers to the copy before it, as after merging one archive at a time; resolved to the first."""
+    docs = document_records(spark, sf_dir)
+    place = F.col("file_seq") * F.lit(1_000_000_000_000) + F.col("record_seq")
+    chained = ordered_scan(docs.withColumn("place", place), ["payload_digest"], "place",
+                           previous={"before": F.col("record_id")}, span=1 << 50)
+    revisits = chained.withColumn("rec_type", F.when(F.col("before").isNull(), "response").otherwise("revisit"))
+    number = lambda c: F.expr(f"cast(substring({c}, 9) as bigint)")
+    return records.resolve_revisits(revisits.withColumn("refers_to", F.col("before"))).select(
+        number("record_id").alias("doc_id"), number("resolved_id").alias("first_doc"))

@@ -288,13 +288,15 @@ def json_lines_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("partitioned_output", r"""
-WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages)
-SELECT page_id, host, '2024-01-0' || (page_id % 3 + 1) AS date,
-       row_number() OVER (PARTITION BY host ORDER BY page_id) AS seqnum FROM p""")
+WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages),
+n AS (SELECT page_id, host, '2024-01-0' || (page_id % 3 + 1) AS date,
+             row_number() OVER (PARTITION BY host ORDER BY page_id) AS seqnum FROM p)
+SELECT *, host || '-' || date || '-' || seqnum || '.warc.gz' AS name FROM n""")
 def partitioned_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     date = F.concat(F.lit("2024-01-0"), F.col("page_id") % 3 + 1)
     path = scratch_path(spark, "by-host")
     sinks.write_by_host(sinks.with_output_parts(pages, "url", date, "page_id"), path)
     return spark.read.schema("page_id BIGINT, seqnum BIGINT, host STRING, date STRING").parquet(path).select(
-        "page_id", "host", "date", "seqnum")
+        "page_id", "host", "date", "seqnum",
+        sinks.output_name("{host}-{date}-{seqnum}.warc.gz", F.col("host"), F.col("date"), F.col("seqnum")).alias("name"))

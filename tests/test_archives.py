@@ -169,3 +169,29 @@ def test_dispatch_pushes_to_every_handler_in_turn(spark):
                 Handler(lambda df, i: seen.append(("odd", i, df.count())), lambda: F.col("id") % 2 == 1)]
     dispatcher(handlers)(spark.range(5), 7)
     assert seen == [("all", 7, 5), ("odd", 7, 2)]
+
+
+def test_revisits_of_revisits_are_resolved(spark):
+    rows = [("a", "response", None), ("b", "revisit", "a"), ("c", "revisit", "b"), ("d", "revisit", "c"), ("e", "revisit", "d"),
+            ("f", "revisit", "gone"), ("x", "revisit", "y"), ("y", "revisit", "x")]
+    df = spark.createDataFrame(rows, "record_id STRING, rec_type STRING, refers_to STRING")
+    got = {r.record_id: r.resolved_id for r in records.resolve_revisits(df).collect()}
+    assert got == {"b": "a", "c": "a", "d": "a", "e": "a", "f": "gone", "x": None, "y": None}
+
+
+def test_json_lines_stream_and_output_name(spark):
+    import json
+
+    from arcloom.operators import sinks
+
+    path = scratch_path(spark, "t-jsonl")
+    df = spark.createDataFrame([(1, b"\xc3\xa4", None), (2, None, "x")], "id INT, data BINARY, s STRING").withColumn(
+        "at", F.timestamp_seconds(F.lit(1600000000)))
+    df.write.parquet(path)
+    s = spark.readStream.schema(df.schema).parquet(path)
+    sinks.stream_json_lines(s, path + "-out", path + "-cp").trigger(availableNow=True).start().awaitTermination()
+    rows = sorted((json.loads(r.value) for r in spark.read.text(path + "-out").collect()), key=lambda r: r["id"])
+    assert rows == [{"id": 1, "data": "ä", "s": None, "at": "2020-09-13T12:26:40.000000Z"},
+                    {"id": 2, "data": None, "s": "x", "at": "2020-09-13T12:26:40.000000Z"}]
+    name = sinks.output_name("/{host}/{date}/{seqnum}.gz", F.lit("h"), F.lit("d"), F.lit(7))
+    assert spark.range(1).select(name.alias("n")).first().n == "/h/d/7.gz"

@@ -92,3 +92,10 @@ def test_rules_from_files(tmp_path):
     pytest.importorskip("yaml")
     assert [r["match"] for r in site_rules.load_rules(str(yaml_file))] == ["^a$", "^b$"]
     assert site_rules.load_rules(str(json_file)) == RULES
+
+
+def test_policy_may_be_a_function_and_rules_a_file(spark, tmp_path):
+    edges = [(H + "a", H + "b"), (H + "a", H + "c")]
+    assert {u for u, _, _ in reach(spark, edges, [H + "a"], lambda rows: rows.filter(~F.endswith(F.col("url"), F.lit("c"))))} == {H + "a", H + "b"}
+    (tmp_path / "b.json").write_text('{"^x": "one", "^a": "two"}')
+    assert policies.load_blocklist(str(tmp_path / "b.json")) == [("^x", "one"), ("^a", "two")]
