@@ -278,7 +278,7 @@ def pair_responses(records: DataFrame) -> DataFrame:
         F.col("warc_date").alias("request_date"),
     )
     responses = records.filter("rec_type = 'response'")
-    return lookup_join(responses, requests, ["concurrent_to"], ["record_id"])
+    return lookup_join(responses, requests, ["concurrent_to"], ["record_id"], hot=False)
 
 
 LINK_COLUMNS = ("warcinfo_id", "concurrent_to", "refers_to")

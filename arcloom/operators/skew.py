@@ -116,7 +116,7 @@ def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_MIN_ROWS,
 
 
 def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], salt_by: Sequence[str],
-                how: str = "left", hot: DataFrame | None = None, fanout: int = FANOUT) -> DataFrame:
+                how: str = "left", hot: DataFrame | bool | None = None, fanout: int = FANOUT) -> DataFrame:
     """Join many rows to at most one row per key without overloading a task.
 
     ``right`` is unique on ``keys``.  Rows of a hot key are dealt over
@@ -124,8 +124,16 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], salt_by:
     copied ``fanout`` times; the list of hot keys is limited to ``HOT_LIMIT``
     rows, so broadcasting it is safe at any scale.  Rows with a NULL key would
     all land in one task of a left join; they are dealt as well.
+
+    Finding hot keys reads a sample of ``left``, which costs a second scan of
+    it; ``hot=False`` skips that where keys are nearly unique by their nature.
     """
     keys = list(keys)
+    if hot is False:
+        free = F.when(reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys]),
+                      F.pmod(F.xxhash64(*salt_by), F.lit(NULL_FANOUT)).cast("int")).otherwise(0)
+        return left.withColumn("__salt", free).join(
+            right.withColumn("__salt", F.lit(0)), [*keys, "__salt"], how).drop("__salt")
     hot = hot_keys(left, keys) if hot is None else hot.select(*keys).limit(HOT_LIMIT)
     hot = F.broadcast(hot.withColumn("__hot", F.lit(True)))
     keyless = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])

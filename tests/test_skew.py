@@ -45,3 +45,5 @@ def test_a_hot_key_is_spread_and_keeps_all_rows(spark):
     assert out.filter("k is null and v is null").count() == 1000
     inner = lookup_join(left, right, ["k"], ["id"], how="inner", hot=hot, fanout=8)
     assert inner.count() == 1001
+    plain = lookup_join(left, right, ["k"], ["id"], hot=False)
+    assert plain.exceptAll(out).count() == 0 and plain.count() == 3000
