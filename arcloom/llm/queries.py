@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcloom.llm import byte_bpe, language, mixing, sharding
+from arcloom.llm import byte_bpe, fingerprints, language, mixing, quality, sharding, toxicity
 from arcloom.llm.registry import query, table
 
 
@@ -76,3 +76,28 @@ FROM p"""
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs, (3, 1, 2)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op3_quality_neighbours")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), remainder(3) != 1)
+    found = quality.score(docs, model)
+    return found.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score",
+                        (F.col("score") >= 0.5).cast("int").alias("predicted"), "nearest")
+
+
+@query("op4_toxic_lexicon")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), remainder(3) != 1)
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score",
+                        (F.col("score") >= 0.7).cast("int").alias("predicted"), "hits")
+
+
+@query("op9_order_minhash")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.compare_edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint",
+                        "edited_fingerprint", "near_edited", "near_next")
