@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcloom.llm import byte_bpe, fingerprints, language, mixing, quality, sharding, toxicity
+from arcloom.llm import byte_bpe, fingerprints, language, mixing, pii, quality, sharding, toxicity
 from arcloom.llm.registry import query, table
 
 
@@ -101,3 +101,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprints.compare_edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint",
                         "edited_fingerprint", "near_edited", "near_next")
+
+
+@query("op10_weak_supervision_pii")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.detect(docs, pii.fit(docs)).drop("text")
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [pii.count_base(F.col("spans"), kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.digest(base), 256).alias("base_sha256"),
+                        pii.digest(F.col("spans")).alias("spans"))
