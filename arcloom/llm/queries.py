@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcloom.llm import byte_bpe, fingerprints, language, mixing, pii, quality, sharding, toxicity
+from arcloom.llm import byte_bpe, embed_dedup, fingerprints, language, mixing, pii, quality, sharding, toxicity
 from arcloom.llm.registry import query, table
 
 
@@ -111,3 +111,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [pii.count_base(F.col("spans"), kind).alias(f"n_{kind}") for kind in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(pii.digest(base), 256).alias("base_sha256"),
                         pii.digest(F.col("spans")).alias("spans"))
+
+
+@query("op7_int8_tiles")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)
