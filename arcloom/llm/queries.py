@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcloom.llm import byte_bpe, embed_dedup, fingerprints, language, mixing, pii, quality, sharding, toxicity
+from arcloom.llm import byte_bpe, embed_dedup, fingerprints, jaccard_join, language, mixing, pii, quality, sharding, toxicity
 from arcloom.llm.registry import query, table
 
 
@@ -116,3 +116,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_int8_tiles")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)
+
+
+@query("op1_jaccard_join")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(table(spark, sf_dir, "documents"))
