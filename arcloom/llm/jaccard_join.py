@@ -73,7 +73,8 @@ def _set_keys(hashed: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _classes(docs: DataFrame) -> DataFrame:
     """(id, n, cls) of each text, and (token, count) of shingles that a task saw more than once."""
-    schema = f"id {docs.schema['id'].dataType.simpleString()}, n bigint, cls bigint, token bigint, seen bigint"
+    schema = "id bigint, content bigint, n bigint, cls bigint, token bigint, seen bigint"
+    names = ["id", "content", "n", "cls", "token", "seen"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -84,17 +85,15 @@ def _classes(docs: DataFrame) -> DataFrame:
             often = counts > 1
             n = int(often.sum())
             return pa.RecordBatch.from_arrays(
-                [pa.nulls(n, ids), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
-                 pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64))],
-                names=["id", "n", "cls", "token", "seen"])
+                [*[pa.nulls(n, pa.int64())] * 4, pa.array(values[often].view(np.int64)),
+                 pa.array(counts[often].astype(np.int64))], names=names)
         for batch in batches:
-            ids = batch.schema.field("id").type
             for part, data, offsets in tasks.chunks(batch, "text"):
                 hashed, _, sizes = _sets(data, offsets)
                 none = pa.nulls(part.num_rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(sizes.astype(np.int64)), pa.array(_set_keys(hashed, sizes)), none, none],
-                    names=["id", "n", "cls", "token", "seen"])
+                    [part.column("id"), part.column("content"), pa.array(sizes.astype(np.int64)),
+                     pa.array(_set_keys(hashed, sizes)), none, none], names=names)
                 held.append(hashed)
                 amount += len(hashed)
                 if amount >= 4 << 20:
@@ -103,7 +102,7 @@ def _classes(docs: DataFrame) -> DataFrame:
         if amount:
             yield repeated()
 
-    return docs.mapInArrow(run, schema)
+    return docs.withColumn("content", F.xxhash64("text")).mapInArrow(run, schema)
 
 
 # -- bit maps of a fixed size ---------------------------------------------------------------------------------------
@@ -118,18 +117,19 @@ def _bit_map(df: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def _in_map(df: DataFrame, key: str, bits: np.ndarray) -> DataFrame:
-    """Rows whose BIGINT ``key`` may be in the map: none that is in it is lost."""
+def _mark(df: DataFrame, key: str, bits: np.ndarray, name: str) -> DataFrame:
+    """Add whether the BIGINT ``key`` may be in the map: false only if it is not."""
     shared = df.sparkSession.sparkContext.broadcast(bits)
+    keyed = df.withColumn("__bit", F.pmod(F.xxhash64(key), F.lit(MAP_BITS)).cast("bigint"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column("__bit").to_numpy()
-            inside = (shared.value[at >> 6] >> (at & 63)) & 1
-            yield batch.filter(pa.array(inside.astype(bool)))
+            at = batch.column(batch.num_columns - 1).to_numpy()
+            inside = ((shared.value[at >> 6] >> (at & 63)) & 1).astype(bool)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(inside)], names=[*batch.schema.names[:-1], name])
 
-    marked = df.withColumn("__bit", F.pmod(F.xxhash64(key), F.lit(MAP_BITS)).cast("bigint"))
-    return marked.mapInArrow(run, marked.schema).drop("__bit")
+    schema = df.selectExpr("*", f"false AS `{name}`").schema
+    return keyed.mapInArrow(run, schema)
 
 
 # -- candidate regions ----------------------------------------------------------------------------------------------
@@ -137,7 +137,7 @@ def _in_map(df: DataFrame, key: str, bits: np.ndarray) -> DataFrame:
 def _prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(id, cls, tokens): the shingles of which two linked sets share at least one."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
-    schema = f"id {docs.schema['id'].dataType.simpleString()}, cls bigint, tokens array<bigint>"
+    schema = "id bigint, cls bigint, tokens array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, counts = shared.value
@@ -165,13 +165,9 @@ def _prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
 
 def _chosen_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(cls, shingles): the sets of the classes, each once."""
-    shared = docs.sparkSession.sparkContext.broadcast(_bit_map(classes, "rep"))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column("__bit").to_numpy()
-            inside = ((shared.value[at >> 6] >> (at & 63)) & 1).astype(bool)
-            for part, data, offsets in tasks.chunks(batch.filter(pa.array(inside)), "text"):
+            for part, data, offsets in tasks.chunks(batch, "text"):
                 hashed, _, sizes = _sets(data, offsets)
                 ends = np.concatenate([[0], np.cumsum(sizes)]).tolist()
                 raw = hashed.tobytes()
@@ -179,8 +175,8 @@ def _chosen_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
                     [part.column("id"), pa.array(_set_keys(hashed, sizes)),
                      pa.array([raw[8 * a:8 * b] for a, b in zip(ends, ends[1:])], pa.binary())], names=["id", "cls", "shingles"])
 
-    marked = docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(MAP_BITS)).cast("bigint").alias("__bit"))
-    found = marked.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, cls bigint, shingles binary")
+    likely = _mark(docs.select("id", "text"), "id", _bit_map(classes, "rep"), "__may").filter("__may")
+    found = likely.select("id", "text").mapInArrow(run, "id bigint, cls bigint, shingles binary")
     exact = found.join(classes.select(F.col("cls"), F.col("rep").alias("id")), ["cls", "id"], "left_semi").drop("id")
     return exact.dropDuplicates(["cls"])
 
@@ -387,7 +383,7 @@ def components(df: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     """
     docs = df.select(F.col(id_column).cast("bigint").alias("id"), F.col(text).alias("text"))
     noted = cut_lineage(_classes(docs), "jaccard-sets")
-    rows = noted.filter("n IS NOT NULL").select("id", "n", "cls")
+    rows = noted.filter("n IS NOT NULL").select("id", "content", "n", "cls")
     usable = rows.filter("n > 0 AND id IS NOT NULL")
     common = noted.filter("token IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("c")).filter(
         F.col("c") >= HOT_COUNT).orderBy(F.desc("c"), "token").limit(HOT_TOKENS).toArrow()
@@ -400,8 +396,7 @@ def components(df: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     kept = docs.filter("id IS NOT NULL")
     prefixes = cut_lineage(_prefixes(kept, hot), "jaccard-prefixes")
     # copies go: what the map of their ids lets through is checked by a join
-    spare_map = docs.sparkSession.sparkContext.broadcast(_bit_map(spare, "id"))
-    suspects = _split(prefixes, spare_map)
+    suspects = _mark(prefixes, "id", _bit_map(spare, "id"), "__suspect")
     single = suspects.filter("NOT __suspect").drop("__suspect").unionByName(
         suspects.filter("__suspect").drop("__suspect").join(spare, ["id", "cls"], "left_anti"))
     single = cut_lineage(single.select("cls", "tokens"), "jaccard-single")
@@ -409,7 +404,8 @@ def components(df: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     tokens = single.select("cls", F.explode("tokens").alias("token"))
     repeated = cut_lineage(tokens.groupBy("token").agg(F.min("cls").alias("pivot"), F.max("cls").alias("other")).filter(
         "pivot <> other").select("token", "pivot"), "jaccard-pivots")
-    member = _in_map(tokens, "token", _bit_map(repeated, "token")).join(repeated, "token").select("pivot", "cls").distinct()
+    member = _mark(tokens, "token", _bit_map(repeated, "token"), "__may").filter("__may").join(
+        repeated, "token").select("pivot", "cls").distinct()
     member = cut_lineage(member, "jaccard-regions")
     sets = cut_lineage(_chosen_sets(kept, classes.join(member.select("cls").distinct(), "cls", "left_semi")), "jaccard-chosen")
     edges = cut_lineage(_region_links(member, sets), "jaccard-links")
@@ -417,20 +413,34 @@ def components(df: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     named = classes.join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     label = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     labels = named.select("cls", "component").join(label, "component").select("cls", "component_id")
-    linked = usable.join(labels, "cls").select("id", "n", "component_id")
-    rest = rows.filter("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component_id"))
-    return linked.unionByName(rest).select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), "component_id")
+    linked = usable.join(labels, "cls").select("id", "content", "n", "component_id")
+    rest = rows.filter("n = 0 OR id IS NULL").select("id", "content", "n", F.col("id").alias("component_id"))
+    return linked.unionByName(rest).select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), "component_id", "content")
 
 
-def _split(prefixes: DataFrame, spare_map) -> DataFrame:
-    """Mark rows whose id may be a copy's."""
-    marked = prefixes.withColumn("__bit", F.pmod(F.xxhash64("id"), F.lit(MAP_BITS)).cast("bigint"))
+def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df`` without all but one of each component: the row whose id names it stays.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column("__bit").to_numpy()
-            inside = ((spare_map.value[at >> 6] >> (at & 63)) & 1).astype(bool)
-            yield pa.RecordBatch.from_arrays([*batch.select(["id", "cls", "tokens"]).columns, pa.array(inside)],
-                                             names=["id", "cls", "tokens", "__suspect"])
-
-    return marked.mapInArrow(run, "id bigint, cls bigint, tokens array<bigint>, __suspect boolean")
+    Of rows that share that id, the one with the least text hash stays, and of
+    rows equal in both any one.  Rows without an id or without words all stay.
+    Texts that stay are not shuffled, except those whose id a fixed-size map of
+    the ids to drop takes for one of them.
+    """
+    found = cut_lineage(components(df, id_column, text).withColumnRenamed(id_column, "__id").filter(
+        "__id IS NOT NULL AND n_shingles > 0"), "jaccard-found")
+    stays = found.filter("__id = component_id").groupBy("__id").agg(
+        F.min("content").alias("content"), F.count(F.lit(1)).alias("copies"))
+    named = stays.select("__id", F.col("content").alias("best"), "copies")
+    listed = found.select("__id", "content", "component_id").distinct().join(named, "__id", "left").withColumn(
+        "drop", ~F.coalesce((F.col("__id") == F.col("component_id")) & (F.col("content") == F.col("best")), F.lit(False)))
+    # ids to look at: of rows to drop, and of rows that stay but repeat
+    doubtful = cut_lineage(listed.filter("drop OR copies > 1").select("__id", "content", "drop"), "jaccard-doubtful")
+    own = [c for c in df.columns]
+    spot = df.select(F.struct(*[F.col(c) for c in own]).alias("__row"), F.col(id_column).cast("bigint").alias("__id"),
+                     F.xxhash64(text).alias("content"))
+    marked = _mark(spot, "__id", _bit_map(doubtful, "__id"), "__suspect")
+    sure = marked.filter("NOT __suspect").select("__row.*")
+    checked = marked.filter("__suspect").join(doubtful, ["__id", "content"], "left")
+    plain = checked.filter("drop IS NULL").select("__row.*")
+    once = checked.filter("NOT drop").dropDuplicates(["__id", "content"]).select("__row.*")
+    return sure.unionByName(plain).unionByName(once)

@@ -73,10 +73,13 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
     inverse = grams.inverse_frequencies(documents, seen)
     by_hash = Window.partitionBy("__lang").orderBy("__h", "__id")
     usable = docs.filter(train & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    picked = cut_lineage(
-        usable.select(F.col(lang).alias("__lang"), F.xxhash64(F.col(id_column), F.lit(11)).alias("__h"),
-                      F.col(id_column).alias("__id"))
-        .withColumn("__n", F.row_number().over(by_hash)).filter(F.col("__n") <= SAMPLE_PER_LANGUAGE), "lang-sample")
+    # texts of a language with many are first thinned by the hash to a few times the bound: no language gathers in a task
+    listed = usable.select(F.col(lang).alias("__lang"), F.xxhash64(F.col(id_column), F.lit(11)).alias("__h"),
+                           F.col(id_column).alias("__id"))
+    share_of = listed.groupBy("__lang").agg((F.lit(4.0 * SAMPLE_PER_LANGUAGE) / F.count(F.lit(1))).alias("__share"))
+    thinned = listed.join(share_of, "__lang").filter(F.pmod("__h", F.lit(1 << 30)) < F.col("__share") * (1 << 30))
+    picked = cut_lineage(thinned.withColumn("__n", F.row_number().over(by_hash)).filter(
+        F.col("__n") <= SAMPLE_PER_LANGUAGE), "lang-sample")
     chosen = usable.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(id_column).alias("__id")).join(
         F.broadcast(picked.select("__id").distinct()), "__id", "left_semi").select("lang", "text")
     share = inverse
