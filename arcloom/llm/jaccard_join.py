@@ -10,6 +10,7 @@ chosen where sets meet:
    first quarter of the set in a global order that puts very common shingles
    last).  All classes that share such a shingle have the smallest of them as
    pivot; a pivot with its classes is a region.  Linked classes share a region.
+   Signatures, a byte per shingle, rule out most of those that share but a passage.
 3. A region with few classes is joined by one task: pivots split it into Voronoi
    cells, classes near a boundary (by the triangle inequality) also visit the
    cells beyond it, and cells are joined recursively until they are small.
@@ -134,10 +135,57 @@ def _mark(df: DataFrame, key: str, bits: np.ndarray, name: str) -> DataFrame:
 
 # -- candidate regions ----------------------------------------------------------------------------------------------
 
+def _signatures(hashed: np.ndarray, row: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Per set, how many members have each value of their top bits, in as many cells as the set has members or more.
+
+    Two sets share at most the sum of the smaller counts of all cells.  A set
+    with a count that a byte can't hold gets an empty signature: nothing is known.
+    """
+    bits = np.clip(np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64), 6, 16)
+    width = np.where(sizes > 0, 1 << bits, 0)
+    starts = np.concatenate([[0], np.cumsum(width)])
+    cell = (hashed >> (np.uint64(64) - bits[row].astype(np.uint64))).astype(np.int64)
+    counts = np.bincount(starts[row] + cell, minlength=int(starts[-1]))
+    raw = np.minimum(counts, 255).astype(np.uint8)
+    out = [raw[a:b].tobytes() for a, b in zip(starts.tolist(), starts[1:].tolist())]
+    for r in np.unique(np.searchsorted(starts, np.flatnonzero(counts > 255), side="right") - 1).tolist():
+        out[r] = b""
+    return out
+
+
+def _may_link(n: np.ndarray, signatures: list[bytes]) -> np.ndarray:
+    """Which of some sets may link with another of them, by their sizes and signatures."""
+    out = np.array([not s for s in signatures])
+    cells = np.array([len(s) for s in signatures])
+    grids: dict[tuple[int, int], np.ndarray] = {}
+    groups = {int(c): np.flatnonzero(cells == c) for c in np.unique(cells) if c}
+
+    def grid(group: int, width: int) -> np.ndarray:
+        """Signatures of one width, folded to ``width`` cells; counts keep two bytes."""
+        if (group, width) not in grids:
+            full = np.stack([np.frombuffer(signatures[i], np.uint8) for i in groups[group]]).astype(np.uint16)
+            grids[group, width] = full.reshape(len(full), width, -1).sum(axis=2, dtype=np.uint16)
+        return grids[group, width]
+
+    for width in groups:  # linked sets differ in size by a third at most, so their widths by one step
+        for other in {width, 2 * width} & set(groups):
+            a, b = groups[width], groups[other]
+            x, y = grid(width, width), grid(other, width)
+            for k, i in enumerate(a):
+                fits = (LEAST * np.maximum(n[b], n[i]) <= OF * np.minimum(n[b], n[i])) & (b != i)
+                if fits.any():
+                    most = np.minimum(y[fits], x[k]).sum(axis=1, dtype=np.int64)
+                    yes = _linked(np.minimum(most, np.minimum(n[b[fits]], n[i])), n[b[fits]], n[i])
+                    out[i] |= bool(yes.any())
+                    out[b[fits][yes]] = True
+    # where nothing is known of one, all may link with it
+    return out | bool((cells == 0).any())
+
+
 def _prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(id, cls, tokens): the shingles of which two linked sets share at least one."""
+    """(id, cls, tokens, n, signature): the shingles of which two linked sets share at least one."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
-    schema = "id bigint, cls bigint, tokens array<bigint>"
+    schema = "id bigint, cls bigint, tokens array<bigint>, n bigint, signature binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, counts = shared.value
@@ -157,8 +205,9 @@ def _prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.array(_set_keys(hashed, sizes)),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(ordered[mask].view(np.int64)))],
-                    names=["id", "cls", "tokens"])
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(ordered[mask].view(np.int64))),
+                     pa.array(sizes.astype(np.int64)), pa.array(_signatures(hashed, row, sizes), pa.binary())],
+                    names=["id", "cls", "tokens", "n", "signature"])
 
     return docs.mapInArrow(run, schema)
 
@@ -337,6 +386,20 @@ def _join_blocks(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in kept], pa.int64()), "b": pa.array([b for _, b in kept], pa.int64())})
 
 
+def _filter_region(group: pa.Table) -> pa.Table:
+    """The classes of a small region that may link with another of it."""
+    keep = _may_link(group.column("n").to_numpy(), group.column("signature").to_pylist())
+    return group.select(["pivot", "cls"]).filter(pa.array(keep))
+
+
+def _promising(member: DataFrame, facts: DataFrame) -> DataFrame:
+    """(pivot, cls) without classes whose signature rules out every partner in a small region; large ones stay whole."""
+    sizes = cut_lineage(member.groupBy("pivot").agg(F.count(F.lit(1)).alias("m")), "region-members")
+    small = member.join(sizes.filter(F.col("m").between(2, BLOCK)).select("pivot"), "pivot", "left_semi")
+    left = small.join(facts, "cls").groupBy("pivot").applyInArrow(_filter_region, "pivot bigint, cls bigint")
+    return left.unionByName(member.join(sizes.filter(F.col("m") > BLOCK).select("pivot"), "pivot", "left_semi"))
+
+
 def _region_links(member: DataFrame, sets: DataFrame) -> DataFrame:
     """Edges (a, b) whose components are those of all links.  ``member``: (pivot, cls), pivots included."""
     sizes = cut_lineage(member.groupBy("pivot").agg(F.count(F.lit(1)).alias("m")), "region-sizes")
@@ -375,7 +438,8 @@ def components(df: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     """One row per row of ``df``: id, ``n_shingles`` and ``component_id`` (the smallest id reachable by links).
 
     Words are runs of bytes other than white space, A-Z lower-cased; a text of 1
-    to 4 words is one shingle.  A text without words, or NULL, has an empty set
+    to 4 words is one shingle.  ``component`` tells apart components that share an
+    id because rows repeat it, ``content`` is a hash of the text.  A text without words, or NULL, has an empty set
     and links with nothing, not even another empty one.  A row without an id
     links with nothing and has no component.  Rows that repeat an id take part
     with each of their texts and may get different components.  Other columns
@@ -396,26 +460,32 @@ def components(df: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     kept = docs.filter("id IS NOT NULL")
     prefixes = cut_lineage(_prefixes(kept, hot), "jaccard-prefixes")
     # copies go: what the map of their ids lets through is checked by a join
-    suspects = _mark(prefixes, "id", _bit_map(spare, "id"), "__suspect")
-    single = suspects.filter("NOT __suspect").drop("__suspect").unionByName(
-        suspects.filter("__suspect").drop("__suspect").join(spare, ["id", "cls"], "left_anti"))
-    single = cut_lineage(single.select("cls", "tokens"), "jaccard-single")
+    spare_map = _bit_map(spare, "id")
+
+    def single(column: str) -> DataFrame:
+        suspects = _mark(prefixes.select("id", "cls", column), "id", spare_map, "__suspect")
+        return suspects.filter("NOT __suspect").select("cls", column).unionByName(
+            suspects.filter("__suspect").join(spare, ["id", "cls"], "left_anti").select("cls", column))
 
-    tokens = single.select("cls", F.explode("tokens").alias("token"))
+    tokens = single("tokens").select("cls", F.explode("tokens").alias("token"))
     repeated = cut_lineage(tokens.groupBy("token").agg(F.min("cls").alias("pivot"), F.max("cls").alias("other")).filter(
         "pivot <> other").select("token", "pivot"), "jaccard-pivots")
     member = _mark(tokens, "token", _bit_map(repeated, "token"), "__may").filter("__may").join(
         repeated, "token").select("pivot", "cls").distinct()
-    member = cut_lineage(member, "jaccard-regions")
+    member = cut_lineage(member, "jaccard-members")
+    facts = member.select("cls").distinct().join(prefixes.select("cls", "n", "signature"), "cls").dropDuplicates(["cls"])
+    member = cut_lineage(_promising(member, facts), "jaccard-regions")
     sets = cut_lineage(_chosen_sets(kept, classes.join(member.select("cls").distinct(), "cls", "left_semi")), "jaccard-chosen")
     edges = cut_lineage(_region_links(member, sets), "jaccard-links")
     parts = connected_components(edges, "jaccard")
     named = classes.join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     label = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    labels = named.select("cls", "component").join(label, "component").select("cls", "component_id")
-    linked = usable.join(labels, "cls").select("id", "content", "n", "component_id")
-    rest = rows.filter("n = 0 OR id IS NULL").select("id", "content", "n", F.col("id").alias("component_id"))
-    return linked.unionByName(rest).select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), "component_id", "content")
+    labels = named.select("cls", "component").join(label, "component")
+    linked = usable.join(labels, "cls").select("id", "content", "n", "component_id", "component")
+    rest = rows.filter("n = 0 OR id IS NULL").select(
+        "id", "content", "n", F.col("id").alias("component_id"), F.lit(None).cast("bigint").alias("component"))
+    return linked.unionByName(rest).select(
+        F.col("id").alias(id_column), F.col("n").alias("n_shingles"), "component_id", "component", "content")
 
 
 def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -428,11 +498,9 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
     """
     found = cut_lineage(components(df, id_column, text).withColumnRenamed(id_column, "__id").filter(
         "__id IS NOT NULL AND n_shingles > 0"), "jaccard-found")
-    stays = found.filter("__id = component_id").groupBy("__id").agg(
-        F.min("content").alias("content"), F.count(F.lit(1)).alias("copies"))
-    named = stays.select("__id", F.col("content").alias("best"), "copies")
-    listed = found.select("__id", "content", "component_id").distinct().join(named, "__id", "left").withColumn(
-        "drop", ~F.coalesce((F.col("__id") == F.col("component_id")) & (F.col("content") == F.col("best")), F.lit(False)))
+    stays = found.filter("__id = component_id").groupBy("component").agg(F.min("content").alias("best"))
+    listed = found.groupBy("component", "__id", "content", "component_id").agg(F.count(F.lit(1)).alias("copies")).join(
+        stays, "component").withColumn("drop", (F.col("__id") != F.col("component_id")) | (F.col("content") != F.col("best")))
     # ids to look at: of rows to drop, and of rows that stay but repeat
     doubtful = cut_lineage(listed.filter("drop OR copies > 1").select("__id", "content", "drop"), "jaccard-doubtful")
     own = [c for c in df.columns]

@@ -120,4 +120,4 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op1_jaccard_join")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.components(table(spark, sf_dir, "documents")).drop("content")
+    return jaccard_join.components(table(spark, sf_dir, "documents")).drop("component", "content")
