@@ -11,8 +11,9 @@ from arcloom.fixed_values import JSON_MIME
 from arcloom.functions import headers as H
 from arcloom.functions import text as X
 from arcloom.operators.records import as_records
+from arcloom.operators.skew import HOT_LIMIT, HOT_MIN_ROWS, lookup_join
 from arcloom.schema import NAMES, PAYLOAD_TYPES, HeaderNames
-from arcloom.operators.skew import lookup_join
+from arcloom.session import cut_lineage
 
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
@@ -46,9 +47,11 @@ def first_by_digest(records: DataFrame, on_missing_digest: str = "unique") -> Da
 def mark_duplicates(records: DataFrame, on_missing_digest: str = "unique") -> DataFrame:
     """Add ``is_revisit`` and ``first`` (struct of the canonical record)."""
     # a digest seen once has no duplicate: only shared ones are looked up
-    shared = first_by_digest(records, on_missing_digest).filter("copies > 1")
+    shared = cut_lineage(first_by_digest(records, on_missing_digest).filter("copies > 1"), "shared-digests")
+    # how often each digest occurs is known by now, so no sample has to find the hot ones
+    hot = shared.filter(F.col("copies") >= HOT_MIN_ROWS).orderBy(F.desc("copies")).limit(HOT_LIMIT).select("digest_key")
     keyed = records.withColumn("digest_key", _digest_key(on_missing_digest))
-    found = lookup_join(keyed, shared.drop("copies"), ["digest_key"], ["file_seq", "record_seq"])
+    found = lookup_join(keyed, shared.drop("copies"), ["digest_key"], ["file_seq", "record_seq"], hot=hot)
     itself = (F.col("first.file_seq") == F.col("file_seq")) & (F.col("first.record_seq") == F.col("record_seq"))
     return found.withColumn("is_revisit", F.coalesce(~itself, F.lit(False)))
 

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from arcloom.fixed_values import LOG_FLUSH_BYTES
 from arcloom.operators.skew import SEGMENT_SPAN, ordered_scan
 
-_SUMMARY = ("file_seq INT, seg BIGINT, total BIGINT, upto ARRAY<BIGINT>, held ARRAY<BIGINT>, closed ARRAY<BIGINT>")
-_ENTRY = "file_seq INT, seg BIGINT, entry_held BIGINT, entry_batch BIGINT"
+_SUMMARY = ("file_seq BIGINT, seg BIGINT, total BIGINT, upto ARRAY<BIGINT>, held ARRAY<BIGINT>, closed ARRAY<BIGINT>")
+_ENTRY = "file_seq BIGINT, seg BIGINT, entry_held BIGINT, entry_batch BIGINT"
 
 
 def _next_starts(upto: np.ndarray, limit: int) -> np.ndarray:
@@ -96,7 +96,7 @@ def exact_cuts(sized: DataFrame, limit: int = LOG_FLUSH_BYTES, span: int = SEGME
     return (
         rows.join(entries, ["file_seq", "seg"])
         .groupBy("file_seq", "seg")
-        .applyInPandas(_numbers(limit), "file_seq INT, seq BIGINT, batch BIGINT")
+        .applyInPandas(_numbers(limit), "file_seq BIGINT, seq BIGINT, batch BIGINT")
     )
 
 

@@ -12,7 +12,7 @@ from arcloom.functions import headers as H
 from arcloom.functions import text as X
 from arcloom.functions.urls import request_target
 from arcloom.operators.capture import emitted
-from arcloom.operators.skew import SEGMENT_SPAN, lookup_join, ordered_scan
+from arcloom.operators.skew import lookup_join, ordered_scan
 from arcloom.schema import NAMES, ORDER, RECORD_COLUMNS, HeaderNames
 from arcloom.session import cut_lineage
 
@@ -230,7 +230,7 @@ def build_records(items: Mapping[str, DataFrame],
 # --- links between records ------------------------------------------------------
 
 
-def asof_warcinfo(records: DataFrame, span: int = SEGMENT_SPAN) -> DataFrame:
+def asof_warcinfo(records: DataFrame, span: int | None = None) -> DataFrame:
     """Per record the id of the last ``warcinfo`` before it in its file.
 
     Narrow in and out: only ids and order columns are shuffled.
@@ -242,7 +242,7 @@ def asof_warcinfo(records: DataFrame, span: int = SEGMENT_SPAN) -> DataFrame:
     )
 
 
-def asof_document(items: DataFrame, is_document: Column, wants: Column, span: int = SEGMENT_SPAN) -> DataFrame:
+def asof_document(items: DataFrame, is_document: Column, wants: Column, span: int | None = None) -> DataFrame:
     """Per conversion the newest earlier document response of the same URL in its file.
 
     Unmatched ones stay, with a NULL ``refers_to``.
@@ -271,12 +271,15 @@ def with_links(records: DataFrame, links: DataFrame, column: str, names: HeaderN
 
 
 def pair_responses(records: DataFrame) -> DataFrame:
-    """Each response with the request it was concurrent to; request ids are unique."""
-    requests = records.filter("rec_type = 'request'").select(
-        F.col("record_id").alias("concurrent_to"),
-        F.col("http_start_line").alias("request_line"),
-        F.col("warc_date").alias("request_date"),
-    )
+    """Each response with the request it was concurrent to.
+
+    An id that repeats, as after merging an archive with itself, stands for its
+    first request in input order: every response comes out once.
+    """
+    first = F.min_by(F.struct("http_start_line", "warc_date"), F.struct(*ORDER)).alias("__first")
+    requests = records.filter("rec_type = 'request' AND record_id IS NOT NULL").groupBy(
+        F.col("record_id").alias("concurrent_to")).agg(first).select(
+        "concurrent_to", F.col("__first.http_start_line").alias("request_line"), F.col("__first.warc_date").alias("request_date"))
     responses = records.filter("rec_type = 'response'")
     return lookup_join(responses, requests, ["concurrent_to"], ["record_id"], hot=False)
 
@@ -307,15 +310,17 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     Merging merged archives makes revisits of revisits.  Every round replaces
     a target that is itself a revisit by that one's target, so chains halve
     and ever fewer rows move; when their number stays, only circles are left,
-    which come out with a NULL ``resolved_id``.
+    which come out with a NULL ``resolved_id``.  Every revisit comes out once;
+    an id that repeats stands for its first revisit in input order.
     """
     moving = None
     links = cut_lineage(
-        records.filter("rec_type = 'revisit'").select("record_id", F.col("refers_to").alias("resolved_id")), "revisits")
+        records.filter("rec_type = 'revisit'").select(*ORDER, "record_id", F.col("refers_to").alias("resolved_id")), "revisits")
     while True:
-        step = links.select(F.col("record_id").alias("resolved_id"), F.col("resolved_id").alias("__next"))
+        step = links.filter("record_id IS NOT NULL").groupBy(F.col("record_id").alias("resolved_id")).agg(
+            F.min_by("resolved_id", F.struct(*ORDER)).alias("__next"))
         jumped = lookup_join(links, step, ["resolved_id"], ["record_id"]).select(
-            "record_id", F.coalesce("__next", "resolved_id").alias("resolved_id"), F.col("__next").isNotNull().alias("moved"))
+            *ORDER, "record_id", F.coalesce("__next", "resolved_id").alias("resolved_id"), F.col("__next").isNotNull().alias("moved"))
         links = cut_lineage(jumped, "revisits")
         before, moving = moving, links.filter("moved").count()
         if moving in (0, before):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from arcloom.fixed_values import PNG_MIME
 from arcloom.functions.headers import value_of
-from arcloom.operators.skew import SEGMENT_SPAN, numbered
+from arcloom.operators.skew import numbered
 from arcloom.schema import NAMES, HeaderNames
 from arcloom.session import cut_lineage
 from arcloom.sources.files import exists, open_output
@@ -24,7 +24,7 @@ def screenshots(records: DataFrame, names: HeaderNames = NAMES) -> DataFrame:
 
 
 def manifest(records: DataFrame, prefix: str, one: bool = False, names: HeaderNames = NAMES,
-             span: int = SEGMENT_SPAN) -> DataFrame:
+             span: int | None = None) -> DataFrame:
     """``(file_seq, record_seq, file, url, yoff)``: where each screenshot goes.
 
     Numbered per archive from 0 in record order; ``one`` keeps only the first,
@@ -36,11 +36,11 @@ def manifest(records: DataFrame, prefix: str, one: bool = False, names: HeaderNa
         return found.groupBy("file_seq").agg(first).select(
             "file_seq", "f.record_seq", F.lit(prefix).alias("file"), "f.url", "f.yoff")
     nth = numbered(found, ["file_seq"], "record_seq", "n", start=0, span=span)
-    name = F.concat(F.lit(prefix), F.lpad(F.col("n").cast("string"), 5, "0"), F.lit(".png"))
+    name = F.concat(F.lit(prefix), F.format_string("%05d", "n"), F.lit(".png"))
     return nth.select("file_seq", "record_seq", name.alias("file"), "url", "yoff")
 
 
-MANIFEST_DDL = "file_seq INT, record_seq BIGINT, file STRING, url STRING, yoff INT, written BOOLEAN"
+MANIFEST_DDL = "file_seq BIGINT, record_seq BIGINT, file STRING, url STRING, yoff INT, written BOOLEAN"
 
 
 def export(records: DataFrame, prefix: str, one: bool = False, force: bool = False,

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arcloom.schema import SPAN_KEY
+
 SEGMENT_SPAN = 1 << 20  # order values per segment
 HOT_LIMIT = 256  # most keys that are ever salted: bounds the broadcast
 HOT_MIN_ROWS = 1_000_000  # a key below this fits one task
@@ -27,19 +29,22 @@ def ordered_scan(
     order: str,
     sums: Mapping[str, Column] | None = None,
     previous: Mapping[str, Column] | None = None,
-    span: int = SEGMENT_SPAN,
+    span: int | None = None,
 ) -> DataFrame:
     """Running sums and carried values per key, in the order of a BIGINT column.
 
     ``sums`` adds inclusive running sums; ``previous`` adds the last non-null
     value among strictly earlier rows.  Order values must be unique per key.
 
-    A key is cut into segments of ``span`` order values.  Windows run inside
+    A key is cut into segments of ``span`` order values; without ``span`` the
+    order column's metadata tell it (archives carry their own, as their order
+    values are byte offsets), else ``SEGMENT_SPAN`` numbers.  Windows run inside
     one segment only; what earlier segments contribute is one small row per
     segment, combined map-side and scanned in a second window.  A key holding a
     third of all rows is thus spread over as many tasks as it has segments.
     """
     sums, previous = dict(sums or {}), dict(previous or {})
+    span = span or df.schema[order].metadata.get(SPAN_KEY, SEGMENT_SPAN)
     inputs = [c.alias(f"__s_{n}") for n, c in sums.items()]
     inputs += [c.alias(f"__p_{n}") for n, c in previous.items()]
     # a struct of the keys is never NULL itself and its NULL fields compare equal,
@@ -89,7 +94,7 @@ def ordered_scan(
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: str, name: str, start: int = 1,
-             span: int = SEGMENT_SPAN) -> DataFrame:
+             span: int | None = None) -> DataFrame:
     """Consecutive numbers per key in order, like ``row_number`` but segment-wise."""
     out = ordered_scan(df, keys, order, sums={name: F.lit(1)}, span=span)
     return out.withColumn(name, (F.col(name) + F.lit(start - 1)).cast("bigint"))

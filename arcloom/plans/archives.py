@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +16,10 @@ from arcloom.functions import headers as H
 from arcloom.functions import text as X
 from arcloom.operators import crawl_log, dedup, errata, log_batches, records, screenshots, snapshot
 from arcloom.plans.base import fill_records, query, table
-from arcloom.session import scratch_path
-from arcloom.sources.warc import read_warc, write_warc
+from arcloom.schema import ORDER, RECORD_COLUMNS
+from arcloom.session import cut_lineage, scratch_path
+from arcloom.sources.files import open_output
+from arcloom.sources.warc import read_warc, register, write_warc
 
 PACKAGE, FIX_TOOL = "grabber", "grabber-errata"
 VERSIONS = ("0.9", "1.0", "1.0.0", "1.1", "1.0.1", "0.10.2")
@@ -106,7 +114,7 @@ SQL_IMAGES = """i AS (
 
 
 @query("screenshot_manifest", f"""
-WITH {SQL_IMAGES} SELECT file_seq, record_seq, 'shot-' || lpad(CAST(n AS VARCHAR), 5, '0') || '.png' AS file, url, yoff FROM i""")
+WITH {SQL_IMAGES} SELECT file_seq, record_seq, printf('shot-%05d.png', n) AS file, url, yoff FROM i""")
 def screenshot_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screenshots.manifest(image_records(spark, sf_dir), "shot-").select(
         F.col("file_seq").cast("bigint").alias("file_seq"), "record_seq", "file", "url",
@@ -164,6 +172,63 @@ def warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         X.iso_date(F.col("warc_date")).alias("warc_date"), "request_id")
 
 
+def _foreign_member(doc_id: int, text: str) -> bytes:
+    """A record as other writers have it: a long gzip header, and every third a head that fills the record to its end."""
+    head = f"HTTP/1.1 200 OK\r\nX-Doc: {doc_id}\r\nX-Size: {len(text)}"
+    block = head.encode() if doc_id % 3 == 0 else f"{head}\r\n\r\n{text}".encode()
+    record = (f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:doc:{doc_id}>\r\n"
+              f"Content-Type: application/http; msgtype=response\r\nContent-Length: {len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n"
+    deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
+    packed = deflate.compress(record) + deflate.flush()
+    extra = bytes(600 + doc_id % 4000)
+    return (b"\x1f\x8b\x08\x04\0\0\0\0\0\x03" + struct.pack("<H", len(extra)) + extra + packed
+            + struct.pack("<II", zlib.crc32(record), len(record)))
+
+
+@query("warc_foreign", """
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN md5('') ELSE md5(text) END AS text_md5, CAST(length(text) AS BIGINT) AS n_chars
+FROM documents""")
+def warc_foreign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in archives of another writer, read back in slices smaller than many a record."""
+    folder = scratch_path(spark, "foreign")
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        context = TaskContext.get()
+        name = f"{folder}/{context.partitionId():05d}-{context.taskAttemptId()}.warc.gz"
+        out = None
+        for pdf in batches:
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
+                out = out or open_output(name)
+                out.write(_foreign_member(doc_id, text))
+        if out is not None:
+            out.close()
+            yield pd.DataFrame({"name": [name]})
+
+    written = cut_lineage(table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(write, "name STRING"), "foreign-names")
+    names = sorted(r.name for r in written.collect())  # one per task
+    back = read_warc(spark, names, slice_bytes=1 << 17)
+    return back.select(
+        H.value_of(F.col("http_headers"), "x-doc").cast("bigint").alias("doc_id"), F.md5("payload").alias("text_md5"),
+        H.value_of(F.col("http_headers"), "x-size").cast("bigint").alias("n_chars"))
+
+
+@query("asof_warcinfo_archive", """
+SELECT doc_id, count(*) OVER (PARTITION BY source) AS pages FROM documents""")
+def asof_warcinfo_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document of real archives with what the ``warcinfo`` before it says about its capture."""
+    path = scratch_path(spark, "archives")
+    register(spark)
+    # one source is never cut over two files, so the record that starts its capture is in the same one
+    full_records(spark, sf_dir).select(*RECORD_COLUMNS).repartitionByRange("file_seq").sortWithinPartitions(*ORDER).write.format(
+        "warc").mode("append").save(path)
+    back = read_warc(spark, path, payload=False, slice_bytes=1 << 20)
+    linked = records.asof_warcinfo(back).filter("rec_type = 'response'")
+    infos = read_warc(spark, path, rec_types=["warcinfo"]).select(
+        F.col("record_id").alias("warcinfo_id"), F.get_json_object(F.decode("payload", "UTF-8"), "$.pages").cast("bigint").alias("pages"))
+    docs = back.select(*ORDER, H.value_of(F.col("http_headers"), "x-doc").cast("bigint").alias("doc_id"))
+    return linked.join(infos, "warcinfo_id").join(docs, list(ORDER)).select("doc_id", "pages")
+
+
 @query("warc_inventory", """
 SELECT 'response' AS rec_type, '' AS sub_type, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS payload_bytes FROM documents
 UNION ALL SELECT 'resource', 'script', count(*), CAST(sum(strlen(lang) + 3) AS BIGINT) FROM documents WHERE doc_id % 10 = 0

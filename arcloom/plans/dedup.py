@@ -63,8 +63,34 @@ def revisit_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = document_records(spark, sf_dir)
     place = F.col("file_seq") * F.lit(1_000_000_000_000) + F.col("record_seq")
     chained = ordered_scan(docs.withColumn("place", place), ["payload_digest"], "place",
-                           previous={"before": F.col("record_id")}, span=1 << 50)
+                           previous={"before": F.col("record_id")}, span=1_000_000_000_000)
     revisits = chained.withColumn("rec_type", F.when(F.col("before").isNull(), "response").otherwise("revisit"))
     number = lambda c: F.expr(f"cast(substring({c}, 9) as bigint)")
     return records.resolve_revisits(revisits.withColumn("refers_to", F.col("before"))).select(
         number("record_id").alias("doc_id"), number("resolved_id").alias("first_doc"))
+
+
+@query("repeated_ids", f"""
+WITH {SQL_DOCS}
+SELECT c.copy * 1000 + file_seq AS file_seq, doc_id, CAST(n_chars AS BIGINT) AS request_size, 'urn:doc:' ||
+       CAST(CASE WHEN nth > 1 THEN first_doc ELSE doc_id END AS BIGINT) AS resolved_id
+FROM firsts, (SELECT unnest([0, 1]) AS copy) c""")
+def repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive merged with itself: every id twice, each response still with one request and each revisit with one record."""
+    docs = document_records(spark, sf_dir)
+    once = docs.withColumn("http_start_line", F.col("content_length").cast("string")).withColumn(
+        "concurrent_to", F.concat(F.lit("rq"), "record_id"))
+    requests = once.withColumn("rec_type", F.lit("request")).withColumn("record_id", F.col("concurrent_to"))
+    place = F.col("file_seq") * F.lit(1_000_000_000_000) + F.col("record_seq")
+    chained = ordered_scan(docs.withColumn("place", place), ["payload_digest"], "place",
+                           previous={"before": F.col("record_id")}, span=1_000_000_000_000)
+    revisits = chained.filter("before IS NOT NULL").withColumn("rec_type", F.lit("revisit")).withColumn("refers_to", F.col("before"))
+
+    def twice(df: DataFrame) -> DataFrame:
+        return df.unionByName(df.withColumn("file_seq", F.col("file_seq") + 1000))
+
+    paired = records.pair_responses(twice(once.unionByName(requests)))
+    resolved = records.resolve_revisits(twice(revisits.select(*docs.columns))).distinct()
+    return paired.join(resolved, "record_id", "left").select(
+        F.col("file_seq").cast("bigint").alias("file_seq"), F.col("record_seq").alias("doc_id"),
+        F.col("request_line").cast("bigint").alias("request_size"), F.coalesce("resolved_id", "record_id").alias("resolved_id"))

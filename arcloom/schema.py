@@ -10,7 +10,7 @@ from dataclasses import dataclass
 _HEADERS = "ARRAY<STRUCT<name: STRING, value: STRING>>"
 
 RECORD_COLUMNS = {
-    "file_path": "STRING", "file_seq": "INT", "record_seq": "BIGINT", "record_id": "STRING",
+    "file_path": "STRING", "file_seq": "BIGINT", "record_seq": "BIGINT", "record_id": "STRING",
     "rec_type": "STRING", "target_uri": "STRING", "warc_date": "TIMESTAMP", "content_type": "STRING",
     "content_length": "BIGINT", "payload_digest": "STRING", "refers_to": "STRING",
     "refers_to_uri": "STRING", "refers_to_date": "TIMESTAMP", "concurrent_to": "STRING",
@@ -20,6 +20,7 @@ RECORD_COLUMNS = {
 }
 RECORD_DDL = ", ".join(f"{n} {t}" for n, t in RECORD_COLUMNS.items())
 ORDER = ("file_seq", "record_seq")
+SPAN_KEY = "arcloom.span"  # column metadata: order values per segment of an ordered scan
 PAYLOAD_TYPES = ("resource", "response")
 
 

@@ -20,6 +20,7 @@ from datetime import datetime, timezone
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceReader,
@@ -30,7 +31,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from arcloom.schema import NAMES, ORDER, RECORD_COLUMNS, RECORD_DDL, HeaderNames
+from arcloom.schema import NAMES, ORDER, RECORD_COLUMNS, RECORD_DDL, SPAN_KEY, HeaderNames
 from arcloom.sources import files
 
 GZIP_MAGIC = b"\x1f\x8b\x08"
@@ -63,6 +64,7 @@ class _Member(io.RawIOBase):
     def __init__(self, fd, offset: int) -> None:
         fd.seek(offset)
         self.fd, self.inflate, self.consumed, self.next_offset = fd, zlib.decompressobj(31), offset, None
+        self.cut_off = False
 
     def readable(self) -> bool:
         return True
@@ -76,7 +78,7 @@ class _Member(io.RawIOBase):
                 raw = self.fd.read(CHUNK)
                 self.consumed += len(raw)
             if not raw:
-                self.next_offset = self.consumed  # truncated member: end of file
+                self.next_offset, self.cut_off = self.consumed, True  # the file ends inside this member
                 return 0
             out = self.inflate.decompress(raw, want)
             if self.inflate.eof:
@@ -87,6 +89,21 @@ class _Member(io.RawIOBase):
         return 0
 
 
+def _begins_record(fd, offset: int) -> bool:
+    """Whether a gzip member with a record begins at ``offset``, however long its gzip header is."""
+    fd.seek(offset)
+    inflate, head = zlib.decompressobj(31), b""
+    try:
+        while len(head) < 5 and not inflate.eof:
+            raw = inflate.unconsumed_tail or fd.read(1 << 12)
+            if not raw:
+                break
+            head += inflate.decompress(raw, 5 - len(head))
+    except zlib.error:
+        return False
+    return head == b"WARC/"
+
+
 def _first_member(fd, start: int, end: int) -> int | None:
     """Offset of the first record-bearing member that begins in ``[start, end)``."""
     if start == 0:
@@ -99,12 +116,8 @@ def _first_member(fd, start: int, end: int) -> int | None:
         while hit >= 0:
             if at + hit >= end:
                 return None
-            try:
-                fd.seek(at + hit)
-                if zlib.decompressobj(31).decompress(fd.read(512), 5) == b"WARC/":
-                    return at + hit
-            except zlib.error:
-                pass
+            if _begins_record(fd, at + hit):
+                return at + hit
             hit = window.find(GZIP_MAGIC, hit + 1)
         if len(window) < len(GZIP_MAGIC):
             return None
@@ -147,6 +160,9 @@ class WarcReader(DataSourceReader):
         self.payload = options.get("payload", "true").lower() == "true"
         self.slice_bytes = int(options.get("sliceBytes", str(SLICE_BYTES)))
         self.names = HeaderNames(prefix=options.get("headerPrefix", NAMES.prefix))
+        self.cut_off = options.get("cutOff", "fail")
+        if self.cut_off not in ("fail", "mark"):
+            raise ValueError(f"cutOff is fail or mark, not {self.cut_off!r}")
         wanted = options.get("recTypes")
         self.rec_types = set(wanted.split(",")) if wanted else None
 
@@ -190,9 +206,8 @@ class WarcReader(DataSourceReader):
         return offset
 
     def _records(self, stream, part: _Slice, offset: int) -> Iterator[tuple]:
-        nth = 0
+        nth, line = 0, stream.readline()
         while True:
-            line = stream.readline()
             while line in (b"\r\n", b"\n"):
                 line = stream.readline()
             if not line.startswith(b"WARC/"):
@@ -201,32 +216,52 @@ class WarcReader(DataSourceReader):
             get = {}
             for name, value in fields:
                 get.setdefault(name.lower(), value)
-            left = length = int(get.get("content-length") or 0)
+            truncated = get.get("warc-truncated")
             skip = self.rec_types is not None and get.get("warc-type") not in self.rec_types
+            given = (get.get("content-length") or "0").strip()
+            if given.isascii() and given.isdigit():
+                left = length = int(given)
+                block = None
+            else:
+                # without a length the block goes on to the next record
+                lines = []
+                line = stream.readline()
+                while line and not line.startswith(b"WARC/1."):
+                    lines.append(line)
+                    line = stream.readline()
+                block = io.BytesIO(b"".join(lines).removesuffix(b"\r\n\r\n"))
+                left = length = block.getbuffer().nbytes
+                truncated = truncated or "unspecified"
+            source = stream if block is None else block
             start_line = http = payload = None
             if not skip:
-                is_http = (get.get("content-type") or "").startswith("application/http")
-                if is_http and length:
-                    first = stream.readline()
-                    head = io.BytesIO(first)
+                if (get.get("content-type") or "").startswith("application/http") and length:
+                    # a head may fill its record to the last byte, with no empty line after it
+                    first = source.readline(left)
                     left -= len(first)
                     lines = []
                     while left > 0:
-                        more = stream.readline()
+                        more = source.readline(left)
                         left -= len(more)
                         if not more.rstrip(b"\r\n"):
                             break
                         lines.append(more)
-                    start_line = _text(head.getvalue().rstrip(b"\r\n"))
+                    start_line = _text(first.rstrip(b"\r\n"))
                     http = _header_lines(io.BytesIO(b"".join(lines)))
                 if self.payload:
-                    payload = stream.read(left)
-                    left = 0
+                    payload = source.read(left)
+                    left -= len(payload)
             while left > 0:
-                got = stream.read(min(left, CHUNK))
+                got = source.read(min(left, CHUNK))
                 if not got:
                     break
                 left -= len(got)
+            if left > 0:
+                if self.cut_off == "fail":
+                    raise ValueError(f"{part.path} ends inside a record; read it with cutOff=mark to keep what is there")
+                truncated, length = truncated or "unspecified", length - left
+            if block is None:
+                line = stream.readline()
             if not skip:
                 yield (
                     part.path, part.file_seq, (offset << SEQ_SHIFT) + nth, get.get("warc-record-id"),
@@ -234,7 +269,7 @@ class WarcReader(DataSourceReader):
                     get.get("content-type"), length, get.get("warc-payload-digest"),
                     get.get("warc-refers-to"), get.get("warc-refers-to-target-uri"),
                     _date(get.get("warc-refers-to-date")), get.get("warc-concurrent-to"),
-                    get.get("warc-warcinfo-id"), get.get("warc-truncated"),
+                    get.get("warc-warcinfo-id"), truncated,
                     get.get(self.names.request_id.lower()), get.get(self.names.sub_type.lower()),
                     get.get("warc-ip-address"), fields, start_line, http, payload,
                 )
@@ -352,21 +387,25 @@ def register(spark: SparkSession) -> None:
 
 def read_warc(spark: SparkSession, paths: str | list[str], payload: bool = True,
               rec_types: list[str] | None = None, slice_bytes: int = SLICE_BYTES,
-              names: HeaderNames = NAMES) -> DataFrame:
+              names: HeaderNames = NAMES, cut_off: str = "fail") -> DataFrame:
     """Records of archives; list position becomes ``file_seq``.
 
+    An archive that ends inside a record ends the job; ``cut_off="mark"`` keeps
+    what is there of that record, with ``truncated`` set.  A record without a
+    usable length is read up to the next one and marked the same way.
+
     ``payload=False`` skips bodies, ``rec_types`` other record types, both
     while scanning (a Python source is not told which columns are needed).
     """
     register(spark)
     push = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
     reader = spark.read.format("warc").option("payload", str(payload).lower()).option("pushdown", push) \
-        .option("sliceBytes", slice_bytes).option("headerPrefix", names.prefix)
+        .option("sliceBytes", slice_bytes).option("headerPrefix", names.prefix).option("cutOff", cut_off)
     if rec_types:
         reader = reader.option("recTypes", ",".join(rec_types))
-    if isinstance(paths, str):
-        return reader.load(paths)
-    return reader.option("paths", json.dumps(list(paths))).load()
+    records = reader.load(paths) if isinstance(paths, str) else reader.option("paths", json.dumps(list(paths))).load()
+    # record_seq is made of byte offsets: windows over it are cut every SLICE_SPAN, not every so many numbers
+    return records.withColumn("record_seq", F.col("record_seq").alias("record_seq", metadata={SPAN_KEY: SLICE_SPAN}))
 
 
 def write_warc(records: DataFrame, path: str, mode: str = "errorifexists", partitions: int | None = None) -> None:

@@ -9,7 +9,7 @@ from arcloom.session import scratch_path
 from arcloom.sources.warc import read_warc, write_warc
 from arcloom.streaming.dispatch import Handler, dispatcher
 
-ITEM = "file_path STRING, file_seq INT, record_seq BIGINT, "
+ITEM = "file_path STRING, file_seq BIGINT, record_seq BIGINT, "
 
 
 def items(spark, schema, *rows):
@@ -62,7 +62,7 @@ def test_records_carry_the_id_of_the_capture_start_before_them(spark):
 def test_conversions_refer_to_the_newest_document_before(spark):
     rows = [(0, 1, "d1", "u", True, False), (0, 2, "c1", "u", False, True), (0, 3, "d2", "u", True, False), (0, 4, "c2", "u", False, True),
             (0, 5, "c3", "other", False, True), (1, 6, "c4", "u", False, True)]
-    df = spark.createDataFrame(rows, "file_seq INT, record_seq BIGINT, record_id STRING, target_uri STRING, doc BOOLEAN, conv BOOLEAN")
+    df = spark.createDataFrame(rows, "file_seq BIGINT, record_seq BIGINT, record_id STRING, target_uri STRING, doc BOOLEAN, conv BOOLEAN")
     for span in (1, 1 << 20):
         out = records.asof_document(df, F.col("doc"), F.col("conv"), span)
         assert {(r.record_id, r.refers_to) for r in out.collect()} == {("c1", "d1"), ("c2", "d2"), ("c3", None), ("c4", None)}
@@ -174,9 +174,11 @@ def test_dispatch_pushes_to_every_handler_in_turn(spark):
 def test_revisits_of_revisits_are_resolved(spark):
     rows = [("a", "response", None), ("b", "revisit", "a"), ("c", "revisit", "b"), ("d", "revisit", "c"), ("e", "revisit", "d"),
             ("f", "revisit", "gone"), ("x", "revisit", "y"), ("y", "revisit", "x")]
-    df = spark.createDataFrame(rows, "record_id STRING, rec_type STRING, refers_to STRING")
-    got = {r.record_id: r.resolved_id for r in records.resolve_revisits(df).collect()}
-    assert got == {"b": "a", "c": "a", "d": "a", "e": "a", "f": "gone", "x": None, "y": None}
+    rows += [("b", "revisit", "elsewhere"), ("z", "revisit", "b")]  # of a repeated id the first one counts
+    df = spark.createDataFrame([(0, i, *r) for i, r in enumerate(rows)],
+                               "file_seq BIGINT, record_seq BIGINT, record_id STRING, rec_type STRING, refers_to STRING")
+    got = sorted((r.record_id, r.resolved_id or "") for r in records.resolve_revisits(df).collect())
+    assert got == [("b", "a"), ("b", "elsewhere"), ("c", "a"), ("d", "a"), ("e", "a"), ("f", "gone"), ("x", ""), ("y", ""), ("z", "a")]
 
 
 def test_json_lines_stream_and_output_name(spark):
@@ -195,3 +197,101 @@ def test_json_lines_stream_and_output_name(spark):
                     {"id": 2, "data": None, "s": "x", "at": "2020-09-13T12:26:40.000000Z"}]
     name = sinks.output_name("/{host}/{date}/{seqnum}.gz", F.lit("h"), F.lit("d"), F.lit(7))
     assert spark.range(1).select(name.alias("n")).first().n == "/h/d/7.gz"
+
+
+# --- archives of other writers -----------------------------------------------------------
+
+
+def member(record, extra=b""):
+    """A gzip member with an extra field in its header."""
+    import struct
+    import zlib
+    body = zlib.compressobj(6, zlib.DEFLATED, -15)
+    packed = body.compress(record) + body.flush()
+    head = b"\x1f\x8b\x08" + (b"\x04" if extra else b"\x00") + b"\0\0\0\0\0\x03"
+    return head + (struct.pack("<H", len(extra)) + extra if extra else b"") + packed + struct.pack(
+        "<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
+
+
+def raw_record(block, n, length=None, kind="application/http; msgtype=response"):
+    given = len(block) if length is None else length
+    return (f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: r{n}\r\nContent-Type: {kind}\r\n"
+            f"Content-Length: {given}\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+
+def stored(tmp_path, name, data):
+    path = tmp_path / name
+    path.write_bytes(data)
+    return str(path)
+
+
+def test_members_with_long_gzip_headers_are_found_in_slices(spark, tmp_path):
+    path = stored(tmp_path, "a.warc.gz", b"".join(
+        member(raw_record(b"HTTP/1.1 200 OK\r\n\r\nbody %d" % i, i), extra=b"x" * 6000) for i in range(50)))
+    for size in (0, 1000, 7000):
+        rows = read_warc(spark, path, slice_bytes=size).collect()
+        assert sorted(r.record_id for r in rows) == sorted(f"r{i}" for i in range(50))
+        assert {bytes(r.payload) for r in rows} == {b"body %d" % i for i in range(50)}
+
+
+@pytest.mark.parametrize("suffix", ["warc", "warc.gz"])
+@pytest.mark.parametrize("payload", [True, False])
+def test_heads_without_an_empty_line(spark, tmp_path, suffix, payload):
+    blocks = [b"HTTP/1.1 301 Moved\r\nLocation: /x\r\n", b"HTTP/1.1 304 Same\r\nETag: 1", b"HTTP/1.1 204 None",
+              b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nbody"]
+    pack = member if suffix.endswith("gz") else bytes
+    path = stored(tmp_path, f"b.{suffix}", b"".join(pack(raw_record(b, i)) for i, b in enumerate(blocks)))
+    rows = {r.record_id: r for r in read_warc(spark, path, payload=payload).collect()}
+    assert [rows[f"r{i}"].http_start_line for i in range(4)] == ["HTTP/1.1 301 Moved", "HTTP/1.1 304 Same", "HTTP/1.1 204 None", "HTTP/1.1 200 OK"]
+    assert [[(h.name, h.value) for h in rows[f"r{i}"].http_headers] for i in range(4)] == [
+        [("Location", "/x")], [("ETag", "1")], [], [("A", "b")]]
+    if payload:
+        assert [bytes(rows[f"r{i}"].payload) for i in range(4)] == [b"", b"", b"", b"body"]
+
+
+@pytest.mark.parametrize("suffix", ["warc", "warc.gz"])
+def test_archives_that_end_inside_a_record(spark, tmp_path, suffix):
+    pack = member if suffix.endswith("gz") else bytes
+    block = os.urandom(3000)
+    data = pack(raw_record(b"first", 0, kind="text/plain")) + pack(raw_record(block, 1, kind="text/plain"))
+    path = stored(tmp_path, f"c.{suffix}", data[:-1500])
+    with pytest.raises(Exception, match="ends inside a record"):
+        read_warc(spark, path).collect()
+    rows = {r.record_id: r for r in read_warc(spark, path, cut_off="mark").collect()}
+    assert (rows["r0"].truncated, bytes(rows["r0"].payload)) == (None, b"first")
+    assert rows["r1"].truncated == "unspecified" and block.startswith(bytes(rows["r1"].payload))
+    assert 0 < rows["r1"].content_length == len(rows["r1"].payload) < 3000
+
+
+@pytest.mark.parametrize("suffix", ["warc", "warc.gz"])
+def test_a_record_without_a_usable_length_is_marked(spark, tmp_path, suffix):
+    pack = member if suffix.endswith("gz") else bytes
+    path = stored(tmp_path, f"d.{suffix}", b"".join(
+        pack(raw_record(b"text %d" % i, i, length=given, kind="text/plain")) for i, given in enumerate([None, "many", "-2", None])))
+    rows = {r.record_id: r for r in read_warc(spark, path).collect()}
+    assert [bytes(rows[f"r{i}"].payload) for i in range(4)] == [b"text %d" % i for i in range(4)]
+    assert [rows[f"r{i}"].truncated for i in range(4)] == [None, "unspecified", "unspecified", None]
+
+
+def test_page_ids_beyond_four_bytes(spark):
+    rows = items(spark, "payload STRING", (0, "{}")).withColumn("file_seq", F.lit(3_000_000_000).cast("bigint"))
+    assert records.build_records({"warcinfo": rows}).first().file_seq == 3_000_000_000
+
+
+def test_screenshot_numbers_are_never_cut(spark):
+    images = spark.range(100_002).select(
+        F.lit(0).cast("bigint").alias("file_seq"), F.col("id").alias("record_seq"), F.lit("conversion").alias("rec_type"),
+        F.lit("image/png").alias("content_type"), F.lit("http://h/").alias("target_uri"),
+        F.array(F.struct(F.lit(records.HeaderNames().y_offset).alias("name"), F.lit("0").alias("value"))).alias("headers"))
+    names = screenshots.manifest(images, "s-").select("file").distinct()
+    assert names.count() == 100_002
+    assert names.filter("file IN ('s-00007.png', 's-100000.png', 's-100001.png')").count() == 3
+
+
+def test_windows_over_archives_have_few_segments(spark, tmp_path):
+    from arcloom.schema import SPAN_KEY
+    path = stored(tmp_path, "e.warc.gz", b"".join(member(raw_record(b"x", i, kind="text/plain")) for i in range(240)))
+    recs = read_warc(spark, path)
+    span = recs.select("file_seq", "record_seq").schema["record_seq"].metadata[SPAN_KEY]
+    assert recs.select(F.expr(f"record_seq div {span}")).distinct().count() == 1
+    assert records.asof_warcinfo(recs).count() == 240

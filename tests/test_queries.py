@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 import oracle
+from arcloom import plans
 
 SF = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
 
@@ -15,7 +16,7 @@ def db():
     return oracle.connect(SF)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(plans.QUERIES))
 def test_query(spark, db, name):
     took, rows, problem = oracle.compare(spark, db, name, SF, entry.queries(), entry.oracle_sql())
     assert problem is None
@@ -23,7 +24,7 @@ def test_query(spark, db, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(plans.QUERIES) == set(plans.ORACLES)
 
 
 def test_entry(spark):
