@@ -9,12 +9,25 @@ from arcloom.plans.base import fill_records
 
 
 @pytest.mark.parametrize("affects,installed,hit", [
-    (["a<1.0"], {"a": "0.1"}, True), (["a<1.0"], {"a": "1.0"}, False), (["a<1.0"], {"b": "1.0"}, False),
-    (["a<1.0,>0.1"], {"a": "0.1"}, False), (["a<1.0,>0.1"], {"a": "0.2"}, True), (["a<1.0,>0.1"], {"a": "1.0"}, False),
-    (["a<1.0", "b>1.0"], {"a": "0.1"}, False), (["a<1.0", "b>1.0"], {"b": "1.1"}, False),
-    (["a<1.0", "b>1.0"], {"a": "0.1", "b": "1.1"}, True),
-    (["a==1.0.0"], {"a": "1.0"}, True), (["a!=1.0"], {"a": "1.0.0"}, False), (["a>=1.9"], {"a": "1.10"}, True),
-    (["a<=2"], {"a": "2.0.1"}, False), (["a"], {"a": "7"}, True), (["a<1.0"], {"a": "0.9rc1"}, False),
+    # own cases: ordering, equal releases of unequal length, all operators
+    (["grab<=2.4"], {"grab": "2.3.9"}, True), (["grab<=2.4"], {"grab": "2.4.0.0"}, True), (["grab<=2.4"], {"grab": "2.10"}, False),
+    (["grab>3,<=5"], {"grab": "5.0"}, True), (["grab>3,<=5"], {"grab": "3"}, False), (["grab!=7"], {"grab": "7.0.0"}, False),
+    (["grab>=1", "store<4"], {"grab": "1", "store": "3.9"}, True), (["grab>=1", "store<4"], {"grab": "1"}, False),
+    (["grab"], {"grab": "anything"}, True), (["grab>=1"], {"grab": "anything"}, False), (["grab==4.2"], {}, False),
+    # pre-, post- and development releases
+    (["grab<2"], {"grab": "1.9rc1"}, True), (["grab<2"], {"grab": "1.9.dev3"}, True), (["grab<2"], {"grab": "1.9.post1"}, True),
+    (["grab<2"], {"grab": "v1.9"}, True), (["grab<2"], {"grab": "2.0rc1"}, False), (["grab<2rc2"], {"grab": "2.0rc1"}, True),
+    (["grab>2"], {"grab": "2.0.post1"}, False), (["grab>2"], {"grab": "2.0.1"}, True), (["grab>=2"], {"grab": "2.0.post1"}, True),
+    (["grab>=2"], {"grab": "2.0b4"}, False), (["grab>2a1"], {"grab": "2a2"}, True), (["grab>2.dev5"], {"grab": "2a1"}, True),
+    (["grab<=2"], {"grab": "2+build.7"}, True), (["grab==2"], {"grab": "2.0+build.7"}, True), (["grab==2+b"], {"grab": "2"}, False),
+    (["grab>9"], {"grab": "1!1"}, True),
+    # prefixes and compatible releases
+    (["grab==3.1.*"], {"grab": "3.1.8"}, True), (["grab==3.1.*"], {"grab": "3.10"}, False), (["grab==3.0.*"], {"grab": "3"}, True),
+    (["grab!=3.*"], {"grab": "3.5"}, False), (["grab~=1.4"], {"grab": "1.9"}, True), (["grab~=1.4.2"], {"grab": "1.5"}, False),
+    (["grab~=1.4"], {"grab": "2.0"}, False), (["grab~=1.4"], {"grab": "1.3"}, False),
+    # any number of parts, any size
+    (["grab==1"], {"grab": "1.0.0.0.0.0.0.0.1"}, False), (["grab>1"], {"grab": "1.0.0.0.0.0.0.0.1"}, True),
+    (["grab>1"], {"grab": "20230101120000"}, True), (["grab>=20230101120000"], {"grab": "20230101120001.1"}, True),
 ])
 def test_requirements(spark, affects, installed, hit):
     pairs = [x for k, v in installed.items() for x in (F.lit(k), F.lit(v))]
@@ -22,7 +35,7 @@ def test_requirements(spark, affects, installed, hit):
     assert spark.range(1).select(matched.alias("m")).first().m is hit
 
 
-@pytest.mark.parametrize("text", ["a<x", "a<1.0;b", "<1", "a<1.0,~2"])
+@pytest.mark.parametrize("text", ["a<x", "a<1.0;b", "<1", "a<1.0,~2", "a~=2", "a<1.*"])
 def test_bad_requirements(text):
     with pytest.raises(ValueError):
         E.parse_requirement(text)
