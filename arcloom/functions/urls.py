@@ -46,19 +46,38 @@ def is_valid_web_url(url: Column | str) -> Column:
     return is_web(url) & is_absolute(url)
 
 
+def _without_dots(path: Column) -> Column:
+    """Path without ``.`` and ``..`` segments."""
+    segments = F.split(path, "/")
+    last = F.element_at(segments, -1)
+    kept = F.aggregate(segments, F.array().cast("array<string>"), lambda acc, s: F.when(s == ".", acc)
+                       .when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(F.concat(acc, F.array(s))))
+    joined = F.concat(F.array_join(kept, "/"), F.when(last.isin(".", ".."), F.lit("/")).otherwise(F.lit("")))
+    dotted = path.rlike(r"/\.\.?(/|$)")
+    return F.when(dotted, F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))).otherwise(path)
+
+
+def _upper_escapes(text: Column) -> Column:
+    pieces = F.transform(F.split(text, "%"), lambda p, i: F.when(
+        (i > 0) & p.rlike("^[0-9A-Fa-f]{2}"), F.concat(F.upper(F.substring(p, 1, 2)), p.substr(F.lit(3), F.length(p)))).otherwise(p))
+    return F.when(F.contains(text, F.lit("%")), F.array_join(pieces, "%")).otherwise(text)
+
+
 def normalize(url: Column | str) -> Column:
-    """Comparable form: scheme and host in lower case, default port and fragment gone.
+    """Comparable form: scheme and host in lower case, default port, fragment and dot segments gone, escapes in upper case.
 
-    Percent-encoding is left as it is (documented limit).
+    Characters are neither escaped nor unescaped.  What is no absolute URL only loses its fragment.
     """
     u = strip_fragment(url)
-    pattern = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?]*)(.*)$"
-    authority = F.lower(F.regexp_extract(u, pattern, 2))
-    rest = F.regexp_extract(u, pattern, 3)
-    default_port = F.when(scheme(u) == "http", F.lit(r":80$")).when(scheme(u) == "https", F.lit(r":443$"))
+    pattern = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?]*)([^?]*)(.*)$"
+    given = F.regexp_extract(u, pattern, 2)
+    user = F.regexp_extract(given, "^(.*@)", 1)
+    authority = F.concat(user, F.lower(F.regexp_replace(given, "^.*@", "")))
+    path, query = F.regexp_extract(u, pattern, 3), F.regexp_extract(u, pattern, 4)
+    default_port = F.when(scheme(u) == "http", F.lit(r":(80)?$")).when(scheme(u) == "https", F.lit(r":(443)?$"))
     bare = F.coalesce(F.regexp_replace(authority, default_port, F.lit("")), authority)
-    path = F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))
-    return F.when(is_absolute(u), F.concat(scheme(u), F.lit("://"), bare, path)).otherwise(u)
+    rooted = F.when(path == "", F.lit("/")).otherwise(_without_dots(path))
+    return F.when(is_absolute(u), F.concat(scheme(u), F.lit("://"), bare, _upper_escapes(F.concat(rooted, query)))).otherwise(u)
 
 
 def resolve(base: Column | str, link: Column | str) -> Column:

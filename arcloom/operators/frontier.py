@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arcloom.functions.urls import is_web, strip_fragment
+from arcloom.functions.urls import is_web, normalize
 from arcloom.operators.skew import hot_keys, lookup_join
 from arcloom.session import cut_lineage, scratch_path
 
@@ -30,7 +30,7 @@ def crawl(edges: DataFrame, seeds: DataFrame, policy: Column | Callable[[DataFra
 
     ``edges``: ``(src_url, dst_url)``; ``seeds``: ``(url)``.  The policy, a
     predicate over ``url`` and ``depth`` or a function of the candidate rows,
-    is not applied to seeds.  URLs of
+    is not applied to seeds.  Pages are told apart by their normalised URL.  URLs of
     other schemes are listed as ``ignored`` and not followed.
 
     One job per level.  Each level is a written table: it bounds the plan,
@@ -39,8 +39,8 @@ def crawl(edges: DataFrame, seeds: DataFrame, policy: Column | Callable[[DataFra
     """
     spark = edges.sparkSession
     links = cut_lineage(
-        edges.select("src_url", strip_fragment("dst_url").alias("dst_url"))
-        .withColumn("src_url", strip_fragment("src_url"))
+        edges.select("src_url", normalize("dst_url").alias("dst_url"))
+        .withColumn("src_url", normalize("src_url"))
         .filter("src_url <> dst_url"),
         "edges",
     )
@@ -54,7 +54,7 @@ def crawl(edges: DataFrame, seeds: DataFrame, policy: Column | Callable[[DataFra
         level.select("url", "parent_url", status.alias("status")).write.parquet(path)
         return spark.read.schema(LEVEL_DDL).parquet(path)
 
-    start = seeds.select(strip_fragment("url").alias("url")).distinct()
+    start = seeds.select(normalize("url").alias("url")).distinct()
     frontier = write(start.withColumn("parent_url", F.lit(None).cast("string")), 0)
     depth = 0
     while (max_levels is None or depth < max_levels) and not frontier.isEmpty():

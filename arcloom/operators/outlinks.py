@@ -13,16 +13,34 @@ from pyspark.sql import functions as F
 
 from arcloom.fixed_values import LINKS_PER_MESSAGE, VOID_TAGS, WEB_SCHEMES
 from arcloom.functions.urls import resolve
+from arcloom.operators.html_rules import closes_itself, implied_ends
 
 
 def hrefs(html: Column | str) -> Column:
     """Raw ``href`` values of ``a`` and ``area`` elements, by pattern, inside the JVM.
 
-    For well-formed markup without hidden parts; ``link_edges`` walks the tags.
+    Comments and raw-text elements are left out, values may be quoted either way
+    or not at all, and the usual character references are resolved.  Hidden
+    parts are not known here; ``link_edges`` walks the tags.
     """
     html = F.col(html) if isinstance(html, str) else html
-    pattern = r'(?i)<(?:a|area)\s[^>]*?href\s*=\s*"([^"]*)"'
-    return F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
+    shown = F.regexp_replace(html, _UNSEEN, " ")
+    found = F.regexp_extract_all(shown, F.lit(_LINK_TAG), F.lit(1))
+    return F.transform(found, lambda v: _unescaped(F.regexp_replace(v, "^[\"']|[\"']$", "")))
+
+
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>]++)"""
+_LINK_TAG = (rf"""(?is)<(?:a|area)(?:\s++(?!href[\s=])[^\s"'>=]++(?:\s*+=\s*+{_VALUE})?+)*+"""
+             rf"""\s++href\s*+=\s*+({_VALUE})""")
+_UNSEEN = "(?is)<!--.*?-->|" + "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in ("script", "style", "textarea", "title"))
+_REFERENCES = (("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#x27;", "'"), ("&lt;", "<"), ("&gt;", ">"),
+               ("&#38;", "&"), ("&amp;", "&"))
+
+
+def _unescaped(value: Column) -> Column:
+    for reference, character in _REFERENCES:  # the ampersand last, so that nothing is resolved twice
+        value = F.replace(value, F.lit(reference), F.lit(character))
+    return value
 
 
 def link_edges_native(pages: DataFrame) -> DataFrame:
@@ -48,6 +66,9 @@ class _LinkCollector(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
+        ended = implied_ends([t for t, _ in self.open], tag)
+        if ended:
+            del self.open[-ended:]
         style = "".join((a.get("style") or "").lower().split())
         hidden = "display:none" in style or "hidden" in a
         if tag == "base" and a.get("href") and self.base is None:
@@ -59,7 +80,10 @@ class _LinkCollector(HTMLParser):
             self.open.append((tag, hidden))
 
     def handle_startendtag(self, tag, attrs):
+        inside = closes_itself([t for t, _ in self.open])
         self.handle_starttag(tag, attrs)
+        if inside and tag not in VOID_TAGS:
+            self.open.pop()
 
     def handle_endtag(self, tag):
         tags = [t for t, _ in self.open]

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from arcloom.fixed_values import EVENT_ATTRIBUTES, SNAPSHOT_STRIPPED_TAGS, VOID_TAGS
 from arcloom.functions.urls import is_web, strip_fragment
+from arcloom.operators.html_rules import closes_itself, implied_ends
 
 TOKEN_TYPE = (
     "STRUCT<kind: STRING, name: STRING, attrs: ARRAY<STRUCT<name: STRING, value: STRING>>,"
@@ -103,11 +104,14 @@ class _PageTokens(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         listed = [{"name": k, "value": v} for k, v in attrs]
+        for _ in range(implied_ends([t[0] for t in self.tokens.open], tag)):
+            self.tokens.close()
         self.tokens.add("empty" if tag in VOID_TAGS else "start", tag, listed)
 
     def handle_startendtag(self, tag, attrs):
+        inside = closes_itself([t[0] for t in self.tokens.open])
         self.handle_starttag(tag, attrs)
-        if tag not in VOID_TAGS:
+        if inside and tag not in VOID_TAGS:
             self.tokens.close()
 
     def handle_endtag(self, tag):
@@ -258,8 +262,18 @@ def static_snapshots(documents: DataFrame, tags: Sequence[str] = SNAPSHOT_STRIPP
     )
 
 
+_ATTRIBUTE_VALUE = r"""(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?+"""
+
+
 def static_html_native(html: Column) -> Column:
-    """Scripts and event attributes removed by pattern, for well-formed markup."""
-    no_tags = F.regexp_replace(html, r"(?is)<(script|noscript)\b[^>]*>.*?</(script|noscript)\s*>", "")
-    listed = "|".join(EVENT_ATTRIBUTES)
-    return F.regexp_replace(no_tags, rf"(?i)\s({listed})\s*=\s*\"[^\"]*\"", "")
+    """Scripts and event attributes removed by pattern, for markup whose tags are closed as they are opened.
+
+    An element ends at its own end tag.  Attributes go only inside tags, quoted
+    either way, bare or without a value.
+    """
+    no_tags = F.regexp_replace(
+        html, "(?is)" + "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in SNAPSHOT_STRIPPED_TAGS), "")
+    listed = rf"(?:{'|'.join(EVENT_ATTRIBUTES)})(?=[\s=>/])"
+    # from the tag's name, or from where the attribute before this one was taken out
+    kept = rf"""((?:\s++(?!{listed})[^\s"'>=]++{_ATTRIBUTE_VALUE})*+)"""
+    return F.regexp_replace(no_tags, rf"(?is)(<[a-z][^\s>/]*+|(?!\A)\G){kept}\s++{listed}{_ATTRIBUTE_VALUE}", "$1$2")
