@@ -87,3 +87,13 @@ EVENT_ATTRIBUTES = (
     "onsort", "onstalled", "onsubmit", "onsuspend", "ontimeupdate",
     "ontoggle", "onvolumechange", "onwaiting",
 )
+
+# --- fixed values: text stored for a status that has none ----------------------
+NO_STATUS_TEXT = "No status text available"
+
+# --- fixed values: context names of the two levels of stats messages -----------
+PAGE_CONTEXT = "cli"
+CRAWL_CONTEXT = "RecursiveController"
+
+# --- fixed values: meanings of exit codes, by number ---------------------------
+EXIT_NAMES = ("ok", "fail", "browser crash", "navigate error")

@@ -8,8 +8,9 @@ from http.server import BaseHTTPRequestHandler
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from arcloom.fixed_values import NO_STATUS_TEXT
+
 HEADERS_TYPE = "ARRAY<STRUCT<name: STRING, value: STRING>>"
-NO_STATUS_TEXT = "No status text available"
 CRLF = "\r\n"
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arcloom.fixed_values import (
+    CRAWL_CONTEXT,
+    EXIT_NAMES,
     FEED_IGNORED_MESSAGES,
     FEED_TAIL,
     MSG_EXIT,
@@ -17,14 +19,11 @@ from arcloom.fixed_values import (
     MSG_QUEUED,
     MSG_SCHEME_IGNORED,
     MSG_STATS,
+    PAGE_CONTEXT,
     URLS_PER_JOB,
 )
 from arcloom.functions.text import once
 
-# --- fixed values: context names of the two levels of stats messages ----------
-PAGE_CONTEXT = "cli"
-CRAWL_CONTEXT = "RecursiveController"
-
 
 def field(path: str, type_: str = "string") -> Column:
     """A field of the parsed entry ``v``, NULL when absent or of another kind."""
@@ -179,9 +178,6 @@ def latest_totals(parsed: DataFrame, *keys: str, order: str = "seq") -> DataFram
     return cumulative.groupBy(*keys).agg(F.max_by(stats, order).alias("s")).select(*keys, "s.*")
 
 
-EXIT_NAMES = ("ok", "fail", "browser crash", "navigate error")
-
-
 def exit_codes(parsed: DataFrame, *keys: str) -> DataFrame:
     status = field("status", "int")
     name = F.coalesce(F.get(F.array(*[F.lit(n) for n in EXIT_NAMES]), status), F.lit("unknown"))

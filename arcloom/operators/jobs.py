@@ -90,9 +90,8 @@ def state_merge(events: DataFrame, abort_is_final: bool = True) -> DataFrame:
 def report_line(state: DataFrame) -> DataFrame:
     """``(job, report)`` as told to the user who asks for a job's status."""
     return state.select("job", F.format_string(
-        "%s (%s) %s. %d pages finished, %d pending; %d crashed, %d requests, %d failed, %s received.",
-        "url", "job", "status", "have", "pending", "crashed", "requests", "failed",
-        pretty_bytes(F.col("bytesRcv")),
+        "Job %s is %s: pages done %d, waiting %d, crashed %d; requests %d, failed %d; %s from %s",
+        "job", "status", "have", "pending", "crashed", "requests", "failed", pretty_bytes(F.col("bytesRcv")), "url",
     ).alias("report"))
 
 

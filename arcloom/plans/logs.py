@@ -179,9 +179,9 @@ def job_state_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("job_report", f"""
 WITH {SQL_LATEST}
-SELECT job, url || ' (' || job || ') ' || status || '. ' || have || ' pages finished, ' || pending || ' pending; ' || crashed ||
-  ' crashed, ' || requests || ' requests, ' || failed || ' failed, ' ||
-  CASE WHEN bytesRcv < 1024 THEN printf('%.1f B', bytesRcv * 1.0) ELSE printf('%.1f KiB', bytesRcv / 1024) END || ' received.' AS report
+SELECT job, 'Job ' || job || ' is ' || status || ': pages done ' || have || ', waiting ' || pending || ', crashed ' || crashed ||
+  '; requests ' || requests || ', failed ' || failed || '; ' ||
+  CASE WHEN bytesRcv < 1024 THEN printf('%.1f B', bytesRcv * 1.0) ELSE printf('%.1f KiB', bytesRcv / 1024) END || ' from ' || url AS report
 FROM state""")
 def job_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.report_line(jobs.state_latest(job_events(spark, sf_dir)))

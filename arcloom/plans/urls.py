@@ -11,7 +11,7 @@ from arcloom.plans.base import query, table
 
 # configuration of the rule queries
 BLOCKLIST = [
-    (r"^https?://(.+\.)?local(host)?/", "Not acceptable"),
+    (r"^https?://([^/]+\.)?intra(net)?\.", "Private network"),
     (r"^https?://spam-farm\.", "Spam"),
     (r"^HTTP://(www|m)\.", "Plain http"),
     (r"^https?://[^/]+/de/", "Not this language"),
@@ -124,7 +124,7 @@ def policy_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("blocklist", r"""
-SELECT page_id, CASE WHEN regexp_matches(url, '(?i)^https?://(.+\.)?local(host)?/') THEN 'Not acceptable'
+SELECT page_id, CASE WHEN regexp_matches(url, '(?i)^https?://([^/]+\.)?intra(net)?\.') THEN 'Private network'
   WHEN regexp_matches(url, '(?i)^https?://spam-farm\.') THEN 'Spam'
   WHEN regexp_matches(url, '(?i)^http://(www|m)\.') THEN 'Plain http'
   WHEN regexp_matches(url, '(?i)^https?://[^/]+/de/') THEN 'Not this language' ELSE 'accepted' END AS verdict

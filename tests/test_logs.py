@@ -128,7 +128,7 @@ def test_job_states(spark):
     assert state(spark, J.state_latest, *entries, abort_is_final=False)["b"].status == "finished"
     assert latest["c"].status == "undefined"
     report = {r.job: r.report for r in J.report_line(J.state_merge(J.job_events(parsed(spark, *entries)))).collect()}
-    assert report["a"] == "http://a/ (a) running. 2 pages finished, 1 pending; 2 crashed, 7 requests, 0 failed, 0.0 B received."
+    assert report["a"] == "Job a is running: pages done 2, waiting 1, crashed 2; requests 7, failed 0; 0.0 B from http://a/"
     shown = {r.shown_status: r.n_jobs for r in J.fleet(J.state_merge(J.job_events(parsed(spark, *entries)))).collect()}
     assert shown == {"running": 1, "finished": 1, "undefined": 1}
 
