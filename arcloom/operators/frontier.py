@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from arcloom.functions.urls import is_web, normalize
 from arcloom.operators.skew import hot_keys, lookup_join
-from arcloom.session import cut_lineage, scratch_path
+from arcloom.session import cut_lineage, scratch_path, scratch_scope
 
 LEVEL_DDL = "url STRING, parent_url STRING, status STRING"
 
@@ -37,6 +37,12 @@ def crawl(edges: DataFrame, seeds: DataFrame, policy: Column | Callable[[DataFra
     survives lost executors, and its true size lets the optimizer pick the join
     with the edge table.  Hot pages (many out-links) are found once and salted.
     """
+    with scratch_scope():  # the edges; what is reached is kept
+        return _crawl(edges, seeds, policy, max_levels)
+
+
+def _crawl(edges: DataFrame, seeds: DataFrame, policy: Column | Callable[[DataFrame], DataFrame] | None,
+           max_levels: int | None) -> DataFrame:
     spark = edges.sparkSession
     links = cut_lineage(
         edges.select("src_url", normalize("dst_url").alias("dst_url"))

@@ -51,6 +51,79 @@ def stream_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
         C.joined_headers(F.col("request.headers")).alias("rq_headers"))
 
 
+ARRIVALS = 4
+
+
+def arriving(spark: SparkSession, df: DataFrame, folder: str) -> DataFrame:
+    """A stream over a folder that is still empty."""
+    df.filter("false").write.parquet(folder)
+    return spark.readStream.schema(df.schema).parquet(folder)
+
+
+def in_arrivals(df: DataFrame, order: str, folder: str, take) -> None:
+    """Let a table come in over time: ``ARRIVALS`` parts in the order of ``order``, ``take()`` after each."""
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    part = F.expr(f"least(({order} - {low}) * {ARRIVALS} div {max(high - low, 1)}, {ARRIVALS - 1})")
+    for i in range(ARRIVALS):
+        df.filter(part == i).write.mode("append").parquet(folder)
+        take()
+
+
+@query("stream_captures_arrivals", f"""
+WITH {C.SQL_CAPTURES}
+SELECT page_id, request_id, start_seq, emit_seq, outcome, status, bytes_received FROM caps WHERE outcome <> 'open'""")
+def stream_captures_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures whose events come in several micro-batches, with open requests carried between them."""
+    base = scratch_path(spark, "stream-arrivals")
+    worker = captures.CaptureAssembler(f"{base}/out", f"{base}/state")
+    events = table(spark, sf_dir, "events")
+    source = arriving(spark, events, f"{base}/in")
+    in_arrivals(events, "event_id", f"{base}/in",
+                lambda: sinks.run_available(C.raw_events(source), worker, f"{base}/checkpoint"))
+    out = sinks.read_batches(spark, f"{base}/out", captures.EPISODE_SCHEMA + ", batch_id INT")
+    rs = F.col("response")
+    return out.select("page_id", "request_id", "start_seq", "emit_seq", "outcome", F.coalesce(rs["status"], F.lit(0)).alias("status"),
+                      F.coalesce(rs["bytes_received"], F.lit(0)).alias("bytes_received"))
+
+
+@query("stream_replay_live", f"""
+WITH {L.SQL_LOG}, b AS (SELECT min(event_id) AS low, max(event_id) AS high FROM events),
+f AS (SELECT seq, least((seq - low) * {ARRIVALS} // greatest(high - low, 1), {ARRIVALS - 1}) AS part FROM m, b WHERE NOT is_noise)
+SELECT seq FROM f WHERE part > 1
+UNION ALL (SELECT seq FROM f WHERE part <= 1 ORDER BY seq DESC LIMIT 1000)""")
+def stream_replay_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a subscriber sees who joins after the second arrival: the tail of that time, then all later lines."""
+    base = scratch_path(spark, "stream-replay")
+    worker = feed.FeedWriter(f"{base}/out", f"{base}/tail")
+    events = table(spark, sf_dir, "events")
+    source = L.log_lines(arriving(spark, events, f"{base}/in"))
+    ends = []
+
+    def take() -> None:
+        ends.append(sinks.run_available(source, worker, f"{base}/checkpoint").lastProgress["batchId"])
+
+    in_arrivals(events, "event_id", f"{base}/in", take)
+    history, live = feed.replay(spark, worker, ends[1])
+    sinks.run_available(live, lambda df, i: sinks.write_batch(df, f"{base}/live", i), f"{base}/live-checkpoint")
+    later = sinks.read_batches(spark, f"{base}/live", feed.FEED_SCHEMA + ", batch_id INT")
+    return history.select("seq").unionByName(later.select("seq"))
+
+
+@query("stream_links_arrivals", rf"""
+WITH {U.SQL_HREFS},
+l AS (SELECT regexp_extract(url, '^(https?://[^/?#]+)', 1) || link AS url, split_part(url, '#', 1) AS parent FROM hrefs)
+SELECT DISTINCT url FROM l""")
+def stream_links_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links that are new when their page arrives, each reported once over all micro-batches."""
+    base = scratch_path(spark, "stream-links")
+    pages = table(spark, sf_dir, "pages")
+    source = outlinks.link_edges_native(arriving(spark, pages, f"{base}/in"))
+    edges = source.select(F.substring_index("url", "#", 1).alias("src_url"), "dst_url")
+    worker = feed.LinkDiscovery(f"{base}/visited")
+    in_arrivals(pages, "page_id", f"{base}/in", lambda: sinks.run_available(edges, worker, f"{base}/checkpoint"))
+    return sinks.read_batches(spark, f"{base}/visited", feed.VISITED_SCHEMA + ", batch_id INT").select("url")
+
+
 @query("stream_stats", f"""
 WITH {C.SQL_CAPTURES}
 SELECT page_id, count(*) AS requests, count(*) FILTER (outcome <> 'failed') AS finished,

@@ -8,6 +8,8 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -84,6 +86,31 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Tables that ``cut_lineage`` writes inside are removed at the end: for work whose result is kept elsewhere."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(path)
+
+
+def remove(path: str) -> None:
+    """Delete a folder below the scratch root, if it is there."""
+    from pyarrow import fs
+
+    from arcloom.sources.files import locate
+
+    system, p = locate(path)
+    if system.get_file_info(p).type == fs.FileType.Directory:
+        system.delete_dir(p)
+
+
 def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to the scratch folder and read it back.
 
@@ -92,5 +119,7 @@ def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from arcloom.fixed_values import EV_FAILED, EV_FINISHED, EV_REQUEST, EV_RESPONSE
 from arcloom.operators import capture
 from arcloom.operators.skew import SEGMENT_SPAN, lookup_join
-from arcloom.session import cut_lineage
+from arcloom.session import cut_lineage, remove, scratch_scope
 from arcloom.sources.events import RAW_SCHEMA
 from arcloom.streaming.sinks import write_batch
 
@@ -33,6 +33,12 @@ class CaptureAssembler:
         self.out, self.state, self.expire_seconds, self.span = out, state, expire_seconds, span
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        with scratch_scope():
+            self._take(batch, batch_id)
+        # a batch that is run again needs the state before it, and no earlier one
+        remove(f"{self.state}/batch_id={batch_id - 2}")
+
+    def _take(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         columns = [c.split()[0] for c in RAW_SCHEMA.split(", ")]
         events = batch.filter(F.col("method").isin(EV_REQUEST, EV_RESPONSE, EV_FINISHED, EV_FAILED)).select(*columns)

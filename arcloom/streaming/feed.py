@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 
 from arcloom.fixed_values import FEED_TAIL
 from arcloom.operators import crawl_log, frontier
-from arcloom.session import cut_lineage
+from arcloom.session import cut_lineage, remove, scratch_scope
 from arcloom.streaming.sinks import read_batches, write_batch
 
 FEED_SCHEMA = "seq BIGINT, line STRING"
 
 
 class FeedWriter:
-    """``foreachBatch`` consumer: cleaned lines go to ``out``, the newest ``n`` also to ``tail``."""
+    """``foreachBatch`` consumer: cleaned lines go to ``out``, the newest ``n`` also to ``tail``.
 
-    def __init__(self, out: str, tail: str, n: int = FEED_TAIL) -> None:
-        self.out, self.tail, self.n = out, tail, n
+    Tails of the last ``keep`` batches stay, for subscribers that join at one of them.
+    """
+
+    def __init__(self, out: str, tail: str, n: int = FEED_TAIL, keep: int = 16) -> None:
+        self.out, self.tail, self.n, self.keep = out, tail, n, max(keep, 2)
 
     def __call__(self, lines: DataFrame, batch_id: int) -> None:
         spark = lines.sparkSession
@@ -26,6 +29,7 @@ class FeedWriter:
         if batch_id > 0:
             newest = newest.unionByName(spark.read.schema(FEED_SCHEMA).parquet(f"{self.tail}/batch_id={batch_id - 1}"))
         write_batch(crawl_log.tail(newest, n=self.n), self.tail, batch_id)
+        remove(f"{self.tail}/batch_id={batch_id - self.keep}")
 
 
 def replay(spark: SparkSession, writer: FeedWriter, upto_batch: int) -> tuple[DataFrame, DataFrame]:
@@ -59,7 +63,8 @@ class LinkDiscovery:
         else:
             seen = read_batches(spark, self.visited, VISITED_SCHEMA + ", batch_id INT")
             found = frontier.new_links(candidates, seen.filter(F.col("batch_id") < batch_id))
-        write_batch(cut_lineage(found, "links"), self.visited, batch_id)
+        with scratch_scope():  # the batch reads the folder that it adds to
+            write_batch(cut_lineage(found, "links"), self.visited, batch_id)
 
 
 def new_links_within(edges: DataFrame, ts: str, horizon: str) -> DataFrame:
