@@ -14,7 +14,7 @@ from arcloom.functions.urls import request_target
 from arcloom.operators.capture import emitted
 from arcloom.operators.skew import lookup_join, ordered_scan
 from arcloom.schema import NAMES, ORDER, RECORD_COLUMNS, HeaderNames
-from arcloom.session import cut_lineage
+from arcloom.session import cut_lineage, scratch_path, scratch_scope
 
 
 def as_records(df: DataFrame, names: HeaderNames = NAMES, extra: Column | None = None,
@@ -313,6 +313,13 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     which come out with a NULL ``resolved_id``.  Every revisit comes out once;
     an id that repeats stands for its first revisit in input order.
     """
+    path = scratch_path(records.sparkSession, "resolved")
+    with scratch_scope():  # the rounds go, the result stays
+        _resolved(records).write.parquet(path)
+    return records.sparkSession.read.schema("record_id STRING, resolved_id STRING").parquet(path)
+
+
+def _resolved(records: DataFrame) -> DataFrame:
     moving = None
     links = cut_lineage(
         records.filter("rec_type = 'revisit'").select(*ORDER, "record_id", F.col("refers_to").alias("resolved_id")), "revisits")

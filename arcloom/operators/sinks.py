@@ -32,25 +32,45 @@ def stream_json_lines(df: DataFrame, path: str, checkpoint: str):
     )
 
 
+def has_template(name: str) -> bool:
+    """Whether an output name has parts to fill: then every page gets a file of its own, else all share one output."""
+    return "{" in name and "}" in name
+
+
 def output_name(template: str, host_: Column, date: Column, seqnum: Column) -> Column:
-    """``{host}-{date}-{seqnum}.warc.gz`` filled per row."""
+    """``{host}-{date}-{seqnum}.warc.gz`` filled per row; a name without parts is the same for all rows."""
     name = F.lit(template)
     for part, value in (("{host}", host_), ("{date}", date), ("{seqnum}", seqnum.cast("string"))):
         name = F.replace(name, F.lit(part), value)
     return name
 
 
-def with_output_parts(df: DataFrame, url: str, date: Column, order: str, start: int = 1,
+def with_output_parts(df: DataFrame, url: str, date: Column, order: str, crawl: str | None = None, start: int = 1,
                       span: int = SEGMENT_SPAN) -> DataFrame:
-    """Add ``host``, ``date`` and ``seqnum`` (1, 2, … per host in order), the parts of an output name."""
+    """Add ``host``, ``date`` and ``seqnum`` (1, 2, … per crawl in order), the parts of an output name.
+
+    ``crawl`` names the column that tells crawls apart; without it all rows are of one.
+    """
     parts = df.withColumn("host", F.coalesce(host(url), F.lit(""))).withColumn("date", date)
-    return numbered(parts, ["host"], order, "seqnum", start=start, span=span)
+    if crawl is not None:
+        return numbered(parts, [crawl], order, "seqnum", start=start, span=span)
+    return numbered(parts.withColumn("__crawl", F.lit(0)), ["__crawl"], order, "seqnum", start=start, span=span).drop("__crawl")
 
 
-def write_by_host(df: DataFrame, path: str, append: bool = False) -> None:
-    """One folder per host and date; refuses an existing output unless appending.
+def write_outputs(df: DataFrame, path: str, append: bool = False, template: str = "{host}-{date}") -> None:
+    """One folder per filled template, or one output for all rows if it has no parts to fill.
 
-    Rows go straight from their tasks into the folders: a large host is written
-    by many tasks rather than gathered in one.
+    Refuses an existing output unless appending.  Rows of a folder are brought
+    together so that it gets few files; a large folder is split over tasks.
     """
-    df.write.mode("append" if append else "errorifexists").partitionBy("host", "date").parquet(path)
+    mode = "append" if append else "errorifexists"
+    if not has_template(template):
+        df.write.mode(mode).parquet(f"{path}/{template}")
+        return
+    keys = [k for k in ("host", "date", "seqnum") if "{" + k + "}" in template]
+    df.hint("rebalance", *keys).write.mode(mode).partitionBy(*keys).parquet(path)
+
+
+def write_by_host(df: DataFrame, path: str, append: bool = False) -> None:
+    """One folder per host and date."""
+    write_outputs(df, path, append, "{host}-{date}")

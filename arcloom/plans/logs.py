@@ -290,7 +290,7 @@ def json_lines_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("partitioned_output", r"""
 WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages),
 n AS (SELECT page_id, host, '2024-01-0' || (page_id % 3 + 1) AS date,
-             row_number() OVER (PARTITION BY host ORDER BY page_id) AS seqnum FROM p)
+             row_number() OVER (ORDER BY page_id) AS seqnum FROM p)
 SELECT *, host || '-' || date || '-' || seqnum || '.warc.gz' AS name FROM n""")
 def partitioned_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")

@@ -199,6 +199,26 @@ def test_json_lines_stream_and_output_name(spark):
     assert spark.range(1).select(name.alias("n")).first().n == "/h/d/7.gz"
 
 
+def test_outputs_with_and_without_a_template(spark):
+    from arcloom.operators import sinks
+
+    pages = spark.createDataFrame([(i, f"http://{'ab'[i % 2]}.test/{i}", f"c{i % 3 // 2}") for i in range(12)], "id BIGINT, url STRING, crawl STRING")
+    rows = sinks.with_output_parts(pages, "url", F.lit("d"), "id").orderBy("id").collect()
+    assert [(r.host, r.seqnum) for r in rows] == [(f"{'ab'[i % 2]}.test", i + 1) for i in range(12)]
+    by_crawl = {r.id: r.seqnum for r in sinks.with_output_parts(pages, "url", F.lit("d"), "id", crawl="crawl").collect()}
+    assert by_crawl == {i: sum(1 for j in range(i + 1) if j % 3 // 2 == i % 3 // 2) for i in range(12)}
+    path = scratch_path(spark, "t-outputs")
+    parts = sinks.with_output_parts(pages.repartition(6), "url", F.lit("d"), "id")
+    sinks.write_outputs(parts, path)
+    for folder in ("host=a.test/date=d", "host=b.test/date=d"):
+        assert len([n for n in os.listdir(f"{path}/{folder}") if n.endswith(".parquet")]) == 1
+    sinks.write_outputs(parts, path, template="all")
+    sinks.write_outputs(parts, path, append=True, template="all")
+    assert spark.read.parquet(f"{path}/all").count() == 24
+    with pytest.raises(Exception):
+        sinks.write_outputs(parts, path, template="all")
+
+
 # --- archives of other writers -----------------------------------------------------------
 
 
