@@ -97,7 +97,7 @@ def _classes(docs: DataFrame) -> DataFrame:
                      pa.array(_set_keys(hashed, sizes)), none, none], names=names)
                 held.append(hashed)
                 amount += len(hashed)
-                if amount >= 4 << 20:
+                if amount >= 2 << 20:
                     yield repeated()
                     held, amount = [], 0
         if amount:
