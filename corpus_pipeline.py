@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from arcloom.llm import byte_bpe, jaccard_join, mixing, pii, toxicity
 from arcloom.llm.queries import remainder
 from arcloom.llm.registry import query, table
-from arcloom.session import cut_lineage, ship_package
+from arcloom.session import scratch_path, scratch_scope, ship_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 TOXIC = 0.7
@@ -91,5 +91,8 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES:
-        docs = cut_lineage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        path = scratch_path(spark, f"pipeline-{name}")
+        with scratch_scope():  # what a stage writes on its way is not needed once its result is
+            step(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
