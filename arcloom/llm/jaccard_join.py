@@ -40,8 +40,8 @@ from arcloom.session import cut_lineage
 WIDTH = 5
 LEAST, OF = 75, 100  # similarity of a link: LEAST / OF
 RADIUS = 1 - LEAST / OF
-HOT_TOKENS = 200_000  # most shingles that are ordered by how common they are
-HOT_COUNT = 24
+HOT_TOKENS = 400_000  # most shingles that are ordered by how common they are
+HOT_COUNT = 4
 MAP_BITS = 1 << 25
 BLOCK = 256  # classes of a region that one task holds, twice at most
 LEAF = 48
@@ -79,7 +79,7 @@ def _classes(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        amount = 0
+        amount, counted = 0, set()  # copies of a set say nothing about how common its shingles are
 
         def repeated() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -90,16 +90,21 @@ def _classes(docs: DataFrame) -> DataFrame:
                  pa.array(counts[often].astype(np.int64))], names=names)
         for batch in batches:
             for part, data, offsets in tasks.chunks(batch, "text"):
-                hashed, _, sizes = _sets(data, offsets)
-                none = pa.nulls(part.num_rows, pa.int64())
+                hashed, row, sizes = _sets(data, offsets)
+                none, keys = pa.nulls(part.num_rows, pa.int64()), _set_keys(hashed, sizes)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), part.column("content"), pa.array(sizes.astype(np.int64)),
-                     pa.array(_set_keys(hashed, sizes)), none, none], names=names)
-                held.append(hashed)
-                amount += len(hashed)
+                     pa.array(keys), none, none], names=names)
+                fresh = np.zeros(len(keys), bool)
+                for i, key in enumerate(keys.tolist()):
+                    if key not in counted:
+                        counted.add(key)
+                        fresh[i] = True
+                held.append(hashed[fresh[row]])
+                amount += len(held[-1])
                 if amount >= 2 << 20:
                     yield repeated()
-                    held, amount = [], 0
+                    held, amount, counted = [], 0, set()
         if amount:
             yield repeated()
 
@@ -473,7 +478,9 @@ def components(df: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     member = _mark(tokens, "token", _bit_map(repeated, "token"), "__may").filter("__may").join(
         repeated, "token").select("pivot", "cls").distinct()
     member = cut_lineage(member, "jaccard-members")
-    facts = member.select("cls").distinct().join(prefixes.select("cls", "n", "signature"), "cls").dropDuplicates(["cls"])
+    asked = member.select("cls").distinct()
+    signed = _mark(prefixes.select("cls", "n", "signature"), "cls", _bit_map(asked, "cls"), "__may").filter("__may").drop("__may")
+    facts = asked.join(signed, "cls").dropDuplicates(["cls"])
     member = cut_lineage(_promising(member, facts), "jaccard-regions")
     sets = cut_lineage(_chosen_sets(kept, classes.join(member.select("cls").distinct(), "cls", "left_semi")), "jaccard-chosen")
     edges = cut_lineage(_region_links(member, sets), "jaccard-links")
