@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHE_PIECES = 200_000
+CACHE_PIECES = 100_000
 CACHE_PIECE_CHARS = 64  # longer pieces are encoded but not kept
 ENCODE_ROWS = 256  # rows encoded together
 
@@ -95,6 +95,10 @@ class Codec:
         kept.update((p, ids) for p, ids in got.items() if len(p) <= CACHE_PIECE_CHARS)
         return out
 
+    def forget(self) -> None:
+        """Drop the pieces kept: an idle worker needs no more than the vocabulary."""
+        self._kept.clear()
+
     def starts(self, text: bytes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(character of each token's first byte, whether that byte is inside the character)."""
         at = np.zeros(len(ids), np.int64)
@@ -153,14 +157,16 @@ def _id_bytes(lists: list[np.ndarray]) -> pa.Array:
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", starts: str | None = None,
-           splits: str | None = None) -> DataFrame:
+           splits: str | None = None, decoded: str | None = None) -> DataFrame:
     """Add the token ids of ``text`` as little-endian unsigned 32-bit integers (``ids``, binary).
 
     ``starts`` names a column for the character at which each token starts,
-    ``splits`` one for the number of tokens that start inside a character.
+    ``splits`` one for the number of tokens that start inside a character, and
+    ``decoded`` one for the bytes that the ids decode to, in the same task: a
+    round trip needs no second Python process with a vocabulary of its own.
     One pass without a shuffle; rows are independent of each other.
     """
-    extra = [x for x in (ids, starts, splits) if x]
+    extra = [x for x in (ids, starts, splits, decoded) if x]
     _refuse_clash(df, extra)
     shared = _share(df.sparkSession, path, pattern)
 
@@ -178,11 +184,15 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
                         new[starts] = pa.array([p.tolist() for p, _ in places], pa.list_(pa.int32()))
                     if splits:
                         new[splits] = pa.array([int(s.sum()) for _, s in places], pa.int64())
+                if decoded:
+                    new[decoded] = pa.array([codec.decode_bytes(x) for x in found], pa.binary())
                 yield _append(part, **new)
+        codec.forget()
 
     fields = [T.StructField(ids, T.BinaryType())]
     fields += [T.StructField(starts, T.ArrayType(T.IntegerType()))] if starts else []
     fields += [T.StructField(splits, T.LongType())] if splits else []
+    fields += [T.StructField(decoded, T.BinaryType())] if decoded else []
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
 
 

@@ -25,8 +25,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = byte_bpe.encode(docs, vocabulary, public_tokenizers.PATTERN, splits="n_split").drop("text")
-    back = byte_bpe.decode(coded, vocabulary, public_tokenizers.PATTERN)
+    back = byte_bpe.encode(docs, vocabulary, public_tokenizers.PATTERN, splits="n_split", decoded="decoded")
     return back.select("doc_id", byte_bpe.n_tokens("ids").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"), "n_split")
 

@@ -69,8 +69,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary, public_tokenizers.PATTERN)
-    back = byte_bpe.decode(coded, vocabulary, public_tokenizers.PATTERN)
+    back = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary, public_tokenizers.PATTERN, decoded="decoded")
     return back.select("doc_id", "lang", "source", byte_bpe.n_tokens("ids").alias("n_tokens"), "ids",
                        (F.coalesce(F.col("text"), F.lit("")).cast("binary") == F.col("decoded")).alias("exact"))
 
