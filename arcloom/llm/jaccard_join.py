@@ -10,7 +10,7 @@ chosen where sets meet:
    first quarter of the set in a global order that puts very common shingles
    last).  All classes that share such a shingle have the smallest of them as
    pivot; a pivot with its classes is a region.  Linked classes share a region.
-   Signatures, a byte per shingle, rule out most of those that share but a passage.
+   Signatures, half a byte to a byte per shingle, rule out most of those that share but a passage.
 3. A region with few classes is joined by one task: pivots split it into Voronoi
    cells, classes near a boundary (by the triangle inequality) also visit the
    cells beyond it, and cells are joined recursively until they are small.
@@ -141,12 +141,12 @@ def _mark(df: DataFrame, key: str, bits: np.ndarray, name: str) -> DataFrame:
 # -- candidate regions ----------------------------------------------------------------------------------------------
 
 def _signatures(hashed: np.ndarray, row: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """Per set, how many members have each value of their top bits, in as many cells as the set has members or more.
+    """Per set, how many members have each value of their top bits, in cells that hold one or two members on average.
 
     Two sets share at most the sum of the smaller counts of all cells.  A set
     with a count that a byte can't hold gets an empty signature: nothing is known.
     """
-    bits = np.clip(np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64), 6, 16)
+    bits = np.clip(np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64) - 1, 6, 16)
     width = np.where(sizes > 0, 1 << bits, 0)
     starts = np.concatenate([[0], np.cumsum(width)])
     cell = (hashed >> (np.uint64(64) - bits[row].astype(np.uint64))).astype(np.int64)
@@ -231,8 +231,9 @@ def _chosen_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
     likely = _mark(docs.select("id", "text"), "id", _bit_map(classes, "rep"), "__may").filter("__may")
     found = likely.select("id", "text").mapInArrow(run, "id bigint, cls bigint, shingles binary")
-    exact = found.join(classes.select(F.col("cls"), F.col("rep").alias("id")), ["cls", "id"], "left_semi").drop("id")
-    return exact.dropDuplicates(["cls"])
+    # one exchange: the join by class also brings equal classes together
+    exact = found.join(classes.select("cls", "rep"), "cls").filter("id = rep")
+    return exact.select("cls", "shingles").dropDuplicates(["cls"])
 
 
 # -- regions --------------------------------------------------------------------------------------------------------
@@ -416,6 +417,9 @@ def _region_links(member: DataFrame, sets: DataFrame) -> DataFrame:
     dealt = member.join(large, "pivot").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
     with_pivot = dealt.filter("cls <> pivot").select("pivot", "block", "cls").unionByName(
         large.select("pivot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), F.col("pivot").alias("cls")))
+    # of the sets only those of large regions move
+    needed = cut_lineage(with_pivot.select("cls").distinct(), "large-members")
+    sets = cut_lineage(_mark(sets, "cls", _bit_map(needed, "cls"), "__may").filter("__may").drop("__may"), "large-sets")
     measured = with_pivot.join(sets, "cls").groupBy("pivot", "block").applyInArrow(
         _from_pivot, "pivot bigint, cls bigint, d double, near boolean")
     measured = cut_lineage(measured, "pivot-distances")
