@@ -1,6 +1,7 @@
 """Operators that stay in DataFrame expressions: sharding, fingerprints, personal data; and mixing."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -196,3 +197,41 @@ def test_redaction(spark, odd, nothing):
     same = pii.redact(pii.detect(odd, pii.fit(odd)))
     assert Counter(r["text"] for r in same.collect()) == Counter(r[1] for r in ODD)
     assert pii.detect(nothing, pii.fit(nothing)).count() == 0
+
+
+def test_every_code_point_reaches_the_fingerprint(spark):
+    rng = random.Random(9)
+    repeated = "the cat sat on the mat and the cat ran off the mat again " * 60
+    texts = ["", "x", "0123456789", "a" * 3000, "b" * 40, "".join(rng.choice("abcdefgh") for _ in range(5000)), "ก" * 5 + "ขคงจฉชซฌญ" * 9,
+             "\U0001f600\U0001f601 smile " * 30, repeated, " ".join(rng.choice(repeated.split()) for _ in range(1200)), " \n" * 8,
+             "".join(rng.choice("abcdefgh") for _ in range(20000))]
+    k = fingerprints.K
+    mers = [[t[i:i + k] for i in range(max(len(t) - k + 1, min(len(t), 1)))] for t in texts]
+    seen = {}
+    for here in mers:
+        for m, n in Counter(here).items():
+            seen[m] = max(seen.get(m, 0), n)
+    table = spark.createDataFrame(list(seen.items()), "w string, n int").select("w", F.explode(F.sequence(F.lit(1), "n")).alias("n"))
+    hash2 = {(r["w"], r["n"]): r["h"] for r in table.select("w", "n", F.xxhash64(F.xxhash64("w"), "n").alias("h")).collect()}
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select(
+        "i", fingerprints.signature(F.col("t"), every=True).alias("s")).orderBy("i").select("s").collect()]
+    value = {}
+    for here, slots in zip(mers, got):
+        counts, by_slot = Counter(), defaultdict(list)
+        for place, m in enumerate(here):
+            counts[m] += 1
+            h = hash2[m, counts[m]]
+            by_slot[h % fingerprints.SLOTS].append((h, place, m))
+        for slot in range(fingerprints.SLOTS):
+            want = tuple(m for _, _, m in sorted(sorted(by_slot[slot])[:fingerprints.TUPLE], key=lambda e: e[1]))
+            assert (slots[slot] is None) == (not want)
+            assert value.setdefault(want, slots[slot]) == slots[slot]
+    assert len(set(value.values())) == len(value)
+
+
+def test_fingerprint_sees_the_tail_of_long_words(spark):
+    rng = random.Random(3)
+    tail = "".join(rng.choice("0123456789abcdef") for _ in range(4000))
+    found = fingerprints.compare_edited(spark.createDataFrame(
+        [(2, "x" * 10 + tail), (1, "x" * 10 + tail[::-1])], "doc_id bigint, text string")).collect()
+    assert all(r["near_next"] < 0.2 and r["near_edited"] < 0.9 for r in found)
