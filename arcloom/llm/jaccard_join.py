@@ -14,11 +14,12 @@ chosen where sets meet:
 3. A region with few classes is joined by one task: pivots split it into Voronoi
    cells, classes near a boundary (by the triangle inequality) also visit the
    cells beyond it, and cells are joined recursively until they are small.
-4. A larger region is cut into blocks.  Its pivot links the classes within the
-   radius.  Only classes outside it still need comparing, and only with those
-   whose distance to the pivot differs by no more than the radius; block
-   against block, no task holds more than two blocks.
-5. Components of all links, by repeated aggregates and joins.
+4. A larger region is cut into blocks.  All its classes are compared whose distances
+   to the pivot differ by no more than the radius; block against block, no
+   task holds more than two blocks.
+5. Regions yield the links of each class as a list.  Lists of one class are merged,
+   as a link may lie in several regions, and counted times the copies.
+6. Components, by repeated aggregates and joins, of a spanning set of each task's links.
 
 Every step is exact; the list of common shingles and the bit maps have a fixed
 size and only steer the amount of work.
@@ -291,7 +292,7 @@ _ROUNDING = 1e-9
 
 
 def _join_cell(space: _Space, members: np.ndarray, out: set[tuple[int, int]]) -> None:
-    """Add a spanning set of the links among ``members``: pivots, Voronoi cells with visitors, recursion."""
+    """Add all links among ``members``: pivots, Voronoi cells with visitors, recursion."""
     todo = [members]
     while todo:
         cell = todo.pop()
@@ -317,10 +318,9 @@ def _join_cell(space: _Space, members: np.ndarray, out: set[tuple[int, int]]) ->
             continue
         for at in range(0, len(cell), BLOCK):
             yes = space.links(cell[at:at + BLOCK], cell)
-            for i, row in enumerate(yes):
-                near = np.flatnonzero(row)
-                near = near[near > at + i]
-                out.update((int(cell[at + i]), int(cell[j])) for j in near)
+            i, j = np.nonzero(yes)
+            later = j > at + i
+            out.update(zip(cell[at + i[later]].tolist(), cell[j[later]].tolist()))
 
 
 def _spanning(pairs: set[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -342,12 +342,26 @@ def _spanning(pairs: set[tuple[int, int]]) -> list[tuple[int, int]]:
     return kept
 
 
-_EDGE = "a bigint, b bigint"
+_LINKS = "a bigint, near array<bigint>, copies array<bigint>, tree array<bigint>"
 
 
-def _edges(cls: np.ndarray, pairs: list[tuple[int, int]]) -> pa.Table:
-    return pa.table({"a": pa.array([int(cls[i]) for i, _ in pairs], pa.int64()),
-                     "b": pa.array([int(cls[j]) for _, j in pairs], pa.int64())})
+def _link_lists(cls: np.ndarray, copies: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.Table:
+    """A row for each class of ``cls[i]``: the classes ``cls[j]`` it links with, their copies, and which links span all.
+
+    Links are given in both directions.
+    """
+    a, b = cls[i], cls[j]
+    order = np.argsort(a, kind="stable")
+    a, b, times = a[order], b[order], copies[j][order]
+    heads, starts = np.unique(a, return_index=True)
+    ends = np.append(starts, len(a)).astype(np.int32)
+    tree: dict[int, list[int]] = {}
+    for x, y in _spanning(set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))):
+        tree.setdefault(x, []).append(y)
+    return pa.table({
+        "a": pa.array(heads, pa.int64()), "near": pa.ListArray.from_arrays(pa.array(ends), pa.array(b, pa.int64())),
+        "copies": pa.ListArray.from_arrays(pa.array(ends), pa.array(times, pa.int64())),
+        "tree": pa.array([tree.get(h, []) for h in heads.tolist()], pa.list_(pa.int64()))})
 
 
 def _unpack(group: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -356,10 +370,12 @@ def _unpack(group: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
 
 def _join_region(group: pa.Table) -> pa.Table:
     """Links of a region of at most ``BLOCK`` classes."""
-    cls, sets = _unpack(group.sort_by("cls"))
+    group = group.sort_by("cls")
+    cls, sets = _unpack(group)
     pairs: set[tuple[int, int]] = set()
     _join_cell(_Space(sets), np.arange(len(sets)), pairs)
-    return _edges(cls, _spanning(pairs))
+    i, j = np.array(sorted(pairs), np.int64).reshape(-1, 2).T
+    return _link_lists(cls, group.column("copies").to_numpy(), np.concatenate([i, j]), np.concatenate([j, i]))
 
 
 def _from_pivot(group: pa.Table) -> pa.Table:
@@ -369,27 +385,35 @@ def _from_pivot(group: pa.Table) -> pa.Table:
     at = int(np.flatnonzero(cls == pivot)[0])
     space = _Space(sets)
     everyone = np.arange(len(sets))
-    d, near = space.distance(everyone, np.array([at]))[:, 0], space.links(everyone, np.array([at]))[:, 0]
+    d = space.distance(everyone, np.array([at]))[:, 0]
     mine = cls != pivot
-    return pa.table({"pivot": pa.array([pivot] * int(mine.sum()), pa.int64()), "cls": cls[mine], "d": d[mine], "near": near[mine]})
+    return pa.table({"pivot": pa.array([pivot] * int(mine.sum()), pa.int64()), "cls": cls[mine], "d": d[mine]})
 
 
 def _join_blocks(group: pa.Table) -> pa.Table:
-    """Links between the outer classes of one block and the classes of another (or the same)."""
+    """Links between the classes of one block and those of another (or the same)."""
     group = group.sort_by("cls")
     cls, sets = _unpack(group)
-    outer, d = group.column("outer").to_numpy(zero_copy_only=False), group.column("d").to_numpy()
-    # an outer class of the row block comes twice if its blocks meet themselves: as row and as column
+    d, copies = group.column("d").to_numpy(), group.column("copies").to_numpy()
+    # a class comes twice if its block meets itself: as row and as column
     row_side = group.column("row_side").to_numpy(zero_copy_only=False)
-    rows, columns = np.flatnonzero(row_side & outer), np.flatnonzero(~row_side)
+    rows, columns = np.flatnonzero(row_side), np.flatnonzero(~row_side)
     if not len(rows) or not len(columns):
-        return _edges(cls, [])
+        return _link_lists(cls, copies, rows[:0], columns[:0])
     space = _Space(sets)
     yes = space.links(rows, columns) & (np.abs(d[rows][:, None] - d[columns][None, :]) <= RADIUS + _ROUNDING)
-    i, j = np.nonzero(yes)
-    pairs = {(int(cls[a]), int(cls[b])) for a, b in zip(rows[i], columns[j], strict=True)}
-    kept = _spanning(pairs)
-    return pa.table({"a": pa.array([a for a, _ in kept], pa.int64()), "b": pa.array([b for _, b in kept], pa.int64())})
+    i, j = np.nonzero(yes & (cls[rows][:, None] != cls[columns][None, :]))
+    i, j = rows[i], columns[j]
+    if group.column("i")[0].as_py() != group.column("j")[0].as_py():
+        i, j = np.concatenate([i, j]), np.concatenate([j, i])
+    return _link_lists(cls, copies, i, j)
+
+
+def _count_links(group: pa.Table) -> pa.Table:
+    """Rows of other classes that a class links with, each class once."""
+    near, first = np.unique(group.column("near").combine_chunks().flatten().to_numpy(), return_index=True)
+    copies = group.column("copies").combine_chunks().flatten().to_numpy()
+    return pa.table({"cls": group.column("a")[:1], "linked": pa.array([int(copies[first].sum())], pa.int64())})
 
 
 def _filter_region(group: pa.Table) -> pa.Table:
@@ -407,13 +431,13 @@ def _promising(member: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def _region_links(member: DataFrame, sets: DataFrame) -> DataFrame:
-    """Edges (a, b) whose components are those of all links.  ``member``: (pivot, cls), pivots included."""
+    """All links, in lists (a, near, copies, tree).  ``member``: (pivot, cls), pivots included."""
     sizes = cut_lineage(member.groupBy("pivot").agg(F.count(F.lit(1)).alias("m")), "region-sizes")
     small = member.join(sizes.filter(F.col("m") <= BLOCK).select("pivot"), "pivot", "left_semi")
-    edges = small.join(sets, "cls").groupBy("pivot").applyInArrow(_join_region, _EDGE)
+    found = small.join(sets, "cls").groupBy("pivot").applyInArrow(_join_region, _LINKS)
     large = cut_lineage(sizes.filter(F.col("m") > BLOCK).withColumn("blocks", F.ceil(F.col("m") / F.lit(BLOCK / 2)).cast("bigint")), "large-regions")
     if not large.limit(1).count():
-        return edges
+        return found
     dealt = member.join(large, "pivot").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
     with_pivot = dealt.filter("cls <> pivot").select("pivot", "block", "cls").unionByName(
         large.select("pivot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), F.col("pivot").alias("cls")))
@@ -421,30 +445,24 @@ def _region_links(member: DataFrame, sets: DataFrame) -> DataFrame:
     needed = cut_lineage(with_pivot.select("cls").distinct(), "large-members")
     sets = cut_lineage(_mark(sets, "cls", _bit_map(needed, "cls"), "__may").filter("__may").drop("__may"), "large-sets")
     measured = with_pivot.join(sets, "cls").groupBy("pivot", "block").applyInArrow(
-        _from_pivot, "pivot bigint, cls bigint, d double, near boolean")
+        _from_pivot, "pivot bigint, cls bigint, d double")
     measured = cut_lineage(measured, "pivot-distances")
-    edges = edges.unionByName(measured.filter("near").select(F.col("pivot").alias("a"), F.col("cls").alias("b")))
-    outer = measured.filter("NOT near")
-    if not outer.limit(1).count():
-        return edges
-    # the radius is the window: an outer class meets the classes whose distance to the pivot is no more than that from its own
-    span = outer.groupBy("pivot").agg(F.min("d").alias("least"), F.count(F.lit(1)).alias("rows"))
-    inside = measured.join(span, "pivot").filter(F.col("d") >= F.col("least") - F.lit(RADIUS + _ROUNDING))
-    counted = inside.groupBy("pivot").agg(F.count(F.lit(1)).alias("columns"), F.max("rows").alias("rows"))
-    grid = cut_lineage(counted.select("pivot", F.ceil(F.col("rows") / F.lit(BLOCK / 2)).cast("bigint").alias("down"),
-                                      F.ceil(F.col("columns") / F.lit(BLOCK / 2)).cast("bigint").alias("across")), "region-grid")
-    placed = inside.select("pivot", "cls", "d", (~F.col("near")).alias("outer")).join(grid, "pivot")
-    row = placed.filter("outer").withColumn("i", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("down"))).withColumn(
-        "j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("across") - 1))).withColumn("row_side", F.lit(True))
-    column = placed.withColumn("j", F.pmod(F.xxhash64("cls", F.lit(2)), F.col("across"))).withColumn(
-        "i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("down") - 1))).withColumn("row_side", F.lit(False))
-    fields = ["pivot", "i", "j", "cls", "d", "outer", "row_side"]
+    # the radius is the window: a class meets the classes whose distance to the pivot is no more than that from its own
+    placed = measured.unionByName(large.select("pivot", F.col("pivot").alias("cls"), F.lit(0.0).alias("d"))).join(
+        large.select("pivot", "blocks"), "pivot").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    row = placed.withColumn("i", F.col("block")).withColumn(
+        "j", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).withColumn("row_side", F.lit(True))
+    column = placed.withColumn("j", F.col("block")).withColumn(
+        "i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("block")))).withColumn("row_side", F.lit(False))
+    fields = ["pivot", "i", "j", "cls", "d", "row_side"]
     cells = row.select(*fields).unionByName(column.select(*fields)).join(sets, "cls")
-    return edges.unionByName(cells.groupBy("pivot", "i", "j").applyInArrow(_join_blocks, _EDGE))
+    return found.unionByName(cells.groupBy("pivot", "i", "j").applyInArrow(_join_blocks, _LINKS))
 
 
 def components(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``df``: id, ``n_shingles`` and ``component_id`` (the smallest id reachable by links).
+    """One row per row of ``df``: id, ``n_shingles``, ``component_id`` (the smallest id reachable by links) and ``n_links``.
+
+    ``n_links`` is the number of other rows within the radius, copies included.
 
     Words are runs of bytes other than white space, A-Z lower-cased; a text of 1
     to 4 words is one shingle.  ``component`` tells apart components that share an
@@ -487,16 +505,21 @@ def components(df: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     facts = asked.join(signed, "cls").dropDuplicates(["cls"])
     member = cut_lineage(_promising(member, facts), "jaccard-regions")
     sets = cut_lineage(_chosen_sets(kept, classes.join(member.select("cls").distinct(), "cls", "left_semi")), "jaccard-chosen")
-    edges = cut_lineage(_region_links(member, sets), "jaccard-links")
+    sets = sets.join(classes.select("cls", "copies"), "cls")
+    links = cut_lineage(_region_links(member, sets), "jaccard-links")
+    edges = cut_lineage(links.select("a", F.explode("tree").alias("b")), "jaccard-edges")
+    counted = links.select("a", "near", "copies").groupBy("a").applyInArrow(_count_links, "cls bigint, linked bigint")
     parts = connected_components(edges, "jaccard")
     named = classes.join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     label = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    labels = named.select("cls", "component").join(label, "component")
-    linked = usable.join(labels, "cls").select("id", "content", "n", "component_id", "component")
+    labels = named.select("cls", "component", "copies").join(label, "component").join(counted, "cls", "left").withColumn(
+        "n_links", F.coalesce("linked", F.lit(0).cast("bigint")) + F.col("copies") - 1)
+    linked = usable.join(labels, "cls").select("id", "content", "n", "component_id", "component", "n_links")
     rest = rows.filter("n = 0 OR id IS NULL").select(
-        "id", "content", "n", F.col("id").alias("component_id"), F.lit(None).cast("bigint").alias("component"))
+        "id", "content", "n", F.col("id").alias("component_id"), F.lit(None).cast("bigint").alias("component"),
+        F.lit(0).cast("bigint").alias("n_links"))
     return linked.unionByName(rest).select(
-        F.col("id").alias(id_column), F.col("n").alias("n_shingles"), "component_id", "component", "content")
+        F.col("id").alias(id_column), F.col("n").alias("n_shingles"), "component_id", "component", "content", "n_links")
 
 
 def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:

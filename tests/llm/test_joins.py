@@ -263,3 +263,16 @@ def test_pipeline_on_odd_rows(spark, odd, nothing):
         for _, step in corpus_pipeline.STAGES:
             held = step(spark, held, SF)
         assert held.count() >= (1 if start is docs else 0)
+
+
+@pytest.mark.parametrize("block", [4, 256])
+def test_jaccard_counts_every_link(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base[:20 + i] + [f"x{i}"] + base[20 + i:]) for i in range(15)]  # all near each other, all different
+    texts += texts[:3] + [" ".join(f"c{j}" for j in range(i, i + 40)) for i in range(0, 12, 2)] + ["alone in the world of words"]
+    sets = [shingles(t) for t in texts]
+    want = {i: sum(4 * len(a & b) >= 3 * len(a | b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["n_links"] for r in jaccard_join.components(docs).collect()}
+    assert got == want and max(want.values()) > 8
