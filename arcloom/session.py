@@ -10,6 +10,7 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -86,17 +87,23 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-_scopes: list[list[str]] = []
+# the tables of the innermost open scope; a thread has scopes of its own, so queries that run at once never share one
+_scope: ContextVar[list[str] | None] = ContextVar("scratch_scope", default=None)
 
 
 @contextmanager
 def scratch_scope() -> Iterator[None]:
-    """Tables that ``cut_lineage`` writes inside are removed at the end: for work whose result is kept elsewhere."""
-    _scopes.append([])
+    """Tables that ``cut_lineage`` writes inside are removed at the end: for work whose result is kept elsewhere.
+
+    A scope covers the thread that opens it; threads started inside have none.
+    """
+    written: list[str] = []
+    outer = _scope.set(written)
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        _scope.reset(outer)
+        for path in written:
             remove(path)
 
 
@@ -119,7 +126,8 @@ def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    if _scopes:
-        _scopes[-1].append(path)
+    scope = _scope.get()
+    if scope is not None:
+        scope.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
