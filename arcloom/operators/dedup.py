@@ -12,8 +12,9 @@ from arcloom.functions import headers as H
 from arcloom.functions import text as X
 from arcloom.operators.records import as_records
 from arcloom.operators.skew import HOT_LIMIT, HOT_MIN_ROWS, lookup_join
-from arcloom.schema import NAMES, PAYLOAD_TYPES, HeaderNames
+from arcloom.schema import NAMES, ORDER, PAYLOAD_TYPES, RECORD_COLUMNS, HeaderNames
 from arcloom.session import cut_lineage
+from arcloom.sources.warc import write_warc
 
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
@@ -85,18 +86,20 @@ def dedup_report(records: DataFrame, on_missing_digest: str = "unique") -> DataF
     )
 
 
-def replace_duplicates(marked: DataFrame, names: HeaderNames = NAMES, carry: Sequence[str] = ()) -> DataFrame:
+def replace_duplicates(marked: DataFrame, names: HeaderNames = NAMES, carry: Sequence[str] = (),
+                       keep: Sequence[str] = ()) -> DataFrame:
     """Turn the duplicates in ``mark_duplicates`` output into revisit records, in one pass.
 
     Built fresh from target, digest, the first record and the HTTP headers;
     ``carry`` names record columns (``concurrent_to``, ``ip``, ``request_id``,
-    ``warcinfo_id``, ``sub_type``) the duplicate hands on besides.
+    ``warcinfo_id``, ``sub_type``) the duplicate hands on besides.  Columns in
+    ``keep`` follow the record columns.
     """
     kept = {c: F.col(c) for c in carry}
     return as_records(
         marked, names,
         H.present(H.header("WARC-Profile", F.lit(REVISIT_PROFILE))),
-        unless=~F.col("is_revisit"),
+        unless=~F.col("is_revisit"), keep=keep,
         file_path=F.col("file_path"), file_seq=F.col("file_seq"), record_seq=F.col("record_seq"),
         record_id=X.urn_uuid(F.lit("revisit"), F.col("record_id")),
         rec_type=F.lit("revisit"),
@@ -133,3 +136,39 @@ def merge_archives(records: DataFrame, provenance: DataFrame | None = None, name
     """
     merged = replace_duplicates(mark_duplicates(records, on_missing_digest), names, carry)
     return merged if provenance is None else provenance.unionByName(merged)
+
+
+def merge_plan(index: DataFrame, names: HeaderNames = NAMES, carry: Sequence[str] = ()) -> DataFrame:
+    """What a merged archive consists of, from a ``member_index`` of the archives: no payload is read or moved.
+
+    A row with ``copy_path`` stands for a record that is taken over as it is,
+    from ``copy_offset`` on; ``copy_length`` is NULL if that has to be cut out
+    of a longer member or an uncompressed archive.  The other rows are the
+    revisit records that replace duplicates.  Heads of copied records are left
+    out, so that only places go through the ordering shuffle.
+    """
+    places = ["copy_path", "copy_offset", "copy_length"]
+    marked = mark_duplicates(index.withColumn("payload", F.lit(None).cast("binary")))
+    copied = ~F.col("is_revisit")
+    placed = marked.withColumns({
+        "copy_path": F.when(copied, F.col("file_path")),
+        "copy_offset": F.when(copied, F.col("member_offset")),
+        "copy_length": F.when(copied, F.col("member_length")),
+    })
+    merged = replace_duplicates(placed, names, carry, keep=places)
+    heads = [c for c in RECORD_COLUMNS if c not in ORDER]
+    return merged.select(*ORDER, *[F.when(F.col("copy_path").isNull(), F.col(c)).alias(c) for c in heads], *places)
+
+
+def merge_into(index: DataFrame, path: str, provenance: DataFrame | None = None, names: HeaderNames = NAMES,
+               carry: Sequence[str] = (), mode: str = "errorifexists", partitions: int | None = None) -> None:
+    """Merge indexed archives into a new one: unchanged members are copied as bytes, duplicates become revisit records.
+
+    The provenance record comes first.  Archives are read twice, for their
+    heads and for the members to copy; tasks read these from the archives
+    themselves.
+    """
+    plan = merge_plan(index, names, carry)
+    if provenance is not None:
+        plan = provenance.unionByName(plan, allowMissingColumns=True)
+    write_warc(plan, path, mode, partitions)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +18,8 @@ from arcloom.session import cut_lineage, scratch_path, scratch_scope
 
 
 def as_records(df: DataFrame, names: HeaderNames = NAMES, extra: Column | None = None,
-               unless: Column | None = None, **columns: Column) -> DataFrame:
-    """Project to the record schema; columns that are not given become NULL.
+               unless: Column | None = None, keep: Sequence[str] = (), **columns: Column) -> DataFrame:
+    """Project to the record schema; columns that are not given become NULL, those in ``keep`` follow it.
 
     The header list is rendered from the typed columns plus ``extra``, in one
     fixed order, so every sink writes the same bytes for the same record.  Rows
@@ -30,12 +30,12 @@ def as_records(df: DataFrame, names: HeaderNames = NAMES, extra: Column | None =
         *[columns.get(name, F.lit(None)).cast(kind).alias(name)
           for name, kind in RECORD_COLUMNS.items() if name != "headers"],
         (extra if extra is not None else H.no_headers()).alias("__extra"),
-        *same,
+        *same, *keep,
     )
-    return render_headers(given, names)
+    return render_headers(given, names, keep)
 
 
-def render_headers(df: DataFrame, names: HeaderNames = NAMES) -> DataFrame:
+def render_headers(df: DataFrame, names: HeaderNames = NAMES, keep: Sequence[str] = ()) -> DataFrame:
     """Fill ``content_length``, ``payload_digest`` and ``headers`` from the typed columns."""
     http = F.when(
         F.col("http_start_line").isNotNull(),
@@ -67,11 +67,11 @@ def render_headers(df: DataFrame, names: HeaderNames = NAMES) -> DataFrame:
     extra = F.col("__extra") if "__extra" in df.columns else H.no_headers()
     out = df.withColumn("headers", F.concat(rendered, extra, tail))
     if "__same" not in df.columns:
-        return out.select(*RECORD_COLUMNS)
+        return out.select(*RECORD_COLUMNS, *keep)
     same = F.col("__same")
     return out.select(*[
         F.when(same.isNotNull(), same[n]).otherwise(F.col(n)).alias(n) for n in RECORD_COLUMNS
-    ])
+    ], *keep)
 
 
 def _capture_id(kind: str) -> Column:

@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 from arcloom import fixed_values as V
 from arcloom.functions import headers as H
 from arcloom.functions import text as X
-from arcloom.operators import crawl_log, dedup, errata, log_batches, records, screenshots, snapshot
+from arcloom.functions import urls
+from arcloom.operators import crawl_log, dedup, errata, log_batches, records, screenshots, sinks, snapshot
 from arcloom.plans.base import fill_records, query, table
 from arcloom.schema import ORDER, RECORD_COLUMNS
 from arcloom.session import cut_lineage, scratch_path
 from arcloom.sources.files import open_output
-from arcloom.sources.warc import read_warc, register, write_warc
+from arcloom.operators.skew import numbered
+from arcloom.sources.warc import member_index, read_warc, register, write_warc
 
 PACKAGE, FIX_TOOL = "grabber", "grabber-errata"
 VERSIONS = ("0.9", "1.0", "1.0.0", "1.1", "1.0.1", "0.10.2")
@@ -212,6 +214,69 @@ def warc_foreign(spark: SparkSession, sf_dir: str) -> DataFrame:
         H.value_of(F.col("http_headers"), "x-size").cast("bigint").alias("n_chars"))
 
 
+@query("merge_roundtrip", """
+WITH d AS (
+  SELECT *, CAST(substr(source, 4) AS BIGINT) AS file_seq, 'http://d.example/' || doc_id AS uri FROM documents),
+p AS (
+  SELECT file_seq, doc_id * 2 AS record_seq, 'response' AS rec_type, uri, text AS payload,
+         row_number() OVER w AS nth, first_value(uri) OVER w AS first_uri
+  FROM d WINDOW w AS (PARTITION BY text ORDER BY file_seq, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+  UNION ALL
+  SELECT file_seq, doc_id * 2 + 1, 'resource', 'file:///s/' || doc_id || '.js', '// ' || lang, row_number() OVER w,
+         first_value('file:///s/' || doc_id || '.js') OVER w
+  FROM d WHERE doc_id % 10 = 0 WINDOW w AS (PARTITION BY lang ORDER BY file_seq, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+  UNION ALL
+  SELECT file_seq, -1, 'warcinfo', NULL, '{"tool":"grabber-single","pages":' || count(*) || '}', 1, NULL FROM d GROUP BY file_seq
+  UNION ALL
+  SELECT -1, 0, 'warcinfo', NULL, '{"software": {}, "tool": "merge", "parameters": {"inputs": 2}}', 1, NULL)
+SELECT CAST(row_number() OVER (ORDER BY file_seq, record_seq) - 1 AS BIGINT) AS position, CASE WHEN nth > 1 THEN 'revisit' ELSE rec_type END AS rec_type,
+       coalesce(uri, '') AS target_uri, md5(CASE WHEN nth > 1 THEN '' ELSE payload END) AS payload_md5,
+       CASE WHEN nth > 1 THEN first_uri ELSE '' END AS refers_to_uri
+FROM p""")
+def merge_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two archives written, merged by member index, and read back: every record at its place."""
+    one, two, merged = (scratch_path(spark, f"merge-{n}") for n in ("one", "two", "out"))
+    docs = full_records(spark, sf_dir)
+    middle = 10  # sources below go to the first archive, the others to the second
+    write_warc(docs.filter(F.col("file_seq") < middle), one)
+    write_warc(docs.filter(F.col("file_seq") >= middle), two)
+    lead = dedup.provenance_record(spark, "merge", '{"inputs": 2}', when="2024-01-01 00:00:00")
+    dedup.merge_into(member_index(spark, [one, two], slice_bytes=1 << 20), merged, lead)
+    back = cut_lineage(read_warc(spark, merged, slice_bytes=1 << 20).select(
+        *ORDER, "rec_type", "target_uri", F.md5(F.coalesce("payload", F.lit(b""))).alias("payload_md5"), "refers_to_uri"), "merge-back")
+    inside = numbered(back, ["file_seq"], "record_seq", "nth", start=0)
+    # one row per file
+    sizes = back.groupBy("file_seq").agg(F.count(F.lit(1)).alias("n"))
+    bases = sizes.alias("a").join(sizes.alias("b"), F.col("b.file_seq") < F.col("a.file_seq"), "left").groupBy(
+        F.col("a.file_seq").alias("file_seq")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("base"))
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return inside.join(bases, "file_seq").select(
+        (F.col("base") + F.col("nth")).alias("position"), "rec_type", text("target_uri"), "payload_md5", text("refers_to_uri"))
+
+
+@query("archive_per_page", """
+SELECT split_part(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), ':', 1) || '-' || page_id AS archive, page_id, md5(html) AS html_md5,
+       1 AS records, 2 AS copies FROM pages""")
+def archive_per_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page in an archive named by host and number, appended to once, and each archive read by itself."""
+    path = scratch_path(spark, "pages")
+    doc, html = F.col("page_id"), F.encode("html", "UTF-8")
+    pages = table(spark, sf_dir, "pages")
+    found = records.as_records(
+        pages, keep=["page_id", "url"], file_path=F.lit("pages"), file_seq=F.lit(0), record_seq=doc, record_id=X.urn_uuid(F.lit("page"), doc.cast("string")),
+        rec_type=F.lit("resource"), target_uri=F.col("url"), warc_date=F.timestamp_seconds(F.lit(1704067200)), content_type=F.lit("text/html"),
+        payload_digest=X.base32_sha1(html), payload=html)
+    named = found.withColumn("archive", sinks.output_name("{host}-{seqnum}", F.split_part(urls.host(F.col("url")), F.lit(":"), F.lit(1)), F.lit(""), doc)).drop("page_id", "url")
+    write_warc(named, path)
+    write_warc(named, path, mode="append")
+    back = read_warc(spark, path)
+    archive = F.regexp_extract("file_path", r"/_job-[0-9a-f]+/([^/]+)/", 1)
+    each = back.select(archive.alias("archive"), "file_path", F.regexp_extract("archive", r"-([0-9]+)$", 1).cast("bigint").alias("page_id"),
+                       F.md5("payload").alias("html_md5"))
+    files_of = each.groupBy("archive", "page_id", "html_md5", "file_path").agg(F.count(F.lit(1)).alias("records"))
+    return files_of.groupBy("archive", "page_id", "html_md5").agg(F.max("records").alias("records"), F.count(F.lit(1)).alias("copies"))
+
+
 @query("asof_warcinfo_archive", """
 SELECT doc_id, count(*) OVER (PARTITION BY source) AS pages FROM documents""")
 def asof_warcinfo_archive(spark: SparkSession, sf_dir: str) -> DataFrame:

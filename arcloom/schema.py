@@ -19,6 +19,7 @@ RECORD_COLUMNS = {
     "payload": "BINARY",
 }
 RECORD_DDL = ", ".join(f"{n} {t}" for n, t in RECORD_COLUMNS.items())
+INDEX_DDL = ", ".join(f"{n} {t}" for n, t in RECORD_COLUMNS.items() if n != "payload") + ", member_offset BIGINT, member_length BIGINT"
 ORDER = ("file_seq", "record_seq")
 SPAN_KEY = "arcloom.span"  # column metadata: order values per segment of an ordered scan
 PAYLOAD_TYPES = ("resource", "response")

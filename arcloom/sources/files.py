@@ -38,15 +38,24 @@ def open_output(path: str) -> BinaryIO:
 
 
 def archives_in(path: str) -> list[str]:
-    """Archive files below a folder, sorted by name; a file stands for itself."""
+    """Archive files below a folder; a file stands for itself.
+
+    Where a folder was written with commits, its files are those of its
+    manifests, in the order of commits.  Others are sorted by name.
+    """
+    from arcloom.sources import commits
+
     system, p = locate(path)
     info = system.get_file_info(p)
     if info.type == fs.FileType.File:
         return [path]
-    found = system.get_file_info(fs.FileSelector(p, recursive=True))
+    found = [f.path for f in system.get_file_info(fs.FileSelector(p, recursive=True)) if f.type == fs.FileType.File]
     prefix = path[: len(path) - len(p)] if path.endswith(p) else ""
-    return sorted(
-        prefix + f.path for f in found
-        if f.type == fs.FileType.File and f.path.endswith((".warc", ".warc.gz"))
-        and "/_temporary/" not in f.path
-    )
+    marker = f"/{commits.FOLDER}/"
+    roots = sorted({f.partition(marker)[0] for f in found if marker in f and f.endswith(".json")})
+    loose = [f for f in found if f.endswith((".warc", ".warc.gz")) and "/" + commits.UNCOMMITTED not in f
+             and not any(f.startswith(root + "/") for root in roots)]
+    listed = [(root, f"{root}/{name}") for root in roots for name in commits.committed(prefix + root) or []]
+    # outputs among loose files take the place of their folder's name
+    return [prefix + f for _, _, f in sorted([(f, 0, f) for f in loose] + [
+        (root, n, f) for n, (root, f) in enumerate(listed)])]

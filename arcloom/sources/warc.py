@@ -5,25 +5,34 @@ own can be entered at any member, so large files are cut into slices; a slice
 owns the members that begin in it.  ``record_seq`` is made from the byte offset
 and orders records within a file (it is not a count).
 
-Writing: one file per partition, one gzip member per record, made visible by
-the commit of the whole job.
+A scan with ``index`` gives heads only: where each record's gzip member is, how
+long it is, and everything but the payload.
+
+Writing: at least one file per partition and named archive, one gzip member per
+record, files cut at a size.  A row that names a place in another archive is
+copied from there as it is, byte range by byte range.  All files of a job, or
+of a stream's batch, count from one commit on (``commits``).
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import io
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceReader,
+    DataSourceStreamWriter,
     DataSourceWriter,
     EqualTo,
     In,
@@ -31,11 +40,13 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from arcloom.schema import NAMES, ORDER, RECORD_COLUMNS, RECORD_DDL, SPAN_KEY, HeaderNames
-from arcloom.sources import files
+from arcloom.schema import INDEX_DDL, NAMES, ORDER, PAYLOAD_TYPES, RECORD_COLUMNS, RECORD_DDL, SPAN_KEY, HeaderNames
+from arcloom.sources import commits, files
 
 GZIP_MAGIC = b"\x1f\x8b\x08"
 CHUNK = 1 << 18
+COPY_BYTES = 8 << 20  # neighbouring members are copied together up to this size
+FILE_BYTES = 1 << 30  # an output file is ended once it has as much
 SLICE_BYTES = 256 << 20
 SEQ_SHIFT = 20  # records inside one member are numbered below its offset
 SLICE_SPAN = 1 << 46  # order span of a window segment: 64 MiB of archive
@@ -165,6 +176,10 @@ class WarcReader(DataSourceReader):
             raise ValueError(f"cutOff is fail or mark, not {self.cut_off!r}")
         wanted = options.get("recTypes")
         self.rec_types = set(wanted.split(",")) if wanted else None
+        self.index = options.get("index", "false").lower() == "true"
+        self.compute = options.get("computeDigests", "false").lower() == "true"
+        if self.index:
+            self.payload, self.rec_types = False, None
 
     def partitions(self) -> list[_Slice]:
         out = []
@@ -179,17 +194,35 @@ class WarcReader(DataSourceReader):
         with files.open_input(part.path) as fd:
             if not part.path.endswith(".gz"):
                 fd.seek(0)
-                yield from self._records(io.BufferedReader(_Plain(fd), CHUNK), part, 0)
+                rows = self._records(io.BufferedReader(_Plain(fd), CHUNK), part, 0)
+                yield from ((*row[:-1], 0, None) for row in rows) if self.index else rows
                 return
             offset = _first_member(fd, part.start, part.end)
             while offset is not None and offset < part.end:
                 member = _Member(fd, offset)
                 stream = io.BufferedReader(member, CHUNK)
-                yield from self._records(stream, part, offset)
+                rows = self._records(stream, part, offset)
+                yield from self._places(rows, stream, member, offset) if self.index else rows
                 while stream.read(CHUNK):
                     pass
                 offset = self._boundary(fd, part, member.next_offset)
 
+    @staticmethod
+    def _places(rows: Iterator[tuple], stream, member: _Member, offset: int) -> Iterator[tuple]:
+        """Heads with the member they are in; its length only if it holds nothing but one whole record."""
+        first, second = next(rows, None), next(rows, None)
+        if first is None:
+            return
+        if second is None:
+            while stream.read(CHUNK):
+                pass
+            yield (*first[:-1], offset, None if member.cut_off else member.next_offset - offset)
+            return
+        yield (*first[:-1], offset, None)
+        yield (*second[:-1], offset, None)
+        for row in rows:
+            yield (*row[:-1], offset, None)
+
     @staticmethod
     def _boundary(fd, part: _Slice, offset: int) -> int:
         """Check that a member begins at ``offset`` if this slice still owns it.
@@ -251,11 +284,19 @@ class WarcReader(DataSourceReader):
                 if self.payload:
                     payload = source.read(left)
                     left -= len(payload)
+            digest = get.get("warc-payload-digest")
+            sums = hashlib.sha1() if self.compute and digest is None and get.get("warc-type") in PAYLOAD_TYPES else None
+            if sums is not None and payload is not None:
+                sums.update(payload)
             while left > 0:
                 got = source.read(min(left, CHUNK))
                 if not got:
                     break
                 left -= len(got)
+                if sums is not None:
+                    sums.update(got)
+            if sums is not None:
+                digest = "sha1:" + base64.b32encode(sums.digest()).decode()
             if left > 0:
                 if self.cut_off == "fail":
                     raise ValueError(f"{part.path} ends inside a record; read it with cutOff=mark to keep what is there")
@@ -266,7 +307,7 @@ class WarcReader(DataSourceReader):
                 yield (
                     part.path, part.file_seq, (offset << SEQ_SHIFT) + nth, get.get("warc-record-id"),
                     get.get("warc-type"), get.get("warc-target-uri"), _date(get.get("warc-date")),
-                    get.get("content-type"), length, get.get("warc-payload-digest"),
+                    get.get("content-type"), length, digest,
                     get.get("warc-refers-to"), get.get("warc-refers-to-target-uri"),
                     _date(get.get("warc-refers-to-date")), get.get("warc-concurrent-to"),
                     get.get("warc-warcinfo-id"), truncated,
@@ -307,52 +348,185 @@ class WarcPushdownReader(WarcReader):
 
 @dataclass
 class _Written(WriterCommitMessage):
-    name: str | None
+    names: list[str]
 
 
-class WarcWriter(DataSourceWriter):
-    def __init__(self, path: str, overwrite: bool) -> None:
-        self.path, self.overwrite = path.rstrip("/"), overwrite
+class _Output:
+    """The files a task writes: a new one for each archive name, and whenever one is full."""
 
-    def write(self, rows: Iterator) -> _Written:
+    def __init__(self, path: str, job: str, max_bytes: int) -> None:
         task = TaskContext.get()
-        name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
-        out = None
+        self.path, self.max_bytes = path, max_bytes
+        self.folder, self.part = commits.job_folder(job), f"{task.partitionId():06d}"
+        self.attempt = task.taskAttemptId()
+        self.names: list[str] = []
+        self.archive: str | None = None
+        self.out, self.size = None, 0
+        self.pending: tuple[str, int, int] | None = None  # a range still to be copied
+        self.source: tuple[str, object] | None = None
+
+    def _file(self):
+        if self.out is None or self.size >= self.max_bytes:
+            self._close()
+            place = f"{self.folder}/{self.archive}" if self.archive else self.folder
+            name = f"{place}/part-{self.part}-{len(self.names):05d}-{self.attempt}.warc.gz"
+            self.out, self.size = files.open_output(f"{self.path}/{name}"), 0
+            self.names.append(name)
+        return self.out
+
+    def _close(self) -> None:
+        if self.out is not None:
+            self.out.close()
+            self.out = None
+
+    def into(self, archive: str | None) -> None:
+        """What follows goes to the archive of this name."""
+        archive = archive and re.sub(r"[^A-Za-z0-9._=+-]+", "_", archive).lstrip(".")
+        if archive != self.archive:
+            self.flush()
+            self._close()
+            self.archive = archive
+
+    def member(self, record: bytes) -> None:
+        self.flush()
+        deflate = zlib.compressobj(6, zlib.DEFLATED, 31)
+        self._write(deflate.compress(record) + deflate.flush())
+
+    def copy(self, path: str, offset: int, length: int) -> None:
+        """Take over a member as it is; neighbours go together."""
+        if self.pending:
+            known, start, end = self.pending
+            if known == path and end == offset and end - start + length <= COPY_BYTES:
+                self.pending = (path, start, offset + length)
+                return
+            self.flush()
+        self.pending = (path, offset, offset + length)
+
+    def flush(self) -> None:
+        if not self.pending:
+            return
+        path, at, end = self.pending
+        self.pending = None
+        if self.source is None or self.source[0] != path:
+            self._leave()
+            self.source = (path, files.open_input(path))
+        fd = self.source[1]
+        fd.seek(at)
+        while at < end:
+            got = fd.read(min(end - at, COPY_BYTES))
+            if not got:
+                raise ValueError(f"{path} is shorter than its index says")
+            self._write(got)
+            at += len(got)
+
+    def _write(self, data: bytes) -> None:
+        out = self._file()
+        out.write(data)
+        self.size += len(data)
+
+    def _leave(self) -> None:
+        if self.source is not None:
+            self.source[1].close()
+            self.source = None
+
+    def finish(self) -> list[str]:
+        self.flush()
+        self._close()
+        self._leave()
+        return self.names
+
+
+class _Places:
+    """Whole records of other archives by place, for those that cannot be copied as a byte range."""
+
+    def __init__(self) -> None:
+        self.at: tuple[str, int] | None = None
+        self.rows: Iterator[tuple] = iter(())
+        self.last = -1
+
+    def record(self, path: str, offset: int, seq: int) -> Row:
+        if self.at != (path, offset) or seq <= self.last:
+            self.at, self.rows = (path, offset), self._member(path, offset)
+        for row in self.rows:
+            self.last = row[2]
+            if self.last == seq:
+                return _as_row(row)
+        raise ValueError(f"{path} has no record {seq}")
+
+    @staticmethod
+    def _member(path: str, offset: int) -> Iterator[tuple]:
+        reader = WarcReader({"path": path, "cutOff": "mark"})
+        part = _Slice(path, 0, offset, offset + 1)
+        with files.open_input(path) as fd:
+            if path.endswith(".gz"):
+                yield from reader._records(io.BufferedReader(_Member(fd, offset), CHUNK), part, offset)
+            else:
+                fd.seek(0)
+                yield from reader._records(io.BufferedReader(_Plain(fd), CHUNK), part, 0)
+
+
+def _as_row(values: tuple) -> Row:
+    """A record as the writer takes it: header pairs become rows."""
+    given = dict(zip(RECORD_COLUMNS, values, strict=True))
+    for column in ("headers", "http_headers"):
+        if given[column] is not None:
+            given[column] = [Row(name=n, value=v) for n, v in given[column]]
+    return Row(**given)
+
+
+class _ArchiveWriter:
+    """What a task does with its rows, in a batch and on a stream."""
+
+    def __init__(self, options) -> None:
+        self.path = options["path"].rstrip("/")
+        self.max_bytes = int(options.get("maxFileBytes", str(FILE_BYTES)))
+        self.job = commits.new_job()
+
+    def write(self, rows: Iterator) -> _Written:
+        out, places = _Output(self.path, self.job, self.max_bytes), _Places()
         for row in rows:
-            if out is None:
-                out = files.open_output(f"{self.path}/_temporary/{name}")
-            deflate = zlib.compressobj(6, zlib.DEFLATED, 31)
-            out.write(deflate.compress(_record_bytes(row)) + deflate.flush())
-        if out is None:
-            return _Written(None)
-        out.close()
-        return _Written(name)
+            out.into(row.archive if "archive" in row else None)
+            if "copy_path" in row and row.copy_path is not None:
+                if row.copy_length is not None:
+                    out.copy(row.copy_path, row.copy_offset, row.copy_length)
+                else:
+                    out.member(_record_bytes(places.record(row.copy_path, row.copy_offset, row.record_seq)))
+            else:
+                out.member(_record_bytes(row))
+        return _Written(out.finish())
+
+    @staticmethod
+    def _names(messages) -> list[str]:
+        return [name for m in messages if m is not None for name in m.names]
+
+
+class WarcWriter(_ArchiveWriter, DataSourceWriter):
+    def __init__(self, options, overwrite: bool) -> None:
+        super().__init__(options)
+        self.overwrite = overwrite
 
     def commit(self, messages) -> None:
-        system, root = files.locate(self.path)
-        system.create_dir(root, recursive=True)
-        old = files.archives_in(self.path)
-        if self.overwrite:
-            for path in old:
-                system.delete_file(files.locate(path)[1])
-            old = []
-        # a later run sorts after all earlier ones
-        run = len({p.rpartition("/")[2].partition("-part-")[0] for p in old})
-        for m in messages:
-            if m is not None and m.name:
-                final = "-".join(m.name.split("-")[:2])
-                system.move(f"{root}/_temporary/{m.name}", f"{root}/run-{run:05d}-{final}.warc.gz")
-        self._drop_temporary(system, root)
+        commits.commit(self.path, self.job, self._names(messages), self.overwrite)
 
     def abort(self, messages) -> None:
-        self._drop_temporary(*files.locate(self.path))
+        commits.discard(self.path, self._names(messages))
 
-    @staticmethod
-    def _drop_temporary(system, root: str) -> None:
-        from pyarrow import fs
 
-        if system.get_file_info(f"{root}/_temporary").type == fs.FileType.Directory:
-            system.delete_dir(f"{root}/_temporary")
+class WarcStreamWriter(_ArchiveWriter, DataSourceStreamWriter):
+    """One commit per batch; a batch that runs again after its commit adds nothing.
+
+    ``stream`` names the stream where several write to one folder.
+    """
+
+    def __init__(self, options) -> None:
+        super().__init__(options)
+        self.stream = options.get("stream", "stream")
+
+    def commit(self, messages, batchId: int) -> None:
+        commits.commit(self.path, self.job, self._names(messages), key=f"{self.stream}-{batchId:010d}")
+
+    def abort(self, messages, batchId: int) -> None:
+        commits.discard(self.path, self._names(messages))
 
 
 def _record_bytes(row) -> bytes:
@@ -371,14 +545,17 @@ class WarcDataSource(DataSource):
         return "warc"
 
     def schema(self) -> str:
-        return RECORD_DDL
+        return INDEX_DDL if self.options.get("index", "false").lower() == "true" else RECORD_DDL
 
     def reader(self, schema) -> DataSourceReader:
         push = self.options.get("pushdown", "false").lower() == "true"
         return WarcPushdownReader(self.options) if push else WarcReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return WarcWriter(self.options["path"], overwrite)
+        return WarcWriter(self.options, overwrite)
+
+    def streamWriter(self, schema, overwrite: bool) -> DataSourceStreamWriter:
+        return WarcStreamWriter(self.options)
 
 
 def register(spark: SparkSession) -> None:
@@ -408,13 +585,47 @@ def read_warc(spark: SparkSession, paths: str | list[str], payload: bool = True,
     return records.withColumn("record_seq", F.col("record_seq").alias("record_seq", metadata={SPAN_KEY: SLICE_SPAN}))
 
 
-def write_warc(records: DataFrame, path: str, mode: str = "errorifexists", partitions: int | None = None) -> None:
-    """Write records in ``(file_seq, record_seq)`` order over the files of the output."""
+def member_index(spark: SparkSession, paths: str | list[str], slice_bytes: int = SLICE_BYTES, names: HeaderNames = NAMES,
+                 cut_off: str = "fail", compute_digests: bool = False) -> DataFrame:
+    """Heads of all records and where they are: no payload is kept, in a task or in a row.
+
+    Besides the record columns without ``payload``: ``member_offset``, and
+    ``member_length`` where a gzip member holds just this record, so that its
+    bytes can be copied.  ``compute_digests`` fills missing payload digests.
+    """
+    register(spark)
+    reader = spark.read.format("warc").option("index", "true").option("sliceBytes", slice_bytes) \
+        .option("headerPrefix", names.prefix).option("cutOff", cut_off).option("computeDigests", str(compute_digests).lower())
+    heads = reader.load(paths) if isinstance(paths, str) else reader.option("paths", json.dumps(list(paths))).load()
+    return heads.withColumn("record_seq", F.col("record_seq").alias("record_seq", metadata={SPAN_KEY: SLICE_SPAN}))
+
+
+def write_warc(records: DataFrame, path: str, mode: str = "errorifexists", partitions: int | None = None,
+               max_file_bytes: int = FILE_BYTES) -> None:
+    """Write records in ``(file_seq, record_seq)`` order over the files of the output.
+
+    A column ``archive`` names the archive each record goes to: a folder of its
+    own per name, whose files are cut at ``max_file_bytes``; a large archive is
+    spread over tasks.  Rows with ``copy_path`` are taken over from there.
+    """
     register(records.sparkSession)
     if mode == "errorifexists" and files.exists(path) and files.archives_in(path):
         raise FileExistsError(path)
-    ordered = records.select(*RECORD_COLUMNS)
+    extra = [c for c in ("archive", "copy_path", "copy_offset", "copy_length") if c in records.columns]
+    order = (["archive"] if "archive" in extra else []) + list(ORDER)
+    ordered = records.select(*RECORD_COLUMNS, *extra)
     ordered = (
-        ordered.repartitionByRange(partitions, *ORDER) if partitions else ordered.repartitionByRange(*ORDER)
-    ).sortWithinPartitions(*ORDER)
-    ordered.write.format("warc").mode("overwrite" if mode == "overwrite" else "append").save(path)
+        ordered.repartitionByRange(partitions, *order) if partitions else ordered.repartitionByRange(*order)
+    ).sortWithinPartitions(*order)
+    ordered.write.format("warc").option("maxFileBytes", max_file_bytes).mode(
+        "overwrite" if mode == "overwrite" else "append").save(path)
+
+
+def stream_warc(records: DataFrame, path: str, checkpoint: str, stream: str = "stream", max_file_bytes: int = FILE_BYTES):
+    """Writer of a stream of records: one commit per batch, and each batch counts once however often it is run."""
+    register(records.sparkSession)
+    extra = [c for c in ("archive",) if c in records.columns]
+    return (
+        records.select(*RECORD_COLUMNS, *extra).writeStream.format("warc").outputMode("append").option("path", path)
+        .option("checkpointLocation", checkpoint).option("stream", stream).option("maxFileBytes", max_file_bytes)
+    )
