@@ -16,9 +16,11 @@ EMITTED = ("finished", "redirect", "failed")
 AUDIT_ONLY = ("no_response", "superseded", "open")
 
 
-def network_events(raw: DataFrame) -> DataFrame:
+def network_events(raw: DataFrame, *keep: str) -> DataFrame:
     """Network events that can matter: off-scheme requests and responses are gone.
 
+    ``keep`` names further columns to hand on.
+
     Dropping them before any shuffle is also what the rules ask for: such a
     request opens nothing and leaves an open item open.  Parameters stay as
     they came; only what decides is read here.
@@ -26,13 +28,13 @@ def network_events(raw: DataFrame) -> DataFrame:
     q = F.col("q")
     return (
         raw.filter(F.col("method").isin(EV_REQUEST, EV_RESPONSE, EV_FINISHED, EV_FAILED))
-        .select("page_id", "seq", "method", "params", X.once(keys_of()).alias("q"))
+        .select("page_id", "seq", "method", "params", *keep, X.once(keys_of()).alias("q"))
         .filter(
             F.when(F.col("method") == EV_REQUEST, is_web(q["request"]["url"]))
             .when(F.col("method") == EV_RESPONSE, is_web(q["response"]["url"]))
             .otherwise(True)
         )
-        .select("page_id", q["requestId"].alias("request_id"), "seq", "method", "params")
+        .select("page_id", q["requestId"].alias("request_id"), "seq", "method", "params", *keep)
     )
 
 
@@ -98,6 +100,14 @@ def assemble(raw: DataFrame, span: int = SEGMENT_SPAN) -> DataFrame:
             _newest("next", F.struct("seq", p["redirectResponse"].alias("r"))).alias("nx"),
         )
     )
+    return finish_episodes(folded)
+
+
+def finish_episodes(folded: DataFrame, otherwise: Column | None = None) -> DataFrame:
+    """Episodes with their outcome from what was folded of each request: start, response, end, next start.
+
+    Where ``otherwise`` is not NULL it is the outcome.
+    """
     re, en, nx = F.col("re"), F.col("en"), F.col("nx")
     outcome = (
         F.when(en["method"] == EV_FAILED, "failed")
@@ -106,6 +116,8 @@ def assemble(raw: DataFrame, span: int = SEGMENT_SPAN) -> DataFrame:
         .when(nx["r"].isNotNull(), "redirect")
         .otherwise("superseded")
     )
+    if otherwise is not None:
+        outcome = F.coalesce(otherwise, outcome)
     folded = folded.withColumn("outcome", outcome).withColumn(
         "r", F.when(F.col("outcome") == "redirect", nx["r"]).otherwise(re["r"])
     )

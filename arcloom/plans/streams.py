@@ -5,6 +5,9 @@ Each is checked against the SQL of its batch twin.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +21,7 @@ from arcloom.plans.base import micros, query, table
 from arcloom.session import scratch_path
 from arcloom.sources.files import locate
 from arcloom.sources.warc import read_warc, stream_warc
-from arcloom.streaming import captures, feed, idle, sinks
+from arcloom.streaming import assembly, captures, feed, idle, sinks
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +56,19 @@ def stream_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
         C.joined_headers(F.col("request.headers")).alias("rq_headers"))
 
 
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB."""
+    before = {k: spark.conf.get(k, None) for k in idle.ROCKSDB}
+    for k, v in idle.ROCKSDB.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 ARRIVALS = 4
 
 
@@ -62,10 +78,13 @@ def arriving(spark: SparkSession, df: DataFrame, folder: str) -> DataFrame:
     return spark.readStream.schema(df.schema).parquet(folder)
 
 
-def in_arrivals(df: DataFrame, order: str, folder: str, take) -> None:
-    """Let a table come in over time: ``ARRIVALS`` parts in the order of ``order``, ``take()`` after each."""
+def in_arrivals(df: DataFrame, order: str, folder: str, take, delayed: str = "0") -> None:
+    """Let a table come in over time: ``ARRIVALS`` parts in the order of ``order``, ``take()`` after each.
+
+    ``delayed`` says by how many parts a row comes later than it should.
+    """
     low, high = df.agg(F.min(order), F.max(order)).first()
-    part = F.expr(f"least(({order} - {low}) * {ARRIVALS} div {max(high - low, 1)}, {ARRIVALS - 1})")
+    part = F.expr(f"least(({order} - {low}) * {ARRIVALS} div {max(high - low, 1)} + {delayed}, {ARRIVALS - 1})")
     for i in range(ARRIVALS):
         df.filter(part == i).write.mode("append").parquet(folder)
         take()
@@ -88,6 +107,70 @@ def stream_captures_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.coalesce(rs["bytes_received"], F.lit(0)).alias("bytes_received"))
 
 
+DELAYED = "CASE WHEN event_id % 7 = 3 THEN 1 WHEN event_id % 11 = 5 THEN 2 ELSE 0 END"
+SQL_LATE = f"""low AS (SELECT min(event_id) AS low, max(event_id) AS high, (max(epoch_us(ts)) - min(epoch_us(ts))) // 8000 AS delay_ms FROM events),
+arrived AS (
+  SELECT event_id, epoch_us(ts) AS us, least((event_id - low) * {ARRIVALS} // greatest(high - low, 1) + {DELAYED}, {ARRIVALS - 1}) AS part, delay_ms
+  FROM events, low),
+marks AS (
+  SELECT part, max(max(us) // 1000 - max(delay_ms)) OVER (ORDER BY part) * 1000 AS mark FROM arrived GROUP BY part),
+-- an event is late if the watermark of the parts before it has passed it
+judged AS (SELECT a.event_id, coalesce(a.us <= m.mark, false) AS late FROM arrived a LEFT JOIN marks m ON m.part = a.part - 1)"""
+
+
+@query("stream_captures_late", f"""
+WITH {C.SQL_CAPTURES.partition("e2 AS")[0]} {SQL_LATE},
+n AS (SELECT count(*) AS n_late FROM e1 JOIN judged ON event_id = seq WHERE late),
+final AS (SELECT max(mark) AS mark, (SELECT delay_ms FROM low) * 250 AS timeout_us FROM marks),
+-- what the last watermark has passed, in the order of event time
+t AS (
+  SELECT e1.*, sum(CAST(is_start AS INT)) OVER (PARTITION BY page_id, request_id ORDER BY us, seq) AS ep
+  FROM e1 JOIN judged ON event_id = seq, final WHERE NOT late AND us <= mark),
+s AS (
+  SELECT *, lead(seq) OVER r AS next_seq, lead(event_type) OVER r AS next_type, lead(us) OVER r AS next_us
+  FROM t WHERE is_start WINDOW r AS (PARTITION BY page_id, request_id ORDER BY us, seq)),
+x AS (
+  SELECT t.page_id, t.request_id, t.ep, arg_min(t.seq, (t.us, t.seq)) AS end_seq, arg_min(t.event_type, (t.us, t.seq)) AS end_type,
+         arg_min(t.k, (t.us, t.seq)) AS end_k, min((t.us, t.seq)) AS end_at
+  FROM t JOIN s USING (page_id, request_id, ep), final WHERE t.is_end AND t.us <= s.us + timeout_us GROUP BY ALL),
+p AS (
+  SELECT t.page_id, t.request_id, t.ep, arg_max(t.k, (t.us, t.seq)) AS rk
+  FROM t JOIN s USING (page_id, request_id, ep) LEFT JOIN x USING (page_id, request_id, ep), final
+  WHERE t.event_type = 'click' AND t.us <= s.us + timeout_us AND (end_at IS NULL OR (t.us, t.seq) < end_at) GROUP BY ALL),
+o AS (
+  SELECT s.page_id, s.request_id, s.seq AS start_seq, x.end_seq, s.next_seq, p.rk, x.end_k,
+         CASE WHEN end_type = 'error' THEN 'failed' WHEN end_type = 'purchase' THEN CASE WHEN rk IS NOT NULL THEN 'finished' ELSE 'no_response' END
+              WHEN next_us <= s.us + timeout_us THEN CASE WHEN next_type = 'signup' THEN 'redirect' ELSE 'superseded' END
+              WHEN s.us + timeout_us <= mark THEN 'expired' ELSE 'open' END AS outcome
+  FROM s LEFT JOIN x USING (page_id, request_id, ep) LEFT JOIN p USING (page_id, request_id, ep), final)
+SELECT page_id, request_id, start_seq, CASE WHEN outcome = 'expired' THEN -1 ELSE coalesce(end_seq, next_seq) END AS emit_seq, outcome,
+       CASE WHEN outcome = 'redirect' THEN 301 WHEN outcome = 'finished' THEN CASE WHEN rk % 3 = 0 THEN 404 ELSE 200 END ELSE 0 END AS status,
+       CASE WHEN outcome = 'finished' THEN end_k * 1000 ELSE 0 END AS bytes_received, n_late
+FROM o, n WHERE outcome <> 'open'""")
+def stream_captures_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in four arrivals, some of them one or two parts late: those the watermark has passed are left out and counted."""
+    base = scratch_path(spark, "stream-late")
+    events = table(spark, sf_dir, "events")
+    first, last = events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    delay_ms = (last - first) // 8000
+    source = C.raw_events(arriving(spark, events, f"{base}/in"))
+    late = []
+
+    def take() -> None:
+        # a query's plan belongs to its run
+        closed = assembly.closed_requests(source, f"{delay_ms} milliseconds", delay_ms / 4e3)
+        with rocksdb(spark):
+            late.append(assembly.late_events(sinks.run_available(
+                closed, lambda df, i: sinks.write_batch(df, f"{base}/out", i), f"{base}/checkpoint")))
+
+    in_arrivals(events, "event_id", f"{base}/in", take, DELAYED)
+    found = assembly.episodes(sinks.read_batches(spark, f"{base}/out", assembly.CLOSED_SCHEMA + ", batch_id INT"))
+    rs = F.col("response")
+    return found.select("page_id", "request_id", "start_seq", F.coalesce("emit_seq", F.lit(-1)).alias("emit_seq"), "outcome",
+                        F.coalesce(rs["status"], F.lit(0)).alias("status"), F.coalesce(rs["bytes_received"], F.lit(0)).alias("bytes_received"),
+                        F.lit(sum(late)).alias("n_late"))
+
+
 @query("stream_replay_live", f"""
 WITH {L.SQL_LOG}, b AS (SELECT min(event_id) AS low, max(event_id) AS high FROM events),
 f AS (SELECT seq, least((seq - low) * {ARRIVALS} // greatest(high - low, 1), {ARRIVALS - 1}) AS part FROM m, b WHERE NOT is_noise)
@@ -264,13 +347,7 @@ def stream_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("user_id") % 50).alias("page_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"),
         micros().alias("us"), F.col("user_id").alias("frame_id"),
         F.when(F.col("event_type") == "view", "started").otherwise("stopped").alias("kind"))
-    before = {k: spark.conf.get(k, None) for k in idle.ROCKSDB}
-    for k, v in idle.ROCKSDB.items():
-        spark.conf.set(k, v)
-    try:
-        stops = idle.stop_stream(frames, 4 * 3600, 10 * 86400)
+    stops = idle.stop_stream(frames, 4 * 3600, 10 * 86400)
+    with rocksdb(spark):
         sinks.run_available(stops, lambda df, i: sinks.write_batch(df, f"{base}/out", i), f"{base}/checkpoint")
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return sinks.read_batches(spark, f"{base}/out", idle.STOP_SCHEMA + ", batch_id INT").select("page_id", "reason", "after_us")
