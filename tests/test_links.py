@@ -99,3 +99,44 @@ def test_policy_may_be_a_function_and_rules_a_file(spark, tmp_path):
     assert {u for u, _, _ in reach(spark, edges, [H + "a"], lambda rows: rows.filter(~F.endswith(F.col("url"), F.lit("c"))))} == {H + "a", H + "b"}
     (tmp_path / "b.json").write_text('{"^x": "one", "^a": "two"}')
     assert policies.load_blocklist(str(tmp_path / "b.json")) == [("^x", "one"), ("^a", "two")]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def scans_below_exchanges(df):
+    """Scans that stand below an exchange."""
+    found, open_at = [], []
+    for line in plan_of(df).splitlines():
+        depth = len(line) - len(line.lstrip(" :+-*(0123456789)"))
+        open_at = [d for d in open_at if d < depth]
+        if "Exchange" in line and "Reused" not in line:
+            open_at.append(depth)
+        if "FileScan" in line and open_at:
+            found.append(line)
+    return found
+
+
+def test_a_level_moves_neither_the_graph_nor_what_was_reached(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables too large for it
+    edges = spark.createDataFrame([(f"{H}{i}", f"{H}{j}") for i in range(60) for j in (2 * i, 2 * i + 1)], "src_url STRING, dst_url STRING")
+    store = frontier.CrawlStore(spark, edges, buckets=4)
+    try:
+        level = store.add(spark.createDataFrame([(H + "1", None)], "url STRING, parent_url STRING"), 0)
+        for depth in range(1, 4):
+            found = store.candidates(level)
+            # the level has the buckets of the graph: nothing is moved to join them
+            assert "Exchange" not in plan_of(found) and plan_of(found).count("Bucketed: true") == 2
+            new = frontier.new_links(found, store.reached())
+            # what is exchanged are links on the level's pages; all that was reached is read where it is
+            whole = [x for x in plan_of(new).splitlines() if store.reached_table in x and "PartitionFilters: []" in x]
+            assert len(whole) == 1 and "Bucketed: true" in whole[0] and whole[0] not in scans_below_exchanges(new)
+            assert len(scans_below_exchanges(new)) == 2
+            level = store.add(new, depth)
+        assert store.reached().count() == 1 + 2 + 4 + 8
+    finally:
+        store.close()
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not spark.catalog.tableExists(store.links_table)
