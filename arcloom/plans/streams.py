@@ -78,15 +78,16 @@ def arriving(spark: SparkSession, df: DataFrame, folder: str) -> DataFrame:
     return spark.readStream.schema(df.schema).parquet(folder)
 
 
-def in_arrivals(df: DataFrame, order: str, folder: str, take, delayed: str = "0") -> None:
+def in_arrivals(df: DataFrame, order: str, folder: str, take, delayed: str = "0", columns: list[str] | None = None) -> None:
     """Let a table come in over time: ``ARRIVALS`` parts in the order of ``order``, ``take()`` after each.
 
-    ``delayed`` says by how many parts a row comes later than it should.
+    ``delayed`` says by how many parts a row comes later than it should;
+    ``columns`` are those that come, all without it.
     """
     low, high = df.agg(F.min(order), F.max(order)).first()
     part = F.expr(f"least(({order} - {low}) * {ARRIVALS} div {max(high - low, 1)} + {delayed}, {ARRIVALS - 1})")
     for i in range(ARRIVALS):
-        df.filter(part == i).write.mode("append").parquet(folder)
+        df.filter(part == i).select(columns or df.columns).write.mode("append").parquet(folder)
         take()
 
 
@@ -209,6 +210,33 @@ def stream_links_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.read_batches(spark, f"{base}/visited", feed.VISITED_SCHEMA + ", batch_id INT").select("url")
 
 
+@query("stream_links_seen", rf"""
+WITH {U.SQL_HREFS},
+l AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) || link AS url, split_part(url, '#', 1) AS parent FROM hrefs),
+known AS (SELECT DISTINCT url FROM l WHERE page_id % 5 = 0)
+SELECT DISTINCT url, true AS parent_has_it FROM l WHERE url NOT IN (SELECT url FROM known)""")
+def stream_links_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New links over four arrivals, those of every fifth page being known beforehand; the URLs seen are keyed state."""
+    base = scratch_path(spark, "stream-seen")
+    pages = table(spark, sf_dir, "pages")
+    all_edges = outlinks.link_edges_native(pages).select(
+        "page_id", F.substring_index("url", "#", 1).alias("src_url"), "dst_url")
+    known = all_edges.filter(F.col("page_id") % 5 == 0).select(F.lit(None).cast("string").alias("src_url"), "dst_url")
+    edges = all_edges.select("src_url", "dst_url")
+    source = arriving(spark, edges, f"{base}/in")
+
+    def take() -> None:
+        with rocksdb(spark):
+            sinks.run_available(feed.first_sightings(source), lambda df, i: sinks.write_batch(df, f"{base}/out", i), f"{base}/checkpoint")
+
+    known.write.mode("append").parquet(f"{base}/in")
+    take()
+    in_arrivals(all_edges, "page_id", f"{base}/in", take, columns=["src_url", "dst_url"])
+    found = sinks.read_batches(spark, f"{base}/out", feed.VISITED_SCHEMA + ", batch_id INT")
+    pairs = edges.distinct().select(F.col("dst_url").alias("url"), F.col("src_url").alias("parent_url"), F.lit(True).alias("parent_has_it"))
+    return found.join(pairs, ["url", "parent_url"], "left").select("url", F.coalesce("parent_has_it", F.lit(False)).alias("parent_has_it"))
+
+
 def forget_commit(checkpoint: str) -> None:
     """Lose the last batch's entry of a stream's commit log, as a driver does that dies before writing it."""
     system, root = locate(f"{checkpoint}/commits")

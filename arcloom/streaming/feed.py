@@ -16,7 +16,8 @@ FEED_SCHEMA = "seq BIGINT, line STRING"
 class FeedWriter:
     """``foreachBatch`` consumer: cleaned lines go to ``out``, the newest ``n`` also to ``tail``.
 
-    Tails of the last ``keep`` batches stay, for subscribers that join at one of them.
+    Tails of the last ``keep`` batches stay, for those who show the newest lines
+    again and again; ``replay`` finds the tail of any batch in ``out``.
     """
 
     def __init__(self, out: str, tail: str, n: int = FEED_TAIL, keep: int = 16) -> None:
@@ -33,8 +34,12 @@ class FeedWriter:
 
 
 def replay(spark: SparkSession, writer: FeedWriter, upto_batch: int) -> tuple[DataFrame, DataFrame]:
-    """For a subscriber that comes late: the tail as of a batch, and the stream of all later lines."""
-    history = spark.read.schema(FEED_SCHEMA).parquet(f"{writer.tail}/batch_id={upto_batch}").orderBy("seq")
+    """For a subscriber that comes late: the tail as of a batch, however long ago, and the stream of all later lines.
+
+    The tail is a top-n over the batches up to that one: each task keeps ``n`` lines.
+    """
+    past = read_batches(spark, writer.out, FEED_SCHEMA + ", batch_id INT").filter(F.col("batch_id") <= upto_batch)
+    history = crawl_log.tail(past.drop("batch_id"), n=writer.n).orderBy("seq")
     live = (
         spark.readStream.schema(FEED_SCHEMA + ", batch_id INT").parquet(writer.out)
         .filter(F.col("batch_id") > upto_batch).drop("batch_id")
@@ -67,6 +72,20 @@ class LinkDiscovery:
             write_batch(cut_lineage(found, "links"), self.visited, batch_id)
 
 
+def first_sightings(edges: DataFrame) -> DataFrame:
+    """Links nobody saw before, as a stream: ``(url, parent_url)`` once per URL, exact for any age.
+
+    ``edges`` is a stream of ``(src_url, dst_url)``.  The URLs seen are state,
+    keyed by URL: a micro-batch looks up its own URLs only and reads no earlier
+    output.  The parent is one of the pages of that micro-batch.  URLs known
+    from elsewhere come as edges of an early batch without a source page; they
+    are taken note of and not reported.  Start the stream with the RocksDB
+    state store, whose keys need not fit in memory.
+    """
+    once = edges.select(F.col("dst_url").alias("url"), F.col("src_url").alias("parent_url")).dropDuplicates(["url"])
+    return once.filter(F.col("parent_url").isNotNull())
+
+
 def new_links_within(edges: DataFrame, ts: str, horizon: str) -> DataFrame:
     """Stateful variant with bounded state: a link counts as new again after ``horizon``."""
     return edges.withWatermark(ts, horizon).dropDuplicatesWithinWatermark(["dst_url"])
