@@ -8,10 +8,11 @@ import re
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators are tuned for.  None is required for right results.
@@ -87,24 +88,38 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-# the tables of the innermost open scope; a thread has scopes of its own, so queries that run at once never share one
-_scope: ContextVar[list[str] | None] = ContextVar("scratch_scope", default=None)
+# what the innermost open scope undoes; a thread has scopes of its own, so queries that run at once never share one
+_scope: ContextVar[list[Callable[[], None]] | None] = ContextVar("scratch_scope", default=None)
 
 
 @contextmanager
 def scratch_scope() -> Iterator[None]:
     """Tables that ``cut_lineage`` writes inside are removed at the end: for work whose result is kept elsewhere.
 
-    A scope covers the thread that opens it; threads started inside have none.
+    So are values that ``share`` broadcasts.  A scope covers the thread that
+    opens it; threads started inside have none.
     """
-    written: list[str] = []
-    outer = _scope.set(written)
+    undo: list[Callable[[], None]] = []
+    outer = _scope.set(undo)
     try:
         yield
     finally:
         _scope.reset(outer)
-        for path in written:
-            remove(path)
+        for step in undo:
+            step()
+
+
+def _at_scope_end(step: Callable[[], None]) -> None:
+    scope = _scope.get()
+    if scope is not None:
+        scope.append(step)
+
+
+def share(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcast a value of known size to the tasks; inside a scope it is given back at its end."""
+    shared = spark.sparkContext.broadcast(value)
+    _at_scope_end(shared.destroy)
+    return shared
 
 
 def remove(path: str) -> None:
@@ -126,8 +141,6 @@ def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    scope = _scope.get()
-    if scope is not None:
-        scope.append(path)
+    _at_scope_end(lambda: remove(path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
