@@ -2,17 +2,23 @@
 
 * Base spans: four patterns with their checks.  They always stay.
 * Candidates beyond them: looser patterns of the same kinds (phone numbers
-  without a plus sign, written-out addresses, ...).
-* Labelers look at a candidate's form (regex), at short lists of known parts
-  (gazetteer) and at the words around it (context); each votes for, against, or
-  abstains.
+  without a plus sign, written-out addresses, ...) and base matches that fail
+  their check.
+* Labelers look at a span's form (regex), at lists of known parts (gazetteer)
+  and at the words around it (context); each votes for, against, or abstains.
 * Expectation-maximisation over the counts of vote patterns estimates how often
-  each labeler is right and how likely each pattern is personal data; those
-  posteriors train the final classifier, a naive Bayes model of the votes and of
-  the span's shape.  A candidate whose score reaches ``THRESHOLD`` is added.
+  each labeler is right and how likely each pattern is personal data.  It is
+  anchored at both ends: base spans are known to be personal data, and a span
+  that is part of a longer token or fails a checksum is known not to be (and
+  can never be added).  A labeler cannot become worse than chance, so the two
+  classes cannot change places.
+* The posteriors train the final classifier, a naive Bayes model of what the
+  span and its surroundings look like (length, separators, neighbouring
+  characters, the word before), none of it a vote.  A candidate that both the
+  posterior and the classifier give ``THRESHOLD`` is added.
 
 DataFrame expressions only.  What reaches the driver is one count per kind,
-vote pattern and shape: a fixed number of combinations whatever the data.
+vote pattern and feature value: a fixed number of combinations whatever the data.
 
 Patterns are linear: possessive repeats never go back, and a match can start
 inside a run of its characters only where the last match ended.
@@ -43,15 +49,16 @@ LOOSE = {
     "email": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[\[(\x20](?:at|@)[\])\x20]\x20?[A-Za-z0-9-]{1,63}+"
              r"\x20?[\[(\x20](?:dot|\.)[\])\x20]\x20?[A-Za-z]{2,24}+(?![A-Za-z0-9])",
     "ip": r"(?i)(?<![0-9A-F:.])(?:[0-9A-F]{1,4}+:){7}+[0-9A-F]{1,4}+(?![0-9A-F:])",
+    "card": r"(?<![0-9A-Za-z])[0-9]{4}(?:(?:\x20[\x20-]\x20?|[./_\x{A0}])[0-9]{4}){3}(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z+.-])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)|[0-9]{3,4})[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])",
 }
-# known parts: gazetteers
-TOP_DOMAINS = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "info", "eu")
+# known parts: gazetteers.  Country domains have two letters; these are the others
+TOP_DOMAINS = ("com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "app", "dev", "online", "site", "xyz", "shop", "cloud")
 MARKS = {
-    "email": "e-?mail|mail|correo|courriel|contact|kontakt|write to|adresse",
-    "ip": "ip|host|server|client|address|adresse|servidor",
-    "card": "card|visa|mastercard|amex|credit|karte|carte|tarjeta|payment",
-    "phone": "phone|tel|call|mobile|cell|fax|telefon|téléphone|teléfono|ruf",
+    "email": "e-?mails?|mail|correo|courriel|contact|kontakt|contacto|write to|reach me at|schreib an|adresse|address|dirección",
+    "ip": "ips?|hosts?|servers?|clients?|address|adresse|dirección|servidor|serveur|gateway|router|login from|connected from",
+    "card": "cards?|visa|mastercard|amex|credit|debit|karten?|kreditkarte|carte|tarjeta|payment|zahlung|paiement|pago|billing",
+    "phone": "phone|tel|call|mobile|cell|fax|text me at|telefon|handy|ruf|nummer|téléphone|appelez|teléfono|móvil|llame|whatsapp",
 }
 
 
@@ -127,35 +134,61 @@ def _vote(yes: Column, no: Column | None = None) -> Column:
     return (out.when(no, F.lit("-")) if no is not None else out).otherwise(F.lit("0"))
 
 
-def _labelers(kind: str, span: Column, base: Column, before: Column, after: Column, company: Column) -> list[Column]:
-    """Votes on one candidate; ``base``: it matches the base pattern but fails its check."""
+def _labelers(kind: str, span: Column, failed: Column, before: Column, after: Column, company: Column) -> list[Column]:
+    """Votes on one span; ``failed``: it matches the base pattern but fails its check."""
     digits = _digits(span)
     domains = "|".join(TOP_DOMAINS)
     form = {
         "email": _vote(span.rlike(r"(?i)^[a-z0-9]")),
-        "ip": _vote(~base, base),
-        "card": _vote(F.lit(False), base),
+        "ip": _vote(~failed, failed),
+        "card": _vote(~failed, failed),
         "phone": _vote(F.length(digits).between(9, 15), ~F.length(digits).between(7, 15)),
     }[kind]
     shape = {
-        "email": _vote(span.rlike(r"(?i)[\[(](at|@)[\])]"), span.rlike(r"(?i)\x20at\x20.*\.\x20")),
-        "ip": _vote(span.rlike("^([0-9A-Fa-f]{1,4}:){7}"), span.rlike(r"(^|\.)0[0-9]|[0-9]{4}")),
-        "card": _vote(span.rlike(r"^([0-9]{4}[\x20-]){3}[0-9]{4}$"), ~span.rlike(r"^[0-9]{13,19}$")),
+        "email": _vote(span.rlike(r"(?i)[\[(](at|@)[\])]|[^\x20(\[]@"), span.rlike(r"(?i)\x20at\x20.*\.\x20")),
+        "ip": _vote(span.rlike(r"^([0-9A-Fa-f]{1,4}:){7}|^([0-9]{1,3}\.){3}[0-9]{1,3}$"), span.rlike(r"(^|\.)0[0-9]|[0-9]{4}")),
+        "card": _vote(span.rlike(r"^([0-9]{4}[^0-9]+){3}[0-9]{4}$|^[0-9]{15,16}$"), ~span.rlike(r"^[0-9]{13,19}$")),
         "phone": _vote(span.rlike(r"^(\+[0-9]{1,3}[\x20.-]?)?\([0-9]{3}\)|^\+"), span.rlike(r"^[0-9]+\.")),
     }[kind]
     gazetteer = {
-        "email": _vote(span.rlike(rf"(?i)[^a-z]({domains})$"), F.lit(True)),
+        "email": _vote(span.rlike(rf"(?i)[^a-z]([a-z]{{2}}|{domains})$"), F.lit(True)),
         "ip": _vote(F.lit(False), span.rlike("^(0|127|255)[.]")),
-        "card": _vote(span.rlike("^(4|5[1-5]|3[47]|6011|65)"), F.lit(True)),
+        "card": _vote(span.rlike("^(4|5[1-5]|2[2-7]|3[47]|6011|65|35)"), F.lit(True)),
         "phone": _vote(span.rlike(r"^\+(1|7|3[0-9]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"), span.startswith("+")),
     }[kind]
     context = _vote(before.rlike(rf"(?i)(?<![\p{{L}}])({MARKS[kind]})[^\p{{L}}]{{0,8}}(\p{{L}}+[^\p{{L}}]{{1,3}}){{0,3}}$"))
-    against = _vote(F.lit(False), before.rlike(r"(?i)[=#$/_\"'][\x20\"']*$|(version|v|id|no|isbn|doi|sha)[\x20.:]*$")
+    against = _vote(F.lit(False), before.rlike(r"(?i)[=#$/_\"'][\x20\"']*$|(version|v|id|no|isbn|doi|sha|order|ref)[\x20.:]*$")
                     | after.rlike(r"^[0-9A-Za-z_%/]"))
     return [form, shape, gazetteer, context, against, _vote(company)]
 
 
 LABELERS = 6
+WORD_BUCKETS = 64
+_CODES = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/"
+
+
+def _neighbour(char: Column) -> Column:
+    """What kind of character stands beside a span."""
+    return F.when(char == "", "e").when(char.rlike(r"^\s"), "s").when(char.rlike(r"^[\[({<\"']"), "o").when(
+        char.rlike(r"^[0-9A-Za-z_]"), "a").when(char.rlike(r"^\p{L}"), "l").otherwise("p")
+
+
+def _features(span: Column, before: Column, after: Column) -> Column:
+    """One character a feature: digits, separators, first character, the characters beside it, the word before."""
+    def code(number: Column) -> Column:
+        return F.substr(F.lit(_CODES), number.cast("int") + 1, F.lit(1))
+    joints = F.regexp_replace(span, "[0-9A-Za-z]", "")
+    separators = F.when(joints == "", "n").when(joints.rlike(r"^[\x20]+$"), "s").when(joints.rlike("^-+$"), "d").when(
+        joints.rlike(r"^[.]+$"), "t").when(joints.rlike("[(]"), "b").when(joints.rlike("@"), "m").otherwise("x")
+    first = F.when(span.startswith("+"), "+").when(span.rlike("^[(]"), "(").when(span.rlike("^0"), "0").when(
+        span.rlike("^[0-9]"), "9").otherwise("w")
+    word = F.lower(F.regexp_extract(before, r"(\p{L}+)[^\p{L}]{0,12}$", 1))
+    return F.concat(code(F.least(F.length(_digits(span)), F.lit(21))), separators, first,
+                    _neighbour(F.right(before, F.lit(1))), _neighbour(F.left(after, F.lit(1))),
+                    F.when(word == "", "-").otherwise(code(F.crc32(word.cast("binary")) % WORD_BUCKETS)))
+
+
+FEATURES = 6
 
 
 def _passing(kind: str) -> Column:
@@ -167,8 +200,15 @@ def _named(nth: int, kind: str) -> Column:
         F.lit(nth).alias("nth"), m["start"].alias("start"), m["end"].alias("end"), F.lit(kind).alias("kind")))
 
 
+_MORE = "array<struct<nth:int,start:int,end:int,kind:string,votes:string,features:string,veto:boolean>>"
+
+
 def find(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``__base`` (kind -> spans that match and pass) and ``__more`` (candidates with kind and votes)."""
+    """Add ``__base`` (spans that match and pass), ``__more`` (candidates) and ``__known`` (votes and features of base spans).
+
+    Write the result and hand it to ``fit`` and ``detect`` where both are
+    wanted: they look for spans only if these columns are not there.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
     out = df.withColumn("__body", body)
     for kind in KINDS:
@@ -177,103 +217,192 @@ def find(df: DataFrame, text: str = "text") -> DataFrame:
         out = out.withColumn(f"__ok_{kind}", _passing(kind))
     out = out.withColumn("__base", F.array_sort(F.concat(*[_named(i, kind) for i, kind in enumerate(KINDS)])))
 
+    def described(m: Column, i: int, kind: str) -> Column:
+        before = F.substring(F.col("__body"), F.greatest(m["start"] - CONTEXT, F.lit(0)) + 1, F.least(m["start"], F.lit(CONTEXT)))
+        after = F.substring(F.col("__body"), m["end"] + 1, F.lit(2))
+        company = F.exists("__base", lambda b: (b["kind"] != kind) & (F.abs(b["start"] - m["end"]) < 1000))
+
+        def seen(around: Column) -> Column:
+            inside = around["before"].rlike("[0-9A-Za-z_]$") | around["after"].rlike("^[0-9A-Za-z_]")
+            # a failed checksum or an octet out of range cannot be mended by other evidence
+            failed = m["failed"] if kind in ("card", "ip") else F.lit(False)
+            checked = F.lit(True) if kind != "card" else luhn(_digits(m["span"]))
+            return F.struct(
+                F.lit(i).alias("nth"), m["start"].alias("start"), m["end"].alias("end"), F.lit(kind).alias("kind"),
+                F.concat(*_labelers(kind, m["span"], m["failed"], around["before"], around["after"], company)).alias("votes"),
+                _features(m["span"], around["before"], around["after"]).alias("features"),
+                (inside | failed | ~checked).alias("veto"))
+        return _let(F.struct(before.alias("before"), after.alias("after")), seen)
+
+    def spans_of(matches: Column, failed: bool) -> Column:
+        return F.transform(matches, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"),
+                                                       m["span"].alias("span"), F.lit(failed).alias("failed")))
+
     def candidates(kind: str, i: int) -> Column:
         plausible = {"card": (12, 20), "phone": (7, 18)}.get(kind, (0, 1 << 30))
-        failed = F.filter(f"__all_{kind}", lambda m: ~_valid(kind, m["span"]) & F.length(_digits(m["span"])).between(*plausible))
-        spans = F.transform(failed, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"),
-                                                       m["span"].alias("span"), F.lit(True).alias("base")))
+        spans = spans_of(F.filter(f"__all_{kind}", lambda m: ~_valid(kind, m["span"]) & F.length(
+            _digits(m["span"])).between(*plausible)), True)
         if kind in LOOSE:
-            spans = F.concat(spans, F.transform(_matches(F.col("__body"), LOOSE[kind]), lambda m: F.struct(
-                m["start"].alias("start"), m["end"].alias("end"), m["span"].alias("span"), F.lit(False).alias("base"))))
+            spans = F.concat(spans, spans_of(_matches(F.col("__body"), LOOSE[kind]), False))
         free = F.filter(spans, lambda m: ~F.exists("__base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+        return F.transform(free, lambda m: described(m, i, kind))
 
-        def described(m: Column) -> Column:
-            before = F.substring(F.col("__body"), F.greatest(m["start"] - CONTEXT, F.lit(0)) + 1, F.least(m["start"], F.lit(CONTEXT)))
-            after = F.substring(F.col("__body"), m["end"] + 1, F.lit(2))
-            company = F.exists("__base", lambda b: (b["kind"] != kind) & (F.abs(b["start"] - m["end"]) < 1000))
-            digits = F.length(_digits(m["span"]))
-            size = F.least(F.floor(digits / 4), F.lit(5)).cast("string")
-            return F.struct(F.lit(i).alias("nth"), m["start"].alias("start"), m["end"].alias("end"), F.lit(kind).alias("kind"),
-                            F.concat(*_labelers(kind, m["span"], m["base"], before, after, company), F.lit("/"), size,
-                                     F.when(m["base"], F.lit("b")).otherwise(F.lit("l"))).alias("seen"))
-        return F.transform(free, described)
+    for i, kind in enumerate(KINDS):
+        out = out.withColumn(f"__known_{kind}", F.transform(
+            spans_of(F.col(f"__ok_{kind}"), False), lambda m: described(m, i, kind)))
+    none = F.array().cast(_MORE)
+    loosely = F.col("__body").rlike(r"[0-9][0-9./_)\x20\x{A0}-]{2}|(?i)[(\[\x20](dot|\.)[)\]\x20]|:[0-9A-Fa-f]+:")
+    for i, kind in enumerate(KINDS):
+        out = out.withColumn(f"__more_{kind}", F.when(loosely, candidates(kind, i)).otherwise(none))
+    return out.select(*[F.col(c) for c in df.columns], "__base",
+                      F.concat(*[F.col(f"__more_{kind}") for kind in KINDS]).alias("__more"),
+                      F.concat(*[F.col(f"__known_{kind}") for kind in KINDS]).alias("__known"))
 
-    found = F.concat(*[candidates(kind, i) for i, kind in enumerate(KINDS)])
-    return out.withColumn("__more", F.when(F.col("__body").rlike(r"[0-9][0-9.)\x20-]{2}|(?i)[(\[\x20](dot|\.)[)\]\x20]|:[0-9A-Fa-f]+:"),
-                                           found).otherwise(F.filter(found, lambda _: F.lit(False))))
 
+def _found(docs: DataFrame, text: str) -> DataFrame:
+    return docs if {"__base", "__more", "__known"} <= set(docs.columns) else find(docs, text)
 
-def reliabilities(patterns: Sequence[tuple[str, float]]) -> tuple[dict[str, float], list[dict[str, list[float]]], float]:
-    """Expectation-maximisation over (votes, count): posterior of each pattern, P(vote | truth) of each labeler, prior.
 
-    Starts from the majority of votes; vote tables are smoothed by one count.
+Counts = dict[tuple[str, str], float]  # (votes, what is known: '1', '0' or '') -> spans
+
+
+def reliabilities(counts: Counts) -> tuple[dict[str, float], list[dict[str, list[float]]], float]:
+    """Anchored expectation-maximisation: posterior of each vote pattern, P(vote | truth) of each labeler, prior.
+
+    Spans whose truth is known keep it.  Those known to be personal data weigh
+    as much as all others together at most, so that they anchor the classes
+    and do not drown them.  Vote tables are smoothed by one count; a labeler
+    whose vote speaks for the wrong class is put at chance.
     """
-    votes = {p: [(v == "+") - (v == "-") for v in p[:LABELERS]] for p, _ in patterns}
-    belief = {p: 1 / (1 + math.exp(-sum(v) + 0.5)) for p, v in votes.items()}
+    open_mass = sum(n for (_, known), n in counts.items() if known != "1")
+    sure_mass = sum(n for (_, known), n in counts.items() if known == "1")
+    scale = min(1.0, max(open_mass, 1.0) / sure_mass) if sure_mass else 1.0
+    weights = {key: n * (scale if key[1] == "1" else 1.0) for key, n in counts.items()}
+    belief = {p: 1 / (1 + math.exp(-sum((v == "+") - (v == "-") for v in p) + 0.5)) for p, _ in counts}
     tables: list[dict[str, list[float]]] = []
     prior = 0.5
     for _ in range(EM_ROUNDS):
-        mass = [sum(n * (1 - belief[p]) for p, n in patterns), sum(n * belief[p] for p, n in patterns)]
+        mass = [0.0, 0.0]
+        raw = [{v: [1.0, 1.0] for v in "+0-"} for _ in range(LABELERS)]
+        for (p, known), n in sorted(weights.items()):
+            yes = float(known) if known else belief[p]
+            for truth, share in ((0, 1 - yes), (1, yes)):
+                mass[truth] += n * share
+                for i in range(LABELERS):
+                    raw[i][p[i]][truth] += n * share
         prior = (mass[1] + 1) / (mass[0] + mass[1] + 2)
-        tables = []
-        for i in range(LABELERS):
-            table = {v: [1.0, 1.0] for v in "+0-"}
-            for p, n in patterns:
-                table[p[i]][0] += n * (1 - belief[p])
-                table[p[i]][1] += n * belief[p]
-            tables.append({v: [c[0] / (mass[0] + 3), c[1] / (mass[1] + 3)] for v, c in table.items()})
+        tables = [_no_worse_than_chance({v: [c[0] / (mass[0] + 3), c[1] / (mass[1] + 3)] for v, c in t.items()}) for t in raw]
         fresh = {}
-        for p, _ in patterns:
+        for p in belief:
             odds = math.log(prior / (1 - prior)) + sum(math.log(tables[i][p[i]][1] / tables[i][p[i]][0]) for i in range(LABELERS))
-            fresh[p] = 1 / (1 + math.exp(-max(min(odds, 30.0), -30.0)))
-        moved = max((abs(fresh[p] - belief[p]) for p, _ in patterns), default=0.0)
+            fresh[p] = _sigmoid(odds)
+        moved = max((abs(fresh[p] - belief[p]) for p in belief), default=0.0)
         belief = fresh
         if moved < 1e-9:
             break
     return belief, tables, prior
 
 
-def classify(patterns: Sequence[tuple[str, float]]) -> dict[str, float]:
-    """Score of each (votes, shape) pattern by a naive Bayes model trained on the labelers' posteriors.
+def _sigmoid(odds: float) -> float:
+    return 1 / (1 + math.exp(-max(min(odds, 30.0), -30.0)))
 
-    A pattern without one vote for it scores 0: nothing supports it.
-    """
-    belief, tables, prior = reliabilities(patterns)
-    shapes: dict[str, list[float]] = {}
-    mass = [1.0, 1.0]
-    for p, n in patterns:
-        shape = shapes.setdefault(p[LABELERS:], [1.0, 1.0])
-        for truth, weight in ((0, 1 - belief[p]), (1, belief[p])):
-            shape[truth] += n * weight
-            mass[truth] += n * weight
-    out = {}
-    for p, _ in patterns:
-        seen = shapes[p[LABELERS:]]
-        odds = math.log(prior / (1 - prior)) + math.log((seen[1] / mass[1]) / (seen[0] / mass[0]))
-        odds += sum(math.log(tables[i][p[i]][1] / tables[i][p[i]][0]) for i in range(LABELERS))
-        out[p] = 0.0 if "+" not in p[:LABELERS] else 1 / (1 + math.exp(-max(min(odds, 30.0), -30.0)))
+
+def _no_worse_than_chance(table: dict[str, list[float]]) -> dict[str, list[float]]:
+    out = {v: list(c) for v, c in table.items()}
+    for vote, truth in (("+", 1), ("-", 0)):
+        if out[vote][truth] < out[vote][1 - truth]:
+            out[vote] = [sum(out[vote]) / 2] * 2
+    for truth in (0, 1):
+        out["0"][truth] = max(1 - out["+"][truth] - out["-"][truth], 1e-6)
+        total = sum(out[v][truth] for v in "+0-")
+        for v in "+0-":
+            out[v][truth] /= total
     return out
 
 
-def fit(docs: DataFrame, text: str = "text") -> dict[str, dict[str, float]]:
-    """Score of every pattern, by kind, learned from all texts."""
-    counts = find(docs.select(text), text).select(F.explode("__more").alias("m")).groupBy("m.kind", "m.seen").count().collect()
-    return {kind: classify(sorted((r["seen"], float(r["count"])) for r in counts if r["kind"] == kind)) for kind in KINDS}
+def classify(counts: Counts, features: dict[tuple[str, str, int, str], float]) -> dict:
+    """The model of one kind: posteriors of vote patterns, and a naive Bayes classifier trained on them.
+
+    ``features`` has counts by (votes, what is known, feature, value).  The
+    classifier's prior is that of the spans whose truth is open; base spans
+    count as in ``reliabilities``.
+    """
+    belief, _, _ = reliabilities(counts)
+    open_mass = sum(n for (_, known), n in counts.items() if known != "1")
+    sure_mass = sum(n for (_, known), n in counts.items() if known == "1")
+    scale = min(1.0, max(open_mass, 1.0) / sure_mass) if sure_mass else 1.0
+    tables: list[dict[str, list[float]]] = [{} for _ in range(FEATURES)]
+    for (votes, known, feature, value), n in sorted(features.items()):
+        yes = float(known) if known else belief[votes]
+        cell = tables[feature].setdefault(value, [0.0, 0.0])
+        weight = n * (scale if known == "1" else 1.0)
+        cell[0] += weight * (1 - yes)
+        cell[1] += weight * yes
+    mass = [1.0, 1.0]
+    for (votes, known), n in counts.items():
+        yes = float(known) if known else belief[votes]
+        weight = n * (scale if known == "1" else 1.0)
+        mass[0] += weight * (1 - yes)
+        mass[1] += weight * yes
+    logs = {}
+    for i, table in enumerate(tables):
+        totals = [sum(c[t] for c in table.values()) + len(table) + 1 for t in (0, 1)]
+        for value, cell in table.items():
+            logs[f"{i}{value}"] = math.log((cell[1] + 1) / totals[1]) - math.log((cell[0] + 1) / totals[0])
+    return {"belief": belief, "prior": math.log(mass[1] / mass[0]), "features": logs}
+
+
+Model = dict[str, dict]
+
+
+def fit(docs: DataFrame, text: str = "text") -> Model:
+    """The model of each kind, learned from all texts."""
+    spans = F.concat(
+        F.transform("__more", lambda m: F.struct(m["kind"].alias("kind"), m["votes"].alias("votes"), m["features"].alias("features"),
+                                                 F.when(m["veto"], "0").otherwise("").alias("known"))),
+        # a base span inside a longer token stays one, but is no example
+        F.transform(F.filter("__known", lambda m: ~m["veto"]), lambda m: F.struct(
+            m["kind"].alias("kind"), m["votes"].alias("votes"), m["features"].alias("features"), F.lit("1").alias("known"))))
+    each = _found(docs, text).select(F.explode(spans).alias("s")).select("s.*")
+    cells = F.concat(F.array(F.struct(F.lit(-1).alias("feature"), F.lit("").alias("value"))), F.transform(
+        F.sequence(F.lit(0), F.lit(FEATURES - 1)),
+        lambda i: F.struct(i.alias("feature"), F.substring("features", i + 1, F.lit(1)).alias("value"))))
+    counted = each.select("kind", "votes", "known", F.explode(cells).alias("c")).groupBy(
+        "kind", "votes", "known", "c.feature", "c.value").count().collect()
+    model = {}
+    for kind in KINDS:
+        mine = [r for r in counted if r["kind"] == kind]
+        model[kind] = classify({(r["votes"], r["known"]): float(r["count"]) for r in mine if r["feature"] < 0},
+                               {(r["votes"], r["known"], r["feature"], r["value"]): float(r["count"]) for r in mine if r["feature"] >= 0})
+    return model
 
 
-def detect(docs: DataFrame, model: dict[str, dict[str, float]], text: str = "text", spans: str = "spans",
+def detect(docs: DataFrame, model: Model, text: str = "text", spans: str = "spans",
            threshold: float = THRESHOLD) -> DataFrame:
     """Add the spans of each text: kind, start, end (code points, end exclusive) and whether it is a base span.
 
     Sorted by kind as in ``KINDS``, then start.  Added spans never overlap base
-    spans, nor each other (the earliest, then longest stays).  NULL and empty
-    texts have none.  Rows are independent; equal texts have equal spans.
+    spans, nor each other (the earliest, then longest stays).  A candidate
+    without one vote for it is never added.  NULL and empty texts have none.
+    Rows are independent; equal texts have equal spans.
     """
-    if spans.lower() in {c.lower() for c in docs.columns}:
+    columns = [c for c in docs.columns if c not in ("__base", "__more", "__known")]
+    if spans.lower() in {c.lower() for c in columns}:
         raise ValueError(f"column exists already: {spans}")
-    accepted = [f"{kind}:{seen}" for kind in KINDS for seen, p in sorted(model[kind].items()) if p >= threshold]
-    found = find(docs, text)
-    kept = F.filter("__more", lambda m: F.concat(m["kind"], F.lit(":"), m["seen"]).isin(accepted) if accepted else F.lit(False))
+    accepted = [f"{kind}:{votes}" for kind in KINDS for votes, p in sorted(model[kind]["belief"].items())
+                if p >= threshold and "+" in votes]
+    logs = {f"{kind}{key}": v for kind in KINDS for key, v in sorted(model[kind]["features"].items())}
+    logs |= {kind: model[kind]["prior"] for kind in KINDS}
+    table = F.create_map(*[F.lit(x) for item in logs.items() for x in item])
+    limit = math.log(threshold / (1 - threshold))
+
+    def odds(m: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(0), F.lit(FEATURES - 1)), F.element_at(table, m["kind"]), lambda acc, i: acc + F.coalesce(
+            F.try_element_at(table, F.concat(m["kind"], i.cast("string"), F.substring(m["features"], i + 1, F.lit(1)))), F.lit(0.0)))
+
+    found = _found(docs, text)
+    kept = F.filter("__more", lambda m: ~m["veto"] & (F.concat(m["kind"], F.lit(":"), m["votes"]).isin(accepted)
+                                                      if accepted else F.lit(False)) & (odds(m) >= limit))
     ordered = F.array_sort(F.transform(kept, lambda m: F.struct(
         m["start"].alias("start"), (-m["end"]).alias("back"), m["nth"].alias("nth"), m["kind"].alias("kind"))))
     none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<nth:int,start:int,end:int,kind:string,base:boolean>>").alias("out"))
@@ -283,7 +412,7 @@ def detect(docs: DataFrame, model: dict[str, dict[str, float]], text: str = "tex
             F.lit(False).alias("base")))).alias("out"))).otherwise(acc), lambda acc: acc["out"])
     base = F.transform("__base", lambda b: F.struct(b["nth"].alias("nth"), b["start"].alias("start"), b["end"].alias("end"),
                                                     b["kind"].alias("kind"), F.lit(True).alias("base")))
-    return found.withColumn(spans, F.array_sort(F.concat(base, added))).select(*[F.col(c) for c in docs.columns], spans)
+    return found.withColumn(spans, F.array_sort(F.concat(base, added))).select(*[F.col(c) for c in columns], spans)
 
 
 def count_base(spans: Column, kind: str) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from arcloom.llm import byte_bpe, embed_dedup, fingerprints, jaccard_join, language, mixing, pii, quality, sharding, toxicity
 from arcloom.llm.registry import query, table
+from arcloom.session import cut_lineage
 
 
 def remainder(modulus: int, id_column: str = "doc_id") -> Column:
@@ -104,8 +105,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_weak_supervision_pii")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = pii.detect(docs, pii.fit(docs)).drop("text")
+    # texts are searched once; learning and deciding read the spans
+    spans = cut_lineage(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "pii-spans")
+    found = pii.detect(spans, pii.fit(spans))
     base = F.filter("spans", lambda s: s["base"])
     counts = [pii.count_base(F.col("spans"), kind).alias(f"n_{kind}") for kind in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(pii.digest(base), 256).alias("base_sha256"),
