@@ -148,6 +148,28 @@ def uses(mixed: DataFrame, max_repeats: int = 2, schedules: Sequence = SCHEDULES
     return rows.filter("words > 0").withColumn("position", position)
 
 
+def plan(df: DataFrame, weights: Sequence[float], share: float = 1.5, max_repeats: int = 2, schedules: Sequence = SCHEDULES,
+         source: str = "source", id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """One narrow row per document with what the mix takes of it, and when.
+
+    The columns of ``mix``, with ``taken`` summed over the document's uses, and
+    ``first_position`` and ``last_position`` (training positions of its first
+    and last use, 0 to 1) and ``first_rank`` (place of the first use in the
+    whole training order, from 0); NULL for documents that are not used.  The
+    order is that of ``schedule``: by position, then the fixed shuffle.
+    """
+    mixed = cut_lineage(mix(df, weights, share, max_repeats, source, id_column, text), "mix-rows")
+    narrow = uses(mixed, max_repeats, schedules).select("__order", "source_rank", "before", "turn", "words", "position")
+    ranked = row_numbers(narrow, [F.col("position"), F.col("__order"), F.col("turn")], "__rank", "mix-order")
+    # equal rows of a source stand one after the other, so an order and a place name a document
+    key = ["__order", "source_rank", "before"]
+    when = ranked.groupBy(*key).agg(F.sum("words").alias("__words"), F.min("position").alias("first_position"),
+                                    F.max("position").alias("last_position"), F.min("__rank").alias("first_rank"))
+    # documents without words share a place with the next one and are never used
+    used = mixed.withColumn("__order", F.when(F.col("taken") > 0, F.col("__order")))
+    return used.join(when, key, "left").withColumn("taken", F.coalesce("__words", F.lit(0)).cast("bigint")).drop("__words", "__order")
+
+
 def schedule(df: DataFrame, weights: Sequence[float], share: float = 1.5, max_repeats: int = 2,
              schedules: Sequence = SCHEDULES, source: str = "source", id_column: str = "doc_id",
              text: str = "text") -> DataFrame:

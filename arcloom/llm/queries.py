@@ -62,20 +62,41 @@ f AS (
   ORDER BY nth LIMIT 1),
 t AS (SELECT source, source_size, least(2.0::DOUBLE * source_size, w * level) AS target FROM r, f),
 p AS (
-  SELECT doc_id, size, source_size, target, CAST(floor(target) AS BIGINT) AS goal,
+  SELECT doc_id, size, source_size, target, CAST(floor(target) AS BIGINT) AS goal, place, source_rank,
          CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY place
                                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ahead
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       CAST(least(size, greatest(goal - ahead, 0)) + least(size, greatest(goal - ahead - source_size, 0)) AS BIGINT)
-         AS taken
-FROM p"""
+  FROM d JOIN (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS source_rank FROM t) t
+    ON d.source IS NOT DISTINCT FROM t.source),
+-- uses: of the words that the source's demand has reached by the end, each pass over the source is one turn
+u AS (
+  SELECT doc_id, place, source_rank, turn, (ahead + source_size * turn) / target AS share,
+         least(size, greatest(goal - ahead - source_size * turn, 0)) AS words
+  FROM p, (SELECT unnest([0, 1]) AS turn)),
+-- the three weight schedules, flat, rising from 0.5 over 1 at the middle to 1.5, falling from 1.5 to 0.5, integrate to 1;
+-- demand is inverted piece by piece: w0 x + slope x^2 / 2 = what the piece still needs
+v AS (
+  SELECT *, CASE source_rank % 3
+    WHEN 0 THEN least(share, 1.0::DOUBLE)
+    WHEN 1 THEN CASE WHEN least(share, 1.0::DOUBLE) <= 0.375 THEN 2 * least(share, 1.0::DOUBLE) / (0.5 + sqrt(0.25 + 2 * least(share, 1.0::DOUBLE)))
+                     ELSE 0.5 + 2 * (least(share, 1.0::DOUBLE) - 0.375) / (1 + sqrt(1 + 2 * (least(share, 1.0::DOUBLE) - 0.375))) END
+    ELSE 2 * least(share, 1.0::DOUBLE) / (1.5 + sqrt(greatest(2.25 - 2 * least(share, 1.0::DOUBLE), 0))) END AS position
+  FROM u WHERE words > 0),
+o AS (SELECT *, row_number() OVER (ORDER BY position, place, turn) - 1 AS nth FROM v),
+q AS (
+  SELECT doc_id, sum(words) AS taken, min(position) AS first_position, max(position) AS last_position, min(nth) AS first_rank
+  FROM o GROUP BY doc_id)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, round(first_position, 9) AS first_position,
+       round(last_position, 9) AS last_position, first_rank
+FROM p LEFT JOIN q USING (doc_id)"""
 
 
 @query("op8_curriculum_mix", OP8_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix(docs, (3, 1, 2)).select("doc_id", "size", "source_size", "target", "taken")
+    # positions come from each source's inverted demand, taken words from its uses
+    return mixing.plan(docs, (3, 1, 2)).select(
+        "doc_id", "size", "source_size", "target", "taken", F.round("first_position", 9).alias("first_position"),
+        F.round("last_position", 9).alias("last_position"), "first_rank")
 
 
 @query("op3_quality_neighbours")
