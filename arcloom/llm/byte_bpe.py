@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from arcloom.session import share
+
 CACHE_PIECES = 100_000
 CACHE_PIECE_CHARS = 64  # longer pieces are encoded but not kept
 ENCODE_ROWS = 256  # rows encoded together
@@ -139,7 +141,7 @@ def _share(spark: SparkSession, path: str, pattern: str):
     """Send the vocabulary to the tasks: a file of fixed size, whatever the data."""
     tokens = read_ranks(path)
     name = hashlib.sha256(pattern.encode() + b"\0".join(tokens)).hexdigest()
-    return spark.sparkContext.broadcast((tokens, pattern, name))
+    return share(spark, (tokens, pattern, name))
 
 
 def _refuse_clash(df: DataFrame, names: list[str]) -> None:

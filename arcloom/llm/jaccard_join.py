@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from arcloom.llm import tasks
 from arcloom.llm.components import connected_components
-from arcloom.session import cut_lineage
+from arcloom.session import cut_lineage, share
 
 WIDTH = 5
 LEAST, OF = 75, 100  # similarity of a link: LEAST / OF
@@ -126,7 +126,7 @@ def _bit_map(df: DataFrame, column: str) -> np.ndarray:
 
 def _mark(df: DataFrame, key: str, bits: np.ndarray, name: str) -> DataFrame:
     """Add whether the BIGINT ``key`` may be in the map: false only if it is not."""
-    shared = df.sparkSession.sparkContext.broadcast(bits)
+    shared = share(df.sparkSession, bits)
     keyed = df.withColumn("__bit", F.pmod(F.xxhash64(key), F.lit(MAP_BITS)).cast("bigint"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +190,7 @@ def _may_link(n: np.ndarray, signatures: list[bytes]) -> np.ndarray:
 
 def _prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(id, cls, tokens, n, signature): the shingles of which two linked sets share at least one."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+    shared = share(docs.sparkSession, hot)
     schema = "id bigint, cls bigint, tokens array<bigint>, n bigint, signature binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,12 +9,14 @@
 * Context: a window around each hit tells quotation and report from abuse.
 * Score: evidence of the hits, calibrated on the labelled sample.
 
-At most ``SAMPLE`` labelled texts are learned from and at most ``MAX_TERMS``
-terms kept, which bounds what is broadcast.  Every text is searched in full.
+At most ``SAMPLE`` labelled texts are learned from.  Every word that the evidence
+in them supports becomes a term; evidence alone sizes the lexicon.  Every text is
+searched in full.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 import unicodedata
@@ -27,12 +29,13 @@ from pyspark.sql import functions as F
 
 from arcloom.llm import tasks
 from arcloom.llm.samples import labelled_sample
+from arcloom.session import cut_lineage, share
 
 SAMPLE = 20_000
-MAX_CANDIDATES = 5_000
-MAX_TERMS = 500
 MIN_CONTEXTS = 3
 FUZZY_LENGTH = 5  # shorter terms are found as they are only
+EDIT_PRIOR = 5.0  # texts that a misspelling's expected weight counts as, against its own counts
+EDIT_PENALTY = 0.5  # what a misspelling is worth less than its term, at least
 WINDOW = 120  # characters on either side of a hit
 QUOTED, REPORTED, ADDRESSED = 0.25, 0.6, 1.25  # how a hit counts inside quotes, after a report, next to an address
 
@@ -46,7 +49,9 @@ class Automaton:
     """Deterministic automaton for all words within the allowed edits of a term.
 
     A state is the set of (trie node, edits so far) reachable by the letters
-    read; letters that lead out of none of its nodes all act alike.
+    read; letters that lead out of none of its nodes all act alike.  So a state
+    is stored as the state after any other letter, and the few letters that
+    lead elsewhere: one sorted list of (state, letter) for the whole automaton.
     """
 
     def __init__(self, terms: Iterable[str], fuzzy_length: int = FUZZY_LENGTH) -> None:
@@ -99,22 +104,22 @@ class Automaton:
 
         start = closed({0: 0})
         number = {(): 0, start: 1}
-        todo, rows = [start], {0: np.zeros(len(letters) + 1, np.int32)}
+        todo, others, moves = [start], {0: 0}, {}
         while todo:
             state = todo.pop()
             leading = {c for node, _ in state for c in children[node]}
-            row = np.empty(len(letters) + 1, np.int32)
-            for c in [None, *leading]:
+            for c in [None, *sorted(leading)]:
                 after = step(state, c)
                 if after not in number:
                     number[after] = len(number)
                     todo.append(after)
                 if c is None:
-                    row[:] = number[after]
-                else:
-                    row[self.letters[c]] = number[after]
-            rows[number[state]] = row
-        self.table = np.stack([rows[i] for i in range(len(number))])
+                    others[number[state]] = number[after]
+                elif number[after] != others[number[state]]:
+                    moves[number[state] * (len(letters) + 1) + self.letters[c]] = number[after]
+        self.other = np.array([others[i] for i in range(len(number))], np.int32)
+        self.keys = np.array(sorted(moves), np.int64)
+        self.after = np.array([moves[k] for k in self.keys.tolist()], np.int32)
         # the term a word is taken for: the one with fewest edits, then the first
         self.accepts = np.full(len(number), -1, np.int32)
         self.edits = np.zeros(len(number), np.int8)
@@ -135,6 +140,14 @@ class Automaton:
             self._classes = table
         return self._classes
 
+    def step(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """The states after one letter each."""
+        if not len(self.keys):
+            return self.other[state]
+        key = state.astype(np.int64) * (len(self.letters) + 1) + letter
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.after[at], self.other[state])
+
     def find(self, points: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(indices of the words that match, their final states) of words given as runs of code points."""
         alive = np.flatnonzero((lengths >= self.shortest) & (lengths <= self.longest))
@@ -150,7 +163,7 @@ class Automaton:
             alive, state = alive[go], state[go]
             if not len(alive):
                 break
-            state = self.table[state, classes[points[starts[alive] + j]]]
+            state = self.step(state, classes[points[starts[alive] + j]])
             live = state > 0
             alive, state = alive[live], state[live]
         return np.concatenate(kept), np.concatenate(ended)
@@ -176,15 +189,48 @@ def _words(points: np.ndarray, row_ends: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends - starts, np.searchsorted(row_ends, starts, side="right")
 
 
-def context_weight(text: str, start: int, end: int) -> float:
+class Quotes:
+    """Where quotations are open in a text: state is kept from the start of each line, however long that is."""
+
+    MARKS = re.compile("[\n" + BOTH + OPEN + CLOSE + "]")
+
+    def __init__(self, text: str) -> None:
+        self.at: list[int] = []
+        # after each mark: is a straight quotation open, is a pair open; reset by a new line
+        self.straight, self.paired, self.line = [False], [False], [0]
+        for m in self.MARKS.finditer(text):
+            c = m[0]
+            self.at.append(m.start())
+            if c == "\n":
+                self.straight.append(False)
+                self.paired.append(False)
+                self.line.append(self.line[-1] + 1)
+                continue
+            self.line.append(self.line[-1])
+            self.straight.append(self.straight[-1] != (c in BOTH))
+            self.paired.append(True if c in OPEN else False if c in CLOSE else self.paired[-1])
+        # before each mark: does the line hold another straight mark, another closing one
+        ahead = (False, False)
+        self.ahead = [ahead]
+        for i in reversed(range(len(self.at))):
+            c = text[self.at[i]]
+            ahead = (False, False) if c == "\n" else (ahead[0] or c in BOTH, ahead[1] or c in CLOSE)
+            self.ahead.append(ahead)
+        self.ahead.reverse()
+
+    def around(self, start: int, end: int) -> bool:
+        """Whether a quotation is open at ``start`` and ends in the same line after ``end``."""
+        before, after = bisect.bisect_left(self.at, start), bisect.bisect_left(self.at, end)
+        straight, paired = self.ahead[after]
+        return (self.straight[before] and straight) or (self.paired[before] and paired)
+
+
+def context_weight(text: str, start: int, end: int, quotes: Quotes | None = None) -> float:
     """How much a hit at ``text[start:end]`` counts: less in quotes or after a report, more next to an address."""
     before = text[max(0, start - WINDOW):start]
     after = text[end:end + WINDOW]
     weight = 1.0
-    opened = max(before.rfind(c) for c in OPEN) > max(before.rfind(c) for c in CLOSE)
-    closes = any(c in after for c in CLOSE)
-    straight = before.rsplit("\n", 1)[-1].count(BOTH) % 2 == 1 and BOTH in after.split("\n", 1)[0]
-    if (opened and closes) or straight:
+    if (quotes or Quotes(text)).around(start, end):
         weight *= QUOTED
     if REPORT.search(before):
         weight *= REPORTED
@@ -204,14 +250,15 @@ def _hits(part: pa.RecordBatch, text: str, data: np.ndarray, offsets: np.ndarray
     row_ends = lead[offsets[1:]]
     starts, lengths, rows = _words(points, row_ends)
     which, states = found.find(points, starts, lengths)
-    texts: dict[int, str] = {}
+    texts: dict[int, tuple[str, Quotes]] = {}
     for w, state in zip(which.tolist(), states.tolist(), strict=True):
         r = int(rows[w])
         if r not in texts:
-            texts[r] = part.column(text)[r].as_py()
+            whole = part.column(text)[r].as_py()
+            texts[r] = whole, Quotes(whole)
         at = int(starts[w]) - int(row_ends[r - 1] if r else 0)
         yield (r, int(found.accepts[state]), int(found.edits[state]),
-               context_weight(texts[r], at, at + int(lengths[w])))
+               context_weight(texts[r][0], at, at + int(lengths[w]), texts[r][1]))
 
 
 def _candidates(sample: DataFrame) -> tuple[list[str], int, int]:
@@ -223,25 +270,22 @@ def _candidates(sample: DataFrame) -> tuple[list[str], int, int]:
     split = sample.select("label", words.alias("w"))
     single = split.select("label", F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(
         F.sum("label").alias("t"), F.count(F.lit(1)).alias("m"))
-    share = toxic / (toxic + clean)
+    toxic_share = toxic / (toxic + clean)
     # twice as often in toxic texts as their share says, at least; the rest can't pass the test below
-    likely = single.filter((F.col("t") >= MIN_CONTEXTS) & (F.col("t") >= 2 * share * F.col("m"))).orderBy(
-        (F.col("t") * F.log(F.col("t") / (F.col("m") * F.lit(share)))).desc(), "word").limit(MAX_CANDIDATES)
-    known = sample.sparkSession.createDataFrame([(r["word"],) for r in likely.collect()], "word string")
+    likely = cut_lineage(single.filter((F.col("t") >= MIN_CONTEXTS) & (F.col("t") >= 2 * toxic_share * F.col("m"))).select("word"),
+                         "toxicity-words")
     around = split.filter(F.size("w") > 0).select("label", F.explode(F.transform(
         F.sequence(F.lit(1), F.size("w")), lambda i: F.struct(
             F.element_at("w", i).alias("word"), F.xxhash64(F.get("w", i - 2), F.get("w", i)).alias("around")))).alias("x"))
-    counted = around.select("label", "x.*").join(F.broadcast(known), "word").groupBy("word", "around").agg(
-        F.max("label").alias("label")).groupBy("word").agg(F.sum("label").alias("t"), F.count(F.lit(1)).alias("m")).collect()
-    needed = math.log(max(len(counted), 1)) + math.log(1000)
-    scored = []
-    for r in counted:
-        t, c = r["t"], r["m"] - r["t"]
-        if t >= MIN_CONTEXTS and t / (t + c) > share:
-            gain = t * math.log(t / ((t + c) * share)) + (c * math.log(c / ((t + c) * (1 - share))) if c else 0.0)
-            if gain > needed:
-                scored.append((-gain, r["word"]))
-    return [w for _, w in sorted(scored)[:MAX_TERMS]], toxic, clean
+    counted = cut_lineage(around.select("label", "x.*").join(likely, "word").groupBy("word", "around").agg(
+        F.max("label").alias("label")).groupBy("word").agg(F.sum("label").alias("t"), F.count(F.lit(1)).alias("m")), "toxicity-counts")
+    # log-likelihood ratio of a word's share of toxic surroundings, against what as many words reach by chance
+    needed = math.log(max(counted.count(), 1)) + math.log(1000)
+    t, m = F.col("t"), F.col("m")
+    c = m - t
+    gain = t * F.log(t / (m * toxic_share)) + F.when(c > 0, c * F.log(c / (m * (1 - toxic_share)))).otherwise(0.0)
+    kept = counted.filter((t >= MIN_CONTEXTS) & (t / m > toxic_share) & (gain > needed))
+    return sorted(r["word"] for r in kept.select("word").collect()), toxic, clean
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, text: str = "text", label: str = "toxic",
@@ -250,7 +294,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, text: str = "text", l
     sample = labelled_sample(docs, labels, label, train, SAMPLE, "toxicity", id_column, text)
     terms, toxic, clean = _candidates(sample)
     found = Automaton(terms)
-    shared = sample.sparkSession.sparkContext.broadcast(found)
+    shared = share(sample.sparkSession, found)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,9 +309,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, text: str = "text", l
         for key in filter(None, r["hits"].split(",")):
             t, e = map(int, key.split(":"))
             counts[t, e, r["label"]] += r["count"]
-    weights = np.log((counts[:, :, 1] + 0.5) / (toxic + 1)) - np.log((counts[:, :, 0] + 0.5) / (clean + 1))
-    weights[counts.sum(axis=2) == 0] = 1.0  # an edit never seen: some evidence
-    weights = np.maximum(weights, 0.0)
+    weights = fitted_weights(counts, toxic, clean)
     evidence = np.array([sum(weights[int(t), int(e)] for t, e in (k.split(":") for k in filter(None, r["hits"].split(","))))
                          for r in patterns])
     slope, intercept = _calibrate(evidence, np.array([r["label"] for r in patterns], float),
@@ -275,6 +317,26 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, text: str = "text", l
     return {"automaton": found, "weights": weights, "slope": slope, "intercept": intercept}
 
 
+def fitted_weights(counts: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """Evidence of each term, as it is and misspelled, from the texts that hold it (term, edits, label).
+
+    A misspelling is expected to be worth its term's weight less a penalty; the
+    penalty is the median of what misspellings of all terms show.  Its own
+    counts move it from there.
+    """
+    def odds(seen: np.ndarray) -> np.ndarray:
+        return np.log((seen[..., 1] + 0.5) / (toxic + 1)) - np.log((seen[..., 0] + 0.5) / (clean + 1))
+
+    plain = np.maximum(odds(counts[:, 0]), 0.0)
+    seen = counts[:, 1].sum(axis=1)
+    # half of the terms lose no more than this; a few whose misspellings are everyday words do not count against the rest
+    losses = np.maximum(plain - odds(counts[:, 1]), 0.0)[seen > 0]
+    penalty = max(float(np.quantile(losses, 0.5, method="lower")) if len(losses) else 0.0, EDIT_PENALTY)
+    expected = np.maximum(plain - penalty, 0.0)
+    misspelled = (seen * odds(counts[:, 1]) + EDIT_PRIOR * expected) / (seen + EDIT_PRIOR)
+    return np.maximum(np.stack([plain, misspelled], axis=1), 0.0)
+
+
 def _calibrate(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
     """Logistic regression on one feature, weakly regularised; (slope, intercept)."""
     if not len(x) or len(set(y.tolist())) < 2:
@@ -308,7 +370,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", score: str = "score"
     """
     if clash := {c.lower() for c in docs.columns} & {score.lower(), hits.lower()}:
         raise ValueError(f"columns exist already: {sorted(clash)}")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
