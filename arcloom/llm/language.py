@@ -71,17 +71,20 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
     counter = _counter()
     documents, seen = grams.document_frequencies(docs, text, counter, DIMS)
     inverse = grams.inverse_frequencies(documents, seen)
-    by_hash = Window.partitionBy("__lang").orderBy("__h", "__id")
+    by_hash = Window.partitionBy("__lang").orderBy("__h", "__id", "__t")
     usable = docs.filter(train & F.col(lang).isNotNull() & F.col(text).isNotNull())
     # texts of a language with many are first thinned by the hash to a few times the bound: no language gathers in a task
     listed = usable.select(F.col(lang).alias("__lang"), F.xxhash64(F.col(id_column), F.lit(11)).alias("__h"),
-                           F.col(id_column).alias("__id"))
+                           F.col(id_column).alias("__id"), F.xxhash64(text).alias("__t"))
     share_of = listed.groupBy("__lang").agg((F.lit(4.0 * SAMPLE_PER_LANGUAGE) / F.count(F.lit(1))).alias("__share"))
-    thinned = listed.join(share_of, "__lang").filter(F.pmod("__h", F.lit(1 << 30)) < F.col("__share") * (1 << 30))
+    # one row a language, of which the model itself is far more: thinned in the scan, before anything meets by language
+    thinned = listed.join(F.broadcast(share_of), "__lang").filter(F.pmod("__h", F.lit(1 << 30)) < F.col("__share") * (1 << 30))
     picked = cut_lineage(thinned.withColumn("__n", F.row_number().over(by_hash)).filter(
         F.col("__n") <= SAMPLE_PER_LANGUAGE), "lang-sample")
-    chosen = usable.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(id_column).alias("__id")).join(
-        F.broadcast(picked.select("__id").distinct()), "__id", "left_semi").select("lang", "text")
+    # rows that repeat in full count once, so a language has no more texts here than were picked
+    chosen = usable.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(id_column).alias("__id"), F.xxhash64(text).alias("__t")).join(
+        F.broadcast(picked.select(F.col("__lang").alias("lang"), "__id", "__t").distinct()), ["lang", "__id", "__t"], "left_semi").dropDuplicates(
+            ["lang", "__id", "__t"]).select("lang", "text")
     share = inverse
 
     def centres(group: pa.Table) -> pa.Table:
