@@ -116,3 +116,61 @@ def test_gram_counts_stay_inside_rows():
     both = count(data, np.array([0, 3, 5]))
     assert both.sum(axis=1).tolist() == [5.0, 3.0]
     assert (both[1] == count(data[3:], np.array([0, 2]))[0]).all()
+
+
+def test_quotations_are_open_from_the_start_of_their_line():
+    def weight(before, after=""):
+        return toxicity.context_weight(f"{before}idiot{after}", len(before), len(before) + 5)
+
+    far = "word " * 60
+    assert weight(f'he put "{far}', f' {far}" there') == toxicity.QUOTED
+    assert weight(f'he put "{far}" {far}', f' and "{far}"') == 1.0
+    assert weight(f"« {far}", f"{far} »") == toxicity.QUOTED
+    assert weight(f"« {far} » ", f"{far} »") == 1.0
+    assert weight('"one\n', '" two') == 1.0  # a line of its own
+    assert weight('"a" "b" "', '"') == toxicity.QUOTED
+
+
+def test_a_fitted_model_finds_misspellings_it_never_saw(spark):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(200)]
+
+    def text(*more):
+        out = [rng.choice(words) for _ in range(30)]
+        for w in more:
+            out.insert(rng.randrange(30), w)
+        return " ".join(out)
+
+    toxic = [text("grumblefutz", "snorkwad") for _ in range(60)] + [text("snorkwad") for _ in range(60)] + [text("snorkwed") for _ in range(20)]
+    clean = [text() for _ in range(400)]
+    rows = [(i, t) for i, t in enumerate(toxic + clean)]
+    new = [(1000, text("grumblefuz")), (1001, text("grumblefutzz")), (1002, text("snorkwid")), (1003, text()), (1004, text("grumble"))]
+    docs = spark.createDataFrame(rows + new, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i < len(toxic))) for i, _ in rows], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    assert set(model["automaton"].terms) >= {"grumblefutz", "snorkwad"}
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).filter("doc_id >= 1000").collect()}
+    assert min(got[i] for i in (1000, 1001, 1002)) >= 0.7 > max(got[i] for i in (1003, 1004))
+
+
+def test_misspellings_are_weighed_by_their_term():
+    counts = np.zeros((3, 2, 2))
+    counts[0, 0] = [0, 50]  # strong, never misspelled
+    counts[1, 0], counts[1, 1] = [0, 50], [40, 1]  # strong, its misspelling is an everyday word
+    counts[2, 0], counts[2, 1] = [10, 12], [0, 6]  # weak, misspelled on purpose
+    weights = toxicity.fitted_weights(counts, 100, 100)
+    assert weights[0, 0] > weights[0, 1] > 1.0 and weights[1, 1] < 0.5 and weights[2, 1] > weights[2, 0]
+    none = toxicity.fitted_weights(counts[:1], 100, 100)
+    assert none[0, 1] == pytest.approx(none[0, 0] - toxicity.EDIT_PENALTY)
+
+
+def test_no_term_is_lost_to_a_limit(spark):
+    """Hundreds of terms, all supported by the texts, all in the lexicon and found."""
+    terms = [f"zq{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}{chr(97 + i // 676)}x" for i in range(700)]
+    rng = random.Random(4)
+    toxic = [" ".join(x for k in range(14) for x in (terms[(i * 7 + k * 50) % 700], f"v{rng.randrange(500)}")) for i in range(1000)]
+    clean = [" ".join(f"v{rng.randrange(500)}" for _ in range(28)) for _ in range(1000)]
+    docs = spark.createDataFrame(list(enumerate(toxic + clean)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i < 1000)) for i in range(2000)], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    assert set(terms) <= set(model["automaton"].terms)
