@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from arcloom.llm import byte_bpe, jaccard_join, mixing, pii, toxicity
 from arcloom.llm.queries import remainder
 from arcloom.llm.registry import query, table
-from arcloom.session import scratch_path, scratch_scope, ship_package
+from arcloom.session import cut_lineage, scratch_path, scratch_scope, ship_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 TOXIC = 0.7
@@ -53,8 +53,8 @@ def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 @_stage
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind."""
-    found = pii.detect(docs, pii.fit(docs), spans="__spans")
-    return _recount(pii.redact(found, spans="__spans"))
+    spans = cut_lineage(pii.find(docs), "pii-spans")  # texts are searched once
+    return _recount(pii.redact(pii.detect(spans, pii.fit(spans), spans="__spans"), spans="__spans"))
 
 
 @_stage
