@@ -321,20 +321,26 @@ SQL_LINES = """l AS (SELECT user_id % 10 AS file_seq, event_id AS seq, event_typ
   row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) AS n FROM events)"""
 
 
-@query("log_batches", f"""
+SQL_LOG_BATCHES = f"""
 WITH RECURSIVE {SQL_LINES},
 cut(file_seq, n, seq, batch, held) AS (
   SELECT file_seq, n, seq, 0, size FROM l WHERE n = 1
   UNION ALL
   SELECT l.file_seq, l.n, l.seq, CASE WHEN held > 3000 THEN batch + 1 ELSE batch END, CASE WHEN held > 3000 THEN 0 ELSE held END + l.size
   FROM cut JOIN l ON l.file_seq = cut.file_seq AND l.n = cut.n + 1)
-SELECT file_seq, batch, max(seq) AS last_seq, count(*) AS n_lines, CAST(max(held) AS BIGINT) AS n_bytes FROM cut GROUP BY file_seq, batch""")
-def log_batches_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = log_batches.log_batches(page_log(spark, sf_dir), limit=3000)
-    return b.select("file_seq", "batch", F.col("record_seq").alias("last_seq"),
+SELECT file_seq, batch, max(seq) AS last_seq, count(*) AS n_lines, CAST(max(held) AS BIGINT) AS n_bytes FROM cut GROUP BY file_seq, batch"""
+
+
+def shown_batches(b: DataFrame) -> DataFrame:
+    return b.select(F.col("file_seq").cast("int").alias("file_seq"), F.col("batch").cast("bigint").alias("batch"), F.col("record_seq").alias("last_seq"),
                     (F.size(F.split("body", "\n")) - 1).alias("n_lines"), F.octet_length("body").alias("n_bytes"))
 
 
+@query("log_batches", SQL_LOG_BATCHES)
+def log_batches_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown_batches(log_batches.log_batches(page_log(spark, sf_dir), limit=3000))
+
+
 @query("log_batches_native", f"""
 WITH {SQL_LINES}, r AS (SELECT *, sum(size) OVER (PARTITION BY file_seq ORDER BY seq) - size AS before FROM l)
 SELECT file_seq, CAST(before // 3000 AS BIGINT) AS batch, count(*) AS n_lines FROM r GROUP BY ALL""")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from arcloom.functions import headers as H
 from arcloom.operators import crawl_log, jobs, outlinks, records
+from arcloom.plans import archives as A
 from arcloom.plans import captures as C
 from arcloom.plans import logs as L
 from arcloom.plans import urls as U
@@ -21,7 +22,7 @@ from arcloom.plans.base import micros, query, table
 from arcloom.session import scratch_path
 from arcloom.sources.files import locate
 from arcloom.sources.warc import read_warc, stream_warc
-from arcloom.streaming import assembly, captures, feed, idle, sinks
+from arcloom.streaming import assembly, batches, captures, feed, idle, sinks
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -300,6 +301,22 @@ def stream_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(yoff, F.lit(-1)).alias("yoff"), F.md5("payload").alias("payload_md5"))
 
 
+@query("stream_log_batches", A.SQL_LOG_BATCHES)
+def stream_log_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log lines of ten files in four arrivals, batched by bytes across them; cuts are those of the whole log."""
+    base = scratch_path(spark, "stream-log-batches")
+    worker = batches.LogBatcher(f"{base}/out", f"{base}/state", limit=3000)
+    lines = A.page_log(spark, sf_dir)
+    source = arriving(spark, lines, f"{base}/in")
+    ends = []
+
+    def take() -> None:
+        ends.append(sinks.run_available(source, worker, f"{base}/checkpoint").lastProgress["batchId"])
+
+    in_arrivals(lines, "seq", f"{base}/in", take)
+    return A.shown_batches(worker.batches(spark, ends[-1]))
+
+
 @query("stream_stats", f"""
 WITH {C.SQL_CAPTURES}
 SELECT page_id, count(*) AS requests, count(*) FILTER (outcome <> 'failed') AS finished,
