@@ -278,14 +278,17 @@ def asof_warcinfo(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_seq", F.coalesce("warcinfo_id", F.lit("")).alias("warcinfo_id"))
 
 
-@query("asof_document", """
+SQL_ASOF_DOCUMENT = """
 WITH w AS (
   SELECT event_id AS record_seq, event_type,
          last_value(CASE WHEN event_type = 'click' AND CAST(json_extract_string(props, '$.k') AS BIGINT) % 2 = 0
                     THEN 'r' || event_id END IGNORE NULLS) OVER (
            PARTITION BY user_id % 10, user_id % 50 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS d
   FROM events)
-SELECT record_seq, coalesce(d, 'none') AS refers_to FROM w WHERE event_type = 'purchase'""")
+SELECT record_seq, coalesce(d, 'none') AS refers_to FROM w WHERE event_type = 'purchase'"""
+
+
+@query("asof_document", SQL_ASOF_DOCUMENT)
 def asof_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = event_records(spark, sf_dir)
     found = records.asof_document(items, F.col("is_document"), F.col("rec_type") == "conversion")

@@ -22,7 +22,7 @@ from arcloom.plans.base import micros, query, table
 from arcloom.session import scratch_path
 from arcloom.sources.files import locate
 from arcloom.sources.warc import read_warc, stream_warc
-from arcloom.streaming import assembly, batches, captures, feed, idle, sinks
+from arcloom.streaming import assembly, batches, captures, feed, idle, links, sinks
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -238,6 +238,24 @@ def stream_links_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(pairs, ["url", "parent_url"], "left").select("url", F.coalesce("parent_has_it", F.lit(False)).alias("parent_has_it"))
 
 
+@query("stream_asof", C.SQL_ASOF_DOCUMENT)
+def stream_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversions linked with the newest document before them while records arrive, the document maybe long before."""
+    base = scratch_path(spark, "stream-asof")
+    items = C.event_records(spark, sf_dir)
+    source = arriving(spark, items, f"{base}/in")
+
+    def take() -> None:
+        found = links.asof_document_stream(source, F.col("is_document"), F.col("rec_type") == "conversion")
+        with rocksdb(spark):
+            sinks.run_available(found, lambda df, i: sinks.write_batch(df, f"{base}/out", i), f"{base}/checkpoint")
+
+    in_arrivals(items, "record_seq", f"{base}/in", take)
+    schema = "file_seq BIGINT, target_uri STRING, record_seq BIGINT, record_id STRING, refers_to STRING, batch_id INT"
+    return sinks.read_batches(spark, f"{base}/out", schema).select(
+        "record_seq", F.coalesce("refers_to", F.lit("none")).alias("refers_to"))
+
+
 def forget_commit(checkpoint: str) -> None:
     """Lose the last batch's entry of a stream's commit log, as a driver does that dies before writing it."""
     system, root = locate(f"{checkpoint}/commits")
