@@ -46,6 +46,8 @@ def chunks(batch: pa.RecordBatch, text: str, max_bytes: int = CHUNK_BYTES,
         stop = min(max(stop, at + 1), at + max_rows, rows)
         yield batch.slice(at, stop - at), data[offsets[at]:offsets[stop]], offsets[at:stop + 1] - offsets[at]
         at = stop
+    # a process may wait long for its next task: what the batch took besides itself goes back
+    pa.default_memory_pool().release_unused()
 
 
 def row_of(offsets: np.ndarray) -> np.ndarray:
