@@ -3,6 +3,8 @@
 A page is flattened where it is read into an array of tokens per document;
 every token knows the tags it is inside of.  Stripping and writing HTML are
 then array expressions: nothing is shuffled and nothing leaves the JVM again.
+Pages are flattened a bounded piece of a batch at a time, since tokens take many
+times the bytes of their page.
 """
 
 from __future__ import annotations
@@ -11,19 +13,26 @@ import json
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcloom.fixed_values import EVENT_ATTRIBUTES, SNAPSHOT_STRIPPED_TAGS, VOID_TAGS
 from arcloom.functions.urls import is_web, strip_fragment
 from arcloom.operators.html_rules import closes_itself, implied_ends
+from arcloom.sources.pieces import pieces
 
 TOKEN_TYPE = (
     "STRUCT<kind: STRING, name: STRING, attrs: ARRAY<STRUCT<name: STRING, value: STRING>>,"
     " text: STRING, node: INT, parent: INT, path: STRING>"
 )
 DOCS_TYPE = f"ARRAY<STRUCT<url: STRING, base_url: STRING, tokens: ARRAY<{TOKEN_TYPE}>>>"
+_TOKEN_ARROW = pa.struct([
+    ("kind", pa.string()), ("name", pa.string()),
+    ("attrs", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))),
+    ("text", pa.string()), ("node", pa.int32()), ("parent", pa.int32()), ("path", pa.string()),
+])
+_DOCS_ARROW = pa.list_(pa.struct([("url", pa.string()), ("base_url", pa.string()), ("tokens", pa.list_(_TOKEN_ARROW))]))
 RAW_TEXT_TAGS = ("script", "style", "xmp", "iframe", "noembed", "noframes", "noscript", "plaintext")
 
 
@@ -154,24 +163,29 @@ def _dom_docs(text: str) -> list[dict]:
     ]
 
 
+def _flattened(piece: pa.RecordBatch, docs: list[list[dict]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [piece.column("page_id").cast(pa.int64()), pa.array(docs, _DOCS_ARROW)], ["page_id", "docs"])
+
+
 def dom_documents(pages: DataFrame, dom: str = "dom") -> DataFrame:
     """``(page_id, dom JSON)`` -> ``(page_id, docs)``; unreadable trees give no documents."""
-    def flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf[["page_id"]].assign(docs=[_dom_docs(t) for t in pdf["dom"]])
+    def flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "dom"):
+            yield _flattened(piece, [_dom_docs(t) for t in piece.column("dom").to_pylist()])
 
-    return pages.select("page_id", F.col(dom).alias("dom")).mapInPandas(
+    return pages.select("page_id", F.col(dom).alias("dom")).mapInArrow(
         flatten, f"page_id BIGINT, docs {DOCS_TYPE}")
 
 
 def html_documents(pages: DataFrame) -> DataFrame:
     """``(page_id, url, html)`` -> ``(page_id, docs)`` with the page as its one document."""
-    def flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            docs = [[{"url": u, "base_url": u, "tokens": _page_tokens(h)}] for u, h in zip(pdf["url"], pdf["html"])]
-            yield pdf[["page_id"]].assign(docs=docs)
+    def flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "html"):
+            urls, texts = piece.column("url").to_pylist(), piece.column("html").to_pylist()
+            yield _flattened(piece, [[{"url": u, "base_url": u, "tokens": _page_tokens(h)}] for u, h in zip(urls, texts)])
 
-    return pages.select("page_id", "url", "html").mapInPandas(flatten, f"page_id BIGINT, docs {DOCS_TYPE}")
+    return pages.select("page_id", "url", "html").mapInArrow(flatten, f"page_id BIGINT, docs {DOCS_TYPE}")
 
 
 def nodes(documents: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from arcloom.operators import outlinks, snapshot
+from arcloom.sources.pieces import PIECE_BYTES, PIECE_ROWS, pieces
 
 
 def rendered(spark, html, tags=(), attributes=()):
@@ -173,3 +175,33 @@ def test_batches(spark, n, sizes):
     out = outlinks.link_batches(df, F.col("l")).orderBy("batch").collect()
     assert [len(r.links) for r in out] == sizes and [r.batch for r in out] == list(range(len(sizes)))
     assert [x for r in out for x in r.links] == [f"{i:03}" for i in range(n)]
+
+
+def test_pieces_are_bounded_and_whole():
+    texts = ["a" * 100] * 700 + [None] + ["b" * (PIECE_BYTES + 1)] + ["c" * (PIECE_BYTES // 2)] * 3
+    batch = pa.RecordBatch.from_pydict({"n": list(range(len(texts))), "t": pa.array(texts, pa.string())})
+    cut = list(pieces(iter([batch, batch.slice(0, 0), batch]), "t"))
+    assert [n for c in cut for n in c.column("n").to_pylist()] == list(range(len(texts))) * 2
+    for c in cut:
+        held = sum(len(t or "") for t in c.column("t").to_pylist())
+        assert c.num_rows <= PIECE_ROWS and (held <= PIECE_BYTES or c.num_rows == 1)
+
+
+@pytest.mark.parametrize("flatten,columns", [(snapshot.html_documents, ("url", "html")), (snapshot.dom_documents, ("dom",))])
+def test_pages_are_flattened_a_piece_at_a_time(spark, flatten, columns, monkeypatch):
+    """No output batch holds the tokens of a whole input batch; every page is there, without a number as well."""
+    seen = spark.sparkContext.accumulator(0)
+    make = snapshot._flattened
+
+    def counted(piece, docs):
+        seen.add(1)
+        assert piece.num_rows <= PIECE_ROWS
+        return make(piece, docs)
+
+    monkeypatch.setattr(snapshot, "_flattened", counted)
+    dom = json.dumps({"nodeName": "#document", "documentURL": "http://h/", "children": [{"nodeName": "P"}]})
+    pages = spark.range(0, 1000, 1, 1).select(
+        F.when(F.col("id") != 7, F.col("id")).alias("page_id"), F.lit("http://h/").alias("url"), F.lit("<p>x").alias("html"), F.lit(dom).alias("dom"))
+    out = flatten(pages.select("page_id", *columns)).select("page_id", F.size("docs").alias("n")).collect()
+    assert sorted(r.page_id for r in out if r.page_id is not None) == [i for i in range(1000) if i != 7] and len(out) == 1000
+    assert all(r.n == 1 for r in out) and seen.value >= 4
