@@ -1,7 +1,9 @@
+import pandas as pd
 from pyspark.sql import functions as F
 
 from arcloom.operators import idle
 from arcloom.sources.events import RAW_SCHEMA, frame_events
+from arcloom.streaming.idle import _StopDetector
 
 SCHEMA = "page_id BIGINT, seq BIGINT, t DOUBLE, frame_id BIGINT, kind STRING"
 
@@ -69,3 +71,70 @@ def test_session_stream_equals_batch(spark):
         spark, path + "-out", "k INT, session_start TIMESTAMP, session_end TIMESTAMP, n_events BIGINT").drop("batch_id")
     closed = batch.filter(F.unix_seconds("session_end") < 999)  # the watermark has not passed the last one
     assert got.exceptAll(closed).count() == 0 and got.count() == closed.count() == 6
+
+
+class Frames(dict):
+    """A map state that counts how often it is called."""
+
+    calls = 0
+
+    def keys(self):
+        self.calls += 1
+        return iter(list(super().keys()))
+
+    def updateValue(self, k, v):
+        self.calls += 1
+        self[k] = v
+
+    def removeKey(self, k):
+        self.calls += 1
+        del self[k]
+
+
+class Handle:
+    def __init__(self):
+        self.timers, self.value = [], None
+
+    def getValueState(self, *_):
+        return self
+
+    def getMapState(self, *_):
+        return Frames()
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def listTimers(self):
+        return list(self.timers)
+
+    def deleteTimer(self, t):
+        self.timers.remove(t)
+
+    def registerTimer(self, t):
+        self.timers.append(t)
+
+
+def test_frames_are_read_once_and_written_where_they_changed():
+    """Calls to the state grow with the frames whose state changes, not with events or with what is loading."""
+    page, handle = _StopDetector(1_000_000, 10_000_000_000), Handle()
+    page.init(handle)
+
+    def take(*rows):
+        page.loading.calls = 0
+        frame = pd.DataFrame([(i, us, f, k) for i, (us, f, k) in enumerate(rows)], columns=["seq", "us", "frame_id", "kind"])
+        return [r for pdf in page.handleInputRows((1,), iter([frame]), None) for r in pdf.to_dict("records")]
+
+    assert take(*[(i, f, "started") for i, f in enumerate(range(100))]) == [] and len(page.loading) == 100
+    # a hundred frames stay, one comes and goes a thousand times
+    assert take(*[(200 + i, 500, "started" if i % 2 == 0 else "stopped") for i in range(2000)]) == []
+    assert page.loading.calls == 1 and sorted(f for f, in page.loading) == list(range(100))
+    assert take(*[(3000 + f, f, "stopped") for f in range(100)]) == [] and not page.loading
+    assert handle.value == (0, 3099, False) and len(handle.timers) == 1
+    page.loading.clear = lambda: None
+    assert take((2_000_000, 1, "started")) == [{"page_id": 1, "reason": "idle", "stop_us": 1_003_099, "after_us": 1_003_099}]
