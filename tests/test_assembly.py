@@ -2,6 +2,7 @@
 
 import json
 import random
+from functools import partial
 
 from pyspark.sql import functions as F
 
@@ -107,3 +108,15 @@ def test_an_end_after_the_timeout_closes_nothing(spark):
     done = {r.start_seq: r for r in found.collect()}
     assert done[3].response.bytes_received == 6
     assert [h.value for h in done[3].request.headers] == ["5"]  # the newest headers that were really sent
+
+
+def test_requests_that_share_a_bucket_stay_apart(spark, monkeypatch):
+    """All requests in one state, in three arrivals, out of order within the delay."""
+    monkeypatch.setattr(assembly, "closed_requests", partial(assembly.closed_requests, buckets=1))
+    rnd = random.Random(11)
+    rows = random_events(rnd, 120, requests=12)
+    last = event(9, "z", 1000, "off", BASE_US + 10_000_000_000)
+    shuffled = [r for i in range(0, len(rows), 20) for r in rnd.sample(rows[i:i + 20], len(rows[i:i + 20]))]
+    found, late = run_stream(spark, [shuffled[:50], shuffled[50:], [last]], "30 seconds", 100_000)
+    want = capture.assemble(frame(spark, rows)).filter("outcome <> 'open'")
+    assert late == 0 and shown(found) == shown(want)
