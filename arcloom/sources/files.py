@@ -43,13 +43,18 @@ def archives_in(path: str) -> list[str]:
     Where a folder was written with commits, its files are those of its
     manifests, in the order of commits.  Others are sorted by name.
     """
+    return [f for f, _ in sized_archives_in(path)]
+
+
+def sized_archives_in(path: str) -> list[tuple[str, int]]:
+    """The same with the size of each file, as the listing of the folder has it."""
     from arcloom.sources import commits
 
     system, p = locate(path)
     info = system.get_file_info(p)
     if info.type == fs.FileType.File:
-        return [path]
-    found = [f.path for f in system.get_file_info(fs.FileSelector(p, recursive=True)) if f.type == fs.FileType.File]
+        return [(path, info.size)]
+    found = {f.path: f.size for f in system.get_file_info(fs.FileSelector(p, recursive=True)) if f.type == fs.FileType.File}
     prefix = path[: len(path) - len(p)] if path.endswith(p) else ""
     marker = f"/{commits.FOLDER}/"
     roots = sorted({f.partition(marker)[0] for f in found if marker in f and f.endswith(".json")})
@@ -57,5 +62,5 @@ def archives_in(path: str) -> list[str]:
              and not any(f.startswith(root + "/") for root in roots)]
     listed = [(root, f"{root}/{name}") for root in roots for name in commits.committed(prefix + root) or []]
     # outputs among loose files take the place of their folder's name
-    return [prefix + f for _, _, f in sorted([(f, 0, f) for f in loose] + [
-        (root, n, f) for n, (root, f) in enumerate(listed)])]
+    return [(prefix + f, found[f] if f in found else system.get_file_info(f).size) for _, _, f in sorted(
+        [(f, 0, f) for f in loose] + [(root, n, f) for n, (root, f) in enumerate(listed)])]

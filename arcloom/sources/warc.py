@@ -1,9 +1,9 @@
 """WARC files as a Spark data source, for reading and writing.
 
-Reading: one task per slice of a file.  Records that are gzip members of their
-own can be entered at any member, so large files are cut into slices; a slice
-owns the members that begin in it.  ``record_seq`` is made from the byte offset
-and orders records within a file (it is not a count).
+Reading: files are cut into slices, and small neighbours share a task.  Records
+that are gzip members of their own can be entered at any member; a slice owns
+the members that begin in it.  ``record_seq`` is made from the byte offset and
+orders records within a file (it is not a count).
 
 A scan with ``index`` gives heads only: where each record's gzip member is, how
 long it is, and everything but the payload.
@@ -26,12 +26,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
+    DataSourceArrowWriter,
     DataSourceReader,
+    DataSourceStreamArrowWriter,
     DataSourceStreamWriter,
     DataSourceWriter,
     EqualTo,
@@ -42,12 +45,15 @@ from pyspark.sql.datasource import (
 
 from arcloom.schema import INDEX_DDL, NAMES, ORDER, PAYLOAD_TYPES, RECORD_COLUMNS, RECORD_DDL, SPAN_KEY, HeaderNames
 from arcloom.sources import commits, files
+from arcloom.sources.pieces import pieces
 
 GZIP_MAGIC = b"\x1f\x8b\x08"
 CHUNK = 1 << 18
 COPY_BYTES = 8 << 20  # neighbouring members are copied together up to this size
 FILE_BYTES = 1 << 30  # an output file is ended once it has as much
 SLICE_BYTES = 256 << 20
+OPEN_BYTES = 256 << 10  # opening a file counts as reading so much, when small files are put together
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 1000  # records a reader has at hand before it passes them on
 SEQ_SHIFT = 20  # records inside one member are numbered below its offset
 SLICE_SPAN = 1 << 46  # order span of a window segment: 64 MiB of archive
 
@@ -163,11 +169,53 @@ class _Slice(InputPartition):
         self.path, self.file_seq, self.start, self.end = path, file_seq, start, end
 
 
+@dataclass
+class _Slices(InputPartition):
+    """What a task reads, in order."""
+
+    slices: list[_Slice]
+
+    def __init__(self, slices: list[_Slice]) -> None:
+        super().__init__(None)
+        self.slices = slices
+
+
+_PAIRS = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
+_ARROW = {"STRING": pa.string(), "BIGINT": pa.int64(), "TIMESTAMP": pa.timestamp("us", tz="UTC"), "BINARY": pa.binary()}
+_RECORD_ARROW = pa.schema([(n, _ARROW.get(t, _PAIRS)) for n, t in RECORD_COLUMNS.items()])
+_INDEX_ARROW = pa.schema([f for f in _RECORD_ARROW if f.name != "payload"] + [
+    pa.field("member_offset", pa.int64()), pa.field("member_length", pa.int64())])
+
+
+def _arrow(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    def pairs(values):
+        return [v and [{"name": n, "value": x} for n, x in v] for v in values]
+
+    return pa.RecordBatch.from_arrays(
+        [pa.array(pairs(values) if f.type == _PAIRS else values, f.type) for f, values in zip(schema, zip(*rows))], schema=schema)
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of bounded size; only a single record may be larger."""
+    headers, payload = schema.get_field_index("headers"), schema.get_field_index("payload")
+    held: list[tuple] = []
+    size = 0
+    for row in rows:
+        own = sum(len(n) + len(v) for n, v in row[headers]) + (len(row[payload] or b"") if payload >= 0 else 0)
+        if held and (size + own > BATCH_BYTES or len(held) >= BATCH_ROWS):
+            yield _arrow(held, schema)
+            held, size = [], 0
+        held.append(row)
+        size += own
+    if held:
+        yield _arrow(held, schema)
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options) -> None:
         listed = options.get("paths")
-        given = json.loads(listed) if listed else [options["path"]]
-        self.paths = [f for p in given for f in files.archives_in(p)]
+        self.given = json.loads(listed) if listed else [options["path"]]
+        self.tasks = int(options.get("tasks", "64"))
         self.payload = options.get("payload", "true").lower() == "true"
         self.slice_bytes = int(options.get("sliceBytes", str(SLICE_BYTES)))
         self.names = HeaderNames(prefix=options.get("headerPrefix", NAMES.prefix))
@@ -181,16 +229,29 @@ class WarcReader(DataSourceReader):
         if self.index:
             self.payload, self.rec_types = False, None
 
-    def partitions(self) -> list[_Slice]:
-        out = []
-        for seq, path in enumerate(self.paths):
-            size = files.size(path)
+    def partitions(self) -> list[_Slices]:
+        slices = []
+        for seq, (path, size) in enumerate(f for p in self.given for f in files.sized_archives_in(p)):
             sliced = path.endswith(".gz") and self.slice_bytes > 0
             step = self.slice_bytes if sliced else max(size, 1)
-            out += [_Slice(path, seq, at, min(at + step, size)) for at in range(0, max(size, 1), step)]
+            slices += [_Slice(path, seq, at, min(at + step, size)) for at in range(0, max(size, 1), step)]
+        # neighbours share a task up to a slice's size, but not so many that tasks are fewer than may run at once
+        share = sum(s.end - s.start + OPEN_BYTES for s in slices) // self.tasks
+        limit = min(self.slice_bytes or SLICE_BYTES, max(share, OPEN_BYTES))
+        out, held = [], 0
+        for one in slices:
+            if not out or held + one.end - one.start > limit:
+                out.append(_Slices([]))
+                held = 0
+            out[-1].slices.append(one)
+            held += one.end - one.start + OPEN_BYTES
         return out
 
-    def read(self, part: _Slice) -> Iterator[tuple]:
+    def read(self, part: _Slices) -> Iterator[pa.RecordBatch]:
+        rows = (row for one in part.slices for row in self._slice(one))
+        return _batches(rows, _INDEX_ARROW if self.index else _RECORD_ARROW)
+
+    def _slice(self, part: _Slice) -> Iterator[tuple]:
         with files.open_input(part.path) as fd:
             if not part.path.endswith(".gz"):
                 fd.seek(0)
@@ -466,12 +527,22 @@ class _Places:
 
 
 def _as_row(values: tuple) -> Row:
-    """A record as the writer takes it: header pairs become rows."""
-    given = dict(zip(RECORD_COLUMNS, values, strict=True))
-    for column in ("headers", "http_headers"):
-        if given[column] is not None:
-            given[column] = [Row(name=n, value=v) for n, v in given[column]]
-    return Row(**given)
+    return Row(**dict(zip(RECORD_COLUMNS, values, strict=True)))
+
+
+_WRITTEN = ("archive", "copy_path", "copy_offset", "copy_length", "record_seq", "headers", "http_start_line", "http_headers", "payload")
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[Row]:
+    """What the writer takes of each row; headers become pairs."""
+    def values(column: pa.Array) -> list:
+        listed = column.to_pylist()
+        return [v and [(h["name"], h["value"]) for h in v] for v in listed] if pa.types.is_list(column.type) else listed
+
+    names = [c for c in _WRITTEN if c in batch.schema.names]
+    row = Row(*names)
+    for own in zip(*(values(batch.column(c)) for c in names)):
+        yield row(*own)
 
 
 class _ArchiveWriter:
@@ -482,9 +553,9 @@ class _ArchiveWriter:
         self.max_bytes = int(options.get("maxFileBytes", str(FILE_BYTES)))
         self.job = commits.new_job()
 
-    def write(self, rows: Iterator) -> _Written:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
         out, places = _Output(self.path, self.job, self.max_bytes), _Places()
-        for row in rows:
+        for row in (row for piece in pieces(batches, "payload") for row in _rows(piece)):
             out.into(row.archive if "archive" in row else None)
             if "copy_path" in row and row.copy_path is not None:
                 if row.copy_length is not None:
@@ -500,7 +571,7 @@ class _ArchiveWriter:
         return [name for m in messages if m is not None for name in m.names]
 
 
-class WarcWriter(_ArchiveWriter, DataSourceWriter):
+class WarcWriter(_ArchiveWriter, DataSourceArrowWriter):
     def __init__(self, options, overwrite: bool) -> None:
         super().__init__(options)
         self.overwrite = overwrite
@@ -512,7 +583,7 @@ class WarcWriter(_ArchiveWriter, DataSourceWriter):
         commits.discard(self.path, self._names(messages))
 
 
-class WarcStreamWriter(_ArchiveWriter, DataSourceStreamWriter):
+class WarcStreamWriter(_ArchiveWriter, DataSourceStreamArrowWriter):
     """One commit per batch; a batch that runs again after its commit adds nothing.
 
     ``stream`` names the stream where several write to one folder.
@@ -532,9 +603,9 @@ class WarcStreamWriter(_ArchiveWriter, DataSourceStreamWriter):
 def _record_bytes(row) -> bytes:
     block = bytes(row.payload or b"")
     if row.http_start_line is not None:
-        lines = [row.http_start_line] + [f"{h.name}: {h.value}" for h in row.http_headers or []]
+        lines = [row.http_start_line] + [f"{n}: {v}" for n, v in row.http_headers or []]
         block = ("\r\n".join(lines) + "\r\n\r\n").encode("utf-8") + block
-    head = ["WARC/1.0"] + [f"{h.name}: {h.value}" for h in row.headers if h.name.lower() != "content-length"]
+    head = ["WARC/1.0"] + [f"{n}: {v}" for n, v in row.headers if n.lower() != "content-length"]
     head.append(f"Content-Length: {len(block)}")
     return ("\r\n".join(head) + "\r\n\r\n").encode("utf-8") + block + b"\r\n\r\n"
 
@@ -577,7 +648,8 @@ def read_warc(spark: SparkSession, paths: str | list[str], payload: bool = True,
     register(spark)
     push = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
     reader = spark.read.format("warc").option("payload", str(payload).lower()).option("pushdown", push) \
-        .option("sliceBytes", slice_bytes).option("headerPrefix", names.prefix).option("cutOff", cut_off)
+        .option("sliceBytes", slice_bytes).option("headerPrefix", names.prefix).option("cutOff", cut_off) \
+        .option("tasks", 4 * spark.sparkContext.defaultParallelism)
     if rec_types:
         reader = reader.option("recTypes", ",".join(rec_types))
     records = reader.load(paths) if isinstance(paths, str) else reader.option("paths", json.dumps(list(paths))).load()
@@ -595,7 +667,8 @@ def member_index(spark: SparkSession, paths: str | list[str], slice_bytes: int =
     """
     register(spark)
     reader = spark.read.format("warc").option("index", "true").option("sliceBytes", slice_bytes) \
-        .option("headerPrefix", names.prefix).option("cutOff", cut_off).option("computeDigests", str(compute_digests).lower())
+        .option("headerPrefix", names.prefix).option("cutOff", cut_off).option("computeDigests", str(compute_digests).lower()) \
+        .option("tasks", 4 * spark.sparkContext.defaultParallelism)
     heads = reader.load(paths) if isinstance(paths, str) else reader.option("paths", json.dumps(list(paths))).load()
     return heads.withColumn("record_seq", F.col("record_seq").alias("record_seq", metadata={SPAN_KEY: SLICE_SPAN}))
 

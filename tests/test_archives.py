@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from arcloom.operators import crawl_log, records, screenshots
 from arcloom.session import scratch_path
+from arcloom.sources import warc
 from arcloom.sources.warc import read_warc, write_warc
 from arcloom.streaming.dispatch import Handler, dispatcher
 
@@ -315,3 +316,24 @@ def test_windows_over_archives_have_few_segments(spark, tmp_path):
     span = recs.select("file_seq", "record_seq").schema["record_seq"].metadata[SPAN_KEY]
     assert recs.select(F.expr(f"record_seq div {span}")).distinct().count() == 1
     assert records.asof_warcinfo(recs).count() == 240
+
+
+def test_small_archives_share_tasks(spark):
+    """Tasks grow with the bytes, not with the number of files, and carry no list of all files."""
+    path = scratch_path(spark, "t-many")
+    named = all_records(spark).crossJoin(spark.range(30)).withColumn("archive", F.concat(F.lit("a"), "id")).drop("id")
+    write_warc(named, path)
+    reader = warc.WarcReader({"path": path, "tasks": "4"})
+    parts = reader.partitions()
+    listed = [one.path for part in parts for one in part.slices]
+    assert len(set(listed)) >= 30 and len(parts) <= 8
+    assert [one.file_seq for part in parts for one in part.slices] == list(range(len(listed)))
+    assert not any(listed[0] in str(v) for v in vars(reader).values())
+    back = read_warc(spark, path).groupBy(F.regexp_extract("file_path", r"/(a[0-9]+)/", 1).alias("a")).count().collect()
+    assert len(back) == 30 and {r["count"] for r in back} == {8}
+
+
+def test_large_files_are_still_cut_into_slices(spark):
+    path = scratch_path(spark, "t-cut")
+    write_warc(all_records(spark), path, partitions=1)
+    assert len(warc.WarcReader({"path": path, "sliceBytes": "300"}).partitions()) > 3
