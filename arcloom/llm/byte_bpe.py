@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from arcloom.llm import tasks
 from arcloom.session import share
 
 CACHE_PIECES = 100_000
@@ -134,6 +135,7 @@ def _codec(shared) -> Codec:
     if name not in _codecs:
         _codecs.clear()
         _codecs[name] = Codec(tokens, pattern)
+        tasks.give_back()  # the merges as Python strings are several times the model
     return _codecs[name]
 
 
@@ -195,7 +197,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     fields += [T.StructField(starts, T.ArrayType(T.IntegerType()))] if starts else []
     fields += [T.StructField(splits, T.LongType())] if splits else []
     fields += [T.StructField(decoded, T.BinaryType())] if decoded else []
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
+    return df.mapInArrow(tasks.lean(run), T.StructType([*df.schema.fields, *fields]))
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", data: str | None = "decoded",
@@ -223,7 +225,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", data: str |
 
     fields = [T.StructField(data, T.BinaryType())] if data else []
     fields += [T.StructField(tokens, T.ArrayType(T.StringType()))] if tokens else []
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
+    return df.mapInArrow(tasks.lean(run), T.StructType([*df.schema.fields, *fields]))
 
 
 def n_tokens(ids: str | Column = "ids") -> Column:

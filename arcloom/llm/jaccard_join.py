@@ -46,6 +46,7 @@ HOT_COUNT = 4
 MAP_BITS = 1 << 25
 BLOCK = 256  # classes of a region that one task holds, twice at most
 LEAF = 48
+SET_BYTES = 1 << 18  # of texts whose shingles are made together; hashing takes some 50 times as much
 PIVOTS = 6
 
 
@@ -90,7 +91,7 @@ def _classes(docs: DataFrame) -> DataFrame:
                 [*[pa.nulls(n, pa.int64())] * 4, pa.array(values[often].view(np.int64)),
                  pa.array(counts[often].astype(np.int64))], names=names)
         for batch in batches:
-            for part, data, offsets in tasks.chunks(batch, "text"):
+            for part, data, offsets in tasks.chunks(batch, "text", SET_BYTES):
                 hashed, row, sizes = _sets(data, offsets)
                 none, keys = pa.nulls(part.num_rows, pa.int64()), _set_keys(hashed, sizes)
                 yield pa.RecordBatch.from_arrays(
@@ -109,7 +110,7 @@ def _classes(docs: DataFrame) -> DataFrame:
         if amount:
             yield repeated()
 
-    return docs.withColumn("content", F.xxhash64("text")).mapInArrow(run, schema)
+    return docs.withColumn("content", F.xxhash64("text")).mapInArrow(tasks.lean(run), schema)
 
 
 # -- bit maps of a fixed size ---------------------------------------------------------------------------------------
@@ -136,7 +137,7 @@ def _mark(df: DataFrame, key: str, bits: np.ndarray, name: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(inside)], names=[*batch.schema.names[:-1], name])
 
     schema = df.selectExpr("*", f"false AS `{name}`").schema
-    return keyed.mapInArrow(run, schema)
+    return keyed.mapInArrow(tasks.lean(run), schema)
 
 
 # -- candidate regions ----------------------------------------------------------------------------------------------
@@ -196,7 +197,7 @@ def _prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, counts = shared.value
         for batch in batches:
-            for part, data, offsets in tasks.chunks(batch, "text"):
+            for part, data, offsets in tasks.chunks(batch, "text", SET_BYTES):
                 hashed, row, sizes = _sets(data, offsets)
                 common = np.zeros(len(hashed), np.int64)
                 if len(values):
@@ -215,14 +216,14 @@ def _prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
                      pa.array(sizes.astype(np.int64)), pa.array(_signatures(hashed, row, sizes), pa.binary())],
                     names=["id", "cls", "tokens", "n", "signature"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tasks.lean(run), schema)
 
 
 def _chosen_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(cls, shingles): the sets of the classes, each once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in tasks.chunks(batch, "text"):
+            for part, data, offsets in tasks.chunks(batch, "text", SET_BYTES):
                 hashed, _, sizes = _sets(data, offsets)
                 ends = np.concatenate([[0], np.cumsum(sizes)]).tolist()
                 raw = hashed.tobytes()
@@ -231,7 +232,7 @@ def _chosen_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
                      pa.array([raw[8 * a:8 * b] for a, b in zip(ends, ends[1:])], pa.binary())], names=["id", "cls", "shingles"])
 
     likely = _mark(docs.select("id", "text"), "id", _bit_map(classes, "rep"), "__may").filter("__may")
-    found = likely.select("id", "text").mapInArrow(run, "id bigint, cls bigint, shingles binary")
+    found = likely.select("id", "text").mapInArrow(tasks.lean(run), "id bigint, cls bigint, shingles binary")
     # one exchange: the join by class also brings equal classes together
     exact = found.join(classes.select("cls", "rep"), "cls").filter("id = rep")
     return exact.select("cls", "shingles").dropDuplicates(["cls"])
@@ -426,7 +427,7 @@ def _promising(member: DataFrame, facts: DataFrame) -> DataFrame:
     """(pivot, cls) without classes whose signature rules out every partner in a small region; large ones stay whole."""
     sizes = cut_lineage(member.groupBy("pivot").agg(F.count(F.lit(1)).alias("m")), "region-members")
     small = member.join(sizes.filter(F.col("m").between(2, BLOCK)).select("pivot"), "pivot", "left_semi")
-    left = small.join(facts, "cls").groupBy("pivot").applyInArrow(_filter_region, "pivot bigint, cls bigint")
+    left = small.join(facts, "cls").groupBy("pivot").applyInArrow(tasks.lean_groups(_filter_region), "pivot bigint, cls bigint")
     return left.unionByName(member.join(sizes.filter(F.col("m") > BLOCK).select("pivot"), "pivot", "left_semi"))
 
 
@@ -434,7 +435,7 @@ def _region_links(member: DataFrame, sets: DataFrame) -> DataFrame:
     """All links, in lists (a, near, copies, tree).  ``member``: (pivot, cls), pivots included."""
     sizes = cut_lineage(member.groupBy("pivot").agg(F.count(F.lit(1)).alias("m")), "region-sizes")
     small = member.join(sizes.filter(F.col("m") <= BLOCK).select("pivot"), "pivot", "left_semi")
-    found = small.join(sets, "cls").groupBy("pivot").applyInArrow(_join_region, _LINKS)
+    found = small.join(sets, "cls").groupBy("pivot").applyInArrow(tasks.lean_groups(_join_region), _LINKS)
     large = cut_lineage(sizes.filter(F.col("m") > BLOCK).withColumn("blocks", F.ceil(F.col("m") / F.lit(BLOCK / 2)).cast("bigint")), "large-regions")
     if not large.limit(1).count():
         return found
@@ -445,7 +446,7 @@ def _region_links(member: DataFrame, sets: DataFrame) -> DataFrame:
     needed = cut_lineage(with_pivot.select("cls").distinct(), "large-members")
     sets = cut_lineage(_mark(sets, "cls", _bit_map(needed, "cls"), "__may").filter("__may").drop("__may"), "large-sets")
     measured = with_pivot.join(sets, "cls").groupBy("pivot", "block").applyInArrow(
-        _from_pivot, "pivot bigint, cls bigint, d double")
+        tasks.lean_groups(_from_pivot), "pivot bigint, cls bigint, d double")
     measured = cut_lineage(measured, "pivot-distances")
     # the radius is the window: a class meets the classes whose distance to the pivot is no more than that from its own
     placed = measured.unionByName(large.select("pivot", F.col("pivot").alias("cls"), F.lit(0.0).alias("d"))).join(
@@ -456,7 +457,7 @@ def _region_links(member: DataFrame, sets: DataFrame) -> DataFrame:
         "i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("block")))).withColumn("row_side", F.lit(False))
     fields = ["pivot", "i", "j", "cls", "d", "row_side"]
     cells = row.select(*fields).unionByName(column.select(*fields)).join(sets, "cls")
-    return found.unionByName(cells.groupBy("pivot", "i", "j").applyInArrow(_join_blocks, _LINKS))
+    return found.unionByName(cells.groupBy("pivot", "i", "j").applyInArrow(tasks.lean_groups(_join_blocks), _LINKS))
 
 
 def components(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -508,7 +509,7 @@ def components(df: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     sets = sets.join(classes.select("cls", "copies"), "cls")
     links = cut_lineage(_region_links(member, sets), "jaccard-links")
     edges = cut_lineage(links.select("a", F.explode("tree").alias("b")), "jaccard-edges")
-    counted = links.select("a", "near", "copies").groupBy("a").applyInArrow(_count_links, "cls bigint, linked bigint")
+    counted = links.select("a", "near", "copies").groupBy("a").applyInArrow(tasks.lean_groups(_count_links), "cls bigint, linked bigint")
     parts = connected_components(edges, "jaccard")
     named = classes.join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     label = named.groupBy("component").agg(F.min("rep").alias("component_id"))

@@ -7,13 +7,15 @@ long texts never needs many times its size.  NULL texts read as empty.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
 CHUNK_ROWS = 256
+GIVE_BACK_BYTES = 16 << 20  # of small groups: worked on before memory is given back
 
 _FNV = np.uint64(0x9E3779B97F4A7C15)
 _MIX_A = np.uint64(0xBF58476D1CE4E5B9)
@@ -50,6 +52,48 @@ def chunks(batch: pa.RecordBatch, text: str, max_bytes: int = CHUNK_BYTES,
     pa.default_memory_pool().release_unused()
 
 
+_trim: list[Callable[[int], int] | None] = []
+_worked = [0]
+
+
+def give_back() -> None:
+    """Return what this process holds but does not use to the system.
+
+    Spark keeps a task's process for later tasks, and both allocators keep what
+    was freed, so an idle process would stay as large as its largest batch.
+    """
+    if not _trim:
+        try:
+            _trim.append(ctypes.CDLL(None).malloc_trim)
+        except (AttributeError, OSError, TypeError):  # only glibc has it
+            _trim.append(None)
+    if _powers and len(_powers[0]) > 2 * CHUNK_BYTES:  # tables of a very long text
+        _powers.clear()
+    pa.default_memory_pool().release_unused()
+    if _trim[0]:
+        _trim[0](0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` of a ``mapInArrow`` that leaves a process with no more than it needs when its task ends."""
+    def run_lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+    return run_lean
+
+
+def lean_groups(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """``run`` of an ``applyInArrow`` that gives memory back whenever its groups add up to ``GIVE_BACK_BYTES``."""
+    def run_lean(group: pa.Table) -> pa.Table:
+        _worked[0] += group.nbytes
+        out = run(group)
+        if _worked[0] >= GIVE_BACK_BYTES:
+            _worked[0] = 0
+            give_back()
+        return out
+    return run_lean
+
+
 def row_of(offsets: np.ndarray) -> np.ndarray:
     """The row each byte belongs to."""
     return np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))

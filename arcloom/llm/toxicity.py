@@ -303,7 +303,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, text: str = "text", l
                 keys = [",".join(f"{t}:{e}" for t, e in h) for h in hits]
                 yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(keys, pa.string())], names=["label", "hits"])
 
-    patterns = sample.mapInArrow(search, "label int, hits string").groupBy("label", "hits").count().collect()
+    patterns = sample.mapInArrow(tasks.lean(search), "label int, hits string").groupBy("label", "hits").count().collect()
     counts = np.zeros((max(len(terms), 1), 2, 2))
     for r in patterns:
         for key in filter(None, r["hits"].split(",")):
@@ -389,4 +389,4 @@ def score(docs: DataFrame, model: dict, text: str = "text", score: str = "score"
                     names=[*part.schema.names, score, hits])
 
     schema = docs.selectExpr("*", f"0D AS `{score}`", f"0L AS `{hits}`").schema
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tasks.lean(run), schema)

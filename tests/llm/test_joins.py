@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -276,3 +277,29 @@ def test_jaccard_counts_every_link(spark, monkeypatch, block):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r["doc_id"]: r["n_links"] for r in jaccard_join.components(docs).collect()}
     assert got == want and max(want.values()) > 8
+
+
+def _held(spark):
+    """MB of the largest Python process that is kept for tasks."""
+    def probe(batches):
+        import os
+        import re
+        import time
+
+        for _ in batches:
+            time.sleep(0.3)  # so that the tasks meet all idle processes
+            with open("/proc/self/smaps_rollup") as f:
+                kb = sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", f.read())))
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([kb / 1024])], names=["pid", "mb"])
+    cores = spark.sparkContext.defaultParallelism
+    return max(r["mb"] for r in spark.range(2 * cores, numPartitions=2 * cores).mapInArrow(probe, "pid bigint, mb double").collect())
+
+
+def test_idle_processes_give_memory_back(spark):
+    """Processes kept for later tasks don't stay as large as the batches they have worked on."""
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(500)), lambda k: F.hex(F.xxhash64("doc_id", k))))
+    few, many = (spark.range(n, numPartitions=1).select(F.col("id").alias("doc_id")).withColumn("text", text) for n in (20, 6000))
+    jaccard_join.keep_one(few).count()  # the modules are loaded
+    before = _held(spark)
+    assert jaccard_join.keep_one(many).count() == 6000
+    assert _held(spark) < before + 10
