@@ -7,7 +7,10 @@ characters, and decoding reverses it.
 
 * Each match of the splitting pattern is encoded by itself, without special tokens.
 * Pieces are looked up before they are encoded: natural text repeats its words,
-  and a task keeps at most ``CACHE_PIECES`` of them.
+  and a task keeps those met last, about twice ``CACHE_PIECES`` at most.  What is
+  kept is the bytes of the ids, so the ids of a text are its pieces' joined.
+* New pieces go to the library many in one string, each behind a character that
+  stands for no byte and is in no merge, so nothing merges across pieces.
 * Offsets: a token is a run of bytes, and may start or end inside a character.
   ``starts`` holds the character each token's first byte belongs to.
 
@@ -22,6 +25,7 @@ import base64
 import hashlib
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +39,9 @@ from arcloom.session import share
 CACHE_PIECES = 100_000
 CACHE_PIECE_CHARS = 64  # longer pieces are encoded but not kept
 ENCODE_ROWS = 256  # rows encoded together
+ENCODE_PIECES = 10_000  # new pieces encoded together
+JOINED_PIECES = 64  # new pieces in one string
+BARRIER = "\u0200"  # after all characters that stand for bytes
 
 
 def byte_characters() -> list[str]:
@@ -65,42 +72,53 @@ class Codec:
         self.tokens = tokens
         self.find = regex.compile(pattern).findall
         to_char = byte_characters()
-        self._to_char = dict(enumerate(to_char))
+        # UTF-8 has no byte 0xFF, so it is free to mark where a piece begins
+        self._to_char = "".join(to_char[:255]) + BARRIER
         self._to_byte = {ord(c): b for b, c in enumerate(to_char)}
         named = ["".join(to_char[b] for b in token) for token in tokens]
         known = set(tokens)
         # a pair may merge whenever its joined bytes are a token, whichever way it was cut
         merges = [(name[:i], name[i:]) for token, name in zip(tokens, named, strict=True)
                   for i in range(1, len(token)) if token[:i] in known and token[i:] in known]
-        self._encoder = Tokenizer(models.BPE(vocab={x: i for i, x in enumerate(named)}, merges=merges, cache_capacity=0))
+        vocab = {x: i for i, x in enumerate([*named, BARRIER])}
+        self._encoder = Tokenizer(models.BPE(vocab=vocab, merges=merges, cache_capacity=0))
         self.lengths = np.array([len(t) for t in tokens], np.int64)
         # decoding reads the characters of the vocabulary back through the reversed table
         self.pieces = [bytes(self._to_byte[ord(c)] for c in name) for name in named]
-        self._kept: dict[str, np.ndarray] = {}
-
-    def _encode_pieces(self, pieces: list[str]) -> dict[str, np.ndarray]:
-        mapped = [p.encode().decode("latin-1").translate(self._to_char) for p in pieces]
-        got = self._encoder.encode_batch_fast(mapped, add_special_tokens=False)
-        return {p: np.array(x.ids, np.uint32) for p, x in zip(pieces, got, strict=True)}
+        # bytes of the ids of pieces: of those met lately, and of those met before them
+        self._kept: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+
+    def _encode_pieces(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        for at in range(0, len(pieces), ENCODE_PIECES):
+            part = pieces[at:at + ENCODE_PIECES]
+            raw = [b"\xff" + p.encode() for p in part]
+            joined = [b"".join(raw[i:i + JOINED_PIECES]).decode("latin-1").translate(self._to_char)
+                      for i in range(0, len(raw), JOINED_PIECES)]
+            got = self._encoder.encode_batch_fast(joined, add_special_tokens=False)
+            ids = np.fromiter(chain.from_iterable([x.ids for x in got]), "<u4")
+            starts = np.flatnonzero(ids == len(self.tokens))
+            flat, ends = ids.tobytes(), [*starts[1:].tolist(), len(ids)]
+            yield from ((p, flat[4 * a + 4:4 * b]) for p, a, b in zip(part, starts.tolist(), ends, strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text."""
         found = [self.find(t) for t in texts]
-        new = {p for pieces in found for p in pieces if p not in self._kept}
-        got = self._encode_pieces(list(new)) if new else {}
-        kept = self._kept
-        out = []
-        for pieces in found:
-            ids = [got[p] if p in got else kept[p] for p in pieces]
-            out.append(np.concatenate(ids) if ids else np.zeros(0, np.uint32))
-        if len(kept) + len(got) > CACHE_PIECES:
-            kept.clear()
-        kept.update((p, ids) for p, ids in got.items() if len(p) <= CACHE_PIECE_CHARS)
+        kept, older = self._kept, self._older
+        new = set().union(*found).difference(kept)
+        again = new & older.keys()
+        kept.update(zip(again, map(older.__getitem__, again)))
+        kept.update(self._encode_pieces(list(new - again)))
+        out = [np.frombuffer(b"".join(map(kept.__getitem__, pieces)), "<u4") for pieces in found]
+        for p in [p for p in new if len(p) > CACHE_PIECE_CHARS]:
+            del kept[p]
+        if len(kept) > CACHE_PIECES:  # pieces that are met again come back from the older ones
+            self._older, self._kept = kept, {}
         return out
 
     def forget(self) -> None:
         """Drop the pieces kept: an idle worker needs no more than the vocabulary."""
-        self._kept.clear()
+        self._kept, self._older = {}, {}
 
     def starts(self, text: bytes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(character of each token's first byte, whether that byte is inside the character)."""
@@ -111,7 +129,7 @@ class Codec:
         return (np.cumsum(lead)[at] - 1).astype(np.int32), ~lead[at]
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
-        return b"".join([self.pieces[i] for i in ids.tolist()])
+        return b"".join(map(self.pieces.__getitem__, ids.tolist()))
 
     def decode_tokens(self, ids: np.ndarray) -> list[str]:
         """Text of each token; a character split over tokens belongs to the one that completes it.

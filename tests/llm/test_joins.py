@@ -214,6 +214,22 @@ def test_decoding_pieces_of_characters():
     assert codec.decode_tokens(np.zeros(0, np.uint32)) == []
 
 
+def test_frequent_pieces_are_encoded_once(monkeypatch):
+    """However many pieces a task meets; and nothing merges across pieces that are encoded together."""
+    plain, path, pattern = plain_encoder()
+    monkeypatch.setattr(byte_bpe, "CACHE_PIECES", 200)
+    codec = byte_bpe.Codec(byte_bpe.read_ranks(path), pattern)
+    asked = Counter()
+    encode_pieces = codec._encode_pieces
+    monkeypatch.setattr(codec, "_encode_pieces", lambda pieces: asked.update(pieces) or encode_pieces(pieces))
+    rng = random.Random(3)
+    for part in range(40):
+        texts = ["the same words of all texts " + " ".join(rng.choice("ab\u00ff\u0200\U0001f600z") * rng.randrange(1, 90) + f"{part}x{i}"
+                                                       for i in range(30)) for _ in range(3)] + ["", "\u00ff", "\u0200\u0200"]
+        assert [x.tolist() for x in codec.encode(texts)] == [plain.encode_ordinary(t) for t in texts]
+    assert len(asked) > 500 and {asked[p] for p in ("the", " same", " words", " texts")} == {1}
+
+
 def test_byte_bpe_query(spark):
     plain, _, _ = plain_encoder()
     text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
