@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcloom.session import cut_lineage, scratch_path, scratch_scope
+from arcloom.session import cut_lineage, cut_whole
 
 
 def connected_components(edges: DataFrame, label: str) -> DataFrame:
@@ -18,10 +18,7 @@ def connected_components(edges: DataFrame, label: str) -> DataFrame:
     Rounds grow with the logarithm of the longest path.  Each round's edges are
     written to the shared folder; nothing but two numbers reaches the driver.
     """
-    path = scratch_path(edges.sparkSession, f"{label}-components")
-    with scratch_scope():  # the rounds go, the result stays
-        _stars(edges, label).write.parquet(path)
-    return edges.sparkSession.read.schema("node bigint, component bigint").parquet(path)
+    return cut_whole(lambda: _stars(edges, label), edges.sparkSession, f"{label}-components")  # the rounds go, the result stays
 
 
 def _stars(edges: DataFrame, label: str) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from arcloom.llm import tasks
 from arcloom.llm.components import connected_components
-from arcloom.session import cut_lineage, share
+from arcloom.session import cut_lineage, cut_whole, share
 
 WIDTH = 5
 LEAST, OF = 75, 100  # similarity of a link: LEAST / OF
@@ -531,8 +531,9 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
     Texts that stay are not shuffled, except those whose id a fixed-size map of
     the ids to drop takes for one of them.
     """
-    found = cut_lineage(components(df, id_column, text).withColumnRenamed(id_column, "__id").filter(
-        "__id IS NOT NULL AND n_shingles > 0"), "jaccard-found")
+    # the sets and links behind the components have done their work when these are written
+    found = cut_whole(lambda: components(df, id_column, text).withColumnRenamed(id_column, "__id").filter(
+        "__id IS NOT NULL AND n_shingles > 0"), df.sparkSession, "jaccard-found")
     stays = found.filter("__id = component_id").groupBy("component").agg(F.min("content").alias("best"))
     listed = found.groupBy("component", "__id", "content", "component_id").agg(F.count(F.lit(1)).alias("copies")).join(
         stays, "component").withColumn("drop", (F.col("__id") != F.col("component_id")) | (F.col("content") != F.col("best")))

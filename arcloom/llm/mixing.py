@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from arcloom.llm.ranking import row_numbers
-from arcloom.session import cut_lineage
+from arcloom.session import cut_lineage, cut_whole
 
 WORDS = r"[^\x20\x09-\x0D]+"
 ROWS_PER_BUCKET = 20_000
@@ -158,7 +158,7 @@ def plan(df: DataFrame, weights: Sequence[float], share: float = 1.5, max_repeat
     whole training order, from 0); NULL for documents that are not used.  The
     order is that of ``schedule``: by position, then the fixed shuffle.
     """
-    mixed = cut_lineage(mix(df, weights, share, max_repeats, source, id_column, text), "mix-rows")
+    mixed = cut_whole(lambda: mix(df, weights, share, max_repeats, source, id_column, text), df.sparkSession, "mix-rows")
     narrow = uses(mixed, max_repeats, schedules).select("__order", "source_rank", "before", "turn", "words", "position")
     ranked = row_numbers(narrow, [F.col("position"), F.col("__order"), F.col("turn")], "__rank", "mix-order")
     # equal rows of a source stand one after the other, so an order and a place name a document
@@ -183,8 +183,8 @@ def schedule(df: DataFrame, weights: Sequence[float], share: float = 1.5, max_re
         df, names = df.select(*[F.col(c).alias(f"__own_{c}" if c.lower() in clash else c) for c in df.columns]), df.columns
         out = schedule(df, weights, share, max_repeats, schedules, source, id_column, text)
         return out.toDF(*names)
-    mixed = cut_lineage(uses(mix(df, weights, share, max_repeats, source, id_column, text), max_repeats, schedules)
-                        .select("__order", "words", "size", "before", "turn", "position"), "mix-uses")
+    mixed = cut_whole(lambda: uses(mix(df, weights, share, max_repeats, source, id_column, text), max_repeats, schedules)
+                      .select("__order", "words", "size", "before", "turn", "position"), df.sparkSession, "mix-uses")
     key = F.md5(F.concat_ws("/", F.coalesce(F.col(id_column).cast("string"), F.lit("null")),
                             F.md5(F.coalesce(F.col(text), F.lit("")))))
     rows, on = df.withColumn("__order", key), ["__order"]

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from arcloom.llm import byte_bpe, jaccard_join, mixing, pii, toxicity
 from arcloom.llm.queries import remainder
 from arcloom.llm.registry import query, table
-from arcloom.session import cut_lineage, scratch_path, scratch_scope, ship_package
+from arcloom.session import cut_lineage, remove, scratch_path, scratch_scope, ship_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 TOXIC = 0.7
@@ -88,10 +88,12 @@ ORACLE_SQL: str | None = None
 
 @query("pipeline", ORACLE_SQL)
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, step in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
         with scratch_scope():  # what a stage writes on its way is not needed once its result is
             step(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:  # nor is what it has read
+            remove(before)
+        docs, before = spark.read.parquet(path), path
     return docs

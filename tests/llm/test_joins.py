@@ -6,6 +6,7 @@ import itertools
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from arcloom.llm import byte_bpe, components, embed_dedup, jaccard_join, tasks
-from arcloom.session import cut_lineage
+from arcloom.llm import byte_bpe, components, embed_dedup, jaccard_join, mixing, tasks
+from arcloom.session import cut_lineage, scratch_root
 from odd_rows import ODD, SF
 
 
@@ -282,6 +283,27 @@ def test_pipeline_on_odd_rows(spark, odd, nothing):
         assert held.count() >= (1 if start is docs else 0)
 
 
+def _left(spark, make):
+    """The tables that stay in the scratch folder for the rows of ``make``, by label; and the rows."""
+    def labels():
+        return {p.name.rpartition("-")[::2] for p in Path(scratch_root(spark).removeprefix("file:")).iterdir()}
+    before = labels()
+    rows = make().collect()
+    return {label for label, _ in labels() - before if label != "package"}, rows
+
+
+def test_only_what_the_result_reads_stays_on_disk(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want, _ = brute([(r["doc_id"], r["text"]) for r in docs.collect()])
+    left, rows = _left(spark, lambda: jaccard_join.keep_one(docs))
+    assert left == {"jaccard-found", "jaccard-doubtful"}
+    assert sorted(r["doc_id"] for r in rows) == sorted(set(want.values()))
+    left, rows = _left(spark, lambda: mixing.schedule(docs, (3, 1, 2)))
+    assert left == {"mix-uses"} and len(rows) > len(set(want))
+    left, rows = _left(spark, lambda: entry.queries()["pipeline"](spark, SF))
+    assert left == {"pipeline-byte_bpe"} and all(r["exact"] for r in rows)
+
+
 @pytest.mark.parametrize("block", [4, 256])
 def test_jaccard_counts_every_link(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
