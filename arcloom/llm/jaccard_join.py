@@ -128,16 +128,15 @@ def _bit_map(df: DataFrame, column: str) -> np.ndarray:
 def _mark(df: DataFrame, key: str, bits: np.ndarray, name: str) -> DataFrame:
     """Add whether the BIGINT ``key`` may be in the map: false only if it is not."""
     shared = share(df.sparkSession, bits)
-    keyed = df.withColumn("__bit", F.pmod(F.xxhash64(key), F.lit(MAP_BITS)).cast("bigint"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column(batch.num_columns - 1).to_numpy()
-            inside = ((shared.value[at >> 6] >> (at & 63)) & 1).astype(bool)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(inside)], names=[*batch.schema.names[:-1], name])
+    @F.arrow_udf("boolean")  # only the places of the bits go through Python, not the rows
+    def inside(places: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for place in places:
+            at = place.to_numpy()
+            yield pa.array(((shared.value[at >> 6] >> (at & 63)) & 1).astype(bool))
+        tasks.give_back()
 
-    schema = df.selectExpr("*", f"false AS `{name}`").schema
-    return keyed.mapInArrow(tasks.lean(run), schema)
+    return df.withColumn(name, inside(F.pmod(F.xxhash64(key), F.lit(MAP_BITS)).cast("bigint")))
 
 
 # -- candidate regions ----------------------------------------------------------------------------------------------

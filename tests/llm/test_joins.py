@@ -304,6 +304,16 @@ def test_only_what_the_result_reads_stays_on_disk(spark):
     assert left == {"pipeline-byte_bpe"} and all(r["exact"] for r in rows)
 
 
+def test_rows_are_marked_without_going_through_python(spark, capsys):
+    ids = spark.range(2000)
+    docs = ids.selectExpr("id", "repeat('text', 9) AS text")
+    marked = jaccard_join._mark(docs, "id", jaccard_join._bit_map(ids.filter("id % 7 = 0"), "id"), "may")
+    assert marked.filter("may AND text IS NOT NULL AND id % 7 = 0").count() == 286 and marked.filter("may").count() < 300
+    marked.explain()
+    plan = capsys.readouterr().out
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+
+
 @pytest.mark.parametrize("block", [4, 256])
 def test_jaccard_counts_every_link(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
