@@ -36,10 +36,10 @@ from pyspark.sql import types as T
 from arcloom.llm import tasks
 from arcloom.session import share
 
-CACHE_PIECES = 100_000
+CACHE_PIECES = 50_000
 CACHE_PIECE_CHARS = 64  # longer pieces are encoded but not kept
 ENCODE_ROWS = 256  # rows encoded together
-ENCODE_PIECES = 10_000  # new pieces encoded together
+ENCODE_PIECES = 2_000  # new pieces encoded together
 JOINED_PIECES = 64  # new pieces in one string
 BARRIER = "\u0200"  # after all characters that stand for bytes
 
@@ -76,9 +76,9 @@ class Codec:
         self._to_char = "".join(to_char[:255]) + BARRIER
         self._to_byte = {ord(c): b for b, c in enumerate(to_char)}
         named = ["".join(to_char[b] for b in token) for token in tokens]
-        known = set(tokens)
-        # a pair may merge whenever its joined bytes are a token, whichever way it was cut
-        merges = [(name[:i], name[i:]) for token, name in zip(tokens, named, strict=True)
+        known = dict(zip(tokens, named, strict=True))
+        # a pair may merge whenever its joined bytes are a token, whichever way it was cut; pairs share the names
+        merges = [(known[token[:i]], known[token[i:]]) for token in tokens
                   for i in range(1, len(token)) if token[:i] in known and token[i:] in known]
         vocab = {x: i for i, x in enumerate([*named, BARRIER])}
         self._encoder = Tokenizer(models.BPE(vocab=vocab, merges=merges, cache_capacity=0))
