@@ -24,7 +24,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -145,23 +145,12 @@ class Codec:
         return out
 
 
-_codecs: dict[str, Codec] = {}
-
-
-def _codec(shared) -> Codec:
-    tokens, pattern, name = shared.value
-    if name not in _codecs:
-        _codecs.clear()
-        _codecs[name] = Codec(tokens, pattern)
-        tasks.give_back()  # the merges as Python strings are several times the model
-    return _codecs[name]
-
-
-def _share(spark: SparkSession, path: str, pattern: str):
-    """Send the vocabulary to the tasks: a file of fixed size, whatever the data."""
+def _share(spark: SparkSession, path: str, pattern: str) -> tuple[Callable[[], Codec], str]:
+    """Send the vocabulary to the tasks, a file of fixed size, whatever the data: (what gives a task its codec, name)."""
     tokens = read_ranks(path)
-    name = hashlib.sha256(pattern.encode() + b"\0".join(tokens)).hexdigest()
-    return share(spark, (tokens, pattern, name))
+    name = "codec-" + hashlib.sha256(pattern.encode() + b"\0".join(tokens)).hexdigest()
+    shared = share(spark, (tokens, pattern))
+    return lambda: tasks.built(name, lambda: Codec(*shared.value)), name
 
 
 def _refuse_clash(df: DataFrame, names: list[str]) -> None:
@@ -190,10 +179,10 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     """
     extra = [x for x in (ids, starts, splits, decoded) if x]
     _refuse_clash(df, extra)
-    shared = _share(df.sparkSession, path, pattern)
+    codec_of_task, name = _share(df.sparkSession, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared)
+        codec = codec_of_task()
         for batch in batches:
             for at in range(0, batch.num_rows, ENCODE_ROWS):
                 part = batch.slice(at, ENCODE_ROWS)
@@ -215,7 +204,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     fields += [T.StructField(starts, T.ArrayType(T.IntegerType()))] if starts else []
     fields += [T.StructField(splits, T.LongType())] if splits else []
     fields += [T.StructField(decoded, T.BinaryType())] if decoded else []
-    return df.mapInArrow(tasks.lean(run), T.StructType([*df.schema.fields, *fields]))
+    return df.mapInArrow(tasks.lean(run, name), T.StructType([*df.schema.fields, *fields]))
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", data: str | None = "decoded",
@@ -226,10 +215,10 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", data: str |
     """
     extra = [x for x in (data, tokens) if x]
     _refuse_clash(df, extra)
-    shared = _share(df.sparkSession, path, pattern)
+    codec_of_task, name = _share(df.sparkSession, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared)
+        codec = codec_of_task()
         for batch in batches:
             for at in range(0, batch.num_rows, ENCODE_ROWS):
                 part = batch.slice(at, ENCODE_ROWS)
@@ -243,7 +232,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", data: str |
 
     fields = [T.StructField(data, T.BinaryType())] if data else []
     fields += [T.StructField(tokens, T.ArrayType(T.StringType()))] if tokens else []
-    return df.mapInArrow(tasks.lean(run), T.StructType([*df.schema.fields, *fields]))
+    return df.mapInArrow(tasks.lean(run, name), T.StructType([*df.schema.fields, *fields]))
 
 
 def n_tokens(ids: str | Column = "ids") -> Column:

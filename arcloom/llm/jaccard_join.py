@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcloom.llm import tasks
@@ -117,26 +117,39 @@ def _classes(docs: DataFrame) -> DataFrame:
 
 def _bit_map(df: DataFrame, column: str) -> np.ndarray:
     """Bit map of the values of a BIGINT column: MAP_BITS bits, whatever their number."""
-    bit = F.pmod(F.xxhash64(column), F.lit(MAP_BITS))
-    words = df.select(bit.alias("bit")).selectExpr("bit div 64 AS w", "shiftleft(1L, CAST(bit % 64 AS INT)) AS b").groupBy(
+    words = df.select(_place(column).alias("bit")).selectExpr("bit div 64 AS w", "shiftleft(1L, CAST(bit % 64 AS INT)) AS b").groupBy(
         "w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(MAP_BITS // 64, np.int64)
     out[words.column("w").to_numpy()] = words.column("b").to_numpy()
     return out
 
 
+def _place(key: str) -> Column:
+    """The bit of a BIGINT."""
+    return F.pmod(F.xxhash64(key), F.lit(MAP_BITS)).cast("bigint")
+
+
+def _in_map(bits: np.ndarray, places: pa.Array) -> pa.Array:
+    at = places.to_numpy()
+    return pa.array(((bits[at >> 6] >> (at & 63)) & 1).astype(bool))
+
+
 def _mark(df: DataFrame, key: str, bits: np.ndarray, name: str) -> DataFrame:
-    """Add whether the BIGINT ``key`` may be in the map: false only if it is not."""
+    """Add whether the BIGINT ``key`` may be in the map: false only if it is not.
+
+    A function that works on the rows in Python anyway asks ``_in_map`` itself:
+    two Python steps of one stage are two processes for each core.
+    """
     shared = share(df.sparkSession, bits)
 
     @F.arrow_udf("boolean")  # only the places of the bits go through Python, not the rows
     def inside(places: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tasks.drop_built()
         for place in places:
-            at = place.to_numpy()
-            yield pa.array(((shared.value[at >> 6] >> (at & 63)) & 1).astype(bool))
+            yield _in_map(shared.value, place)
         tasks.give_back()
 
-    return df.withColumn(name, inside(F.pmod(F.xxhash64(key), F.lit(MAP_BITS)).cast("bigint")))
+    return df.withColumn(name, inside(_place(key)))
 
 
 # -- candidate regions ----------------------------------------------------------------------------------------------
@@ -188,13 +201,16 @@ def _may_link(n: np.ndarray, signatures: list[bytes]) -> np.ndarray:
     return out | bool((cells == 0).any())
 
 
-def _prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(id, cls, tokens, n, signature): the shingles of which two linked sets share at least one."""
-    shared = share(docs.sparkSession, hot)
-    schema = "id bigint, cls bigint, tokens array<bigint>, n bigint, signature binary"
+def _prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], spare: np.ndarray) -> DataFrame:
+    """(id, cls, tokens, n, signature, suspect): the shingles of which two linked sets share at least one.
+
+    ``suspect`` tells whether the id may be in the map ``spare``.
+    """
+    shared = share(docs.sparkSession, (hot, spare))
+    schema = "id bigint, cls bigint, tokens array<bigint>, n bigint, signature binary, suspect boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, counts = shared.value
+        (values, counts), bits = shared.value
         for batch in batches:
             for part, data, offsets in tasks.chunks(batch, "text", SET_BYTES):
                 hashed, row, sizes = _sets(data, offsets)
@@ -212,16 +228,25 @@ def _prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.array(_set_keys(hashed, sizes)),
                      pa.ListArray.from_arrays(pa.array(ends), pa.array(ordered[mask].view(np.int64))),
-                     pa.array(sizes.astype(np.int64)), pa.array(_signatures(hashed, row, sizes), pa.binary())],
-                    names=["id", "cls", "tokens", "n", "signature"])
+                     pa.array(sizes.astype(np.int64)), pa.array(_signatures(hashed, row, sizes), pa.binary()),
+                     _in_map(bits, part.column("place"))],
+                    names=["id", "cls", "tokens", "n", "signature", "suspect"])
 
-    return docs.mapInArrow(tasks.lean(run), schema)
+    return docs.withColumn("place", _place("id")).mapInArrow(tasks.lean(run), schema)
 
 
 def _chosen_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(cls, shingles): the sets of the classes, each once."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shared = share(docs.sparkSession, _bit_map(classes, "rep"))
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            for at in range(0, batch.num_rows, tasks.CHUNK_ROWS):
+                part = batch.slice(at, tasks.CHUNK_ROWS)
+                yield part.filter(_in_map(shared.value, part.column("place")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in likely(batches):
             for part, data, offsets in tasks.chunks(batch, "text", SET_BYTES):
                 hashed, _, sizes = _sets(data, offsets)
                 ends = np.concatenate([[0], np.cumsum(sizes)]).tolist()
@@ -230,8 +255,8 @@ def _chosen_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
                     [part.column("id"), pa.array(_set_keys(hashed, sizes)),
                      pa.array([raw[8 * a:8 * b] for a, b in zip(ends, ends[1:])], pa.binary())], names=["id", "cls", "shingles"])
 
-    likely = _mark(docs.select("id", "text"), "id", _bit_map(classes, "rep"), "__may").filter("__may")
-    found = likely.select("id", "text").mapInArrow(tasks.lean(run), "id bigint, cls bigint, shingles binary")
+    found = docs.select("id", "text", _place("id").alias("place")).mapInArrow(
+        tasks.lean(run), "id bigint, cls bigint, shingles binary")
     # one exchange: the join by class also brings equal classes together
     exact = found.join(classes.select("cls", "rep"), "cls").filter("id = rep")
     return exact.select("cls", "shingles").dropDuplicates(["cls"])
@@ -485,14 +510,12 @@ def components(df: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     classes = cut_lineage(usable.groupBy("cls").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "jaccard-classes")
     spare = cut_lineage(usable.join(classes.filter("copies > 1"), "cls").filter("id <> rep").select("id", "cls"), "jaccard-copies")
     kept = docs.filter("id IS NOT NULL")
-    prefixes = cut_lineage(_prefixes(kept, hot), "jaccard-prefixes")
-    # copies go: what the map of their ids lets through is checked by a join
-    spare_map = _bit_map(spare, "id")
+    prefixes = cut_lineage(_prefixes(kept, hot, _bit_map(spare, "id")), "jaccard-prefixes")
 
     def single(column: str) -> DataFrame:
-        suspects = _mark(prefixes.select("id", "cls", column), "id", spare_map, "__suspect")
-        return suspects.filter("NOT __suspect").select("cls", column).unionByName(
-            suspects.filter("__suspect").join(spare, ["id", "cls"], "left_anti").select("cls", column))
+        # copies go: what the map of their ids lets through is checked by a join
+        return prefixes.filter("NOT suspect").select("cls", column).unionByName(
+            prefixes.filter("suspect").join(spare, ["id", "cls"], "left_anti").select("cls", column))
 
     tokens = single("tokens").select("cls", F.explode("tokens").alias("token"))
     repeated = cut_lineage(tokens.groupBy("token").agg(F.min("cls").alias("pivot"), F.max("cls").alias("other")).filter(

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,11 +38,10 @@ def row_numbers(df: DataFrame, order: Sequence[Column], name: str, label: str) -
     part, within = F.expr("shiftright(__place, 33)"), F.expr("__place & 8589934591L")
     counts = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__rows"))
     # as many rows as there are partitions: a running sum on the driver is bounded by the setting
-    base, at = [], 0
-    for row in counts.orderBy("__part").collect():
-        base.append((row["__part"], at))
-        at += row["__rows"]
-    bases = spark.createDataFrame(base, "__part bigint, __base bigint")
+    counted = counts.orderBy("__part").toArrow()
+    rows = counted.column("__rows").to_numpy()
+    # from Arrow, as a list of rows would pass through Python processes of the executors
+    bases = spark.createDataFrame(pa.table({"__part": counted.column("__part"), "__base": pa.array(np.cumsum(rows) - rows, pa.int64())}))
     return (
         placed.withColumn("__part", part)
         .join(F.broadcast(bases), "__part")

@@ -74,9 +74,33 @@ def give_back() -> None:
         _trim[0](0)
 
 
-def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` of a ``mapInArrow`` that leaves a process with no more than it needs when its task ends."""
+_built: dict[str, object] = {}
+
+
+def built(name: str, make: Callable[[], object]) -> object:
+    """What ``make`` returns, made once for all tasks of an operator in this process; one thing is kept at a time."""
+    if name not in _built:
+        drop_built()
+        _built[name] = make()
+        give_back()  # making it may have taken several times what it is
+    return _built[name]
+
+
+def drop_built(but: str | None = None) -> None:
+    """Drop what tasks of another operator have built: Spark gives its processes to whatever comes next."""
+    if _built and but not in _built:
+        _built.clear()
+        give_back()
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+         keep: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` of a ``mapInArrow`` that leaves a process with no more than it needs when its task ends.
+
+    ``keep`` names what ``run`` has ``built``, which stays for its next task.
+    """
     def run_lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_built(keep)
         yield from run(batches)
         give_back()
     return run_lean
@@ -85,6 +109,7 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 def lean_groups(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
     """``run`` of an ``applyInArrow`` that gives memory back whenever its groups add up to ``GIVE_BACK_BYTES``."""
     def run_lean(group: pa.Table) -> pa.Table:
+        drop_built()
         _worked[0] += group.nbytes
         out = run(group)
         if _worked[0] >= GIVE_BACK_BYTES:

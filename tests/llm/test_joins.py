@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import corpus_pipeline
 from arcloom.llm import byte_bpe, components, embed_dedup, jaccard_join, mixing, tasks
+from arcloom.llm.ranking import row_numbers
 from arcloom.session import cut_lineage, scratch_root
 from odd_rows import ODD, SF
 
@@ -314,6 +315,64 @@ def test_rows_are_marked_without_going_through_python(spark, capsys):
     assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
 
 
+def _python_steps(plan):
+    """The most Python steps that stand in one stage, one above the other."""
+    most, above = 0, []  # (depth, steps of the stage so far)
+    for line in plan.splitlines():
+        depth = re.search(r"[A-Za-z*]", line)
+        if not line.strip() or not depth:
+            continue
+        while above and above[-1][0] >= depth.start():
+            above.pop()
+        steps = (above[-1][1] if above else 0) + bool(re.search(r"EvalPython|InArrow|InPandas|ExistingRDD", line))
+        most = max(most, steps)
+        above.append((depth.start(), 0 if "Exchange" in line else steps))
+    return most
+
+
+def test_a_stage_of_the_join_has_one_python_process_a_core(spark, monkeypatch, capsys):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    steps = {}
+
+    def written(df, label="stage"):
+        capsys.readouterr()
+        df.explain()
+        steps[label] = _python_steps(capsys.readouterr().out)
+        return cut_lineage(df, label)
+    monkeypatch.setattr(jaccard_join, "cut_lineage", written)
+    assert jaccard_join.keep_one(docs).count()
+    assert {"jaccard-prefixes", "jaccard-members", "jaccard-chosen"} <= set(steps)
+    assert max(steps.values()) == 1, steps
+
+
+def test_row_numbers_need_no_python_process(spark, capsys):
+    rows = spark.range(5000, numPartitions=7).selectExpr("id * 7919 % 5000 AS id")
+    numbered = row_numbers(rows, [F.col("id")], "place", "numbers")
+    assert numbered.filter("place = id").count() == 5000
+    capsys.readouterr()
+    numbered.explain()
+    assert _python_steps(capsys.readouterr().out) == 0
+    assert row_numbers(rows.filter("id < 0"), [F.col("id")], "place", "numbers").collect() == []
+
+
+def test_what_a_task_builds_goes_when_another_operator_comes():
+    """Spark keeps a process for later tasks, of any operator; tasks of the same one find what was built."""
+    made = []
+    batch = pa.record_batch({"x": [1]})
+
+    def run(batches):
+        thing = tasks.built("vocabulary", lambda: made.append(1) or object())
+        yield from (b for b in batches if thing)
+    for _ in range(2):
+        assert len(list(tasks.lean(run, "vocabulary")([batch]))) == 1
+    assert len(made) == 1 and list(tasks._built) == ["vocabulary"]
+    assert len(list(tasks.lean(lambda batches: batches)([batch]))) == 1
+    assert not tasks._built
+    list(tasks.lean(run, "vocabulary")([batch]))
+    tasks.lean_groups(lambda group: group)(pa.table({"x": [1]}))
+    assert len(made) == 2 and not tasks._built
+
+
 @pytest.mark.parametrize("block", [4, 256])
 def test_jaccard_counts_every_link(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
