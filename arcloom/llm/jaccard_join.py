@@ -14,11 +14,11 @@ chosen where sets meet:
 3. A region with few classes is joined by one task: pivots split it into Voronoi
    cells, classes near a boundary (by the triangle inequality) also visit the
    cells beyond it, and cells are joined recursively until they are small.
-4. A larger region is cut into blocks.  All its classes are compared whose distances
-   to the pivot differ by no more than the radius; block against block, no
-   task holds more than two blocks.
-5. Regions yield the links of each class as a list.  Lists of one class are merged,
-   as a link may lie in several regions, and counted times the copies.
+4. A larger region is cut into blocks of a bounded number of classes and shingles.  All its
+   classes are compared whose distances to the pivot differ by no more than the radius;
+   block against block, no task holds more than two blocks.
+5. A link may lie in several regions; the one with the smallest pivot has it.  So regions
+   yield numbers of links, times the copies, and no lists of them.
 6. Components, by repeated aggregates and joins, of a spanning set of each task's links.
 
 Every step is exact; the list of common shingles and the bit maps have a fixed
@@ -44,7 +44,10 @@ RADIUS = 1 - LEAST / OF
 HOT_TOKENS = 400_000  # most shingles that are ordered by how common they are
 HOT_COUNT = 4
 MAP_BITS = 1 << 25
-BLOCK = 256  # classes of a region that one task holds, twice at most
+BLOCK = 256  # classes of a region that one task splits into cells; larger regions are cut into blocks
+BLOCK_CLASSES = 1024  # of a larger region: classes and shingles of a block, of which a task holds two at most
+BLOCK_SHINGLES = 1 << 19
+STRIP = 128  # classes of a block that are compared at a time
 LEAF = 48
 SET_BYTES = 1 << 18  # of texts whose shingles are made together; hashing takes some 50 times as much
 PIVOTS = 6
@@ -236,7 +239,7 @@ def _prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], spare: np.nda
 
 
 def _chosen_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cls, shingles): the sets of the classes, each once."""
+    """(cls, n, shingles): the sets of the classes, each once."""
     shared = share(docs.sparkSession, _bit_map(classes, "rep"))
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,13 +256,14 @@ def _chosen_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
                 raw = hashed.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.array(_set_keys(hashed, sizes)),
-                     pa.array([raw[8 * a:8 * b] for a, b in zip(ends, ends[1:])], pa.binary())], names=["id", "cls", "shingles"])
+                     pa.array([raw[8 * a:8 * b] for a, b in zip(ends, ends[1:])], pa.binary()),
+                     pa.array(sizes.astype(np.int64))], names=["id", "cls", "shingles", "n"])
 
     found = docs.select("id", "text", _place("id").alias("place")).mapInArrow(
-        tasks.lean(run), "id bigint, cls bigint, shingles binary")
+        tasks.lean(run), "id bigint, cls bigint, shingles binary, n bigint")
     # one exchange: the join by class also brings equal classes together
     exact = found.join(classes.select("cls", "rep"), "cls").filter("id = rep")
-    return exact.select("cls", "shingles").dropDuplicates(["cls"])
+    return exact.select("cls", "n", "shingles").dropDuplicates(["cls"])
 
 
 # -- regions --------------------------------------------------------------------------------------------------------
@@ -367,25 +371,55 @@ def _spanning(pairs: set[tuple[int, int]]) -> list[tuple[int, int]]:
     return kept
 
 
-_LINKS = "a bigint, near array<bigint>, copies array<bigint>, tree array<bigint>"
+_LINKS = "a bigint, linked bigint, tree array<bigint>"
 
 
-def _link_lists(cls: np.ndarray, copies: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.Table:
-    """A row for each class of ``cls[i]``: the classes ``cls[j]`` it links with, their copies, and which links span all.
+def _first_here(group: pa.Table) -> list[np.ndarray]:
+    """Of each class the regions with a smaller pivot than this one: classes that share one of them have met there."""
+    pivot = group.column("pivot")[0].as_py()
+    pivots = group.column("pivots").combine_chunks()
+    ends = pivots.offsets.to_numpy()
+    every = pivots.values.to_numpy()
+    return [own[own < pivot] for own in (every[a:b] for a, b in zip(ends, ends[1:]))]
+
+
+def _new_links(yes: np.ndarray, earlier: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """``yes`` without the links of ``rows`` x ``columns`` that an earlier region has."""
+    if not yes.any():
+        return yes
+    i, j = np.flatnonzero(yes.any(axis=1)), np.flatnonzero(yes.any(axis=0))
+    met = _Space([earlier[k] for k in rows[i]] + [earlier[k] for k in columns[j]]).shared(
+        np.arange(len(i)), len(i) + np.arange(len(j))) > 0
+    out = yes.copy()
+    out[np.ix_(i, j)] &= ~met
+    return out
 
-    Links are given in both directions.
-    """
-    a, b = cls[i], cls[j]
-    order = np.argsort(a, kind="stable")
-    a, b, times = a[order], b[order], copies[j][order]
-    heads, starts = np.unique(a, return_index=True)
-    ends = np.append(starts, len(a)).astype(np.int32)
+
+def _star(yes: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of the part that each row and each column is connected with by links; -1 without a link."""
+    if same:
+        yes = yes | yes.T
+    none = len(yes)
+    row = np.where(yes.any(axis=1), np.arange(none), none)
+    while True:
+        column = np.where(yes, row[:, None], none).min(axis=0, initial=none)
+        if same:
+            column = np.minimum(column, row)
+        after = np.minimum(row, np.where(yes, column[None, :], none).min(axis=1, initial=none))
+        if (after == row).all():
+            break
+        row = after
+    return np.where(row < none, row, -1), np.where(column < none, column, -1)
+
+
+def _link_rows(cls: np.ndarray, linked: np.ndarray, edges: set[tuple[int, int]]) -> pa.Table:
+    """A row for each class with links: the copies of the classes it links with, and edges that span the links of all."""
     tree: dict[int, list[int]] = {}
-    for x, y in _spanning(set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))):
+    for x, y in _spanning(edges):
         tree.setdefault(x, []).append(y)
+    heads = cls[linked > 0]
     return pa.table({
-        "a": pa.array(heads, pa.int64()), "near": pa.ListArray.from_arrays(pa.array(ends), pa.array(b, pa.int64())),
-        "copies": pa.ListArray.from_arrays(pa.array(ends), pa.array(times, pa.int64())),
+        "a": pa.array(heads, pa.int64()), "linked": pa.array(linked[linked > 0], pa.int64()),
         "tree": pa.array([tree.get(h, []) for h in heads.tolist()], pa.list_(pa.int64()))})
 
 
@@ -397,10 +431,15 @@ def _join_region(group: pa.Table) -> pa.Table:
     """Links of a region of at most ``BLOCK`` classes."""
     group = group.sort_by("cls")
     cls, sets = _unpack(group)
+    copies, everyone = group.column("copies").to_numpy(), np.arange(len(sets))
     pairs: set[tuple[int, int]] = set()
-    _join_cell(_Space(sets), np.arange(len(sets)), pairs)
+    _join_cell(_Space(sets), everyone, pairs)
+    yes = np.zeros((len(sets), len(sets)), bool)
     i, j = np.array(sorted(pairs), np.int64).reshape(-1, 2).T
-    return _link_lists(cls, group.column("copies").to_numpy(), np.concatenate([i, j]), np.concatenate([j, i]))
+    yes[i, j] = True
+    yes = _new_links(yes, _first_here(group), everyone, everyone)
+    i, j = np.nonzero(yes)
+    return _link_rows(cls, yes @ copies + yes.T @ copies, set(zip(cls[i].tolist(), cls[j].tolist())))
 
 
 def _from_pivot(group: pa.Table) -> pa.Table:
@@ -416,29 +455,35 @@ def _from_pivot(group: pa.Table) -> pa.Table:
 
 
 def _join_blocks(group: pa.Table) -> pa.Table:
-    """Links between the classes of one block and those of another (or the same)."""
-    group = group.sort_by("cls")
+    """Links between the classes of one block and those of another (or the same), strip against strip in order of the distance."""
+    group = group.sort_by([("d", "ascending"), ("cls", "ascending")])
     cls, sets = _unpack(group)
     d, copies = group.column("d").to_numpy(), group.column("copies").to_numpy()
-    # a class comes twice if its block meets itself: as row and as column
-    row_side = group.column("row_side").to_numpy(zero_copy_only=False)
-    rows, columns = np.flatnonzero(row_side), np.flatnonzero(~row_side)
-    if not len(rows) or not len(columns):
-        return _link_lists(cls, copies, rows[:0], columns[:0])
-    space = _Space(sets)
-    yes = space.links(rows, columns) & (np.abs(d[rows][:, None] - d[columns][None, :]) <= RADIUS + _ROUNDING)
-    i, j = np.nonzero(yes & (cls[rows][:, None] != cls[columns][None, :]))
-    i, j = rows[i], columns[j]
-    if group.column("i")[0].as_py() != group.column("j")[0].as_py():
-        i, j = np.concatenate([i, j]), np.concatenate([j, i])
-    return _link_lists(cls, copies, i, j)
-
-
-def _count_links(group: pa.Table) -> pa.Table:
-    """Rows of other classes that a class links with, each class once."""
-    near, first = np.unique(group.column("near").combine_chunks().flatten().to_numpy(), return_index=True)
-    copies = group.column("copies").combine_chunks().flatten().to_numpy()
-    return pa.table({"cls": group.column("a")[:1], "linked": pa.array([int(copies[first].sum())], pa.int64())})
+    earlier, linked = _first_here(group), np.zeros(len(cls), np.int64)
+    same = group.column("i")[0].as_py() == group.column("j")[0].as_py()
+    first = group.column("row_side").to_numpy(zero_copy_only=False)
+    rows, columns = np.flatnonzero(first), np.flatnonzero(first if same else ~first)
+    edges: set[tuple[int, int]] = set()
+    for at in range(0, len(rows), STRIP):
+        x = rows[at:at + STRIP]
+        for to in range(at if same else 0, len(columns), STRIP):
+            y = columns[to:to + STRIP]
+            if max(d[y[0]] - d[x[-1]], d[x[0]] - d[y[-1]]) > RADIUS + _ROUNDING:
+                continue
+            diagonal = same and at == to
+            space = _Space([sets[k] for k in x] + ([] if diagonal else [sets[k] for k in y]))
+            i, j = np.arange(len(x)), np.arange(len(y)) + (0 if diagonal else len(x))
+            yes = space.links(i, j) & (np.abs(d[x][:, None] - d[y][None, :]) <= RADIUS + _ROUNDING)
+            yes = _new_links(np.triu(yes, 1) if diagonal else yes, earlier, x, y)
+            if not yes.any():
+                continue
+            linked[x] += yes @ copies[y]
+            linked[y] += yes.T @ copies[x]
+            for side, to_row in zip((x, y), _star(yes, diagonal)):
+                has = to_row >= 0
+                a, b = cls[x[to_row[has]]], cls[side[has]]
+                edges.update((u, v) for u, v in zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()) if u < v)
+    return _link_rows(cls, linked, edges)
 
 
 def _filter_region(group: pa.Table) -> pa.Table:
@@ -456,20 +501,25 @@ def _promising(member: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def _region_links(member: DataFrame, sets: DataFrame) -> DataFrame:
-    """All links, in lists (a, near, copies, tree).  ``member``: (pivot, cls), pivots included."""
-    sizes = cut_lineage(member.groupBy("pivot").agg(F.count(F.lit(1)).alias("m")), "region-sizes")
-    small = member.join(sizes.filter(F.col("m") <= BLOCK).select("pivot"), "pivot", "left_semi")
+    """All links as (a, linked, tree), a class in as many rows as groups have links of it.  ``member``: (pivot, cls), pivots included."""
+    sizes = cut_lineage(member.join(sets.select("cls", "n"), "cls").groupBy("pivot").agg(
+        F.count(F.lit(1)).alias("m"), F.sum("n").alias("n")), "region-sizes")
+    homes = member.groupBy("cls").agg(F.collect_list("pivot").alias("pivots"))
+    sets = sets.drop("n").join(homes, "cls")
+    small = member.join(sizes.filter(F.col("m").between(2, BLOCK)).select("pivot"), "pivot", "left_semi")
     found = small.join(sets, "cls").groupBy("pivot").applyInArrow(tasks.lean_groups(_join_region), _LINKS)
-    large = cut_lineage(sizes.filter(F.col("m") > BLOCK).withColumn("blocks", F.ceil(F.col("m") / F.lit(BLOCK / 2)).cast("bigint")), "large-regions")
+    blocks = F.ceil(F.greatest(F.col("m") / F.lit(BLOCK_CLASSES), F.col("n") / F.lit(BLOCK_SHINGLES))).cast("bigint")
+    large = cut_lineage(sizes.filter(F.col("m") > BLOCK).select("pivot", blocks.alias("blocks")), "large-regions")
     if not large.limit(1).count():
         return found
+    found = cut_lineage(found, "small-links")
     dealt = member.join(large, "pivot").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
     with_pivot = dealt.filter("cls <> pivot").select("pivot", "block", "cls").unionByName(
         large.select("pivot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), F.col("pivot").alias("cls")))
     # of the sets only those of large regions move
     needed = cut_lineage(with_pivot.select("cls").distinct(), "large-members")
     sets = cut_lineage(_mark(sets, "cls", _bit_map(needed, "cls"), "__may").filter("__may").drop("__may"), "large-sets")
-    measured = with_pivot.join(sets, "cls").groupBy("pivot", "block").applyInArrow(
+    measured = with_pivot.join(sets.select("cls", "shingles"), "cls").groupBy("pivot", "block").applyInArrow(
         tasks.lean_groups(_from_pivot), "pivot bigint, cls bigint, d double")
     measured = cut_lineage(measured, "pivot-distances")
     # the radius is the window: a class meets the classes whose distance to the pivot is no more than that from its own
@@ -477,13 +527,42 @@ def _region_links(member: DataFrame, sets: DataFrame) -> DataFrame:
         large.select("pivot", "blocks"), "pivot").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
     row = placed.withColumn("i", F.col("block")).withColumn(
         "j", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).withColumn("row_side", F.lit(True))
-    column = placed.withColumn("j", F.col("block")).withColumn(
-        "i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("block")))).withColumn("row_side", F.lit(False))
+    # a block that meets itself comes once
+    column = placed.filter("block > 0").withColumn("j", F.col("block")).withColumn(
+        "i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("block") - 1))).withColumn("row_side", F.lit(False))
     fields = ["pivot", "i", "j", "cls", "d", "row_side"]
     cells = row.select(*fields).unionByName(column.select(*fields)).join(sets, "cls")
     return found.unionByName(cells.groupBy("pivot", "i", "j").applyInArrow(tasks.lean_groups(_join_blocks), _LINKS))
 
 
+def _regions(kept: DataFrame, spare: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(pivot, cls): the regions, without classes that surely link with none of theirs."""
+    prefixes = cut_lineage(_prefixes(kept, hot, _bit_map(spare, "id")), "jaccard-prefixes")
+
+    def single(column: str) -> DataFrame:
+        # copies go: what the map of their ids lets through is checked by a join
+        return prefixes.filter("NOT suspect").select("cls", column).unionByName(
+            prefixes.filter("suspect").join(spare, ["id", "cls"], "left_anti").select("cls", column))
+
+    tokens = single("tokens").select("cls", F.explode("tokens").alias("token"))
+    repeated = cut_lineage(tokens.groupBy("token").agg(F.min("cls").alias("pivot"), F.max("cls").alias("other")).filter(
+        "pivot <> other").select("token", "pivot"), "jaccard-pivots")
+    member = _mark(tokens, "token", _bit_map(repeated, "token"), "__may").filter("__may").join(
+        repeated, "token").select("pivot", "cls").distinct()
+    member = cut_lineage(member, "jaccard-members")
+    asked = member.select("cls").distinct()
+    signed = _mark(prefixes.select("cls", "n", "signature"), "cls", _bit_map(asked, "cls"), "__may").filter("__may").drop("__may")
+    facts = asked.join(signed, "cls").dropDuplicates(["cls"])
+    return _promising(member, facts)
+
+
+def _links(kept: DataFrame, classes: DataFrame, spare: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """The links of all regions; tables behind the regions go before sets move."""
+    member = cut_whole(lambda: _regions(kept, spare, hot), kept.sparkSession, "jaccard-regions")
+    sets = cut_lineage(_chosen_sets(kept, classes.join(member.select("cls").distinct(), "cls", "left_semi")), "jaccard-chosen")
+    return _region_links(member, sets.join(classes.select("cls", "copies"), "cls"))
+
+
 def components(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``df``: id, ``n_shingles``, ``component_id`` (the smallest id reachable by links) and ``n_links``.
 
@@ -509,29 +588,9 @@ def components(df: DataFrame, id_column: str = "doc_id", text: str = "text") ->
 
     classes = cut_lineage(usable.groupBy("cls").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "jaccard-classes")
     spare = cut_lineage(usable.join(classes.filter("copies > 1"), "cls").filter("id <> rep").select("id", "cls"), "jaccard-copies")
-    kept = docs.filter("id IS NOT NULL")
-    prefixes = cut_lineage(_prefixes(kept, hot, _bit_map(spare, "id")), "jaccard-prefixes")
-
-    def single(column: str) -> DataFrame:
-        # copies go: what the map of their ids lets through is checked by a join
-        return prefixes.filter("NOT suspect").select("cls", column).unionByName(
-            prefixes.filter("suspect").join(spare, ["id", "cls"], "left_anti").select("cls", column))
-
-    tokens = single("tokens").select("cls", F.explode("tokens").alias("token"))
-    repeated = cut_lineage(tokens.groupBy("token").agg(F.min("cls").alias("pivot"), F.max("cls").alias("other")).filter(
-        "pivot <> other").select("token", "pivot"), "jaccard-pivots")
-    member = _mark(tokens, "token", _bit_map(repeated, "token"), "__may").filter("__may").join(
-        repeated, "token").select("pivot", "cls").distinct()
-    member = cut_lineage(member, "jaccard-members")
-    asked = member.select("cls").distinct()
-    signed = _mark(prefixes.select("cls", "n", "signature"), "cls", _bit_map(asked, "cls"), "__may").filter("__may").drop("__may")
-    facts = asked.join(signed, "cls").dropDuplicates(["cls"])
-    member = cut_lineage(_promising(member, facts), "jaccard-regions")
-    sets = cut_lineage(_chosen_sets(kept, classes.join(member.select("cls").distinct(), "cls", "left_semi")), "jaccard-chosen")
-    sets = sets.join(classes.select("cls", "copies"), "cls")
-    links = cut_lineage(_region_links(member, sets), "jaccard-links")
+    links = cut_whole(lambda: _links(docs.filter("id IS NOT NULL"), classes, spare, hot), df.sparkSession, "jaccard-links")
     edges = cut_lineage(links.select("a", F.explode("tree").alias("b")), "jaccard-edges")
-    counted = links.select("a", "near", "copies").groupBy("a").applyInArrow(tasks.lean_groups(_count_links), "cls bigint, linked bigint")
+    counted = links.groupBy(F.col("a").alias("cls")).agg(F.sum("linked").alias("linked"))
     parts = connected_components(edges, "jaccard")
     named = classes.join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     label = named.groupBy("component").agg(F.min("rep").alias("component_id"))

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 from collections import Counter
 from pathlib import Path
 
@@ -410,3 +411,78 @@ def test_idle_processes_give_memory_back(spark):
     before = _held(spark)
     assert jaccard_join.keep_one(many).count() == 6000
     assert _held(spark) < before + 10
+
+
+@pytest.mark.parametrize("classes", [5, 30])
+def test_large_regions_in_blocks_against_all_pairs(spark, monkeypatch, classes):
+    """Regions of several blocks: links and components as by all pairs, a link once however many regions have it."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 10)
+    monkeypatch.setattr(jaccard_join, "BLOCK_CLASSES", classes)
+    rows = variants(5, 3, 40, 60) + [(1000 + i, t) for i, t in variants(5, 1, 4, 60)]
+    sets = [shingles(t) for _, t in rows]
+    links = {rows[i][0]: sum(i != j and 100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)}
+    want, _ = brute(rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_links"], r["component_id"]) for r in jaccard_join.components(docs).collect()}
+    assert got == {i: (links[i], want[i, t]) for i, t in rows} and max(links.values()) > 20
+
+
+def test_strips_of_a_block_give_every_link():
+    """A block with itself and two blocks, in several strips, with links that earlier regions have."""
+    rng = np.random.default_rng(3)
+    base = np.arange(1, 101, dtype=np.uint64) * 977
+    sets = []
+    for k in range(400):
+        one = base + np.uint64(0 if k % 3 else 10 ** 6)
+        one[rng.choice(100, rng.integers(0, 12), replace=False)] = rng.integers(10 ** 9, 10 ** 12)
+        sets.append(np.unique(one))
+    pivots = [[50] + ([7] if k % 5 == 0 else []) for k in range(400)]
+    copies = rng.integers(1, 4, 400)
+    cls = np.arange(400) + 50
+    d = np.array([1 - len(np.intersect1d(s, sets[0])) / len(np.union1d(s, sets[0])) for s in sets])
+    linked, parts = np.zeros(400, np.int64), []
+    for a, b in itertools.combinations(range(400), 2):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both) and not (a % 5 == 0 and b % 5 == 0):
+            linked[a], linked[b] = linked[a] + copies[b], linked[b] + copies[a]
+            parts.append((cls[a], cls[b]))
+
+    def table(who, i, j, row_side):
+        return pa.table({"pivot": pa.array([50] * len(who)), "i": pa.array([i] * len(who)), "j": pa.array([j] * len(who)),
+                         "cls": cls[who], "d": d[who], "row_side": row_side, "copies": copies[who],
+                         "shingles": pa.array([sets[k].tobytes() for k in who], pa.binary()),
+                         "pivots": pa.array([pivots[k] for k in who], pa.list_(pa.int64()))})
+    one = rng.permutation(400)[:180]
+    two = np.setdiff1d(np.arange(400), one)
+    found = [jaccard_join._join_blocks(t) for t in (
+        table(one, 0, 0, [True] * 180), table(two, 1, 1, [True] * 220),
+        table(np.concatenate([one, two]), 0, 1, [True] * 180 + [False] * 220))]
+    got, edges = np.zeros(400, np.int64), []
+    for t in found:
+        for r in t.to_pylist():
+            got[r["a"] - 50] += r["linked"]
+            edges += [(r["a"], b) for b in r["tree"]]
+    assert got.tolist() == linked.tolist() and linked.max() > 100
+    assert reach(cls.tolist(), edges) == reach(cls.tolist(), parts)
+    assert len(edges) < 3 * 400  # they span the links, they are not the links
+
+
+def test_what_leads_to_the_components_goes(spark):
+    """Op1: prefixes, sets and region tables go with the step they serve, and links take a row for each class and group."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    left, rows = _left(spark, lambda: jaccard_join.components(docs))
+    assert left == {"jaccard-sets", "jaccard-classes", "jaccard-copies", "jaccard-links", "jaccard-edges", "jaccard-components"}
+    assert len(rows) == docs.count()
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    def shuffles():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+    before = shuffles()
+    table = cut_lineage(spark.range(5000).selectExpr("id % 977 AS k").groupBy("k").count(), "counted")
+    until = time.time() + 30
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.2)  # executors are told, and not waited for
+    assert not shuffles() - before
+    assert table.count() == 977
