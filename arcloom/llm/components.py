@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,3 +50,20 @@ def _stars(edges: DataFrame, label: str) -> DataFrame:
 def _digest(links: DataFrame) -> tuple[int, int]:
     n, total = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     return n, int(total or 0)
+
+
+def star(yes: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of the part that each row and each column of a link matrix is connected with by links; -1 without a link."""
+    if same:
+        yes = yes | yes.T
+    none = len(yes)
+    row = np.where(yes.any(axis=1), np.arange(none), none)
+    while True:
+        column = np.where(yes, row[:, None], none).min(axis=0, initial=none)
+        if same:
+            column = np.minimum(column, row)
+        after = np.minimum(row, np.where(yes, column[None, :], none).min(axis=1, initial=none))
+        if (after == row).all():
+            break
+        row = after
+    return np.where(row < none, row, -1), np.where(column < none, column, -1)

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcloom.llm import tasks
-from arcloom.llm.components import connected_components
+from arcloom.llm.components import connected_components, star
 from arcloom.session import cut_lineage, cut_whole, share
 
 WIDTH = 5
@@ -395,23 +395,6 @@ def _new_links(yes: np.ndarray, earlier: list[np.ndarray], rows: np.ndarray, col
     return out
 
 
-def _star(yes: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The first row of the part that each row and each column is connected with by links; -1 without a link."""
-    if same:
-        yes = yes | yes.T
-    none = len(yes)
-    row = np.where(yes.any(axis=1), np.arange(none), none)
-    while True:
-        column = np.where(yes, row[:, None], none).min(axis=0, initial=none)
-        if same:
-            column = np.minimum(column, row)
-        after = np.minimum(row, np.where(yes, column[None, :], none).min(axis=1, initial=none))
-        if (after == row).all():
-            break
-        row = after
-    return np.where(row < none, row, -1), np.where(column < none, column, -1)
-
-
 def _link_rows(cls: np.ndarray, linked: np.ndarray, edges: set[tuple[int, int]]) -> pa.Table:
     """A row for each class with links: the copies of the classes it links with, and edges that span the links of all."""
     tree: dict[int, list[int]] = {}
@@ -479,7 +462,7 @@ def _join_blocks(group: pa.Table) -> pa.Table:
                 continue
             linked[x] += yes @ copies[y]
             linked[y] += yes.T @ copies[x]
-            for side, to_row in zip((x, y), _star(yes, diagonal)):
+            for side, to_row in zip((x, y), star(yes, diagonal)):
                 has = to_row >= 0
                 a, b = cls[x[to_row[has]]], cls[side[has]]
                 edges.update((u, v) for u, v in zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()) if u < v)

@@ -486,3 +486,50 @@ def test_written_tables_leave_no_shuffle_files(spark):
         time.sleep(0.2)  # executors are told, and not waited for
     assert not shuffles() - before
     assert table.count() == 977
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_squares_of_tiles_against_all_pairs(spark, monkeypatch, kind):
+    """Many small blocks, several to a side, vectors of two lengths, copies: op7 by tasks that read the blocks."""
+    monkeypatch.setattr(embed_dedup, "BLOCK_ROWS", 6)
+    data = [np.array(v, np.float32).tolist() for v in vectors(2)]
+    data += [v[:7] for v in data[:40]] + data[:5]
+    docs = spark.createDataFrame(list(enumerate(data)), f"vec_id bigint, embedding array<{kind}>")
+    squares = embed_dedup._Squares({7: 7, 24: 50})
+    tiles = Counter((d, i, j) for d, rows, columns in map(squares.__getitem__, range(squares.count)) for i in rows for j in columns if i <= j)
+    assert tiles == Counter((d, i, j) for d, n in ((7, 7), (24, 50)) for i in range(n) for j in range(i, n))
+    assert max(len(squares[k][1]) for k in range(squares.count)) > 1
+    want = np.zeros((len(data), len(data)), bool)
+    for dims in (7, 24):
+        own = [i for i, v in enumerate(data) if len(v) == dims]
+        unit = np.array([data[i] for i in own], np.float64)
+        unit /= np.linalg.norm(unit, axis=1)[:, None]
+        want[np.ix_(own, own)] = unit @ unit.T >= 0.95
+    np.fill_diagonal(want, False)
+    root = reach(range(len(data)), list(zip(*np.nonzero(want))))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embed_dedup.near_duplicates(docs).collect()}
+    assert got == {i: (int(want[i].sum()), root[i], root[i] == i) for i in range(len(data))}
+
+
+def test_a_strip_full_of_links_spans_them():
+    class Block:
+        def __init__(self, ids):
+            self.ids = np.array(ids)
+    x, y = Block(range(100, 140)), Block(range(200, 230))
+    links = [(i, j) for i in range(40) for j in range(30) if i % 3 == j % 3]
+    found = embed_dedup._edges(x, y, *np.array(links).T)
+    every = [*x.ids.tolist(), *y.ids.tolist()]
+    assert len(found) <= 70 and reach(every, found.tolist()) == reach(every, [(100 + i, 200 + j) for i, j in links])
+
+
+def test_blocks_of_vectors_are_not_moved_for_each_tile(spark, monkeypatch, capsys):
+    """Op7: the tiles are worked on without an exchange or a join, and the blocks go when that is done."""
+    monkeypatch.setattr(embed_dedup, "BLOCK_ROWS", 40)
+    rows = spark.createDataFrame(list(enumerate(vectors(1))), "vec_id bigint, embedding array<double>").repartition(3)
+    left, found = _left(spark, lambda: embed_dedup.near_duplicates(rows))
+    assert left == {"vectors", "vector-copies", "tile-links", "vector-components", "vector-parts"} and len(found) == 303
+    reps = spark.createDataFrame([(v, i, 1) for i, v in enumerate(vectors(1)[:300])], "v array<double>, rep bigint, copies bigint")
+    capsys.readouterr()
+    embed_dedup._tile_links(reps, {24: 300}, 0.95).explain()
+    plan = capsys.readouterr().out
+    assert "MapInArrow" in plan and "Exchange" not in plan and "Join" not in plan
