@@ -533,3 +533,22 @@ def test_blocks_of_vectors_are_not_moved_for_each_tile(spark, monkeypatch, capsy
     embed_dedup._tile_links(reps, {24: 300}, 0.95).explain()
     plan = capsys.readouterr().out
     assert "MapInArrow" in plan and "Exchange" not in plan and "Join" not in plan
+
+
+def test_tables_behind_the_regions_go_before_sets_move(spark, monkeypatch):
+    """The pipeline's join: prefixes, pivots and members, the largest tables, aren't there when the sets of regions are."""
+    docs, seen, old = spark.read.parquet(f"{SF}/documents.parquet"), [], jaccard_join._region_links
+
+    def listed():
+        return {p.name.rpartition("-")[::2] for p in Path(scratch_root(spark).removeprefix("file:")).iterdir()}
+    before = listed()
+
+    def region_links(member, sets):
+        seen.append({label for label, _ in listed() - before})
+        return old(member, sets)
+    monkeypatch.setattr(jaccard_join, "_region_links", region_links)
+    kept = corpus_pipeline.keep_one_copy(spark, docs, SF)
+    want, _ = brute([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
+    assert len(seen) == 1 and {"jaccard-regions", "jaccard-chosen"} <= seen[0]
+    assert not seen[0] & {"jaccard-prefixes", "jaccard-pivots", "jaccard-members", "region-members"}
